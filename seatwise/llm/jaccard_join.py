@@ -3,10 +3,10 @@
 Three passes over the texts, none of which keeps text in a shuffle but the last, and that
 only for documents with a candidate partner:
 
-1. the size and a 128-bit digest of each document's shingle set, and a fixed-size table of
-   shingle frequencies by hash bucket. Documents of equal sets form one class from here on;
-2. each set's prefix under the order (bucket frequency, hash) goes to inverted lists; lists
-   with two sets of compatible sizes connect candidates;
+1. the size and a 128-bit digest of each document's shingle set; documents of equal sets form
+   one class from here on;
+2. sets of like sizes deal their shingles by hash to more parts than two linked sets can
+   differ in, so linked sets have an equal part; equal part digests connect candidates;
 3. the whole sets of each candidate group meet, in blocks of bounded size, and
    ``count_links`` answers them from inverted lists with position-ordered blocks, deriving
    a set's overlaps from those of a highly similar set.
@@ -16,7 +16,7 @@ Only counts, per-set roots and slim rows leave Python; pairs are never rows.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -29,10 +29,11 @@ from . import textbuf
 from .components import connected_components
 from .scratch import materialise, shuffle_partitions, table
 
-SKETCH_BITS, SKETCH_CHUNKS = 16, 16
 #: Sets and shingles in one block of a candidate group; two blocks meet in a task.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
-_POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("size", "<i4")])
+#: Digests of parts and of sets are cut to 48 bits here; equal ones only make a group larger.
+_POSTING = np.dtype([("part_low", "<u4"), ("part_high", "<u2"), ("key_low", "<u4"), ("key_high", "<u2")])
+_CUT = (1 << 48) - 1
 
 
 def _set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,98 +50,134 @@ def _set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _profile(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for a, grams, bounds in textbuf.shingle_sets(batch.column(2), k):
-                count += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(count))
                 n, (k1, k2) = len(bounds) - 1, _set_keys(grams, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    ["doc_id", "text_hash", "n", "k1", "k2", "chunk", "counts"],
-                )
-        if count.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(count, SKETCH_CHUNKS)]
-            m = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64())] * 5 + [pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())],
-                ["doc_id", "text_hash", "n", "k1", "k2", "chunk", "counts"],
-            )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2)], ["doc_id", "text_hash", "n", "k1", "k2"])
 
     return run
 
 
-_PROFILE = "doc_id long, text_hash long, n long, k1 long, k2 long, chunk int, counts binary"
+class Schemes:
+    """How many parts the sets of a size class have.
 
+    Scheme c serves pairs whose smaller set is of class c; the larger one may be of the next
+    class. Its parts exceed the most by which two linked sets of it can differ by ``spare``,
+    so more than ``spare`` parts are equal. A set with ``spare`` empty parts at most thus has
+    an equal part with members; sets with more share one further digest.
+    """
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for c, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
-            total[c] = total[c] + x if c in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-
-def bucket_frequencies(profile: DataFrame) -> np.ndarray:
-    """Shingle frequencies over the whole corpus by hash bucket: 65,536 numbers at every input size."""
-    rows = profile.where("chunk IS NOT NULL").select("chunk", "counts").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()
-    out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int64)
-    for r in rows:
-        out[r.chunk] += np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return out.reshape(-1)
-
-
-def _prefixes(k: int, num: int, den: int, freq: np.ndarray, n_buckets: int) -> Callable:
-    """Postings of each set's prefix: any set in the wanted relation shares a prefix shingle."""
-
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.ratio = max(1.25, (den / num) ** 2)
+        self.low, self.parts, self.spare = [1], [], []
+        self._grow(1)
+
+    def _grow(self, size: int) -> None:
+        while self.low[-1] <= size:
+            lo = self.low[len(self.parts)]
+            hi = max(lo + 1, int(lo * self.ratio))
+            longest = (hi - 1) * self.den // self.num
+            differ = (self.den - self.num) * (hi - 1 + longest) // (self.den + self.num)
+            empty = (differ + 1) * math.exp(-lo / (differ + 1))
+            spare = math.ceil(empty + 4 * math.sqrt(empty))
+            self.parts.append(differ + 1 + spare if differ else 0)
+            self.spare.append(spare)
+            self.low.append(hi)
+
+    def of(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(sets, their scheme): each set in its own class, and in the one below if a partner may be there."""
+        self._grow(int(sizes.max(initial=1)))
+        low = np.array(self.low)
+        own = np.searchsorted(low, sizes, "right") - 1
+        yield np.flatnonzero(sizes > 0), own[sizes > 0]
+        below = np.flatnonzero((own > 0) & (self.num * sizes <= self.den * (low[np.maximum(own, 0)] - 1)))
+        yield below, own[below] - 1
+
+
+def part_digests(grams: np.ndarray, bounds: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the parts of each set, and the sets they belong to; linked sets of different members share one."""
+    mixed = textbuf.splitmix(grams ^ np.uint64(0x5DEECE66D))
+    halves = [(mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)]
+    sizes = np.diff(bounds)
+    out, owners = [], []
+    for sets, scheme in schemes.of(sizes):
+        parts = np.array(schemes.parts)[scheme]
+        sets, scheme, parts = sets[parts > 0], scheme[parts > 0], parts[parts > 0]
+        if not len(sets):
+            continue
+        first = np.cumsum(parts) - parts
+        member = np.repeat(bounds[:-1][sets] - (np.cumsum(sizes[sets]) - sizes[sets]), sizes[sets]) + np.arange(sizes[sets].sum())
+        part = np.repeat(first, sizes[sets]) + ((grams[member] >> np.uint64(8)) % np.repeat(parts, sizes[sets]).astype(np.uint64)).astype(np.int64)
+        total = int(parts.sum())
+        sums = [np.bincount(part, weights=h[member], minlength=total).astype(np.uint64) for h in halves]  # exact below 2 ** 53
+        count = np.bincount(part, minlength=total)
+        number = np.arange(total) - np.repeat(first, parts)
+        salt = (np.repeat(scheme, parts).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
+        digest = textbuf.splitmix(sums[0] ^ textbuf.splitmix(sums[1] ^ textbuf.splitmix(salt)))
+        owner = np.repeat(sets, parts)
+        out.append(digest[count > 0])
+        owners.append(owner[count > 0])
+        empty = np.add.reduceat(count == 0, first)
+        over = empty > np.array(schemes.spare)[scheme]
+        out.append(textbuf.splitmix(scheme[over].astype(np.uint64) ^ np.uint64(0xE117)))
+        owners.append(sets[over])
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def _parts(k: int, num: int, den: int, n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(num, den)
         for batch in batches:
-            out, seen = [], set()
+            out, seen = [], np.zeros(0, np.int64)
             for _, grams, bounds in textbuf.shingle_sets(batch.column(0), k):
                 keys, _ = _set_keys(grams, bounds)
-                rank = freq[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    n = b - a
-                    if n == 0 or keys[i] in seen:
-                        continue
-                    seen.add(keys[i])
-                    p = n - (num * n + den - 1) // den + 1
-                    own = np.argsort(rank[a:b], kind="stable")[:p]
-                    posts = np.empty(p, _POSTING)
-                    posts["token"], posts["key"], posts["size"] = grams[a:b][own], keys[i], n
-                    out.append(posts)
-            if out:
-                posts = np.concatenate(out)
-                bucket = (posts["token"] % np.uint64(n_buckets)).astype(np.int64)
+                digest, owner = part_digests(grams, bounds, schemes)
+                fresh = np.zeros(len(keys), bool)  # equal sets of a batch go once
+                fresh[np.unique(keys, return_index=True)[1]] = True
+                fresh &= ~np.isin(keys, seen)
+                seen = np.concatenate([seen, keys[fresh]])
+                digest, owner = digest[fresh[owner]], owner[fresh[owner]]
+                posts, key = np.empty(len(digest), _POSTING), keys[owner]
+                posts["part_low"], posts["part_high"] = digest & np.uint64(0xFFFFFFFF), (digest >> np.uint64(32)) & np.uint64(0xFFFF)
+                posts["key_low"], posts["key_high"] = key & 0xFFFFFFFF, (key >> 32) & 0xFFFF
+                out.append(posts)
+            posts = np.concatenate(out) if out else np.empty(0, _POSTING)
+            if len(posts):
+                bucket = posts["part_low"] % np.uint32(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 posts, bucket = posts[order], bucket[order]
                 ids, first = np.unique(bucket, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([x.tobytes() for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([x.tobytes() for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
 
     return run
 
 
-def _candidates(num: int, den: int) -> Callable:
-    """Stars of sets that share a prefix shingle and whose sizes a chain of allowed steps connects."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_py(), _POSTING) for batch in batches for x in batch.column(1)]
-        if not blobs:
-            return
-        posts = np.concatenate(blobs)
-        posts = posts[np.lexsort((posts["key"], posts["size"], posts["token"]))]
-        t, s, key = posts["token"], posts["size"].astype(np.int64), posts["key"]
-        linked = (t[1:] == t[:-1]) & (den * s[:-1] >= num * s[1:])
-        run_id = np.concatenate([[0], np.cumsum(~linked)])
-        starts = np.flatnonzero(np.concatenate([[True], ~linked]))
-        least = np.minimum.reduceat(key, starts)[run_id]
-        other = key != least
-        pairs = np.unique(np.stack([key[other], least[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-        for a in range(0, pairs.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + 100_000]), pa.array(pairs[1, a : a + 100_000])], ["u", "v"])
-
-    return run
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the sets that have an equal part."""
+    blobs = [np.frombuffer(x.as_py(), _POSTING) for batch in batches for x in batch.column(1)]
+    if not blobs:
+        return
+    posts = np.concatenate(blobs)
+    del blobs
+    part = posts["part_low"].astype(np.uint64) | (posts["part_high"].astype(np.uint64) << np.uint64(32))
+    order = np.argsort(part)
+    part = part[order]
+    twice = np.zeros(len(part), bool)
+    twice[1:] = part[1:] == part[:-1]
+    twice[:-1] |= twice[1:].copy()
+    order, part = order[twice], part[twice]
+    if not len(order):
+        return
+    key = posts["key_low"][order].astype(np.int64) | (posts["key_high"][order].astype(np.int64) << 32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    least = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.append(starts, len(key))))
+    other = key != least
+    pairs = np.unique(np.stack([key[other], least[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+    for a in range(0, pairs.shape[1], 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + 100_000]), pa.array(pairs[1, a : a + 100_000])], ["u", "v"])
 
 
 def _whole_sets(k: int) -> Callable:
@@ -291,15 +328,13 @@ def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    profile = materialise(slim.mapInArrow(_profile(shingle), _PROFILE), "profile")
-    freq = bucket_frequencies(profile)
-    rows = profile.where("chunk IS NULL").select("doc_id", "text_hash", "n", "k1", "k2")
+    rows = materialise(slim.mapInArrow(_profile(shingle), "doc_id long, text_hash long, n long, k1 long, k2 long"), "profile")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("mult"), first.alias("first"), F.first("n").alias("n")), "classes")
 
-    posts = slim.select("text").mapInArrow(_prefixes(shingle, num, den, freq, parts), "bucket int, posts binary").repartition(parts, "bucket")
-    groups = connected_components(posts.mapInArrow(_candidates(num, den), "u long, v long"))
-    wanted = classes.join(groups.select(F.col("node").alias("k1"), F.col("root").alias("comp")), "k1")
+    posts = slim.select("text").mapInArrow(_parts(shingle, num, den, parts), "bucket int, posts binary").repartition(parts, "bucket")
+    groups = connected_components(posts.mapInArrow(_candidates, "u long, v long"))
+    wanted = classes.join(groups.select("node", F.col("root").alias("comp")), F.col("k1").bitwiseAND(_CUT) == F.col("node"))
     totals = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")
     wanted = materialise(wanted.join(totals, "comp").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "mult", "comp", "n_blocks"), "wanted")
     texts = slim.join(wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
