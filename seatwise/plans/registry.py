@@ -1,10 +1,8 @@
-"""All queries of the engine and their SQL counterparts."""
+"""All queries of the engine, and SQL for those whose rows do not hang on fitted models."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import modelled, relational
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = relational.QUERIES | modelled.QUERIES
+ORACLE_SQL = dict(relational.ORACLE_SQL)
