@@ -337,7 +337,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     wanted = classes.join(groups.select("node", F.col("root").alias("comp")), F.col("k1").bitwiseAND(_CUT) == F.col("node"))
     totals = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")
     wanted = materialise(wanted.join(totals, "comp").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "mult", "comp", "n_blocks"), "wanted")
-    texts = slim.join(wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    # merged at every size, so that the plan and its shuffle do not change with the input
+    texts = slim.join(wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     sets = texts.select("text", "mult", "comp", "n_blocks").mapInArrow(_whole_sets(shingle), "k1 long, k2 long, mult long, comp long, n_blocks int, grams binary")
     own = F.pmod(F.xxhash64("k1", "k2"), F.col("n_blocks")).cast("int")
     met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
