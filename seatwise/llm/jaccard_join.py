@@ -5,8 +5,10 @@ only for documents with a candidate partner:
 
 1. the size and a 128-bit digest of each document's shingle set; documents of equal sets form
    one class from here on;
-2. sets of like sizes deal their shingles by hash to more parts than two linked sets can
-   differ in, so linked sets have an equal part; equal part digests connect candidates;
+2. sets of like sizes deal their shingles by hash to about twice the parts that two linked
+   sets can differ in, so linked sets have about half their parts equal; a set with too few
+   parts that any other set has drops out, and of the rest the rarest parts, as many as one
+   equal part must be among, connect candidates;
 3. the whole sets of each candidate group meet, in blocks of bounded size, and
    ``count_links`` answers them from inverted lists with position-ordered blocks, deriving
    a set's overlaps from those of a highly similar set.
@@ -32,8 +34,11 @@ from .scratch import materialise, shuffle_partitions, table
 #: Sets and shingles in one block of a candidate group; two blocks meet in a task.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
 #: Digests of parts and of sets are cut to 48 bits here; equal ones only make a group larger.
-_POSTING = np.dtype([("part_low", "<u4"), ("part_high", "<u2"), ("key_low", "<u4"), ("key_high", "<u2")])
+#: ``need`` is twice the parts that a linked set must share, at most 2 ** 16 - 2, plus one in the scheme below the set's own.
+_POSTING = np.dtype([("part_low", "<u4"), ("part_high", "<u2"), ("key_low", "<u4"), ("key_high", "<u2"), ("need", "<u2")])
+_SHARED = np.dtype([*_POSTING.descr, ("sets", "<u4")])
 _CUT = (1 << 48) - 1
+_MOST_NEED = (1 << 15) - 1
 
 
 def _set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +67,9 @@ class Schemes:
     """How many parts the sets of a size class have.
 
     Scheme c serves pairs whose smaller set is of class c; the larger one may be of the next
-    class. Its parts exceed the most by which two linked sets of it can differ by ``spare``,
-    so more than ``spare`` parts are equal. A set with ``spare`` empty parts at most thus has
-    an equal part with members; sets with more share one further digest.
+    class. Its parts exceed the most by which two linked sets of it can differ by more than
+    ``spare``, so more than ``spare`` parts are equal, and all of them but the empty parts of
+    either set have members. Sets with more than ``spare`` empty parts share one further digest.
     """
 
     def __init__(self, num: int, den: int) -> None:
@@ -79,8 +84,8 @@ class Schemes:
             hi = max(lo + 1, int(lo * self.ratio))
             longest = (hi - 1) * self.den // self.num
             differ = (self.den - self.num) * (hi - 1 + longest) // (self.den + self.num)
-            empty = (differ + 1) * math.exp(-lo / (differ + 1))
-            spare = math.ceil(empty + 4 * math.sqrt(empty))
+            empty = 2 * (differ + 1) * math.exp(-lo / (2 * (differ + 1)))
+            spare = max(differ + 1, math.ceil(empty + 4 * math.sqrt(empty)))
             self.parts.append(differ + 1 + spare if differ else 0)
             self.spare.append(spare)
             self.low.append(hi)
@@ -95,13 +100,16 @@ class Schemes:
         yield below, own[below] - 1
 
 
-def part_digests(grams: np.ndarray, bounds: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the parts of each set, and the sets they belong to; linked sets of different members share one."""
+def part_digests(grams: np.ndarray, bounds: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the parts of each set, the sets they belong to, and the ``need`` of those.
+
+    Linked sets of different members share as many digests of one scheme as the greater need of both.
+    """
     mixed = textbuf.splitmix(grams ^ np.uint64(0x5DEECE66D))
     halves = [(mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)]
     sizes = np.diff(bounds)
-    out, owners = [], []
-    for sets, scheme in schemes.of(sizes):
+    out, owners, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for below, (sets, scheme) in enumerate(schemes.of(sizes)):
         parts = np.array(schemes.parts)[scheme]
         sets, scheme, parts = sets[parts > 0], scheme[parts > 0], parts[parts > 0]
         if not len(sets):
@@ -115,16 +123,35 @@ def part_digests(grams: np.ndarray, bounds: np.ndarray, schemes: Schemes) -> tup
         number = np.arange(total) - np.repeat(first, parts)
         salt = (np.repeat(scheme, parts).astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)
         digest = textbuf.splitmix(sums[0] ^ textbuf.splitmix(sums[1] ^ textbuf.splitmix(salt)))
-        owner = np.repeat(sets, parts)
+        left = np.array(schemes.spare)[scheme] + 1 - np.add.reduceat(count == 0, first)
+        need = 2 * np.clip(left, 1, _MOST_NEED) + below
         out.append(digest[count > 0])
-        owners.append(owner[count > 0])
-        empty = np.add.reduceat(count == 0, first)
-        over = empty > np.array(schemes.spare)[scheme]
+        owners.append(np.repeat(sets, parts)[count > 0])
+        needs.append(np.repeat(need, parts)[count > 0])
+        over = left < 1
         out.append(textbuf.splitmix(scheme[over].astype(np.uint64) ^ np.uint64(0xE117)))
         owners.append(sets[over])
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(owners)
+        needs.append(np.full(int(over.sum()), below))
+    return np.concatenate(out), np.concatenate(owners), np.concatenate(needs)
+
+
+def _dealt(posts: np.ndarray, by: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """The postings as one blob a bucket."""
+    bucket = (by % np.uint32(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    posts, bucket = posts[order], bucket[order]
+    ids, first = np.unique(bucket, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    blobs = [np.frombuffer(x.as_buffer(), kind) for batch in batches for x in batch.column(1)]
+    return np.concatenate(blobs) if blobs else np.empty(0, kind)
+
+
+def _joined(posts: np.ndarray, name: str) -> np.ndarray:
+    """The 48 bits of ``part`` or ``key``."""
+    return posts[f"{name}_low"].astype(np.int64) | (posts[f"{name}_high"].astype(np.int64) << 32)
 
 
 def _parts(k: int, num: int, den: int, n_buckets: int) -> Callable:
@@ -134,45 +161,90 @@ def _parts(k: int, num: int, den: int, n_buckets: int) -> Callable:
             out, seen = [], np.zeros(0, np.int64)
             for _, grams, bounds in textbuf.shingle_sets(batch.column(0), k):
                 keys, _ = _set_keys(grams, bounds)
-                digest, owner = part_digests(grams, bounds, schemes)
+                digest, owner, need = part_digests(grams, bounds, schemes)
                 fresh = np.zeros(len(keys), bool)  # equal sets of a batch go once
                 fresh[np.unique(keys, return_index=True)[1]] = True
                 fresh &= ~np.isin(keys, seen)
                 seen = np.concatenate([seen, keys[fresh]])
-                digest, owner = digest[fresh[owner]], owner[fresh[owner]]
+                digest, owner, need = (x[fresh[owner]] for x in (digest, owner, need))
                 posts, key = np.empty(len(digest), _POSTING), keys[owner]
                 posts["part_low"], posts["part_high"] = digest & np.uint64(0xFFFFFFFF), (digest >> np.uint64(32)) & np.uint64(0xFFFF)
                 posts["key_low"], posts["key_high"] = key & 0xFFFFFFFF, (key >> 32) & 0xFFFF
+                posts["need"] = need
                 out.append(posts)
             posts = np.concatenate(out) if out else np.empty(0, _POSTING)
             if len(posts):
-                bucket = posts["part_low"] % np.uint32(n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                posts, bucket = posts[order], bucket[order]
-                ids, first = np.unique(bucket, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([x.tobytes() for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
+                yield _dealt(posts, posts["part_low"], n_buckets)
+
+    return run
+
+
+def _shared_parts(n_buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings of the parts that several sets have, with how many, dealt by set."""
+        posts = _gathered(batches, _POSTING)
+        if not len(posts):
+            return
+        part, key = _joined(posts, "part"), _joined(posts, "key")
+        order = np.lexsort((posts["need"], key, part))
+        posts, part, key = posts[order], part[order], key[order]
+        fresh = np.ones(len(posts), bool)
+        fresh[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (posts["need"][1:] != posts["need"][:-1])
+        posts, part, key = posts[fresh], part[fresh], key[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        new = np.ones(len(part), np.int64)
+        new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
+        sets = np.add.reduceat(new, starts)
+        sets = np.repeat(sets, np.diff(np.append(starts, len(part))))
+        kept = np.flatnonzero(sets > 1)
+        for a in range(0, len(kept), 1_000_000):
+            at = kept[a : a + 1_000_000]
+            out = np.empty(len(at), _SHARED)
+            for name in _POSTING.names:
+                out[name] = posts[name][at]
+            out["sets"] = sets[at]
+            yield _dealt(out, out["key_low"], n_buckets)
+
+    return run
+
+
+def _rarest_parts(n_buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each set with enough shared parts its rarest, dealt by part.
+
+        Linked sets share ``need`` parts; the rarest of these is among the first ``m - need + 1``
+        of the ``m`` shared parts of both, in one order of all parts.
+        """
+        posts = _gathered(batches, _SHARED)
+        if not len(posts):
+            return
+        part, key = _joined(posts, "part"), _joined(posts, "key")
+        order = np.lexsort((part, posts["sets"], posts["need"], key))
+        posts, key = posts[order], key[order]
+        edge = np.ones(len(key), bool)
+        edge[1:] = (key[1:] != key[:-1]) | (posts["need"][1:] != posts["need"][:-1])
+        starts = np.flatnonzero(edge)
+        m = np.diff(np.append(starts, len(key)))
+        kept = np.arange(len(key)) - np.repeat(starts, m) <= np.repeat(m - (posts["need"][starts].astype(np.int64) >> 1), m)
+        posts = posts[kept]
+        for a in range(0, len(posts), 1_000_000):
+            out = np.empty(len(posts[a : a + 1_000_000]), _POSTING)
+            for name in _POSTING.names:
+                out[name] = posts[name][a : a + 1_000_000]
+            yield _dealt(out, out["part_low"], n_buckets)
 
     return run
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars of the sets that have an equal part."""
-    blobs = [np.frombuffer(x.as_py(), _POSTING) for batch in batches for x in batch.column(1)]
-    if not blobs:
-        return
-    posts = np.concatenate(blobs)
-    del blobs
-    part = posts["part_low"].astype(np.uint64) | (posts["part_high"].astype(np.uint64) << np.uint64(32))
+    posts = _gathered(batches, _POSTING)
+    part, key = _joined(posts, "part"), _joined(posts, "key")
     order = np.argsort(part)
-    part = part[order]
-    twice = np.zeros(len(part), bool)
-    twice[1:] = part[1:] == part[:-1]
-    twice[:-1] |= twice[1:].copy()
-    order, part = order[twice], part[twice]
-    if not len(order):
+    part, key = part[order], key[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    if not len(starts):
         return
-    key = posts["key_low"][order].astype(np.int64) | (posts["key_high"][order].astype(np.int64) << 32)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     least = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.append(starts, len(key))))
     other = key != least
     pairs = np.unique(np.stack([key[other], least[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
@@ -332,7 +404,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("mult"), first.alias("first"), F.first("n").alias("n")), "classes")
 
-    posts = slim.select("text").mapInArrow(_parts(shingle, num, den, parts), "bucket int, posts binary").repartition(parts, "bucket")
+    posts = slim.select("text")
+    for step in (_parts(shingle, num, den, parts), _shared_parts(parts), _rarest_parts(parts)):
+        posts = posts.mapInArrow(step, "bucket int, posts binary").repartition(parts, "bucket")
     groups = connected_components(posts.mapInArrow(_candidates, "u long, v long"))
     wanted = classes.join(groups.select("node", F.col("root").alias("comp")), F.col("k1").bitwiseAND(_CUT) == F.col("node"))
     totals = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")

@@ -60,28 +60,39 @@ def brute_links(sets, num, den):
     return {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
 
 
-def test_join_links_are_the_brute_force_ones(docs):
-    rows = corpus()
+def edited(rng, rows):
+    """The rows and copies of them with up to a tenth of the words changed, beside one passage in some."""
+    out, shared = list(rows), words(rng, 40)
+    for i in range(160):
+        t = (rng.choice(rows)[1] or "").split(" ")
+        t = [words(rng, 1) if rng.random() < i / 1600 else w for w in t]
+        out.append((1000 + i, " ".join(t) + (f" {shared}" if i % 4 == 0 else ""), "en", "s0", 1))
+    return out
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_join_links_are_the_brute_force_ones(spark, k, num):
+    rows = edited(random.Random(num), corpus())
 
     def shingles(t):
         w = (t or "").lower().split(" ")
         w = [x for x in w if x]
-        return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
     sets = [shingles(r[1]) for r in rows]
-    links = brute_links(sets, 90, 100)
+    links = brute_links(sets, num, 100)
     reach = {i: {i} for i in range(len(rows))}
     for i, j in links:
         whole = reach[i] | reach[j]
-        for k in whole:
-            reach[k] = whole
-    want = Counter((r[0], len(s), sum(a == i for a, _ in links), min((rows[k][0] for k in reach[i] if rows[k][0] is not None), default=None)) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
-    got = Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_join.jaccard_classes(docs).collect())
+        for other in whole:
+            reach[other] = whole
+    want = Counter((r[0], len(s), sum(a == i for a, _ in links), min((rows[j][0] for j in reach[i] if rows[j][0] is not None), default=None)) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
+    got = Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, DOCS).repartition(3), k, num).collect())
     assert got == want
 
 
 @pytest.mark.parametrize("num", [90, 80])
-def test_linked_sets_share_a_part(num):
+def test_linked_sets_share_as_many_parts_as_they_need(num):
     rng, schemes = np.random.default_rng(num), jaccard_join.Schemes(num, 100)
     for n in (3, 9, 10, 11, 20, 40, 150, 600):
         for _ in range(20):
@@ -90,8 +101,10 @@ def test_linked_sets_share_a_part(num):
             sets = [np.unique(base), other]
             both = len(np.intersect1d(*sets))
             if 100 * both >= num * (len(sets[0]) + len(other) - both):
-                digest, owner = jaccard_join.part_digests(np.concatenate(sets), np.cumsum([0, len(sets[0]), len(other)]), schemes)
-                assert len(np.intersect1d(digest[owner == 0], digest[owner == 1]))
+                digest, owner, need = jaccard_join.part_digests(np.concatenate(sets), np.cumsum([0, len(sets[0]), len(other)]), schemes)
+                shared, a, b = np.intersect1d(digest[owner == 0], digest[owner == 1], return_indices=True)
+                need_a, need_b = need[owner == 0][a], need[owner == 1][b]
+                assert any(len(at := np.flatnonzero((need_a == x) & (need_b == y))) >= max(x // 2, y // 2, 1) for x, y in set(zip(need_a.tolist(), need_b.tolist(), strict=True)))
 
 
 def test_curve_visits_neighbours(spark):
