@@ -29,6 +29,8 @@ from .scratch import table
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000
 #: Symbols of a window, the order, and the absolute discount.
 WINDOW, ORDER, DISCOUNT = 24, 5, 2.0
+#: Sampled texts taken at a time on the driver.
+CHUNK = 64
 #: Steps of one unit in the stored log ratios.
 STEPS = 16.0
 
@@ -39,6 +41,9 @@ _SYMBOL[0xC0:] = 28
 _SYMBOL[0xC3] = 27
 
 
+Counts = tuple[np.ndarray, np.ndarray]  # distinct five-symbol keys in order, and how often each occurs
+
+
 class Model(NamedTuple):
     ratio: np.ndarray  # log ratio of the last symbol's probabilities, by five symbols, in STEPS
     curve: np.ndarray  # weights of evidence(), then the intercept
@@ -62,18 +67,28 @@ def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, key, off
 
 
-def _log_ratio(keys: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The table of stored log ratios from the sample's keys and their classes."""
-    pooled = np.unique(keys & 0x7FFF)  # continuation counts of bigrams: distinct symbols before them
+def _counts(texts: list[str]) -> Counts:
+    found = [key for a in range(0, len(texts), CHUNK) for _, key, _ in grams(pa.array(texts[a : a + CHUNK], pa.string()))]
+    return np.unique(np.concatenate(found or [np.zeros(0, np.int32)]), return_counts=True)
+
+
+def _added(one: Counts, two: Counts) -> Counts:
+    keys, at = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, np.concatenate([one[1], two[1]]))
+    return keys, total
+
+
+def _log_ratio(tops: list[Counts]) -> np.ndarray:
+    """The table of stored log ratios from the counts of the toxic and of the ordinary texts."""
+    pooled = np.unique(np.concatenate([own & 0x7FFF for own, _ in tops]))  # continuation counts of bigrams: distinct symbols before them
     base = np.bincount(pooled & 0x3FF, minlength=1 << 10).reshape(32, 32) + 0.05
     shared = (base / base.sum(1, keepdims=True)).reshape(-1)
     logs = []
-    tops = []
-    for c in (1, 0):
-        tops.append(np.unique(keys[toxic == c], return_counts=True))
+    for top, _ in tops:
         prob = shared
         for order in (3, 4):
-            own = np.unique(tops[-1][0] & ((1 << 5 * (order + 1)) - 1)) & ((1 << 5 * order) - 1)
+            own = np.unique(top & ((1 << 5 * (order + 1)) - 1)) & ((1 << 5 * order) - 1)
             count = np.bincount(own, minlength=1 << 5 * order).astype(np.float32).reshape(-1, 32)
             total = count.sum(1, keepdims=True)
             taken = np.minimum(count, DISCOUNT).sum(1, keepdims=True)
@@ -134,22 +149,21 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: list[int], share: float) -> Model:
     """A model from the sampled texts; ``share`` is the share of toxic rows among all labelled ones."""
     y = np.array(toxic, np.int64)
-    parts = list(grams(pa.array(texts, pa.string()))) if texts else []
-    if len(np.unique(y)) < 2 or not parts:
+    if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << 25, np.int8), np.array([0, 0, 0, 8.0 if len(y) and y[0] else -8.0]))
-    keys = np.concatenate([k for _, k, _ in parts])
-    row = np.concatenate([a + np.repeat(np.arange(len(o) - 1), np.diff(o)) for a, _, o in parts])
     fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
         fold[y == c] = np.arange((y == c).sum()) % 2
+    halves = [[_counts([texts[i] for i in np.flatnonzero((fold == f) & (y == c))]) for c in (1, 0)] for f in (0, 1)]
     x = np.zeros((len(y), 3))
     for f in (0, 1):
-        ratio = _log_ratio(keys[fold[row] != f], y[row[fold[row] != f]])
-        for a, k, o in parts:
-            at = a + np.arange(len(o) - 1)
-            x[at] += evidence(ratio, k, o) * (fold[at] == f)[:, None]
+        ratio, rows = _log_ratio(halves[1 - f]), np.flatnonzero(fold == f)
+        for a in range(0, len(rows), CHUNK):
+            at = rows[a : a + CHUNK]
+            for b, key, offsets in grams(pa.array([texts[i] for i in at], pa.string())):
+                x[at[b : b + len(offsets) - 1]] = evidence(ratio, key, offsets)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(_log_ratio(keys, y[row]), _fit_curve(x, y, weight))
+    return Model(_log_ratio([_added(*both) for both in zip(*halves, strict=True)]), _fit_curve(x, y, weight))
 
 
 def scores(model: Model, column: pa.Array) -> np.ndarray:
