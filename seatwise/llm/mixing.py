@@ -106,12 +106,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     given = weights or {}
     own = [float(given.get(r["source"], r["count"] ** POWER)) for r in counts]
     parts = schedule([-(-r["count"] // block_rows) for r in counts], own)
-    shape = "source string, parts array<struct<a: long, b: long, slot: long, period: long, places: array<int>>>"
-    lines = spark.createDataFrame([(r["source"], p) for r, p in zip(counts, parts, strict=True)], shape).withColumnRenamed("source", "_source")
+    shape = "_g int, _source string, count long, parts array<struct<a: long, b: long, slot: long, period: long, places: array<int>>>"
+    lines = spark.createDataFrame([(g, r["source"], r["count"], p) for g, (r, p) in enumerate(zip(counts, parts, strict=True))], shape)
     has_text = "text" in docs.columns
-    rows = docs.select(*[F.col(c).alias(f"_p_{c}") for c in keep], F.col("source").alias("_g"), F.col("doc_id").alias("_id"), (F.xxhash64("text") if has_text else F.lit(0)).alias("_h"))
-    ranked = group_ranks(rows, ["_g"], ["_id", "_h"])
-    placed = ranked.join(F.broadcast(lines), F.col("_g").eqNullSafe(F.col("_source")))  # one row a source, of PERIOD numbers a phase at most
+    rows = docs.select(*[F.col(c).alias(f"_p_{c}") for c in keep], F.col("source").alias("_s"), F.col("doc_id").alias("_id"), (F.xxhash64("text") if has_text else F.lit(0)).alias("_h"))
+    # one row a source, of PERIOD numbers a phase at most; the driver holds them all
+    numbered = rows.join(F.broadcast(lines.select("_g", "_source")), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s", "_source")
+    ranked = group_ranks(numbered, ["_g"], ["_id", "_h"], lines.select("_g", "count"))
+    placed = ranked.join(F.broadcast(lines.select("_g", "parts")), "_g")
     placed = placed.withColumn("_block", F.expr(f"_rank div {block_rows}"))
     placed = placed.withColumn("_part", F.element_at(F.filter("parts", lambda p: (F.col("_block") >= p["a"]) & (F.col("_block") < p["b"])), 1))
     placed = placed.withColumn("_k", F.col("_block") - F.col("_part.a")).withColumn("_q", F.size("_part.places").cast("long"))

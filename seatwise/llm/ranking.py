@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one window of ``group_ranks`` sorts, about.
-SUB_ROWS = 50_000
+SUB_ROWS = 1024
 
 
-def group_ranks(df: DataFrame, keys: list[str], tie: list[str], across: bool = False) -> DataFrame:
+def group_ranks(df: DataFrame, keys: list[str], tie: list[str], counts: DataFrame | None = None, across: bool = False) -> DataFrame:
     """``df`` with ``_rank`` (from 0) within ``keys``, and ``_total``, the rows of the group.
 
-    With ``across``, ranks run on over all groups in the order of ``keys``, and ``_total`` is
-    the number of all rows. A group is dealt by a hash of ``tie`` into sub-groups of about
-    SUB_ROWS rows; the order within a group is by sub-group, then ``tie``. Only the counts of
+    Keys must not be null, and callers bound the number of groups: ``counts`` (``keys`` and
+    ``count``; counted here where it is not given) is broadcast. With ``across``, ranks run on
+    over all groups in the order of ``keys``, and ``_total`` is the number of all rows. A group
+    is dealt by a hash of ``tie`` into sub-groups of about SUB_ROWS rows; the order within a
+    group is by sub-group, then ``tie``. Rows move once, to their sub-group. Only the counts of
     sub-groups, one row each, meet in one window.
     """
-    counts = df.groupBy(*keys).count().select(*keys, F.ceil(F.col("count") / SUB_ROWS).cast("int").alias("_subs"))
-    named = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_subs")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    dealt = df.join(named, on).drop(*[f"_k_{k}" for k in keys])
+    counts = df.groupBy(*keys).count() if counts is None else counts
+    subs = counts.select(*keys, F.ceil(F.col("count") / SUB_ROWS).cast("int").alias("_subs"))
+    dealt = df.join(F.broadcast(subs), keys)
     dealt = dealt.withColumn("_sub", F.pmod(F.xxhash64(*tie), F.col("_subs")).cast("int")).drop("_subs")
     sub = [*keys, "_sub"]
     sizes = dealt.groupBy(*sub).agg(F.count("*").alias("_n"))
     order = Window.orderBy(*sub) if across else Window.partitionBy(*keys).orderBy("_sub")
     whole = Window.partitionBy() if across else Window.partitionBy(*keys)
-    offsets = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in sub], (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    offsets = sizes.select(*sub, (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
     ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(*sub).orderBy(*tie)))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in sub]
-    joined = ranked.join(offsets, on)
-    return joined.withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_before", "_row", "_sub", *[f"_k_{k}" for k in sub])
+    return ranked.join(offsets, sub).withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_before", "_row", "_sub")

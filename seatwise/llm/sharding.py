@@ -106,7 +106,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int, tie: list[str]
         own = F.broadcast(bins.where(F.col("dim") == i).select(F.col("cell").alias(f"_c{i}"), F.col("bin").alias(f"_b{i}")))
         cells = cells.join(own, f"_c{i}")
     placed = cells.withColumn("_curve", hilbert_index([F.col(f"_b{i}") for i in range(len(dims))], bits)).drop(*[f"_c{i}" for i in range(len(dims))], *[f"_b{i}" for i in range(len(dims))])
-    ranked = group_ranks(placed, ["_curve"], [f"_p_{t}" for t in tie], across=True)
+    ranked = group_ranks(placed, ["_curve"], [f"_p_{t}" for t in tie], across=True)  # (2 ** bits) ** dims places at most
     rank = F.col("_rank")
     shard = F.expr(f"(_rank * {n_shards}) div _total")
     cut = F.expr(f"((_rank * {n_shards}) div _total * _total + {n_shards - 1}) div {n_shards}")
