@@ -1,4 +1,9 @@
+import os
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from seatwise.functions.columns import hash_uniform, letter_ordinal, verdict
@@ -78,3 +83,9 @@ def test_running_counts_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.grp: r.n for r in spark.table("counts").collect()} == {"EUROPE": 7, "AFRICA": 13}
+
+
+def test_functions_load_where_the_package_is_missing():
+    blob = cloudpickle.dumps(hash_uniform)
+    code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); assert callable(f) and 'seatwise' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], input=blob, check=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
