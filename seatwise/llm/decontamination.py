@@ -190,7 +190,7 @@ def prepare(docs: DataFrame, rows: list) -> Items:
 
 def _matches(shared: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = Items(*shared.value)
         for batch in batches:
             rows = [(d, items.ids[i], *x) for d, found in zip(batch.column(0).to_pylist(), scan(batch.column(1), items), strict=True) for i, *x in found]
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -210,7 +210,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for rows in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(prepare(slim, rows))
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(prepare(slim, rows)))
         found = slim.mapInArrow(_matches(shared), "doc_id long, item_id long, likeness double, seeds int, first_word int, end_word int")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -220,8 +220,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _clean(shared: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*shared.value)
         for batch in batches:
-            found = scan(batch.column(batch.schema.get_field_index("text")), shared.value)
+            found = scan(batch.column(batch.schema.get_field_index("text")), items)
             yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
     return run
@@ -231,7 +232,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a copy of any benchmark item."""
     out = docs
     for rows in _blocks(benchmark):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(prepare(docs, rows))), docs.schema)
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(tuple(prepare(docs, rows)))), docs.schema)
     return out
 
 

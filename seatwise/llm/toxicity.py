@@ -199,15 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _append(model: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*model.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(model.value, batch.column(batch.schema.get_field_index("text"))))], [*batch.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(fitted, batch.column(batch.schema.get_field_index("text"))))], [*batch.schema.names, "_toxicity"])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``_toxicity``, 0 to 1; null and empty texts are scored as texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the sample
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_append(shared), f"{fields}, _toxicity double")
 
