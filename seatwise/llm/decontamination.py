@@ -1,15 +1,16 @@
-"""Benchmark leaks: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark leaks: pairs of near words as seeds, then Smith-Waterman alignment of words.
 
 Benchmark items are the query set and come in blocks of bounded bytes; all documents are
-scanned against each block. A first scan counts the items' n-grams in the whole corpus; the
-rarer half of each item's n-grams are its seeds, so an item that stands in many documents
-keeps its seeds too. A second scan aligns each document around its seeds with the items that
-own them. Neither scan shuffles texts, and every decision is made where the text is read.
+scanned against each block. An alignment's score is that of one match and of the steps from
+match to match, and only steps with at most one mismatch or gap add to it. Such a step is a
+pair of words at most two apart in text and item. So a text whose pairs of an item can't add
+up to the score that a copy needs holds none, and all others are aligned: the result is that
+of aligning every text with every item. The scan shuffles no texts, and every decision is made
+where the text is read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -21,21 +22,29 @@ from pyspark.sql import functions as F
 from . import textbuf
 from .scratch import table
 
-#: Words of a seed; scores of a match, a mismatch and a gap.
-SEED, MATCH, MISMATCH, GAP = 3, 2, -1, -1
+#: Scores of a match, a mismatch and a gap.
+MATCH, MISMATCH, GAP = 2, -1, -1
+#: An item of fewer words matches only a text of just these words.
+SHORT = 3
 #: A passage is a copy of an item if it reaches this share of the item's own score, or so many words' score.
 LIKENESS, LONG_WORDS = 0.5, 20
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
+#: Seeds times their owners that are looked at together; a text with more is looked at alone.
+OWNED = 1 << 21
 _FLAG_BITS = 20
 
 
 class Items(NamedTuple):
     ids: list[int | None]
     words: list[np.ndarray]  # hashes of each item's words
-    seeds: np.ndarray  # sorted distinct hashes
-    owners: list[list[tuple[int, int]]]  # of each seed: (item, place)
+    short: list[int]  # items of fewer than SHORT words
+    seeds: np.ndarray  # sorted distinct hashes of pairs
     flags: np.ndarray  # by the first bits of a hash: whether a seed may have it
+    bounds: np.ndarray  # of each seed's owners
+    owners: np.ndarray  # items
+    adds: np.ndarray  # what the pair adds to an alignment with the owner at most, if neighbours in the text
+    most: np.ndarray  # what all its places in the owner do
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -88,66 +97,109 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, start, at
 
 
-def find_copies(words: np.ndarray, hits: list[tuple[int, int, int]], items: Items) -> list[tuple[int, float, int, int, int]]:
-    """(item, likeness, seeds, first word, end word): the best passage of a text for each item with seeds ``(place, item, place in item)``."""
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, i, q in hits:
-        by_item[i].append((p, q))
-    out = []
-    for i, places in by_item.items():
-        item = items.words[i]
-        m = len(item)
-        slack = m // 4 + 2
-        # a copy lies within the item's length and some gaps of its seeds; overlapping reaches join
-        reaches: list[list[int]] = []
-        for p, q in sorted(places, key=lambda x: x[0] - x[1]):
-            a, b = max(0, p - q - slack), min(len(words), p - q + m + slack)
-            if reaches and a <= reaches[-1][1]:
-                reaches[-1][1] = max(reaches[-1][1], b)
-                reaches[-1][2] += 1
-            else:
-                reaches.append([a, b, 1])
-        need = min(LIKENESS * MATCH * m, MATCH * LONG_WORDS)
-        best = None
-        for a, b, seeds in reaches:
-            if MATCH * int(np.isin(words[a:b], item).sum()) < need:  # no alignment of these words can reach it
-                continue
-            score, s, e = align(item, words[a:b])
-            if score >= need and (best is None or score > best[0]):
-                best = (score, seeds, a + s, a + e)
-        if best:
-            out.append((i, best[0] / (MATCH * m), best[1], best[2], best[3]))
-    return sorted(out)
+def _need(m: int) -> float:
+    """The least score of a copy of an item of ``m`` words."""
+    return min(LIKENESS * MATCH * m, MATCH * LONG_WORDS)
 
 
-def scan(column: pa.Array, items: Items) -> list[list[tuple[int, float, int, int, int]]]:
-    out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in range(len(column))]
-    for a, words, rows, n in tokens(column):
-        grams, gram_rows, first = textbuf.gram_hashes(words, rows, SEED, n)
-        at, seed = _hits(grams, items.seeds, items.flags)
-        if not len(at):
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    return textbuf.splitmix(words[: len(words) - apart] * np.uint64(0xFF51AFD7ED558CCD) + words[apart:]) if len(words) > apart else np.zeros(0, np.uint64)
+
+
+def _ahead(at: np.ndarray, adds: np.ndarray, span: np.ndarray | float) -> np.ndarray:
+    """What the seeds from each of the places ``at`` to ``span`` words on add together."""
+    total = np.concatenate([[0], np.cumsum(adds)])
+    return total[np.searchsorted(at, at + span, "right")] - total[:-1]
+
+
+def best_copy(words: np.ndarray, item: np.ndarray, at: np.ndarray, seed: np.ndarray, adds: np.ndarray, most: np.ndarray) -> tuple[float, int, int, int] | None:
+    """(likeness, seeds, first word, end word) of a text's best passage.
+
+    ``at`` are the first words of its seeds, in order, ``adds`` what each adds at most, and
+    ``most`` what all of one seed do, as an alignment uses a pair of the item once.
+    """
+    need, m = _need(len(item)), len(item)
+    span = int(3 * m - need)  # matches and errors of an alignment that reaches ``need``
+    may = at[_ahead(at, adds, span) + MATCH >= need]  # one begins at one of these
+    if not len(may):
+        return None
+    own = np.isin(words, item)
+    total = np.concatenate([[0], np.cumsum(np.where(own, MATCH, GAP))])
+    over = total - np.minimum.accumulate(total)  # it lies in one stretch where this is positive
+    edge = np.flatnonzero(np.diff((over > 0).astype(np.int8), append=0))
+    starts, stops = edge[::2], edge[1::2]
+    stretch = np.searchsorted(starts, may, "right") - 1
+    good = np.isin(stretch, np.searchsorted(starts, np.flatnonzero(over >= need), "left") - 1)
+    may, stretch = may[good], stretch[good]
+    if not len(may):
+        return None
+    cut = np.flatnonzero((np.diff(may) > span) | (np.diff(stretch) != 0))
+    best = None
+    for a, z, k in zip(may[np.append(0, cut + 1)].tolist(), may[np.append(cut, len(may) - 1)].tolist(), stretch[np.append(0, cut + 1)].tolist(), strict=True):
+        b = min(z + span, int(stops[k]))
+        i, j = np.searchsorted(at, (a, b))
+        _, first, which = np.unique(seed[i:j], return_index=True, return_inverse=True)
+        if MATCH + np.minimum(np.bincount(which, adds[i:j]), most[i:j][first]).sum() < need:
             continue
-        bounds = np.searchsorted(rows, np.arange(n + 1))
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for r, p, s in zip(gram_rows[at].tolist(), first[at].tolist(), seed.tolist(), strict=True):
-            found[r] += [(p - int(bounds[r]), i, q) for i, q in items.owners[s]]
-        for r, hits in found.items():
-            out[a + r] = find_copies(words[bounds[r] : bounds[r + 1]], hits, items)
-    return out
+        score, s, e = align(item, words[a:b])
+        if score >= need and (best is None or score > best[0]):
+            best = (score, int(np.count_nonzero(adds[i:j])), a + s, a + e)
+    return best and (best[0] / (MATCH * len(item)), *best[1:])
 
 
-def _count(shared: object) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, flags = shared.value
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for _, words, rows, n in tokens(batch.column(0)):
-                grams, _, _ = textbuf.gram_hashes(words, rows, SEED, n)
-                total += np.bincount(_hits(grams, seeds, flags)[1], minlength=len(seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
+def _seeded(words: np.ndarray, rows: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, numbers and distance of the seeds in texts, by place."""
+    found = []
+    for apart in (1, 2):
+        at, seed = _hits(_pairs(words, apart), items.seeds, items.flags)
+        same = rows[at] == rows[at + apart] if len(at) else np.zeros(0, bool)
+        found.append((at[same], seed[same], np.full(int(same.sum()), apart)))
+    at, seed, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return at[order], seed[order], apart[order]
 
-    return run
+
+def scan(column: pa.Array, items: Items) -> list[list[tuple[int, float, int, int, int]]]:
+    """For each text (item, likeness, seeds, first word, end word) of its best passage for each item."""
+    out: list[list[tuple[int, float, int, int, int]]] = [[] for _ in range(len(column))]
+    need = np.array([_need(len(w)) for w in items.words])
+    short = {}
+    for i in items.short:
+        short.setdefault(items.words[i].tobytes(), []).append(i)
+    for first, words, rows, n in tokens(column):
+        bounds = np.searchsorted(rows, np.arange(n + 1))
+        if short:
+            for r in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHORT)).tolist():
+                m = int(bounds[r + 1] - bounds[r])
+                out[first + r] += [(i, 1.0, 1, 0, m) for i in short.get(words[bounds[r] : bounds[r + 1]].tobytes(), [])]
+        at, seed, apart = _seeded(words, rows, items)
+        if not len(at):
+            continue
+        count = items.bounds[seed + 1] - items.bounds[seed]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows[at]) != 0]))  # of each text's seeds
+        stops = np.append(starts[1:], len(at))
+        k = 0
+        while k < len(starts):
+            last = max(k, int(np.searchsorted(ends[stops], ends[starts[k]] + OWNED, "right")) - 1)
+            x, y = starts[k], stops[last]
+            k = last + 1
+            hit = np.repeat(np.arange(x, y), count[x:y])
+            owner = np.arange(len(hit)) - np.repeat(ends[x:y] - ends[x], count[x:y]) + items.bounds[seed[hit]]
+            adds = np.where(apart[hit] == 1, items.adds[owner], MATCH + GAP)
+            key = rows[at[hit]] * len(items.words) + items.owners[owner]
+            order = np.argsort(key, kind="stable")
+            key, hit, owner, adds = key[order], hit[order], owner[order], adds[order]
+            place = at[hit]
+            adds[1:][(key[1:] == key[:-1]) & (place[1:] == place[:-1])] = 0  # of a word's two pairs, one counts
+            lead = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+            enough = MATCH + np.add.reduceat(adds, lead) >= need[key[lead] % len(items.words)]
+            until = np.append(lead[1:], len(key))
+            for a, b in zip(lead[enough].tolist(), until[enough].tolist(), strict=True):
+                r, i = divmod(int(key[a]), len(items.words))
+                if copy := best_copy(words[bounds[r] : bounds[r + 1]], items.words[i], place[a:b] - bounds[r], seed[hit[a:b]], adds[a:b], items.most[owner[a:b]]):
+                    out[first + r].append((i, *copy))
+    return [sorted(x) for x in out]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
@@ -161,31 +213,29 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
             yield sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
 
 
-def prepare(docs: DataFrame, rows: list) -> Items:
-    """The block's items with their rarer n-grams as seeds, by counts over all of ``docs``."""
-    ids, words, grams = [], [], []
+def prepare(rows: list) -> Items:
+    """The block's items with the pairs of words at most two apart as seeds."""
+    ids, words = [], []
     for r in rows:
-        parts = [w for _, w, _, _ in tokens(pa.array([r.text]))]
-        own = np.concatenate(parts)
+        own = np.concatenate([w for _, w, _, _ in tokens(pa.array([r.text]))])
         if len(own):
             ids.append(r.item_id)
             words.append(own)
-            grams.append(textbuf.gram_hashes(own, np.zeros(len(own), np.int64), SEED, 1)[0])
-    if not ids:
-        return Items([], [], np.zeros(0, np.uint64), [], np.zeros(1 << _FLAG_BITS, bool))
-    every = np.unique(np.concatenate(grams))
-    shared = docs.sparkSession.sparkContext.broadcast((every, _flagged(every)))  # bounded by BLOCK_BYTES
-    counted = docs.select("text").mapInArrow(_count(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    freq = np.zeros(len(every), np.int64)
-    for r in counted:
-        freq[r.seed] = r.n
-    owners: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, own in enumerate(grams):
-        own_freq = freq[np.searchsorted(every, own)]
-        for q in np.flatnonzero(own_freq <= np.median(own_freq)).tolist():
-            owners[int(own[q])].append((i, q))
-    seeds = np.array(sorted(owners), np.uint64)
-    return Items(ids, words, seeds, [owners[int(s)] for s in seeds], _flagged(seeds))
+    pair, owner, adds, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, own in enumerate(words):
+        if len(own) >= SHORT:
+            near, far = _pairs(own, 1), _pairs(own, 2)
+            own_pairs, times = np.unique(np.concatenate([near, far]), return_counts=True)
+            worth = np.where(np.isin(own_pairs, near), MATCH, MATCH + GAP)
+            pair.append(own_pairs)
+            owner.append(np.full(len(own_pairs), i))
+            adds.append(worth)
+            most.append(worth * times)
+    flat = np.concatenate(pair)
+    order = np.argsort(flat, kind="stable")
+    seeds, count = np.unique(flat, return_counts=True)
+    short = [i for i, own in enumerate(words) if len(own) < SHORT]
+    return Items(ids, words, short, seeds, _flagged(seeds), np.concatenate([[0], np.cumsum(count)]), *(np.concatenate(x)[order] for x in (owner, adds, most)))
 
 
 def _matches(shared: object) -> Callable:
@@ -210,7 +260,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for rows in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(prepare(slim, rows)))
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(prepare(rows)))
         found = slim.mapInArrow(_matches(shared), "doc_id long, item_id long, likeness double, seeds int, first_word int, end_word int")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -232,7 +282,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a copy of any benchmark item."""
     out = docs
     for rows in _blocks(benchmark):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(tuple(prepare(docs, rows)))), docs.schema)
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(tuple(prepare(rows)))), docs.schema)
     return out
 
 

@@ -204,6 +204,32 @@ def test_leaks_are_found_whole_and_edited(spark):
     assert decontamination.contaminated_pairs(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_are_those_of_aligning_all_with_all():
+    rng = random.Random(18)
+    common = words(rng, 12).split()
+    items = [[rng.choice(common) if rng.random() < 0.3 else words(rng, 1) for _ in range(n)] for n in (3, 8, 16, 30, 45, 59, 120, 40, 40, 40)]
+    texts = [" ".join(rng.choice(common) for _ in range(400)), "", "a"]
+    for item in items:
+        texts += [" ".join("zz" if i % step == step - 1 else w for i, w in enumerate(item)) for step in (2, 3, 4, 5)]
+        texts += [" ".join(w for i, w in enumerate(item) if i % 4), " ".join(f"{w} zz" for w in item)]
+        texts += [words(rng, 50) + " " + " ".join(item[: len(item) * part // 10]) + " " + words(rng, 50) for part in (2, 5, 6, 8)]
+        texts += [" ".join(words(rng, 1) if rng.random() < share else w for w in item) for share in (0.25, 0.35, 0.45) for _ in range(3)]
+    texts += [" ".join(item[:26]) for item in items[-3:]] * 20  # the copied part is the frequent one
+    column = pa.array(texts)
+    rows = [type("Row", (), {"item_id": i, "text": " ".join(item)}) for i, item in enumerate(items)]
+    block = decontamination.prepare(rows)
+    got = decontamination.scan(column, block)
+    hashed = [w for _, w, r, n in decontamination.tokens(column) for w in np.split(w, np.searchsorted(r, np.arange(1, n)))]
+    want = [[] for _ in texts]
+    for t, text in enumerate(hashed):
+        for i, item in enumerate(block.words):
+            score = decontamination.align(item, text)[0] if len(text) else 0
+            if score >= min(len(item), 40):
+                want[t].append((i, score / (2 * len(item))))
+    assert [[x[:2] for x in found] for found in got] == want
+    assert sum(map(len, want)) > 150
+
+
 @pytest.mark.parametrize("quota", [[5, 3, 2], [997, 2, 1], [250, 250, 250, 250], [1] * 7])
 def test_schedule_stays_within_a_block(quota):
     line, period = mixing.pfair_period(quota), sum(quota)
