@@ -2,14 +2,17 @@
 
 A word's class is the first 11 bits of its hash. A class is predicted from the two words on
 either side, as group and then member of the group, so that a prediction costs 96 outputs
-rather than 2048. Every partition trains the network on a fixed share of its documents; the
-partitions' weights are averaged on the executors, and the next round starts from the mean.
-The last mean scores every word of every text from both sides.
+rather than 2048; the word is then predicted from its class, by the counts of all words of the
+corpus. Every partition trains the network on a share of its documents in each round, and the
+rounds' shares are all documents; the partitions' weights are averaged on the executors, and
+the next round starts from the mean. The last mean scores every word of every text from both
+sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,11 @@ from .scratch import table
 GROUPS, MEMBERS, WIDTH, HIDDEN = 32, 64, 16, 32
 SIDE = (-2, -1, 1, 2)
 CLASSES = GROUPS * MEMBERS
-#: A round trains on one in so many documents, another share each round.
-SHARE, ROUNDS, BATCH, RATE = 16, 2, 4096, 0.08
+#: A round trains on one in ROUNDS documents, another share each round, so that all are trained on.
+ROUNDS, BATCH, RATE = 2, 4096, 0.08
 SLICES = 8
+#: Words with counts that a task holds before it folds them.
+HELD = 4_000_000
 
 _SHAPES = {"embed": (CLASSES + 1, WIDTH), "mix": (len(SIDE) * WIDTH, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
@@ -143,7 +148,7 @@ def _train(start: object, turn: int) -> Callable:
                 train_step(flat, seen, context[:, a : a + BATCH][:, order], t[order])
 
         for batch in batches:
-            picked = batch.filter(pa.array(batch.column(1).to_numpy() % SHARE == turn))
+            picked = batch.filter(pa.array(batch.column(1).to_numpy() % ROUNDS == turn))
             for _, words, rows, _ in tokens(picked.column(0)):
                 ids = _classes(words)
                 if len(ids):
@@ -188,24 +193,88 @@ def train(docs: DataFrame) -> np.ndarray:
     return flat
 
 
-def _score(model: object) -> Callable:
+class Vocabulary(NamedTuple):
+    words: np.ndarray  # sorted hashes of the words that occur more than once; all others occur once
+    counts: np.ndarray
+    classes: np.ndarray  # occurrences of all words of each class
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words and their counts, folded as they gather."""
+    held, size = [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        words, which = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        words, counts = fold()
+        for a in range(0, len(words), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], ["word", "n"])
+
+    for batch in batches:
+        for _, words, _, _ in tokens(batch.column(0)):
+            held.append(np.unique(words, return_counts=True))
+            size += len(held[-1][0])
+        if size > HELD:
+            held[:] = [fold()]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Counts of all words of ``docs``. Words that occur once need no entry, which keeps the table small."""
+    counted = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    of_class = F.shiftrightunsigned("word", 64 - (CLASSES.bit_length() - 1))
+    counted = counted.persist()
+    classes = np.zeros(CLASSES, np.int64)
+    for r in counted.groupBy(of_class.alias("c")).agg(F.sum("n").alias("n")).collect():
+        classes[r["c"]] = r["n"]
+    often = counted.where("n > 1").toArrow()
+    counted.unpersist()
+    words = often["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return Vocabulary(words[order], often["n"].to_numpy()[order], classes)
+
+
+def in_class(vocabulary: Vocabulary, words: np.ndarray) -> np.ndarray:
+    """Log-probability of each word of the counted corpus among those of its class."""
+    known, counts, classes = vocabulary
+    n = np.ones(len(words), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        n = np.where(known[at] == words, counts[at], 1)
+    return np.log(n / np.maximum(classes[_classes(words)], n))
+
+
+def _score(model: object, counted: object | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, words, rows, n in tokens(batch.column(1)):
                 lp = word_scores(model.value, _classes(words), rows)
+                if counted is not None:
+                    lp += in_class(Vocabulary(*counted.value), words)
                 count = np.bincount(rows, minlength=n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count), pa.array(np.bincount(rows, weights=lp, minlength=n).astype(np.float64))], ["doc_id", "n_words", "log_likelihood"])
 
     return run
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, per_word``; without words the sum is 0 and the mean null."""
-    model = docs.sparkSession.sparkContext.broadcast(weights)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, n_words long, log_likelihood double")
+def score_documents(docs: DataFrame, weights: np.ndarray, words: Vocabulary | None = None) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, per_word``; without words the sum is 0 and the mean null.
+
+    The likelihood is that of the words, or without ``words`` that of their classes.
+    """
+    context = docs.sparkSession.sparkContext
+    model, counted = context.broadcast(weights), None if words is None else context.broadcast(tuple(words))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, counted), "doc_id long, n_words long, log_likelihood double")
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs))
+    return score_documents(docs, train(docs), vocabulary(docs))

@@ -259,6 +259,26 @@ def test_network_learns_and_scores_whole_texts(docs):
     assert len(got) == len(corpus()) and all(r.log_likelihood <= 0 and (r.per_word is None) == (r.n_words == 0) for r in got)
 
 
+def test_every_document_is_trained_on_and_words_are_told_apart(spark, docs):
+    texts = [f"text{i} of its own" for i in range(64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(64), pa.int64())], ["text", "key"])
+    start = type("Shared", (), {"value": lm_scoring.initial()})
+    seen = sum(b.column(1)[0].as_py() for turn in range(lm_scoring.ROUNDS) for b in lm_scoring._train(start, turn)(iter([batch])))
+    assert seen == 4 * 64
+    want = Counter(w for r in corpus() for _, ws, _, _ in decontamination.tokens(pa.array([r[1] or ""])) for w in ws.tolist())
+    book = lm_scoring.vocabulary(docs)
+    assert dict(zip(book.words.tolist(), book.counts.tolist(), strict=True)) == {w: n for w, n in want.items() if n > 1}
+    assert book.classes.sum() == sum(want.values())
+    total = np.zeros(lm_scoring.CLASSES)
+    words_ = np.array(list(want), np.uint64)
+    np.add.at(total, lm_scoring._classes(words_), np.exp(lm_scoring.in_class(book, words_)))
+    assert np.allclose(total[book.classes > 0], 1)
+    flat = lm_scoring.initial()
+    ids = [r.per_word for r in lm_scoring.score_documents(docs, flat).collect()]
+    own = [r.per_word for r in lm_scoring.score_documents(docs, flat, book).collect()]
+    assert all(b <= a for a, b in zip(ids, own, strict=True) if a is not None) and ids != own
+
+
 def test_empty_tables_and_clashing_columns(spark, docs):
     none = docs.where("false")
     assert jaccard_join.jaccard_classes(none).count() == suffix_dedup.remove_repeats(none).count() == fingerprints.fingerprint_edits(none).count() == 0
