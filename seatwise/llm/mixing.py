@@ -2,18 +2,22 @@
 
 A source's rows form blocks. Its k-th block may not start before slot ``(k - 1) / w`` and has
 to be placed by slot ``k / w``; in each slot the released block of the earliest deadline goes
-first, which keeps every source within one block of its target at every slot. Weights are
-multiples of 1 / Q, so a schedule repeats after Q slots, and one period is simulated. When a
+first, which keeps every source within one block of its target at every slot. Releases and
+deadlines come from the exact weights over a whole phase, so that nothing adds up. When a
 source runs out, the rest start a new phase with their weights scaled up; no row is dropped.
 
-Only block counts of sources reach the driver; rows are ranked without a task that holds a
-whole source, and find their slots by a join with one row a source.
+Block counts of sources reach the driver, which places the blocks, a number for each; rows are
+ranked without a task that holds a whole source, and find their slots by a join with the blocks.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,73 +26,60 @@ from .ranking import group_ranks
 from .scratch import table
 
 BLOCK_ROWS = 64
-#: Slots of a period, at least; with many sources there are four slots a source.
-PERIOD = 1000
+#: Blocks of a source whose slots are one row of the table that rows are joined with.
+CHUNK = 64
 #: Without given weights, a source's weight is its number of rows to this power.
 POWER = 0.7
 
 
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Slots of each source in a period, by largest remainders, one at least."""
-    total = sum(weights)
-    exact = [w * period / total for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    i = 0
-    while sum(out) < period:
-        out[order[i % len(out)]] += 1
-        i += 1
-    while sum(out) > period:
-        j = max(range(len(out)), key=lambda s: (out[s] - exact[s], out[s], -s) if out[s] > 1 else (-float("inf"), 0, 0))
-        out[j] -= 1
-    return out
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``; if none is positive, all equal."""
+    exact = [Fraction(max(w, 0)) for w in weights]
+    if not any(exact):
+        return [1] * len(weights)
+    unit = lcm(*(x.denominator for x in exact))
+    out = [int(x * unit) for x in exact]
+    return [x // gcd(*out) for x in out]
 
 
-def pfair_period(quota: list[int]) -> list[int]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
+def pfair_line(quota: list[int], blocks: list[int]) -> Iterator[int]:
+    """The source of each slot until one has no blocks left: earliest deadline first among released blocks.
+
+    ``quota`` are whole weights; sources of weight 0 get no slot.
+    """
     period = sum(quota)
-    waiting = [(0, i, 1) for i in range(len(quota))]  # release, source, number of the block
+    waiting = [(0, i, 1) for i in range(len(quota)) if quota[i]]  # release, source, number of the block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-k * period // quota[i]), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append(i)
-        if k < quota[i]:
-            heapq.heappush(waiting, (k * period // quota[i], i, k + 1))
-    return out
+        yield i
+        if k == blocks[i]:
+            return
+        heapq.heappush(waiting, (k * period // quota[i], i, k + 1))
+        t += 1
+
+
+def pfair_period(quota: list[int]) -> list[int]:
+    """The source of each slot of one period of whole weights."""
+    return list(islice(pfair_line(quota, [sum(quota) + 1] * len(quota)), sum(quota)))
 
 
-def schedule(blocks: list[int], weights: list[float]) -> list[list[tuple[int, int, int, int, list[int]]]]:
-    """For each source its parts: (first block, end block, first slot, period, places of its blocks in a period)."""
-    left, done = list(blocks), [0] * len(blocks)
-    out: list[list[tuple[int, int, int, int, list[int]]]] = [[] for _ in blocks]
+def schedule(blocks: list[int], weights: list[float]) -> list[array]:
+    """For each source the slots of its blocks. Sources of weight 0 come when the others have run out."""
+    out = [array("q") for _ in blocks]
     slot = 0
-    active = [i for i in range(len(blocks)) if left[i] > 0]
+    active = [i for i in range(len(blocks)) if blocks[i] > 0]
     while active:
-        period = max(PERIOD, 4 * len(active))
-        quota = quotas([weights[i] for i in active], period)
-        line = pfair_period(quota)
-        places: list[list[int]] = [[] for _ in active]
-        for t, j in enumerate(line):
-            places[j].append(t)
-        ends = []  # the slot after each source's last block
-        for j, i in enumerate(active):
-            full, rest = divmod(left[i] - 1, quota[j])
-            ends.append(full * period + places[j][rest] + 1)
-        length = min(ends)
-        full, rest = divmod(length, period)
-        for j, i in enumerate(active):
-            n = full * quota[j] + sum(p < rest for p in places[j])
-            if n:
-                out[i].append((done[i], done[i] + n, slot, period, places[j]))
-                done[i] += n
-                left[i] -= n
-        slot += length
-        active = [i for i in active if left[i] > 0]
+        quota = whole_weights([weights[i] for i in active])
+        for j in pfair_line(quota, [blocks[i] - len(out[i]) for i in active]):
+            out[active[j]].append(slot)
+            slot += 1
+        active = [i for i in active if len(out[i]) < blocks[i]]
     return out
 
 
@@ -105,19 +96,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     counts = sorted(docs.groupBy("source").count().collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     given = weights or {}
     own = [float(given.get(r["source"], r["count"] ** POWER)) for r in counts]
-    parts = schedule([-(-r["count"] // block_rows) for r in counts], own)
-    shape = "_g int, _source string, count long, parts array<struct<a: long, b: long, slot: long, period: long, places: array<int>>>"
-    lines = spark.createDataFrame([(g, r["source"], r["count"], p) for g, (r, p) in enumerate(zip(counts, parts, strict=True))], shape)
+    slots = schedule([-(-r["count"] // block_rows) for r in counts], own)
+    lines = spark.createDataFrame([(g, r["source"], r["count"]) for g, r in enumerate(counts)], "_g int, _source string, count long")
+    places = spark.createDataFrame([(g, a // CHUNK, list(x[a : a + CHUNK])) for g, x in enumerate(slots) for a in range(0, len(x), CHUNK)], "_g int, _chunk long, _slots array<long>")
     has_text = "text" in docs.columns
     rows = docs.select(*[F.col(c).alias(f"_p_{c}") for c in keep], F.col("source").alias("_s"), F.col("doc_id").alias("_id"), (F.xxhash64("text") if has_text else F.lit(0)).alias("_h"))
-    # one row a source, of PERIOD numbers a phase at most; the driver holds them all
+    # one row a source, and one number a block; the driver holds them all
     numbered = rows.join(F.broadcast(lines.select("_g", "_source")), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s", "_source")
     ranked = group_ranks(numbered, ["_g"], ["_id", "_h"], lines.select("_g", "count"))
-    placed = ranked.join(F.broadcast(lines.select("_g", "parts")), "_g")
-    placed = placed.withColumn("_block", F.expr(f"_rank div {block_rows}"))
-    placed = placed.withColumn("_part", F.element_at(F.filter("parts", lambda p: (F.col("_block") >= p["a"]) & (F.col("_block") < p["b"])), 1))
-    placed = placed.withColumn("_k", F.col("_block") - F.col("_part.a")).withColumn("_q", F.size("_part.places").cast("long"))
-    slot = F.expr("_part.slot + (_k div _q) * _part.period + element_at(_part.places, cast(_k % _q as int) + 1)")
+    ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}")).withColumn("_chunk", F.expr(f"_block div {CHUNK}"))
+    placed = ranked.join(F.broadcast(places), ["_g", "_chunk"])
+    slot = F.expr(f"element_at(_slots, cast(_block % {CHUNK} as int) + 1)")
     return placed.select(*[F.col(f"_p_{c}").alias(c) for c in keep], F.col("_block").alias("block"), slot.alias("slot"), F.expr(f"cast(_rank % {block_rows} as int)").alias("row_in_block"))
 
 

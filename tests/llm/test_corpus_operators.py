@@ -239,6 +239,17 @@ def test_schedule_stays_within_a_block(quota):
         assert all(abs(c - q * t / period) < 1 for c, q in zip(count, quota, strict=True))
 
 
+@pytest.mark.parametrize("weights", [[1.0, 2.0], [500**0.7] * 19 + [10_000**0.7], [1.0, 1e-5, 0.3], [0.1, 0.0, 0.2]])
+def test_schedule_keeps_to_the_given_weights(weights):
+    blocks = [20_000] * len(weights)
+    slots = mixing.schedule(blocks, weights)
+    assert sorted(s for x in slots for s in x) == list(range(sum(blocks)))
+    end = min(x[-1] for x in slots) + 1  # of the first phase
+    for x, w in zip(slots, weights, strict=True):
+        placed = np.bincount(np.array(x), minlength=sum(blocks))[:end].cumsum()
+        assert np.abs(placed - np.arange(1, end + 1) * (w / sum(weights))).max() < 1 + 1e-6
+
+
 def test_mixing_places_every_row_once(docs):
     rows = mixing.mix_sources(docs, block_rows=3).collect()
     places = Counter((r["slot"], r["row_in_block"]) for r in rows)
