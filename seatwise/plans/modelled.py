@@ -27,13 +27,25 @@ def encoded(rows: DataFrame) -> DataFrame:
     return cut(encoding.numeric_features(rows).withColumn("y", F.col("label").cast("double")).withColumn("side", side()))
 
 
-def fit_cell(rows: DataFrame, spec: BlockSpec, model: str, weight: str | None = None) -> DataFrame:
-    """Scores of one block and model with default parameters, for every split."""
+def fit_cell(rows: DataFrame, spec: BlockSpec, model: str, weight: str | None = None, params: object = None) -> DataFrame:
+    """Scores of one block and model for every split, with default parameters if none are given."""
     ready, _ = encoding.assemble(rows, spec)
-    scored = models.fit_logistic(ready, 1.0, weight) if model == "logistic" else models.fit_boosting(ready, BOOST, weight)
+    scored = models.fit_logistic(ready, params or 1.0, weight) if model == "logistic" else models.fit_boosting(ready, params or BOOST, weight)
     return scored.withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
 
 
+def tune_cell(rows: DataFrame, spec: BlockSpec, model: str) -> tuple[object, DataFrame]:
+    """The parameters of the greatest validation overlap of one block and model, and their scores for every split."""
+    ready, _ = encoding.assemble(rows, spec)
+    best, scored = models.tune(cut(ready), model, models.C_GRID if model == "logistic" else models.GBT_GRID)
+    return best, scored.withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
+
+
+def primary_params(spark: SparkSession, folder: str, block: str, model: str = "logistic") -> object:
+    """The parameters that the main grid finds for a cell; later cells keep them."""
+    return tune_cell(encoded(labelled(spark, folder)), BLOCKS[block], model)[0]
+
+
 def ledger_of(scored: DataFrame, capacity: float = K, part: str = "test") -> DataFrame:
     """Decisions within one split; the label is the split's benchmark."""
     rows = scored.where(F.col("split") == part).withColumn("bench_selected", F.col("label")).withColumn("k", F.lit(float(capacity)))
@@ -74,15 +86,21 @@ def smoke_test(spark, folder):
 
 
 def main_grid(spark, folder):
-    rows = encoded(labelled(spark, folder))
-    return evaluate(_union([ledger_of(fit_cell(rows, spec, m)) for spec in BLOCKS.values() for m in ("logistic", "boosting")]), CELL)
+    """Each block and model is tuned on its own."""
+    rows, parts = encoded(labelled(spark, folder)), []
+    for spec in BLOCKS.values():
+        for m in ("logistic", "boosting"):
+            best, scored = tune_cell(rows, spec, m)
+            params = json.dumps({"C": best} if m == "logistic" else best)
+            parts.append(ledger_of(scored).withColumn("best_params", F.lit(params)))
+    return evaluate(_union(parts), [*CELL, "best_params"])
 
 
 def capacity(spark, folder):
     """The label is made again for each capacity; parameters stay. Local cells rank the test rows, global ones all rows."""
-    base, parts = split_rows(analytic(spark, folder)), []
+    base, parts, params = split_rows(analytic(spark, folder)), [], primary_params(spark, folder, "B3")
     for k in (0.05, 0.20):
-        scored = fit_cell(encoded(selection.top_within(base, "composite", k, ["split"], "label")), BLOCKS["B3"], "logistic")
+        scored = fit_cell(encoded(selection.top_within(base, "composite", k, ["split"], "label")), BLOCKS["B3"], "logistic", params=params)
         local = ledger_of(scored, k).withColumn("definition", F.lit("local"))
         both = selection.top_quota(selection.top_quota(scored, "score", k, "model_selected"), "composite", k, "bench_selected").where("split = 'test'")
         both = both.withColumn("k", F.lit(k)).withColumn("definition", F.lit("global"))
@@ -96,10 +114,11 @@ def composite_schemes(spark, folder):
     from ..operators import composite
 
     base, parts = cut(composite.standardised(split_rows(analytic(spark, folder)))), []
+    params = primary_params(spark, folder, "B3")
     for name in [*composite.SCHEMES, "standardised"]:
         score = F.col("composite_std") if name == "standardised" else composite.weighted_scheme(name)
         rows = selection.top_within(base.withColumn("composite", score), "composite", K, ["split"], "label")
-        parts.append(ledger_of(fit_cell(encoded(rows), BLOCKS["B3"], "logistic")).withColumn("scheme", F.lit(name)))
+        parts.append(ledger_of(fit_cell(encoded(rows), BLOCKS["B3"], "logistic", params=params)).withColumn("scheme", F.lit(name)))
     led = _union(parts)
     by = [*CELL, "scheme"]
     return metrics.group_metrics(led, by).join(metrics.agreement(led, by), by)
@@ -108,9 +127,10 @@ def composite_schemes(spark, folder):
 def state_only(spark, folder):
     rows, parts = encoded(labelled(spark, folder)), []
     for name in ("B3", "B4"):
+        params = tune_cell(rows, BLOCKS[name], "logistic")[0]
         for muni in (True, False):
             spec = BlockSpec(**{**BLOCKS[name].__dict__, "municipality": muni})
-            parts.append(ledger_of(fit_cell(rows, spec, "logistic")).withColumn("municipality", F.lit(muni)))
+            parts.append(ledger_of(fit_cell(rows, spec, "logistic", params=params)).withColumn("municipality", F.lit(muni)))
     m = metrics.group_metrics(_union(parts), [*CELL, "municipality"])
     with_it, without = (m.where(F.col("municipality") == x).drop("municipality") for x in (True, False))
     primary = with_it.select(*CELL, F.col("gap_pp").alias("primary_gap_pp"))
@@ -122,7 +142,7 @@ def group_extension(spark, folder):
     known = split_rows(analytic(spark, folder)).select("id", "split")
     wide = splitting.quantile_bins(analytic(spark, folder, (1, 2, 3, 4)), "composite", 10, "decile")
     rows = splitting.extend_split(wide, known, F.concat_ws("_", F.col("grp"), F.col("decile").cast("string")))
-    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B4"], "logistic"))
+    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B4"], "logistic", params=primary_params(spark, folder, "B4")))
     none = F.col("grp") == STUDY.undeclared
     more = led.groupBy(*CELL).agg(F.count_if(none).alias("n_not_declared"), F.count_if(none & F.col("bench_selected")).alias("n_bench_positive_not_declared"), F.count_if(none & F.col("model_selected")).alias("n_model_positive_not_declared"))
     return metrics.group_metrics(led, CELL).join(more, CELL)
@@ -131,7 +151,7 @@ def group_extension(spark, folder):
 def population(spark, folder):
     """Other groups leave training and ranking; the benchmark is made again."""
     rows = split_rows(analytic(spark, folder)).withColumn("_s", side()).where("_s IS NOT NULL").drop("_s")
-    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B3"], "logistic"))
+    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B3"], "logistic", params=primary_params(spark, folder, "B3")))
     return metrics.group_metrics(led, CELL).join(metrics.agreement(led, CELL), CELL)
 
 
@@ -141,7 +161,7 @@ def absence(spark, folder):
     rest = analytic(spark, folder, (1, 2, 5)).join(done.select("id"), "id", "left_anti")
     rest = splitting.stratified_split(rest, F.col("grp")).withColumn("label", F.lit(False))
     both = cut(done.unionByName(rest))
-    scored = fit_cell(encoded(both), BLOCKS["B3"], "logistic").where("split = 'test'")
+    scored = fit_cell(encoded(both), BLOCKS["B3"], "logistic", params=primary_params(spark, folder, "B3")).where("split = 'test'")
     seats = done.where("split = 'test'").agg(F.floor(F.lit(K) * F.count(F.lit(1))).cast("long").alias("k_seats"))
     led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("k_seats"), ["block", "model"], "model_selected")
     led = led.withColumn("bench_selected", F.col("label")).withColumn("k", F.lit(K))
@@ -150,9 +170,10 @@ def absence(spark, folder):
 
 def reweighed_fit(spark, folder):
     rows = encoded(labelled(spark, folder))
+    params = tune_cell(rows, BLOCKS["B3"], "logistic")[0]
     weights = mitigation.reweighing(rows.where("split = 'train'")).select("grp", "label", "weight").distinct()
     weighted = rows.join(F.broadcast(weights), ["grp", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    parts = [ledger_of(fit_cell(weighted, BLOCKS["B3"], "logistic", w)).withColumn("mitigation", F.lit("reweighing" if w else "none")) for w in (None, "weight")]
+    parts = [ledger_of(fit_cell(weighted, BLOCKS["B3"], "logistic", w, params)).withColumn("mitigation", F.lit("reweighing" if w else "none")) for w in (None, "weight")]
     led = _union(parts)
     by = [*CELL, "mitigation"]
     return metrics.group_metrics(led, by).join(metrics.agreement(led, by), by)
@@ -160,7 +181,7 @@ def reweighed_fit(spark, folder):
 
 def threshold_mitigation(spark, folder):
     """Splits found on the validation rows, transferred to test as rates; other groups keep their decisions."""
-    scored = fit_cell(encoded(labelled(spark, folder)), BLOCKS["B3"], "logistic")
+    _, scored = tune_cell(encoded(labelled(spark, folder)), BLOCKS["B3"], "logistic")
     val, test = (ledger_of(scored, part=p) for p in ("val", "test"))
     held = F.col("side").isNotNull()
 
@@ -194,8 +215,9 @@ def bootstrap_multinomial(spark, folder):
 def school_subsample(spark, folder):
     """A subsample keeps its split labels; blocks are fitted on it alone, against the full sample's cell."""
     full = encoded(labelled(spark, folder))
+    params = tune_cell(full, BLOCKS["B3"], "logistic")[0]
     sub = selection.top_within(split_rows(analytic(spark, folder)).where("status = 1"), "composite", K, ["split"], "label")
-    parts = [ledger_of(fit_cell(x, BLOCKS["B3"], "logistic")).withColumn("subsample", F.lit(n)) for n, x in (("full", full), ("completed", encoded(sub)))]
+    parts = [ledger_of(fit_cell(x, BLOCKS["B3"], "logistic", params=params)).withColumn("subsample", F.lit(n)) for n, x in (("full", full), ("completed", encoded(sub)))]
     led = _union(parts)
     by = [*CELL, "subsample"]
     boot = inference.bootstrap(led, by).select(*by, "d_lo", "d_hi", "verdict")
