@@ -28,9 +28,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 NAME_PARTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.4, "api": 0.4, "access": 0.4, "auth": 0.5, "key": 0.5, "signing": 0.3, "client": 0.1, "salt": 0.5}
 LEAST_SCORE = 1.0
 _PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example.*|placeholder|your[-_ ]?.*|none|null|true|false|todo|test|dummy|x+|\*+|<.*>|\$\{.*\}|\$\w+|%\w+%)$")
+# possessive, so that a text is read without going back and nothing needs a greatest length
 _PAIR = re.compile(
-    r"""(?<![\w.\-])["'`]?([A-Za-z_][\w.\-]{0,127})["'`]?[ \t]{0,8}(?::[ \t]{0,4}[A-Za-z_][\w.<>\[\]]{0,63}[ \t]{0,4}=|:=|=>|={1}(?!=)|:(?![:/]))[ \t]{0,8}"""
-    r"""(?:"([^"\n\\]{0,4096})"|'([^'\n\\]{0,4096})'|`([^`\n\\]{0,4096})`|([^\s"'`,;#(){}\[\]<>]{1,4096}))"""
+    r"""(?<![\w.\-])["'`]?([A-Za-z_][\w.\-]*+)["'`]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.<>\[\]]*+[ \t]*+=|:=|=>|={1}(?!=)|:(?![:/]))[ \t]*+"""
+    r"""(?:"((?:[^"\n\\]|\\.)*+)"|'((?:[^'\n\\]|\\.)*+)'|`((?:[^`\n\\]|\\.)*+)`|([^\s"'`,;#(){}\[\]<>]++))"""
 )
 _SENSITIVE = re.compile("pass|pwd|secret|token|cred|auth|key|salt", re.I | re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -141,6 +142,24 @@ def test_base_patterns_and_lexer():
     assert secrets.find_secrets("the key: something of the password and ſecret=abcdefghij") == []
 
 
+def test_lexer_reads_literals_of_any_length_and_escapes():
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcXYZ0123456789") for _ in range(6000))
+    name = "deeply_nested_" * 12 + "secret"
+    texts = [
+        (f'signing_credential = "{long}"', long), (f"signing_credential = {long}", long), ('client_credential            = "Zx9_hunter2Q"', "Zx9_hunter2Q"),
+        ('client_credential =\t            "Zx9_hunter2Q"', "Zx9_hunter2Q"), (f"{name} = 'Zx9_hunter2Q'", "Zx9_hunter2Q"), (f'client_credential :      {"Optional" * 12} = "Zx9_hunter2Q"', "Zx9_hunter2Q"),
+        (r'client_credential = "Zx9_\"hunter2Q"', r'Zx9_\"hunter2Q'), ('K = "Zx9_\\\\hunter2Q"\nclient_credential = K', "Zx9_\\\\hunter2Q"),
+    ]
+    for text, value in texts:
+        assert [text[a:b] for a, b in secrets.lexed_literals(text)] == [value]
+    assert secrets.lexed_literals('client_credential = "Zx9_hunter2Q\nopen') == []
+    began = time.perf_counter()
+    for hard in ("a" * 200_000, "secret" + " " * 200_000, "secret = \"" + "\\a" * 100_000, "secret: " + "a<" * 100_000, 'a="' * 70_000, "a: " * 70_000, "a-" * 100_000 + '"'):
+        secrets.lexed_literals(hard)
+    assert time.perf_counter() - began < 5
+
+
 def test_fingerprints_match_a_brute_force_neighbour_walk(docs):
     rows = sorted(corpus(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     got = sorted(fingerprints.fingerprint_edits(docs).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.n_chars))
