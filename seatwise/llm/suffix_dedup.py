@@ -30,7 +30,7 @@ from .scratch import materialise, shuffle_partitions, table
 GRAM = 24
 #: Bytes that one suffix array covers; a larger group of runs of one gram has a larger array.
 ARRAY_BYTES = 1 << 20
-_RUN = np.dtype([("gram", "<u8"), ("whole", "<u4"), ("n", "u1"), ("doc", "<i8"), ("hash", "<u4"), ("start", "<i4")])
+_RUN = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("n", "u1"), ("doc", "<i8"), ("hash", "<u4"), ("start", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("hash", "<u4"), ("start", "<i4"), ("n", "<i4")])
 _OPEN = np.dtype([("doc", "<i8"), ("hash", "<u4"), ("gram", "<u8"), ("start", "<i4"), ("n", "<i4")])
 _CODEC = "zstd"
@@ -65,7 +65,7 @@ def _doc_bucket(x: np.ndarray, n: int) -> np.ndarray:
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``length`` bytes with one least gram: row, first window, windows, gram hash, run hash."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     n, w = len(data), length - GRAM + 1
     size = np.diff(offsets)
     if n < length or not (size >= length).any():
@@ -88,15 +88,15 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     start, place = window[first], place[first]
     whole = textbuf.span_hash(prefix, start, start + runs + length - 1) + (place - start).astype(np.uint64)
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, start - offsets[row], runs, grams[place], (whole >> np.uint64(20)).astype(np.uint32)
+    return row, start - offsets[row], runs, grams[place], whole
 
 
 def _later_copies(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs: masks of the first of each equal run, and of the copies in other places."""
-    order = np.lexsort((runs["start"], runs["hash"], runs["doc"], runs["whole"], runs["gram"]))
+    order = np.lexsort((runs["start"], runs["hash"], runs["doc"], runs["n"], runs["whole"], runs["gram"]))
     s = runs[order]
     head = np.ones(len(s), bool)
-    head[1:] = (s["gram"][1:] != s["gram"][:-1]) | (s["whole"][1:] != s["whole"][:-1])
+    head[1:] = (s["gram"][1:] != s["gram"][:-1]) | (s["whole"][1:] != s["whole"][:-1]) | (s["n"][1:] != s["n"][:-1])
     lead = s[np.flatnonzero(head)[np.cumsum(head) - 1]]
     same = (s["doc"] == lead["doc"]) & (s["hash"] == lead["hash"]) & (s["start"] == lead["start"])
     first, copy = np.zeros(len(s), bool), np.zeros(len(s), bool)

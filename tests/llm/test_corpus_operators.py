@@ -57,6 +57,16 @@ def test_repeats_go_as_by_brute_force(docs):
     assert got == set(want)
 
 
+def test_runs_are_equal_only_by_the_whole_hash_and_length():
+    x = np.zeros(4, suffix_dedup._RUN)
+    x["gram"], x["n"], x["start"] = 5, [3, 3, 4, 3], [10, 20, 30, 40]
+    x["whole"] = np.array([7 << 20, (7 << 20) + (1 << 60), 7 << 20, 7 << 20], np.uint64)
+    first, copy = suffix_dedup._later_copies(x)
+    assert first.tolist() == [True, True, True, False] and copy.tolist() == [False, False, False, True]
+    texts = np.frombuffer(words(random.Random(6), 200).encode(), np.uint8)
+    assert suffix_dedup.window_runs(texts, np.array([0, len(texts)]), 100)[4].max() >> np.uint64(44)
+
+
 def brute_links(sets, num, den):
     return {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
 
