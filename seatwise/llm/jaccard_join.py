@@ -360,9 +360,9 @@ def count_links(sets: list[np.ndarray], num: int, den: int, mult: np.ndarray, bl
 
 def _answer(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(group: dict) -> pa.RecordBatch | None:
+        def solve(at: tuple[int, int, int], group: dict) -> pa.RecordBatch | None:
             keys = list(group)
-            if len(keys) < 2:
+            if len(keys) < 2 or len({own for _, own, _ in group.values()}) < len(set(at[1:])):  # the other block is empty
                 return None
             links, label = count_links([np.frombuffer(group[q][2], np.uint64) for q in keys], num, den, np.array([group[q][0] for q in keys], np.int64), np.array([group[q][1] for q in keys], np.int64))
             some = np.flatnonzero(links > 0)
@@ -377,11 +377,11 @@ def _answer(num: int, den: int) -> Callable:
         for batch in batches:
             for comp, bi, bj, own, k1, k2, mult, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, bi, bj) != at:
-                    if group and (out := solve(group)) is not None:
+                    if group and (out := solve(at, group)) is not None:
                         yield out
                     at, group = (comp, bi, bj), {}
                 group[k1, k2] = (mult, own, grams)
-        if group and (out := solve(group)) is not None:
+        if group and (out := solve(at, group)) is not None:
             yield out
 
     return run

@@ -102,6 +102,19 @@ def test_join_links_are_the_brute_force_ones(spark, k, num):
     assert got == want
 
 
+def test_blocks_without_sets_add_no_links():
+    names = ["comp", "bi", "bj", "own", "k1", "k2", "mult", "grams"]
+    grams = np.arange(20, dtype=np.uint64).tobytes()
+    tasks = [(7, 0, 0), (7, 0, 1)]  # block 1 is empty
+    rows = [(*t, 0, k, k, 1, grams) for t in tasks for k in (1, 2)] + [(8, 0, 1, own, k, k, 1, grams) for k, own in ((3, 0), (4, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    got = Counter()
+    for out in jaccard_join._answer(90, 100)(iter([batch])):
+        for k, n in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+            got[k] += n
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 @pytest.mark.parametrize("num", [90, 80])
 def test_linked_sets_share_as_many_parts_as_they_need(num):
     rng, schemes = np.random.default_rng(num), jaccard_join.Schemes(num, 100)
