@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import connected_components
-from .scratch import materialise, shuffle_partitions, table
+from .scratch import key_filter, materialise, shuffle_partitions, table
 
 #: Sets and shingles in one block of a candidate group; two blocks meet in a task.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
@@ -135,17 +135,51 @@ def part_digests(grams: np.ndarray, bounds: np.ndarray, schemes: Schemes) -> tup
     return np.concatenate(out), np.concatenate(owners), np.concatenate(needs)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, high bytes last, so that the zeros of small ones compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view("<u8")
+
+
+def _pack(posts: np.ndarray) -> bytes:
+    """Postings in the order of their parts: the steps from part to part, and which owner of a table each has."""
+    part = _joined(posts, "part")
+    order = np.argsort(part, kind="stable")
+    posts, part = posts[order], part[order]
+    owners, which = np.unique((_joined(posts, "key") << 16) | posts["need"], return_inverse=True)
+    body = _planes(np.diff(part, prepend=0)) + _planes(which) + _planes(owners)
+    if "sets" in posts.dtype.names:
+        body += _planes(posts["sets"])
+    head = np.array([len(posts), len(owners), len(body)], "<u8").tobytes()
+    return head + pa.compress(body, "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n, m, size = np.frombuffer(blob, "<u8", 3).tolist()
+    body, out = pa.decompress(blob[24:], size, "zstd", asbytes=True), np.empty(n, kind)
+    part, owner = np.cumsum(_numbers(body, n)), _numbers(body[16 * n :], m)[_numbers(body[8 * n :], n).astype(np.int64)]
+    for name, value in (("part", part), ("key", owner >> np.uint64(16))):
+        out[f"{name}_low"], out[f"{name}_high"] = value & np.uint64(0xFFFFFFFF), value >> np.uint64(32)
+    out["need"] = owner & np.uint64(0xFFFF)
+    if "sets" in kind.names:
+        out["sets"] = _numbers(body[16 * n + 8 * m :], n)
+    return out
+
+
 def _dealt(posts: np.ndarray, by: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """The postings as one blob a bucket."""
     bucket = (by % np.uint32(n_buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     posts, bucket = posts[order], bucket[order]
     ids, first = np.unique(bucket, return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([_pack(x) for x in np.split(posts, first[1:])], pa.binary())], ["bucket", "posts"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
-    blobs = [np.frombuffer(x.as_buffer(), kind) for batch in batches for x in batch.column(1)]
+    blobs = [_unpack(x.as_py(), kind) for batch in batches for x in batch.column(1)]
     return np.concatenate(blobs) if blobs else np.empty(0, kind)
 
 
@@ -387,6 +421,10 @@ def _answer(num: int, den: int) -> Callable:
     return run
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, n_links, component_id, is_first``.
 
@@ -412,7 +450,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     totals = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"), F.count("*").alias("n_sets")).where("n_sets > 1").drop("n_sets")
     wanted = materialise(wanted.join(totals, "comp").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "mult", "comp", "n_blocks"), "wanted")
     # merged at every size, so that the plan and its shuffle do not change with the input
-    texts = slim.join(wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    near = key_filter(wanted.select("text_hash"))
+    texts = slim.where(near(F.col("text_hash"))).join(wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     sets = texts.select("text", "mult", "comp", "n_blocks").mapInArrow(_whole_sets(shingle), "k1 long, k2 long, mult long, comp long, n_blocks int, grams binary")
     own = F.pmod(F.xxhash64("k1", "k2"), F.col("n_blocks")).cast("int")
     met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
@@ -440,15 +479,26 @@ def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group of near copies; rows without words all stay."""
-    cols = docs.columns
-    found = jaccard_classes(docs, shingle, num, den)
-    first = found.where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("n_shingles") == 0).alias("_bare")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))
-    # a repeated row can only be told from its copies by a number
-    spread = F.when(F.col("_bare"), F.monotonically_increasing_id())
-    return kept.withColumn("_copy", spread).dropDuplicates(["_id", "_hash", "_copy"]).select(*cols)
+    """``docs`` with one row of each group of near copies: a row of its first text, by id (null last) and text hash.
+
+    Null, empty and blank texts are near nothing, so all their rows stay, as do all texts
+    without a near copy, however short or long. Of repeated rows, and of rows of one id and
+    one text, one stays. An empty table gives an empty one, and columns may have any names.
+    Only rows that may have to go are shuffled.
+    """
+    found = jaccard_classes(docs, shingle, num, den).where("n_shingles > 0")
+    same = found.groupBy("doc_id", "text_hash").agg(F.first("is_first").alias("is_first"), F.count("*").alias("n"))
+    doubt = same.where("n > 1 OR NOT is_first").select(F.col("doc_id").isNull().alias("_no"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"), "is_first")
+    doubt = materialise(doubt, "doubt")
+    may_go = key_filter(doubt.select("_hash"))(F.col("_hash"))
+    own = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_row"), own.isNull().alias("_no"), F.coalesce(own, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    clear = rows.where(~may_go).select("_row.*")
+    # a row that is its text's only one can only be told from others by a number
+    number = F.when(F.col("is_first").isNull(), F.monotonically_increasing_id())
+    rest = rows.where(may_go).join(doubt.hint("merge"), ["_no", "_id", "_hash"], "left").where("is_first IS NULL OR is_first")
+    rest = rest.withColumn("_number", number).dropDuplicates(["_no", "_id", "_hash", "_number"])
+    return clear.unionByName(rest.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,29 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share, and filters of bounded size."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Shuffle files of a query whose rows are written go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a key filter, at most (8 MB), and bits a key below that.
+FILTER_BITS, KEY_BITS = 1 << 26, 16
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a new local folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a new local folder where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seatwise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -20,17 +32,58 @@ def shared_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table outlives lost executors and goes when the driver's JVM ends.
+    The table outlives lost executors and goes when the driver's JVM ends. The shuffle files
+    behind it go at once.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/seatwise-{uuid.uuid4().hex}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    both = key.view(np.uint64) if key.dtype == np.int64 else key
+    mask = np.uint64(bits - 1)
+    return both & mask, (both >> np.uint64(32)) & mask
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all hashes in the only column of ``keys`` and for few others.
+
+    The bits are folded on the executors and have a bound, beyond which the test passes more
+    and more other keys; so it may save a shuffle, and a join has to follow it.
+    """
+    spark, key = keys.sparkSession, F.col(keys.columns[0])
+    bits = 1 << 10
+    while bits < min(FILTER_BITS, KEY_BITS * keys.count()):
+        bits *= 2
+    place = F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1)))
+    words = keys.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(pa.compress(table.tobytes(), "zstd", asbytes=True))
+    size = bits // 8
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        held = np.frombuffer(pa.decompress(shared.value, size, "zstd", asbytes=True), np.uint64)
+        ok = np.ones(len(hashes), bool)
+        for p in _places(hashes.to_numpy(zero_copy_only=False).astype(np.int64), bits):
+            ok &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return pa.array(ok)
+
+    return may
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

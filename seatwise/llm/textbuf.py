@@ -12,7 +12,16 @@ SLICE_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Arrays of this process; pickled empty, as functions travel with the module's globals."""
+
+    def __reduce__(self) -> tuple:
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
