@@ -8,8 +8,10 @@ evidence is the length-normalised difference of log-likelihoods, over the whole
 its most telling window, and a logistic curve fitted on held-back halves of the sample turns
 it into a score.
 
-The models are fitted on a bounded sample of labelled rows, documented below, and become one
-table of 2 ** 25 bytes; every document is scored over its whole text.
+The models are fitted on a bounded number of labelled rows, documented below, of texts of any
+length. Executors count their symbols; the counts, at most one for each of 2 ** 25 keys of each
+half, and the evidence of each sampled row are all that the driver sees. The fitted table of
+2 ** 25 bytes travels compressed; every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -21,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textbuf
-from .scratch import table
+from .scratch import materialise, shuffle_partitions, table
 
-#: The sample: so many labelled rows of each class, first by a hash of the id, of texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000
+#: The sample: the documents of so many labelled ids of each class, first by a hash of the id.
+SAMPLE_ROWS = 2000
 #: Symbols of a window, the order, and the absolute discount.
 WINDOW, ORDER, DISCOUNT = 24, 5, 2.0
-#: Sampled texts taken at a time on the driver.
-CHUNK = 64
+#: Distinct keys that a task holds before it folds them.
+HELD = 4_000_000
 #: Steps of one unit in the stored log ratios.
 STEPS = 16.0
 
@@ -67,16 +70,33 @@ def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, key, off
 
 
-def _counts(texts: list[str]) -> Counts:
-    found = [key for a in range(0, len(texts), CHUNK) for _, key, _ in grams(pa.array(texts[a : a + CHUNK], pa.string()))]
-    return np.unique(np.concatenate(found or [np.zeros(0, np.int32)]), return_counts=True)
+def _added(parts: list[Counts]) -> Counts:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _added(one: Counts, two: Counts) -> Counts:
-    keys, at = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, at, np.concatenate([one[1], two[1]]))
-    return keys, total
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part, key, n`` of texts by part, folded as they gather."""
+    held: dict[int, list[Counts]] = {}
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for part, found in held.items():
+            keys, n = _added(found)
+            for a in range(0, len(keys), 100_000):
+                cut = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), part, np.int32)), pa.array(keys[cut]), pa.array(n[cut])], ["part", "key", "n"])
+
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        for p in np.unique(parts).tolist():
+            for _, key, _ in grams(batch.column(1).filter(pa.array(parts == p))):
+                held.setdefault(p, []).append(np.unique(key, return_counts=True))
+                size += len(held[p][-1][0])
+        if size > HELD:
+            yield from out()
+            held, size = {}, 0
+    yield from out()
 
 
 def _log_ratio(tops: list[Counts]) -> np.ndarray:
@@ -146,24 +166,57 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], toxic: list[int], share: float) -> Model:
-    """A model from the sampled texts; ``share`` is the share of toxic rows among all labelled ones."""
-    y = np.array(toxic, np.int64)
+_EMPTY: Counts = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def _packed(ratio: np.ndarray) -> bytes:
+    return pa.compress(ratio.tobytes(), "zstd", asbytes=True)  # most contexts are unseen, so most bytes repeat
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 1 << 25, "zstd", asbytes=True), np.int8)
+
+
+def _judge(shared: object) -> Callable:
+    """``toxic, e0, e1, e2``: the evidence of each row under the model of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [_unpacked(x) for x in shared.value]
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            for p in np.unique(parts).tolist():
+                x = [evidence(tables[1 - p // 2], key, off) for _, key, off in grams(batch.column(1).filter(pa.array(parts == p)))]
+                x = np.concatenate(x) if x else np.zeros((0, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p % 2, np.int32)), *(pa.array(x[:, i]) for i in range(3))], ["toxic", "e0", "e1", "e2"])
+
+    return run
+
+
+def train(sample: DataFrame, share: float) -> Model:
+    """A model from ``sample (part, text)``; ``part`` is twice the half plus the class.
+
+    ``share`` is the share of toxic rows among all labelled ones. If a class has no rows, every
+    text gets the score of the other.
+    """
+    found = sample.mapInArrow(_count, "part int, key int, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).toArrow()
+    part, key, n = (found[c].to_numpy() for c in ("part", "key", "n"))
+    counts = {}
+    for p in range(4):
+        own = np.flatnonzero(part == p)
+        own = own[np.argsort(key[own])]
+        counts[p] = (key[own], n[own]) if len(own) else _EMPTY
+    halves = [_log_ratio([counts[2 * f + 1], counts[2 * f]]) for f in (0, 1)]
+    shared = sample.sparkSession.sparkContext.broadcast([_packed(x) for x in halves])
+    rows = sample.mapInArrow(_judge(shared), "toxic int, e0 double, e1 double, e2 double").toArrow()
+    shared.destroy()
+    y = rows["toxic"].to_numpy()
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << 25, np.int8), np.array([0, 0, 0, 8.0 if len(y) and y[0] else -8.0]))
-    fold = np.zeros(len(y), np.int64)
-    for c in (0, 1):
-        fold[y == c] = np.arange((y == c).sum()) % 2
-    halves = [[_counts([texts[i] for i in np.flatnonzero((fold == f) & (y == c))]) for c in (1, 0)] for f in (0, 1)]
-    x = np.zeros((len(y), 3))
-    for f in (0, 1):
-        ratio, rows = _log_ratio(halves[1 - f]), np.flatnonzero(fold == f)
-        for a in range(0, len(rows), CHUNK):
-            at = rows[a : a + CHUNK]
-            for b, key, offsets in grams(pa.array([texts[i] for i in at], pa.string())):
-                x[at[b : b + len(offsets) - 1]] = evidence(ratio, key, offsets)
+    x = np.stack([rows[c].to_numpy() for c in ("e0", "e1", "e2")], axis=1)
+    order = np.lexsort((*x.T, y))  # the same sums whatever the order of rows
+    x, y = x[order], y[order]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(_log_ratio([_added(*both) for both in zip(*halves, strict=True)]), _fit_curve(x, y, weight))
+    return Model(_log_ratio([_added([counts[c], counts[2 + c]]) for c in (1, 0)]), _fit_curve(x, y, weight))
 
 
 def scores(model: Model, column: pa.Array) -> np.ndarray:
@@ -181,44 +234,54 @@ def _held_out(doc_id: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)`` outside the held-out fifth.
 
-    An id labelled more than once is toxic if any of its labels is; null labels do not count.
+    An id labelled more than once is toxic if any of its labels is; null labels do not count,
+    nor do null, empty and repeated texts. Of an id with several texts the first by hash
+    counts. Without labelled rows of both classes, all scores are those of the one class there
+    is, or of ordinary texts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    if not total.n:
-        return train([], [], 0.0)
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_ROWS) for c in (0, 1)]
-    both = F.broadcast(picked[0].unionByName(picked[1]))  # 4 * SAMPLE_ROWS rows at most
-    short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(both, "doc_id")
-    rows = []
-    for c in (0, 1):
-        rows += short.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
-    sample = sorted({(r.text, int(r.toxic)) for r in rows})  # copies count once
-    return train([t for t, _ in sample], [c for _, c in sample], total.toxic / total.n)
-
-
-def _append(model: object) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = Model(*model.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(fitted, batch.column(batch.schema.get_field_index("text"))))], [*batch.schema.names, "_toxicity"])
+    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (0, 1)]
+    both = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * SAMPLE_ROWS rows at most
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).where("text <> ''").join(both, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("hash").alias("hash"), F.min_by("text", "hash").alias("text"))
+    texts = texts.groupBy("hash", "toxic").agg(F.min("text").alias("text"))  # copies count once
+    line = F.row_number().over(Window.partitionBy("toxic").orderBy("hash", "text"))  # the sample alone
+    halves = texts.select((2 * (line % 2) + F.col("toxic")).cast("int").alias("part"), "text")
+    return train(materialise(halves.repartition(shuffle_partitions(docs.sparkSession)), "sample"), (total.toxic or 0) / max(total.n, 1))
 
-    return run
 
+def toxicity(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The score of a column of texts, 0 to 1; null and empty texts are scored as texts without words."""
+    shared = spark.sparkContext.broadcast((_packed(model.ratio), model.curve))  # bounded by the table's size
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        blob, curve = shared.value
+        fitted = Model(_unpacked(blob), curve)
+        for column in texts:
+            yield pa.array(scores(fitted, column))
+
+    return scored
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_toxicity``, 0 to 1; null and empty texts are scored as texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the sample
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_append(shared), f"{fields}, _toxicity double")
+
+def score_documents(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``out``, 0 to 1; repeated rows have one score, an empty table stays empty."""
+    return docs.withColumn(out, toxicity(docs.sparkSession, model)(F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic."""
-    return score_documents(docs, fit(docs, labels)).where("_toxicity < 0.5").drop("_toxicity")
+    """The rows of ``docs`` that the model does not call toxic; null and empty texts stay, whatever their labels.
+
+    Rows are judged one by one by their whole texts, so repeated rows stay or go together.
+    Columns may have any names; without labels of both classes no row goes, unless all labels
+    are toxic.
+    """
+    score = toxicity(docs.sparkSession, fit(docs, labels))
+    return docs.where((F.coalesce("text", F.lit("")) == "") | (score(F.col("text")) < 0.5))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     found = score_documents(docs, fit(docs, labels))
-    return found.select("doc_id", _held_out("doc_id").alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
