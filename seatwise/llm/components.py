@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 
 def _rewire(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         if not mark[0]:
             break
-        now = materialise(_rewire(_rewire(now, True), False), "edges")
+        last, now = now, materialise(_rewire(_rewire(now, True), False), "edges")
+        discard(last)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

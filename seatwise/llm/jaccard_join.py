@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import connected_components
-from .scratch import key_filter, materialise, shuffle_partitions, table
+from .scratch import key_filter, materialise, quoted, shuffle_partitions, table
 
 #: Sets and shingles in one block of a candidate group; two blocks meet in a task.
 BLOCK_SETS, BLOCK_TOKENS = 4096, 2_000_000
@@ -421,10 +421,6 @@ def _answer(num: int, den: int) -> Callable:
     return run
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def jaccard_classes(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, n_links, component_id, is_first``.
 
@@ -492,7 +488,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     doubt = materialise(doubt, "doubt")
     may_go = key_filter(doubt.select("_hash"))(F.col("_hash"))
     own = F.col("doc_id").cast("long")
-    rows = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_row"), own.isNull().alias("_no"), F.coalesce(own, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), own.isNull().alias("_no"), F.coalesce(own, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash"))
     clear = rows.where(~may_go).select("_row.*")
     # a row that is its text's only one can only be told from others by a number
     number = F.when(F.col("is_first").isNull(), F.monotonically_increasing_id())

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +44,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = _path(spark, path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str) -> JavaObject:
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` whose last reader is done."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        target = _path(spark, path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     both = key.view(np.uint64) if key.dtype == np.int64 else key
     mask = np.uint64(bits - 1)
@@ -88,5 +100,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

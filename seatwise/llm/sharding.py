@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranking import group_ranks
-from .scratch import table
+from .scratch import quoted, table
 
 #: Fine cells of a dimension, and bits of a coordinate.
 FINE, BITS = 4096, 4
@@ -27,25 +28,38 @@ def _text_key(value: Column, skip: int) -> Column:
     return F.conv(part, 16, 10).cast("long")
 
 
+def _number(df: DataFrame, dim: str) -> Column:
+    """A dimension as a double: days, seconds or the number itself; null if it is not finite."""
+    kind, col = dict(df.dtypes)[dim], F.col(quoted(dim))
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(col.cast("timestamp")) / 1e6
+    value = col.cast("double")
+    return F.when(F.abs(value) < float("inf"), value)  # NaN is greater
+
+
 def _fine(df: DataFrame, dims: list[str]) -> list[Column]:
     """Order-preserving cells 1 to ``FINE`` of each dimension, 0 for null, from its least and greatest value."""
     kinds = dict(df.dtypes)
-    ends = df.agg(*[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
+    keys = [F.col(quoted(d)) if kinds[d] == "string" else _number(df, d) for d in dims]
+    ends = df.agg(*[f(k).alias(f"{n}_{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = []
-    for d in dims:
-        lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
+    for i, (d, value) in enumerate(zip(dims, keys, strict=True)):
+        lo, hi = ends[f"lo_{i}"], ends[f"hi_{i}"]
         if lo is None:
             out.append(F.lit(0))
             continue
         if kinds[d] == "string":
             a, b = lo.encode(), hi.encode()
             skip = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            key = _text_key(F.col(d), skip)
+            key = _text_key(value, skip)
             lo, hi = (int.from_bytes(x[skip : skip + 6].ljust(6, b"\0"), "big") for x in (a, b))
             cell = F.floor((key - lo).cast("double") * FINE / (hi - lo + 1))
+        elif kinds[d] == "date" or kinds[d].startswith("timestamp"):
+            cell = F.floor((value - lo) * (FINE / max(hi - lo, 1.0)))
         else:  # numbers spread over orders of magnitude
-            width = float(hi) - float(lo)
-            cell = F.floor(F.log1p(F.col(d).cast("double") - float(lo)) * FINE / (F.log1p(F.lit(width)) + 1e-9))
+            cell = F.floor(F.log1p(value - lo) * FINE / (F.log1p(F.lit(hi - lo)) + 1e-9))
         out.append(F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit(FINE - 1)).cast("int") + 1, F.lit(0)))
     return out
 
@@ -91,26 +105,46 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.element_at(reduce(F.transform, [gray, spread, weave], bound), 1)
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int, tie: list[str], payload: list[str] | None = None, bits: int = BITS) -> DataFrame:
-    """``df`` (or its ``payload`` columns) with ``curve, shard, slot``.
+def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int, tie: list[str], payload: list[str] | None = None, bits: int = BITS, part: Column | None = None) -> DataFrame:
+    """``df`` (or its ``payload`` columns) with ``curve, shard, slot``; columns of these names go.
 
-    Rows are ordered by the place of their ``dims`` on the curve, within a place by a hash
-    and then by ``tie``; ``n_shards`` runs of this order differ by one row at most. Null
-    dimensions have bins of their own, repeated rows take neighbouring slots, and an empty
-    table gives an empty result.
+    Rows are ordered by the place of their ``dims`` (strings, numbers, dates or timestamps) on
+    the curve, within a place by a hash of ``tie`` and then by ``tie``, or by ``part``, which
+    cuts a place into bounded parts, and then by ``tie``; ``n_shards`` runs of this order differ
+    by one row at most. Null dimensions, and numbers that are not finite, have bins of their
+    own, repeated rows take neighbouring slots, and an empty table gives an empty result.
     """
-    keep = payload or df.columns
-    cells = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(_fine(df, dims))], *[F.col(c).alias(f"_p_{c}") for c in dict.fromkeys([*keep, *tie])])
+    keep = [c for c in payload or df.columns if c not in ("curve", "shard", "slot")]
+    ties = [F.col(quoted(t)).alias(f"_t{i}") for i, t in enumerate(tie)]
+    whole = F.struct(*[F.col(quoted(c)) for c in keep]).alias("_row")
+    parts = [] if part is None else [part.alias("_part")]
+    cells = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(_fine(df, dims))], whole, *ties, *parts)
     bins = _bins(cells.select(*[f"_c{i}" for i in range(len(dims))]), dims, bits)
     for i in range(len(dims)):  # FINE + 1 rows at most
         own = F.broadcast(bins.where(F.col("dim") == i).select(F.col("cell").alias(f"_c{i}"), F.col("bin").alias(f"_b{i}")))
         cells = cells.join(own, f"_c{i}")
     placed = cells.withColumn("_curve", hilbert_index([F.col(f"_b{i}") for i in range(len(dims))], bits)).drop(*[f"_c{i}" for i in range(len(dims))], *[f"_b{i}" for i in range(len(dims))])
-    ranked = group_ranks(placed, ["_curve"], [f"_p_{t}" for t in tie], across=True)  # (2 ** bits) ** dims places at most
-    rank = F.col("_rank")
+    sub = None if part is None else F.col("_part")
+    ranked = group_ranks(placed, ["_curve"], [f"_t{i}" for i in range(len(tie))], across=True, sub=sub)  # (2 ** bits) ** dims places at most
     shard = F.expr(f"(_rank * {n_shards}) div _total")
     cut = F.expr(f"((_rank * {n_shards}) div _total * _total + {n_shards - 1}) div {n_shards}")
-    return ranked.select(*[F.col(f"_p_{c}").alias(c) for c in keep], F.col("_curve").alias("curve"), shard.cast("int").alias("shard"), (rank - cut).cast("long").alias("slot"))
+    return ranked.select("_row.*", F.col("_curve").alias("curve"), shard.cast("int").alias("shard"), (F.col("_rank") - cut).cast("long").alias("slot"))
+
+
+def shards_in_order(df: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
+    """``hilbert_shards`` of a table in files, where rows of one place on the curve keep the order they have in the files.
+
+    A part is a file, as large as its writer made it. A table that is not in files has no order;
+    its rows go by their hash.
+    """
+    try:
+        place = df.metadataColumn("_metadata")
+        named = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("whole_row"), *[F.col(quoted(d)).alias(f"dim_{i}") for i, d in enumerate(dims)], place["file_name"].alias("file"), place["row_index"].alias("line"))
+    except AnalysisException:
+        return hilbert_shards(df, dims, n_shards, ["doc_id", "n_chars"])
+    out = hilbert_shards(named, [f"dim_{i}" for i in range(len(dims))], n_shards, ["line"], ["whole_row"], part=F.col("file"))
+    added = ["curve", "shard", "slot"]
+    return out.select(*[F.col("whole_row")[c].alias(c) for c in df.columns if c not in added], *added)
 
 
 DIMS = ["lang", "source", "n_chars"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbuf
-from .scratch import materialise, shuffle_partitions, table
+from .scratch import discard, materialise, shuffle_partitions, table
 
 #: The sample: the documents of so many labelled ids of each class, first by a hash of the id.
 SAMPLE_ROWS = 2000
@@ -248,7 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = texts.groupBy("hash", "toxic").agg(F.min("text").alias("text"))  # copies count once
     line = F.row_number().over(Window.partitionBy("toxic").orderBy("hash", "text"))  # the sample alone
     halves = texts.select((2 * (line % 2) + F.col("toxic")).cast("int").alias("part"), "text")
-    return train(materialise(halves.repartition(shuffle_partitions(docs.sparkSession)), "sample"), (total.toxic or 0) / max(total.n, 1))
+    sample = materialise(halves.repartition(shuffle_partitions(docs.sparkSession)), "sample")
+    model = train(sample, (total.toxic or 0) / max(total.n, 1))
+    discard(sample)
+    return model
 
 
 def toxicity(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

@@ -3,6 +3,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -272,24 +273,63 @@ def test_leaks_are_those_of_aligning_all_with_all():
     assert sum(map(len, want)) > 150
 
 
-@pytest.mark.parametrize("quota", [[5, 3, 2], [997, 2, 1], [250, 250, 250, 250], [1] * 7])
-def test_schedule_stays_within_a_block(quota):
-    line, period = mixing.pfair_period(quota), sum(quota)
-    count = [0] * len(quota)
-    for t, i in enumerate(line, 1):
+def ideal_shares(blocks, weights, done):
+    """What an ideal mix has given each source once it gives one slot more than ``done``, in small steps."""
+    left = Fraction(1)
+    while left:
+        active = [i for i, n in enumerate(blocks) if done[i] < n and weights[i] > 0] or [i for i, n in enumerate(blocks) if done[i] < n]
+        if not active:
+            break
+        rate = {i: weights[i] or 1 for i in active}
+        total = sum(rate.values())
+        step = min([left, *((blocks[i] - done[i]) * total / rate[i] for i in active)])
+        for i in active:
+            done[i] += step * rate[i] / total
+        left -= step
+
+
+MIXES = [
+    ([50, 70, 20], [5, 3, 2]), ([300, 300, 2], [0.6, 0.3995, 0.0005]), ([100] * 3, [7 / 13, 5 / 13, 1 / 13]), ([40] * 7 + [0], [1.0, 2, 0, 0, 5, 1e-5, 0.3, 1]),
+    ([1000, 10, 333], [1, 1, 1]), ([120, 30, 60, 9], [997, 2, 1, 0]), ([3], [1]), ([5, 0], [0, 0]), ([], []),
+]
+
+
+@pytest.mark.parametrize(("blocks", "weights"), MIXES)
+def test_schedule_stays_within_a_block_of_the_ideal_mix_until_all_has_run_out(blocks, weights):
+    runs = mixing.schedule(blocks, weights)
+    line = [i for r in runs for _ in range(r.times) for i in r.line]
+    assert [line.count(i) for i in range(len(blocks))] == blocks
+    exact, done, count = [Fraction(str(w)) for w in weights], [Fraction(0)] * len(blocks), [0] * len(blocks)
+    for i in line:
         count[i] += 1
-        assert all(abs(c - q * t / period) < 1 for c, q in zip(count, quota, strict=True))
-
-
-@pytest.mark.parametrize("weights", [[1.0, 2.0], [500**0.7] * 19 + [10_000**0.7], [1.0, 1e-5, 0.3], [0.1, 0.0, 0.2]])
-def test_schedule_keeps_to_the_given_weights(weights):
-    blocks = [20_000] * len(weights)
-    slots = mixing.schedule(blocks, weights)
-    assert sorted(s for x in slots for s in x) == list(range(sum(blocks)))
-    end = min(x[-1] for x in slots) + 1  # of the first phase
-    for x, w in zip(slots, weights, strict=True):
-        placed = np.bincount(np.array(x), minlength=sum(blocks))[:end].cumsum()
-        assert np.abs(placed - np.arange(1, end + 1) * (w / sum(weights))).max() < 1 + 1e-6
+        ideal_shares(blocks, exact, done)
+        assert all(abs(c - d) < 1 for c, d in zip(count, done, strict=True))
+    for g, x in enumerate(mixing.places(runs, len(blocks))):
+        for b in range(blocks[g]):
+            k = sum(f <= b for f in x.first) - 1
+            m = b - x.first[k]
+            assert line[x.start[k] + m // x.each[k] * x.every[k] + x.place[x.base[k] + m % x.each[k]]] == g
+
+
+def test_schedules_of_many_sources_and_blocks_take_little_of_the_driver():
+    began = time.perf_counter()
+    rng = random.Random(3)
+    mixing.schedule([rng.randint(1, 20) for _ in range(10_000)], [rng.random() for _ in range(10_000)])
+    runs = mixing.schedule([10**7, 3 * 10**6, 77, 10**5], [2048, 1500, 48, 500])
+    assert sum(len(r.line) * r.times for r in runs) == 13_100_077 and sum(len(r.line) for r in runs) < 10_000
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 0.7, "s1": 0.2, None: 0.1}, {"s1": 1}])
+def test_mixed_rows_are_at_the_places_of_the_schedule(docs, weights):
+    sizes = Counter(r[3] for r in corpus())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    powers = [sizes[s] ** mixing.POWER for s in names]
+    own = [max(1, round(mixing.WHOLE * x / sum(powers))) for x in powers] if weights is None else [weights.get(s, 0) for s in names]
+    runs = mixing.schedule([-(-sizes[s] // 3) for s in names], own)
+    line = [names[i] for r in runs for _ in range(r.times) for i in r.line]
+    got = {r["slot"]: r["source"] for r in mixing.mix_sources(docs, weights, block_rows=3).collect()}
+    assert got == dict(enumerate(line))
 
 
 def test_mixing_places_every_row_once(docs):
