@@ -2,23 +2,28 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. Each level's
 beta prior has its parent's posterior mean and a concentration fitted by moments over the
-groups of the level; a page is blocked if the lower posterior bound of its host's rate of bad
-pages exceeds a limit. All of it is DataFrame operations; only twelve sums reach the driver.
+groups of the level; a page is blocked if its host's rate of bad pages exceeds the rate of all
+labelled pages with a posterior probability of SURE or more. All of it is DataFrame operations;
+only twelve sums reach the driver.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import materialise, table
 
 #: (verdict, host, path); the rule string is host + path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Public suffixes of two labels; registered domains below them have three.
 TWO_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.cn", "co.in", "co.za", "com.mx", "com.tr")
-#: A page is blocked when the lower bound, BOUND standard deviations below the mean, exceeds LIMIT.
-BOUND, LIMIT = 1.0, 0.25
+#: A page is blocked when the lower posterior bound of its host's rate, with probability SURE, exceeds LIMIT times the rate of all pages.
+SURE, LIMIT = 0.9, 1.0
+#: A host of more than one in HEAVY pages is joined by broadcast, as its rows would all meet in one task.
+HEAVY = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,12 +66,31 @@ def _concentration(k: float, m: float, s2: float, s: float, rate: float) -> floa
     return 1 / rho - 1
 
 
+_Z = NormalDist().inv_cdf(SURE)
+_LAMBDA = (_Z * _Z - 3) / 6
+
+
+def beta_bound(a: Column, b: Column) -> Column:
+    """The value that a beta variable exceeds with probability SURE, by formula 26.5.22 of Abramowitz and Stegun.
+
+    0 where ``a`` is below 1, where the density is greatest at 0; a ``b`` below 1 counts as 1,
+    which lowers the bound.
+    """
+    b = F.greatest(b, F.lit(1.0))
+    p, q = 1 / (2 * a - 1), 1 / (2 * b - 1)
+    h = 2 / (p + q)
+    w = _Z * F.sqrt(h + _LAMBDA) / h - (q - p) * (_LAMBDA + 5 / 6 - 2 / (3 * h))
+    return F.when(a >= 1, a / (a + b * F.exp(2 * w))).otherwise(0.0)
+
+
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``host, n, bad, mean, lower`` from ``outcomes (host, bad)``; every host counts, with or without labels.
+    """``host, domain, suffix, rows, n, bad, mean, lower, rate`` from ``outcomes (host, bad)``.
 
-    ``bad`` is 0, 1 or null (unlabelled). Without any label, the mean is one half everywhere.
+    Every host counts, with or without labels; ``bad`` is 0, 1 or null (unlabelled), and repeated
+    rows count one by one. ``rate`` is that of all labelled rows. Without any label, it and every
+    mean are one half. An empty table gives an empty result.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = outcomes.groupBy("host").agg(F.count("*").alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
@@ -84,25 +108,31 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dbad") + k_domain * F.col("smean")) / (F.col("dn") + k_domain)).alias("dmean"))
     out = hosts.join(domains, "domain")
     size = F.col("n") + k_host
-    mean = (F.col("bad") + k_host * F.col("dmean")) / size
-    sd = F.sqrt(mean * (1 - mean) / (size + 1))
-    return out.select("host", "domain", "suffix", "n", "bad", mean.alias("mean"), (mean - BOUND * sd).alias("lower"))
+    good = F.col("bad") + k_host * F.col("dmean")
+    out = out.withColumn("lower", beta_bound(good, size - good))
+    return out.select("host", "domain", "suffix", "rows", "n", "bad", (good / size).alias("mean"), "lower", F.lit(rate).alias("rate"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, lower`` of ``pages (page_id, url)``.
 
     ``outcomes (url, bad)`` are labelled pages. Null urls and urls without ``://`` have empty
-    host and path and count as one host; repeated rows are judged alike.
+    host and path and count as one host; repeated rows are judged alike, and null ids keep
+    their rows. Other columns do not matter; without outcomes, rules decide and all else is
+    allowed; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), "bad")
     hosts = seen.unionByName(parts.select("host", F.lit(None).cast("int").alias("bad")))
-    known = host_reputation(hosts).select("host", "mean", "lower")
+    known = materialise(host_reputation(hosts).select("host", "rows", F.struct("mean", "lower", "rate").alias("seen")), "hosts")
+    total = known.agg(F.sum("rows")).first()[0] or 0
+    heavy = F.broadcast(known.where(F.col("rows") * HEAVY > total).select("host", "seen"))  # fewer than HEAVY hosts
+    light = parts.join(heavy, "host", "left_anti").join(known.select("host", "seen"), "host")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = parts.join(known, "host")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("lower") > LIMIT, "block").otherwise("allow")).alias("verdict"), F.round("mean", 9).alias("bad_rate"), F.round("lower", 9).alias("lower"))
+    own = F.when(F.col("seen.lower") > LIMIT * F.col("seen.rate"), "block").otherwise("allow")
+    judged = parts.join(heavy, "host").unionByName(light)
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("seen.mean", 9).alias("bad_rate"), F.round("seen.lower", 9).alias("lower"))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,14 +182,17 @@ base AS (SELECT (sum(sbad) + 1)::DOUBLE / (sum(sn) + 2) AS rate FROM suffixes),
 {level("kh", "hosts", "n", "bad")},
 sm AS (SELECT suffix, (sbad + k * rate) / (sn + k) AS smean FROM suffixes, ks, base),
 dm AS (SELECT domain, (dbad + k * smean) / (dn + k) AS dmean FROM domains JOIN sm USING (suffix), kd),
-hm AS (SELECT host, (bad + k * dmean) / (n + k) AS mean, n + k AS size FROM hosts JOIN dm USING (domain), kh),
+hm AS (
+  SELECT host, a / (a + b) AS mean, CASE WHEN a >= 1 THEN a / (a + greatest(b, 1) * exp(2 * ({_Z}::DOUBLE * sqrt(h + {_LAMBDA}::DOUBLE) / h - (q - p) * ({_LAMBDA}::DOUBLE + 5 / 6.0::DOUBLE - 2 / (3 * h))))) ELSE 0 END AS lower
+  FROM (SELECT *, 2 / (p + q) AS h FROM (SELECT *, 1 / (2 * a - 1) AS p, 1 / (2 * greatest(b, 1) - 1) AS q FROM (
+    SELECT host, bad + k * dmean AS a, n + k - (bad + k * dmean) AS b FROM hosts JOIN dm USING (domain), kh)))),
 judged AS (
-  SELECT page_id, host, path, mean, mean - {BOUND}::DOUBLE * sqrt(mean * (1 - mean) / (size + 1)) AS lower,
+  SELECT page_id, host, path, mean, lower, rate,
     CASE
 {fits}
-    END AS hit FROM split JOIN hm USING (host))
+    END AS hit FROM split JOIN hm USING (host), base)
 SELECT page_id, host, path, split_part(hit, '|', 1) AS rule,
-  CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN lower > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN lower > {LIMIT}::DOUBLE * rate THEN 'block' ELSE 'allow' END AS verdict,
   round(mean, 9) AS bad_rate, round(lower, 9) AS lower
 FROM judged
 """
