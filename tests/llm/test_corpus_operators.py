@@ -352,24 +352,52 @@ def test_network_learns_and_scores_whole_texts(docs):
     assert len(got) == len(corpus()) and all(r.log_likelihood <= 0 and (r.per_word is None) == (r.n_words == 0) for r in got)
 
 
-def test_every_document_is_trained_on_and_words_are_told_apart(spark, docs):
+def test_every_document_is_trained_on():
     texts = [f"text{i} of its own" for i in range(64)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(64), pa.int64())], ["text", "key"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 64, pa.int32()), pa.array(range(64), pa.int64()), pa.array(texts)], ["bucket", "key", "text"])
+    dealt = list(lm_scoring._class_rows(iter([batch])))
+    ids = np.frombuffer(b"".join(x for b in dealt for x in b.column(2).to_pylist()), np.uint16)
+    assert len(ids) == 4 * 64
+    steps = []
     start = type("Shared", (), {"value": lm_scoring.initial()})
-    seen = sum(b.column(1)[0].as_py() for turn in range(lm_scoring.ROUNDS) for b in lm_scoring._train(start, turn)(iter([batch])))
-    assert seen == 4 * 64
+    real = lm_scoring.train_step
+    try:
+        lm_scoring.train_step = lambda flat, seen, context, target: steps.append(len(target))
+        list(lm_scoring._train(start)(iter(dealt)))
+    finally:
+        lm_scoring.train_step = real
+    assert sum(steps) == 4 * 64
+
+
+def test_words_are_told_apart_by_their_counts(spark, docs):
     want = Counter(w for r in corpus() for _, ws, _, _ in decontamination.tokens(pa.array([r[1] or ""])) for w in ws.tolist())
     book = lm_scoring.vocabulary(docs)
-    assert dict(zip(book.words.tolist(), book.counts.tolist(), strict=True)) == {w: n for w, n in want.items() if n > 1}
+    assert dict(zip(book.words.tolist(), book.counts.tolist(), strict=True)) == {w: n for w, n in want.items() if n > 1} and book.others is None
     assert book.classes.sum() == sum(want.values())
-    total = np.zeros(lm_scoring.CLASSES)
-    words_ = np.array(list(want), np.uint64)
-    np.add.at(total, lm_scoring._classes(words_), np.exp(lm_scoring.in_class(book, words_)))
-    assert np.allclose(total[book.classes > 0], 1)
     flat = lm_scoring.initial()
-    ids = [r.per_word for r in lm_scoring.score_documents(docs, flat).collect()]
-    own = [r.per_word for r in lm_scoring.score_documents(docs, flat, book).collect()]
-    assert all(b <= a for a, b in zip(ids, own, strict=True) if a is not None) and ids != own
+
+    def brute(text):
+        total = [0, 0.0]
+        for _, ws, rows, _ in decontamination.tokens(pa.array([text or ""])):
+            lp = lm_scoring.word_scores(flat, lm_scoring._classes(ws), rows)
+            total = [len(ws), sum(x + np.log(want[w] / book.classes[lm_scoring._classes(np.array([w], np.uint64))[0]]) for x, w in zip(lp, ws.tolist(), strict=True))]
+        return total
+
+    expected = sorted(((r[0] is None, r[0] or 0, *brute(r[1])) for r in corpus()), key=lambda x: (x[:3], round(x[3], 5)))
+    for head in (lm_scoring.HEAD, 20):  # most words meet their counts in the join with a small head
+        got = lm_scoring.score_documents(docs, flat, lm_scoring.vocabulary(docs, head)).collect()
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.log_likelihood) for r in got), key=lambda x: (x[:3], round(x[3], 5)))
+        assert [g[:3] for g in got] == [e[:3] for e in expected]
+        assert np.allclose([g[3] for g in got], [e[3] for e in expected])
+
+
+def test_weights_and_scores_do_not_depend_on_the_layout(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BUCKET_ROWS", 9)
+    runs = []
+    for n in (2, 7):
+        rows = docs.repartition(n)
+        runs.append(sorted((r.doc_id or -1, r.n_words, r.log_likelihood) for r in lm_scoring.score_documents(rows, lm_scoring.train(rows), lm_scoring.vocabulary(rows)).collect()))
+    assert [x[:2] for x in runs[0]] == [x[:2] for x in runs[1]] and np.allclose([x[2] for x in runs[0]], [x[2] for x in runs[1]], atol=1e-6)
 
 
 def test_empty_tables_and_clashing_columns(spark, docs):
