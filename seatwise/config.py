@@ -23,6 +23,7 @@ class BlockSpec:
     background: bool = True
     group: bool = False
     sex: bool = False
+    extra: tuple[str, ...] = ()
 
 
 BLOCKS = {

@@ -68,3 +68,17 @@ def verdict(point: Column, low: Column, high: Column, epsilon: float = STUDY.eps
 
 def sign_reversal(model: Column, bench: Column) -> Column:
     return (F.signum(model) != F.signum(bench)) & (bench != 0)
+
+
+def capacity_label(capacity: Column | float) -> Column:
+    """``K05`` for 0.05: whole percents, two digits at least."""
+    value = capacity if isinstance(capacity, Column) else F.lit(float(capacity))
+    return F.concat(F.lit("K"), F.lpad(F.floor(value * 100 + 1e-9).cast("string"), 2, "0"))
+
+
+def any_cell(wanted: dict[str, Sequence[str] | None], key: str = "task", variant: str = "variant") -> Column:
+    """Rows of the named cells; None stands for all variants."""
+    out = F.lit(False)
+    for name, kinds in wanted.items():
+        out = out | ((F.col(key) == name) & (F.lit(True) if kinds is None else F.col(variant).isin(*kinds)))
+    return out

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import row_mean, weighted
 from .cascade import SCORES
 
-#: Weights of the five scores, by scheme.
+#: Weights of the five scores (sciences, humanities, languages, mathematics, essay) by scheme.
 SCHEMES: dict[str, tuple[float, ...]] = {
-    "raw_equal": (0.2, 0.2, 0.2, 0.2, 0.2),
-    "first_heavy": (0.4, 0.15, 0.15, 0.15, 0.15),
-    "science": (0.3, 0.1, 0.1, 0.3, 0.2),
-    "humanities": (0.1, 0.3, 0.3, 0.1, 0.2),
-    "essay": (0.15, 0.15, 0.15, 0.15, 0.4),
+    "engineering": (0.15, 0.10, 0.15, 0.35, 0.25),
+    "medicine": (0.35, 0.10, 0.20, 0.15, 0.20),
+    "law": (0.10, 0.20, 0.25, 0.15, 0.30),
+    "objective_only": (0.25, 0.25, 0.25, 0.25, 0.0),
 }
 
 

@@ -55,6 +55,18 @@ def compare_marginals(full: DataFrame, sample: DataFrame, categorical: Sequence[
     return both.select(F.coalesce("variable", "_v").alias("variable"), F.coalesce("category", "_c").alias("category"), x.alias("full_value"), y.alias("sample_value"), F.round(F.abs(x - y), 6).alias("abs_diff"))
 
 
+def compare_moments(full: DataFrame, sample: DataFrame, continuous: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation of several columns of a full table and of a sample side by side, nulls left out."""
+
+    def moments(df: DataFrame, out: str) -> DataFrame:
+        aggs = [f(c).alias(f"{n}_{c}") for c in continuous for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+        cells = [F.struct(F.lit(c).alias("variable"), F.lit(n).alias("category"), F.round(f"{n}_{c}", 6).alias(out)) for c in continuous for n in ("mean", "sd")]
+        return df.agg(*aggs).select(F.inline(F.array(*cells)))
+
+    both = moments(full, "full_value").join(moments(sample, "sample_value"), ["variable", "category"])
+    return both.withColumn("abs_diff", F.round(F.abs(F.col("full_value") - F.col("sample_value")), 6))
+
+
 def sentinel_share(col: Column, code: str | int) -> Column:
     """The share equal to a sentinel, in percent of all rows."""
     return F.round(100 * F.avg(F.coalesce(col == code, F.lit(False)).cast("double")), 6)

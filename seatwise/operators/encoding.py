@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STUDY, BlockSpec
-from ..functions.columns import letter_ordinal, ratio
+from ..functions.columns import letter_ordinal
+from .selection import exact_quantiles
 
 NOMINAL = ["state", "marital", "status"]
 
@@ -23,7 +24,8 @@ def one_hot(df: DataFrame, train: DataFrame, col: str) -> DataFrame:
 
 def sentinel_fill(df: DataFrame, train: Column, value: Column, missing: Column, out: str) -> DataFrame:
     """Values with the median of the known training values where missing, and a flag."""
-    median = df.agg(F.percentile(F.when(train & ~missing, value.cast("double")), F.lit(0.5)).alias("_median"))
+    known = df.where(train & ~missing).select(value.cast("double").alias("_value"))
+    median = exact_quantiles(known, "_value", [0.5]).select(F.col("_edges")[0].alias("_median"))
     filled = F.when(missing, F.col("_median")).otherwise(value.cast("double"))
     return df.crossJoin(F.broadcast(median)).withColumn(out, filled).withColumn(f"{out}_missing", missing.cast("int")).drop("_median")
 
@@ -62,7 +64,7 @@ def numeric_features(df: DataFrame) -> DataFrame:
 
 def assembler(spec: BlockSpec) -> Pipeline:
     """One-hot levels of the training rows (unseen ones get zeros) and numeric columns in one vector."""
-    nominal = [*NOMINAL, *(["grp"] if spec.group else []), *(["sex"] if spec.sex else [])]
+    nominal = [*NOMINAL, *(["grp"] if spec.group else []), *(["sex"] if spec.sex else []), *spec.extra]
     numeric = ["year_ord", "year_ord_missing", *(["muni_te"] if spec.municipality else []), *(["letter_ord", "letter_ord_missing", "band_ord"] if spec.background else [])]
     index = StringIndexer(inputCols=[f"{c}_s" for c in nominal], outputCols=[f"{c}_i" for c in nominal], stringOrderType="alphabetAsc", handleInvalid="keep")
     hot = OneHotEncoder(inputCols=[f"{c}_i" for c in nominal], outputCols=[f"{c}_h" for c in nominal], dropLast=True)
@@ -70,7 +72,7 @@ def assembler(spec: BlockSpec) -> Pipeline:
 
 
 def assemble(encoded: DataFrame, spec: BlockSpec) -> tuple[DataFrame, PipelineModel]:
-    nominal = {f"{c}_s": F.col(c).cast("string") for c in [*NOMINAL, "grp", "sex"]}
+    nominal = {f"{c}_s": F.col(c).cast("string") for c in [*NOMINAL, "grp", "sex", *spec.extra]}
     ready = encoded.withColumns(nominal)
     model = assembler(spec).fit(ready.where(F.col("split") == "train"))
     return model.transform(ready), model

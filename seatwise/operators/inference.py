@@ -56,7 +56,7 @@ def bootstrap(ledger: DataFrame, by: Sequence[str], replicates: int = STUDY.repl
 
         def gaps(r: dict) -> tuple[np.ndarray, ...]:
             model, bench = r["A"][0] - r["B"][0], r["A"][1] - r["B"][1]
-            ratio = np.divide(r["B"][0], r["A"][0], out=np.full(len(model), np.nan), where=r["A"][0] > 0)
+            ratio = np.divide(r["A"][0], r["B"][0], out=np.full(len(model), np.nan), where=r["B"][0] > 0)
             return model - bench, ratio, model, bench
 
         d, q, _, _ = gaps(rates)
@@ -103,8 +103,32 @@ def bootstrap_fidelity(ledger: DataFrame, by: Sequence[str], replicates: int = S
     return counts.groupBy(*by).applyInPandas(cell, schema)  # sixteen rows a cell
 
 
+def bootstrap_increment(ledger: DataFrame, by: Sequence[str], first: str, second: str, replicates: int = STUDY.replicates, seed: int = STUDY.seed) -> DataFrame:
+    """Point and interval of the gap of selection ``second`` less that of ``first`` within a cell, from four counts a side."""
+    x, y = F.col(first), F.col(second)
+    flags = [~x & ~y, ~x & y, x & ~y, x & y]
+    counts = ledger.where(F.col("side").isNotNull()).groupBy(*by, "side").agg(*[F.count_if(f).alias(n) for f, n in zip(flags, _PATTERNS, strict=True)])
+    kinds = dict(counts.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", increment_point double, increment_lo double, increment_hi double"
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        total, point = np.zeros(replicates), 0.0
+        for side, sign in (("A", 1), ("B", -1)):
+            own = pdf.loc[pdf["side"] == side, list(_PATTERNS)].to_numpy().astype(float)
+            if not len(own) or not own.sum():
+                return pd.DataFrame([[pdf[c].iloc[0] for c in by] + [None] * 3], columns=[*by, "increment_point", "increment_lo", "increment_hi"])
+            n = own.sum()
+            draws = rng.multinomial(int(n), own[0] / n, replicates)
+            total += sign * 100 * (draws[:, 1] - draws[:, 2]) / n
+            point += sign * 100 * (own[0, 1] - own[0, 2]) / n
+        return pd.DataFrame([[pdf[c].iloc[0] for c in by] + [float(point), *_interval(total)]], columns=[*by, "increment_point", "increment_lo", "increment_hi"])
+
+    return counts.groupBy(*by).applyInPandas(cell, schema)  # two rows a cell
+
+
 def bootstrap_by_hash(ledger: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
-    """The same interval by explicit seeded draws of row numbers, in SQL operations; for small groups."""
+    """The same interval by explicit seeded draws of row numbers, in SQL operations: a check of ``bootstrap`` for small tables."""
     w = Window.partitionBy(*by, "side")
     rows = ledger.where(F.col("side").isNotNull()).withColumn("_i", F.row_number().over(w.orderBy("id"))).withColumn("_n", F.count(F.lit(1)).over(w))
     draws = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))

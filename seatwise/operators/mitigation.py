@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
-from .selection import order_by_score
+from .selection import rank_within
 
 LEVELS = 11
+#: Ranks of one part of a side.
+RANK_PART = 4096
 
 
 def reweighing(df: DataFrame, group: str = "grp", label: str = "label") -> DataFrame:
@@ -24,39 +26,76 @@ def reweighing(df: DataFrame, group: str = "grp", label: str = "label") -> DataF
 
 
 def cumulative_tpr(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
-    """``rk, tpr`` of each side: the rate of true positives if its ``rk`` best are selected."""
-    w = Window.partitionBy(*by, "side")
-    line = w.orderBy(*order_by_score(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.where(F.col("side").isNotNull()).withColumn("rk", F.row_number().over(w.orderBy(*order_by_score(score))))
-    hits = F.sum(F.col("bench_selected").cast("int")).over(line)
-    return ranked.select(*by, "side", "rk", F.round(ratio(hits, F.sum(F.col("bench_selected").cast("int")).over(w)), 9).alias("tpr"), F.col(score).alias("boundary"))
+    """``rk, tpr, boundary`` of each side: the rate of true positives if its ``rk`` best are selected.
+
+    Hits are summed within ranges of ranks, and the ranges' sums apart, so no task holds a side.
+    """
+    keys = [*by, "side"]
+    ranked = rank_within(df.where(F.col("side").isNotNull()), score, keys).withColumn("_hit", F.col("bench_selected").cast("int")).withColumn("_part", F.expr(f"rk div {RANK_PART}"))
+    own = Window.partitionBy(*keys)
+    sums = ranked.groupBy(*keys, "_part").agg(F.sum("_hit").alias("_hits"))
+    sums = sums.select(*keys, "_part", (F.sum("_hits").over(own.orderBy("_part")) - F.col("_hits")).alias("_before"), F.sum("_hits").over(own).alias("_all"))
+    line = Window.partitionBy(*keys, "_part").orderBy("rk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranked.withColumn("_inside", F.sum("_hit").over(line))
+    both = inside.join(sums, [*keys, "_part"])
+    return both.select(*keys, F.col("rk").cast("int").alias("rk"), F.round(ratio(F.col("_before") + F.col("_inside"), F.col("_all")), 9).alias("tpr"), F.col(score).alias("boundary"))
 
 
 def split_candidates(df: DataFrame, by: Sequence[str], seats: Column) -> DataFrame:
     """Every split of ``seats`` between the sides with both rates: an equi-join of ranks, no loop.
 
-    ``df`` has a column for ``seats`` per cell. Rank 0 stands for no seat on a side.
+    ``df`` has a column for ``seats`` per cell. No seat on a side has the rate 0 and an infinite
+    threshold, a whole side that of minus infinity.
     """
     tpr = cumulative_tpr(df, by)
-    zero = df.where(F.col("side").isNotNull()).select(*by, "side").distinct().select(*by, "side", F.lit(0).alias("rk"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("boundary"))
-    both = tpr.unionByName(zero)
+    sizes = df.where(F.col("side").isNotNull()).groupBy(*by, "side").agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    zero = sizes.select(*by, "side", F.lit(0).alias("rk"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("boundary"))
+    both = tpr.unionByName(zero).join(F.broadcast(sizes), [*by, "side"])
+    both = both.withColumn("boundary", F.when((F.col("rk") == F.col("_size")) & (F.col("rk") > 0), F.lit(float("-inf"))).otherwise(F.col("boundary")))
     caps = df.groupBy(*by).agg(F.max(seats).cast("long").alias("seats"))
     a = both.where("side = 'A'").select(*by, F.col("rk").cast("long").alias("n_a"), F.col("tpr").alias("tpr_a"), F.col("boundary").alias("tau_a")).join(F.broadcast(caps), list(by))
     b = both.where("side = 'B'").select(*by, F.col("rk").cast("long").alias("n_b"), F.col("tpr").alias("tpr_b"), F.col("boundary").alias("tau_b"))
-    return a.withColumn("n_b", F.col("seats") - F.col("n_a")).join(b, [*by, "n_b"])
+    return a.withColumn("n_b", F.col("seats") - F.col("n_a")).join(b, [*by, "n_b"]).where("tpr_a IS NOT NULL AND tpr_b IS NOT NULL")
 
 
 def search_split(df: DataFrame, by: Sequence[str], seats: Column, targets: DataFrame) -> DataFrame:
-    """For each target the split whose rate gap is nearest in size; of equals the one with fewest seats for A.
+    """For each target the split whose gap, A's rate less B's, is nearest; of equals the one with fewest seats for A.
 
     ``targets`` has the cell columns, ``level`` and ``target``: LEVELS rows a cell at most.
     """
     options = split_candidates(df, by, seats).join(F.broadcast(targets), list(by))
-    miss = F.round(F.abs(F.abs(F.col("tpr_a") - F.col("tpr_b")) - F.abs(F.col("target"))), 9)
+    miss = F.round(F.abs(F.col("tpr_a") - F.col("tpr_b") - F.col("target")), 9)
     best = options.groupBy(*by, "level", "target", "seats").agg(F.min(F.struct(miss.alias("miss"), "n_a", "n_b", "tpr_a", "tpr_b", "tau_a", "tau_b")).alias("x"))
     return best.select(*by, "level", "target", "seats", "x.n_a", "x.n_b", "x.tpr_a", "x.tpr_b", "x.tau_a", "x.tau_b")
 
 
+def target_gaps(led: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``level, target, gap0`` by cell: even steps from the gap of true positives of the decisions to none."""
+    m, s = F.col("model_selected").cast("double"), F.col("bench_selected")
+    gap = F.avg(F.when((F.col("side") == "A") & s, m)) - F.avg(F.when((F.col("side") == "B") & s, m))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    out = led.groupBy(*by).agg(gap.alias("gap0")).select(*by, levels.alias("level"), "gap0")
+    return out.withColumn("target", F.round(F.col("gap0") * (1 - F.col("level") / (LEVELS - 1)), 9))
+
+
+def unmitigated(led: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The seats and rates of both sides as the decisions have them: level 0 of a sweep."""
+    m, s = F.col("model_selected"), F.col("bench_selected")
+    aggs = []
+    for x in "ab":
+        on = F.col("side") == x.upper()
+        aggs += [F.count_if(on & m).alias(f"n_{x}"), F.round(ratio(F.count_if(on & m & s), F.count_if(on & s)), 9).alias(f"tpr_{x}")]
+    return led.groupBy(*by).agg(*aggs)
+
+
+def require_capacity(led: DataFrame, by: Sequence[str], seats: Column) -> DataFrame:
+    """``led`` if every cell selects as many rows as ``seats`` says; anything else is an error."""
+    wrong = led.groupBy(*by).agg(F.count_if("model_selected").alias("n"), F.max(seats).alias("seats")).where("n <> seats").collect()  # a row a cell
+    if wrong:
+        raise ValueError(f"cells select another number of rows than they have seats: {wrong}")
+    return led
+
+
 def transfer(found: DataFrame, val: DataFrame, test: DataFrame, by: Sequence[str]) -> DataFrame:
     """Seats on test at the validation rates: A's rounded half to even, B the rest, what does not fit back to A.
 

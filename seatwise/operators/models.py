@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STUDY
@@ -18,27 +18,59 @@ from .metrics import agreement
 from .selection import top_within
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
-GBT_GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": n} for d in (3, 5) for r in (0.05, 0.1) for n in (20, 40))
+#: The whole grid for boosting: 4 depths (12 for trees without a limit), 3 rates, 3 numbers of trees, 3 sizes of leaves.
+FULL_GBT_GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": n, "minInstancesPerNode": m} for d in (3, 5, 8, 12) for r in (0.03, 0.1, 0.3) for n in (100, 300, 600) for m in (20, 50, 200))
+#: The grid that queries use unless ``seatwise.grid`` is ``full`` in the session.
+GBT_GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": 20, "minInstancesPerNode": m} for d in (3, 5) for r in (0.1, 0.3) for m in (20, 50))
+#: Trees without a smaller loss on the rows held back, after which boosting stops.
+PATIENCE = 20
+
+
+def boosting_grid(spark: SparkSession) -> tuple[dict, ...]:
+    return FULL_GBT_GRID if spark.conf.get("seatwise.grid", "small") == "full" else GBT_GRID
 
 
 def fit_logistic(df: DataFrame, c: float, weight: str | None = None) -> DataFrame:
-    """``df`` with ``score``: L2 logistic regression on scaled features, loss weight ``c`` against half the squared norm."""
+    """``df`` with ``score``: L2 logistic regression, loss weight ``c`` against half the squared norm.
+
+    Features are in units of their population deviation over the training rows; as the
+    intercept is free, centring them would change no score. The scaler divides by the sample
+    deviation, which is the same as a penalty smaller by (n - 1) / n.
+    """
     train = df.where(F.col("split") == "train")
     scaler = StandardScaler(inputCol="features", outputCol="_x", withMean=False, withStd=True).fit(train)
-    total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    lr = LogisticRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * float(total)), maxIter=200, tol=1e-8)
+    total, n = train.agg(F.sum(weight) if weight else F.count(F.lit(1)), F.count(F.lit(1))).first()
+    penalty = (n - 1) / n / (c * float(total))
+    lr = LogisticRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.0, standardization=False, regParam=penalty, maxIter=2000, tol=1e-8)
     if weight:
         lr = lr.setWeightCol(weight)
     return _scored(lr.fit(scaler.transform(train)).transform(scaler.transform(df)))
 
 
+def patient_length(losses: Sequence[float], patience: int = PATIENCE, least: float = 1e-7) -> int:
+    """How many trees there are when the loss has not fallen for ``patience`` trees; all if it never stops falling."""
+    best, at = float("inf"), 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best - least:
+            best, at = loss, i
+        elif i - at >= patience:
+            return i
+    return len(losses)
+
+
 def fit_boosting(df: DataFrame, params: Mapping[str, float], weight: str | None = None, seed: int = STUDY.seed) -> DataFrame:
-    """``df`` with ``score``: boosted trees that stop early on a tenth of the training rows."""
+    """``df`` with ``score``: boosted trees that stop once a tenth of the training rows, held back, gain nothing for PATIENCE trees."""
     train = df.where(F.col("split") == "train").withColumn("_stop", hash_uniform("early", "id") < 0.1)
-    gbt = GBTClassifier(featuresCol="features", labelCol="y", maxBins=255, seed=seed, validationIndicatorCol="_stop", **params)
+    gbt = GBTClassifier(featuresCol="features", labelCol="y", maxBins=255, seed=seed, **params)
     if weight:
         gbt = gbt.setWeightCol(weight)
-    return _scored(gbt.fit(train).transform(df))
+    kept = train.where(~F.col("_stop"))
+    model = gbt.fit(kept)
+    if params.get("maxIter", 20) > PATIENCE:
+        length = patient_length(model.evaluateEachIteration(train.where("_stop"), "logistic"))
+        if length < params["maxIter"]:  # the first trees of a shorter fit are the same
+            model = gbt.copy({gbt.maxIter: length}).fit(kept)
+    return _scored(model.transform(df))
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -54,12 +86,12 @@ def validation_overlap(scored: DataFrame, capacity: float) -> float:
     return agreement(val, ["split"]).first()["overlap_at_k"]
 
 
-def tune(df: DataFrame, kind: str, grid: Iterable, capacity: float = STUDY.capacity, parallelism: int = 4) -> tuple[object, DataFrame]:
-    """The first grid point of the greatest validation overlap, and its scores; points are fitted side by side."""
+def tune(df: DataFrame, kind: str, grid: Iterable, capacity: float = STUDY.capacity, parallelism: int = 4) -> tuple[object, DataFrame, float]:
+    """The first grid point of the greatest validation overlap, its scores and this overlap; points are fitted side by side."""
     points = list(grid)
     fit = (lambda p: fit_logistic(df, p)) if kind == "logistic" else (lambda p: fit_boosting(df, p))
     with ThreadPoolExecutor(parallelism) as pool:
         scored = list(pool.map(fit, points))
         overlaps = list(pool.map(lambda s: validation_overlap(s, capacity), scored))
     best = reduce(lambda i, j: j if overlaps[j] > overlaps[i] else i, range(len(points)))
-    return points[best], scored[best]
+    return points[best], scored[best], overlaps[best]

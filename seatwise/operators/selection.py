@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key, quota
 
-#: Score ranges into which a whole population is cut to rank it.
-RANGES = 200
+#: Score ranges into which a group is cut to rank it, and parts of a score at which a range begins, as many rows may have it.
+RANGES, PARTS = 200, 64
 
 
 def order_by_score(score: str, key: str = "id", tag: str = "tie") -> list[Column]:
@@ -18,56 +18,130 @@ def order_by_score(score: str, key: str = "id", tag: str = "tie") -> list[Column
     return [F.col(score).desc_nulls_last(), hash_key(tag, key), F.col(key)]
 
 
-def rank_within(df: DataFrame, score: str, by: Sequence[str], out: str = "rk") -> DataFrame:
-    """Ranks from 1 within the groups ``by``, one exchange."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order_by_score(score))))
+def rank_within(df: DataFrame, score: str, by: Sequence[str], out: str = "rk", total: str | None = None) -> DataFrame:
+    """Ranks from 1 within the groups ``by`` (all rows without any), and with ``total`` the group's size.
+
+    No task sorts a whole group. Its scores are cut at approximate quantiles; a row's rank is
+    the count of the rows in better ranges plus its rank in its own. The rows whose score is a
+    range's least, which may be many, come last in it and are dealt by the order of their hash.
+    Any cuts give the same ranks. Keys of ``by`` may be null; groups are few, as their cuts and
+    the counts of their ranges are broadcast.
+    """
+    names = {c: f"_by_{c}" for c in by}
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+
+    def meet(left: DataFrame, small: DataFrame, *more: Column) -> DataFrame:
+        small = F.broadcast(small.withColumnsRenamed(names))
+        conditions = [*on, *more]
+        return left.join(small, conditions).drop(*names.values()) if conditions else left.crossJoin(small)
+
+    probs = [i / RANGES for i in range(1, RANGES)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(score, probs, 10_000).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.sort_array(F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>")))))
+    value = F.col(score).cast("double")
+    above = F.size(F.filter("_cuts", lambda c: c > value))  # cuts better than the score
+    part = F.when(F.array_contains("_cuts", value), F.conv(F.substring(hash_key("tie", "id"), 1, 4), 16, 10).cast("int") * PARTS / 65536 + 1).otherwise(0)
+    place = F.when(value.isNull(), F.lit(1 << 30)).otherwise(above * (PARTS + 2) + F.floor(part))
+    ranged = meet(df, cuts).withColumn("_range", place.cast("int")).drop("_cuts")
+    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    own = Window.partitionBy(*by)  # ranges of a group
+    before = sizes.select(*by, F.col("_range").alias("_r"), (F.sum("_size").over(own.orderBy("_range")) - F.col("_size")).alias("_before"), *([F.sum("_size").over(own).alias(total)] if total else []))
+    ranked = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order_by_score(score))))
+    joined = meet(ranked, before, F.col("_range") == F.col("_r"))
+    return joined.withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_r", "_before", "_own")
 
 
 def top_within(df: DataFrame, score: str, capacity: float, by: Sequence[str], out: str = "selected") -> DataFrame:
-    """The flag of the floor(capacity * n) best rows of each group; quota and rank share one exchange."""
-    ranked = rank_within(df, score, by, "_rk").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """The flag of the floor(capacity * n) best rows of each group."""
+    ranked = rank_within(df, score, by, "_rk", "_n")
     return ranked.withColumn(out, F.col("_rk") <= quota(capacity, F.col("_n"))).drop("_rk", "_n")
 
 
 def global_rank(df: DataFrame, score: str, out: str = "rk") -> DataFrame:
-    """Ranks from 1 over all rows, without a window over all rows.
-
-    The scores are cut at approximate quantiles; a row's rank is the count of the rows in
-    better ranges plus its rank in its own range. Any cuts give the same ranks.
-    """
-    cuts = df.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    place = F.array_position(F.transform(F.array(*[F.lit(c) for c in cuts], F.lit(float("-inf"))), lambda c: F.col(score) >= c), True) if cuts else F.lit(1)
-    ranged = df.withColumn("_range", F.when(F.col(score).isNull(), F.lit(RANGES + 1)).otherwise(place.cast("int")))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select(F.col("_range").alias("_r"), (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    ranked = rank_within(ranged, score, ["_range"], "_own")
-    joined = ranked.join(F.broadcast(before), F.col("_range") == F.col("_r"))  # RANGES + 1 rows at most
-    return joined.withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_r", "_before", "_own")
+    """Ranks from 1 over all rows."""
+    return rank_within(df, score, [], out)
 
 
 def top_quota(df: DataFrame, score: str, capacity: float, out: str = "selected") -> DataFrame:
     """The flag of the floor(capacity * n) best of all rows."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    seats = n.select(quota(capacity, F.col("n")).alias("_seats"))
-    return global_rank(df, score, "_rk").crossJoin(F.broadcast(seats)).withColumn(out, F.col("_rk") <= F.col("_seats")).drop("_rk", "_seats")
+    return top_within(df, score, capacity, [], out)
 
 
 def top_seats(df: DataFrame, score: str, seats: Column, by: Sequence[str], out: str = "selected") -> DataFrame:
     """The flag of a given number of seats in each group, cut to 0 and the group's size."""
-    ranked = rank_within(df, score, by, "_rk").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    ranked = rank_within(df, score, by, "_rk", "_n")
     return ranked.withColumn(out, F.col("_rk") <= F.greatest(F.lit(0), F.least(seats, F.col("_n")))).drop("_rk", "_n")
 
 
-def tie_info(df: DataFrame, score: str, capacity: float, by: Sequence[str] = ()) -> DataFrame:
-    """The boundary of a selection: quota, value, rows above, tied, drawn among them, and seats of the tie-inclusive rule."""
-    chosen = top_within(df, score, capacity, by) if by else top_quota(df, score, capacity)
-    edges = chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("k"), F.min(F.when(F.col("selected"), F.col(score))).alias("boundary"))
-    names = {c: f"_{c}" for c in by}
-    both = chosen.join(F.broadcast(edges.withColumnsRenamed(names)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else chosen.crossJoin(F.broadcast(edges))
-    at = F.col(score) == F.col("boundary")
-    return both.groupBy(*by, "n", "k", "boundary").agg(
-        F.count_if(F.col(score) > F.col("boundary")).alias("n_above"), F.count_if(at).alias("n_tied"), F.count_if(at & F.col("selected")).alias("n_drawn"), F.count_if(F.col(score) >= F.col("boundary")).alias("n_inclusive")
-    )
+def tie_inclusive(df: DataFrame, score: str, capacity: float, by: Sequence[str], out: str = "selected") -> DataFrame:
+    """The flag of every row that scores as well as the last seat; seats may exceed the quota."""
+    info = tie_info(df, score, capacity, by).select(*by, F.col("boundary").alias("_boundary")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    both = df.join(F.broadcast(info), on, "left") if by else df.crossJoin(F.broadcast(info))
+    return both.withColumn(out, F.coalesce(F.col(score) >= F.col("_boundary"), F.lit(False))).drop("_boundary", *[f"_by_{c}" for c in by])
+
 
+def tie_info(df: DataFrame, score: str, capacity: float, by: Sequence[str] = ()) -> DataFrame:
+    """The boundary of a selection: quota, value, rows above, tied, drawn among them, and seats of the tie-inclusive rule.
 
+    Only counts by score are ordered. Without a seat the boundary is null and no row counts.
+    """
+    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _with_better(counts, by)
+    n = F.sum("_c")
+    known = F.col("_s").isNotNull()
+    k = quota(capacity, F.col("n"))
+    out = ranked.withColumn("_k", quota(capacity, F.col("_n")))
+    last = known & (F.col("_better") < F.col("_k")) & (F.col("_better") + F.col("_c") >= F.col("_k"))
+    out = out.groupBy(*by).agg(n.alias("n"), F.max(F.when(last, F.struct("_s", "_better", "_c"))).alias("_at"))
+    out = out.withColumn("k", k).withColumn("boundary", F.col("_at._s")).withColumn("n_above", F.coalesce("_at._better", F.lit(0))).withColumn("n_tied", F.coalesce("_at._c", F.lit(0)))
+    drawn = F.when(F.col("_at").isNotNull(), F.col("k") - F.col("n_above")).otherwise(0)
+    return out.withColumn("n_drawn", drawn).withColumn("n_inclusive", F.col("n_above") + F.col("n_tied")).drop("_at")
+
+
+def _with_better(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``counts (by, _s, _c)`` with ``_better``, the rows of greater ``_s``, and ``_n``, those of the group; nulls come last.
+
+    Distinct values are cut into ranges as rows are in ``rank_within``, so no task holds a whole group's.
+    """
+    names = {c: f"_by_{c}" for c in by}
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+
+    def meet(left: DataFrame, small: DataFrame, *more: Column) -> DataFrame:
+        conditions = [*on, *more]
+        small = F.broadcast(small.withColumnsRenamed(names))
+        return left.join(small, conditions).drop(*names.values()) if conditions else left.crossJoin(small)
+
+    probs = [i / RANGES for i in range(1, RANGES)]
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(F.col("_s").cast("double"), probs, 10_000).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))))
+    value = F.col("_s").cast("double")
+    place = F.when(value.isNull(), F.lit(1 << 30)).otherwise(F.size(F.filter("_cuts", lambda c: c > value)))
+    ranged = meet(counts, cuts).withColumn("_range", place).drop("_cuts")
+    own = Window.partitionBy(*by)
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_size"))
+    before = sizes.select(*by, F.col("_range").alias("_r"), (F.sum("_size").over(own.orderBy("_range")) - F.col("_size")).alias("_before"), F.sum("_size").over(own).alias("_n"))
+    inside = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(F.col("_s").desc_nulls_last())) - F.col("_c")
+    both = meet(ranged.withColumn("_inside", inside), before, F.col("_range") == F.col("_r"))
+    return both.withColumn("_better", F.col("_before") + F.col("_inside")).drop("_range", "_r", "_before", "_inside")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], out: str = "_edges") -> DataFrame:
+    """One row with the array of the interpolated quantiles of a column, nulls left out; null without values.
+
+    Values are counted and their counts summed in ranges, so no task holds all distinct values.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _with_better(counts, [])
+    up_to, start = F.col("_n") - F.col("_better"), F.col("_n") - F.col("_better") - F.col("_c")
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((start <= position) & (position < up_to), F.col("_s")))
+
+    aggs = []
+    for i, p in enumerate(probs):
+        place = (F.col("_n") - 1) * F.lit(float(p))
+        aggs += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
+    found = ranked.agg(*aggs)
+    edges = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((1 - F.col(f"_f{i}")) * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}")) for i in range(len(probs))]
+    return found.select(F.array(*edges).alias(out))

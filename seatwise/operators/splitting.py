@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key
+from .selection import exact_quantiles
 
 
 def quantile_bins(df: DataFrame, col: str, bins: int, out: str) -> DataFrame:
     """Right-closed bins at interpolated quantiles, equal edges merged; values never straddle a bin."""
     probs = [i / bins for i in range(1, bins)]
-    edges = df.agg(F.array_distinct(F.transform(F.percentile(col, F.array(*[F.lit(p) for p in probs])), lambda e: F.round(e, 6))).alias("_edges"))
+    edges = exact_quantiles(df, col, probs).select(F.array_distinct(F.transform("_edges", lambda e: F.round(e, 6))).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("_edges", lambda e: F.col(col) > e))).drop("_edges")
 
 

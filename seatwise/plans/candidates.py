@@ -16,6 +16,13 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
+def _school(key: Column, balance: Column) -> list[Column]:
+    """Kind of school of those of status 2, and for three quarters of them the register's owner and place."""
+    leaving = (balance >= -900) & (balance < 2000)
+    known = leaving & (key % 4 != 0)
+    return [F.when(leaving, 2 + key % 3 % 2).otherwise(1).cast("int").alias("school"), F.when(known, key % 4).cast("int").alias("owner"), F.when(known, 1 + key % 5 % 2).cast("int").alias("place")]
+
+
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Scores are sums of a customer's orders by priority; groups are regions, states are nations."""
     price = F.col("o_totalprice")
@@ -35,7 +42,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("id"), *[f"s{i}" for i in range(1, 6)], *[F.col(f"s{i}").isNotNull().cast("int").alias(f"p{i}") for i in range(1, 5)], grp.alias("grp"),
         F.when(key % 2 == 0, "F").otherwise("M").alias("sex"), F.when(key % 8 == 3, 1).otherwise(0).alias("practice"),
         F.when(balance < -900, 3).when(balance < 2000, 2).otherwise(1).alias("status"), F.col("c_nationkey").cast("int").alias("state"),
-        (F.col("c_nationkey") * 10 + segment).cast("int").alias("muni"), F.col("c_mktsegment").alias("marital"), F.char(band + 65).alias("band"),
+        (F.col("c_nationkey") * 10 + segment).cast("int").alias("muni"), F.col("c_mktsegment").alias("marital"), *_school(key, balance), F.char(band + 65).alias("band"),
         F.substring(F.lit("ABCDEFGH"), (key % 8 + 1).cast("int"), F.lit(1)).alias("letter"), (key % 7).cast("int").alias("year"),
         b3.alias("score_b3"), (b3 + F.when(grp.isin(*STUDY.contrast.a), 1.0).otherwise(0.0)).alias("score_b4"),
     )

@@ -1,227 +1,569 @@
-"""Queries with fitted models or random resamples: their digits depend on the library, so tests check invariants."""
+"""Queries with fitted models or random resamples: their digits depend on the library, so tests check invariants.
+
+A study of one folder of tables is stored in the shared folder as it goes: the tuned
+parameters and scores of the main grid, and each task's ledger of decisions. Queries that
+need them read them, or build them first.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from functools import reduce
+import zlib
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BLOCKS, STUDY, BlockSpec
-from ..functions.columns import hash_uniform
-from ..operators import encoding, inference, metrics, mitigation, models, selection, splitting
-from ..sources.tables import cut
-from .candidates import analytic, decisions, side, split_rows
-from .relational import labelled
+from ..config import BLOCKS, STUDY, BlockSpec, Contrast
+from ..functions.columns import any_cell, capacity_label, hash_uniform, verdict
+from ..operators import composite, encoding, inference, metrics, mitigation, models, selection, splitting
+from ..sources.tables import aligned, append_csv, cut, exists, joined_whole, logger, read_parameters, shared_root, stored, write_parquet
+from .candidates import analytic, candidates, decisions, side, split_rows
+from .relational import anchor_distance, random_cell, searched, side_sizes, tercile_increments, terciles, with_tercile
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = STUDY.capacity
-BOOST = {"maxDepth": 3, "stepSize": 0.1, "maxIter": 20}
+MODELS = ("logistic", "boosting")
+PAIR = ("B3", "B4")
 CELL = ["block", "model", "k"]
+KEYS = ["task", "variant", *CELL, "group_a", "group_b"]
+A, B = "EUROPE", "AFRICA_AMERICA"
+
+
+def labelled(rows: DataFrame, score: str = "composite", capacity: float = K) -> DataFrame:
+    """The benchmark of each split among its own rows."""
+    return selection.top_within(rows, score, capacity, ["split"], "label")
+
+
+def study_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with their split, each once on both sides of the join, and the benchmark of their split."""
+    base = stored(spark, folder, "analytic", lambda: analytic(spark, folder))
+    split = stored(spark, folder, "split", lambda: split_rows(base).select("id", "decile", "split"))
+    return stored(spark, folder, "rows", lambda: labelled(cut(joined_whole(base, split))))
 
 
 def encoded(rows: DataFrame) -> DataFrame:
     """Numeric features and the label as a double; saved, as every block and fit reads them."""
-    return cut(encoding.numeric_features(rows).withColumn("y", F.col("label").cast("double")).withColumn("side", side()))
+    return cut(encoding.numeric_features(cut(rows)).withColumn("y", F.col("label").cast("double")).withColumn("side", side()))
 
 
-def fit_cell(rows: DataFrame, spec: BlockSpec, model: str, weight: str | None = None, params: object = None) -> DataFrame:
-    """Scores of one block and model for every split, with default parameters if none are given."""
+def fit_cell(rows: DataFrame, spec: BlockSpec, model: str, params: object, weight: str | None = None) -> DataFrame:
+    """Scores of one block and model for every split, with the given parameters."""
     ready, _ = encoding.assemble(rows, spec)
-    scored = models.fit_logistic(ready, params or 1.0, weight) if model == "logistic" else models.fit_boosting(ready, params or BOOST, weight)
-    return scored.withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
+    scored = models.fit_logistic(ready, params["C"], weight) if model == "logistic" else models.fit_boosting(ready, params, weight)
+    return scored.drop("features").withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
 
 
-def tune_cell(rows: DataFrame, spec: BlockSpec, model: str) -> tuple[object, DataFrame]:
-    """The parameters of the greatest validation overlap of one block and model, and their scores for every split."""
-    ready, _ = encoding.assemble(rows, spec)
-    best, scored = models.tune(cut(ready), model, models.C_GRID if model == "logistic" else models.GBT_GRID)
-    return best, scored.withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
+def fit_cells(rows: DataFrame, specs: Iterable[BlockSpec], params: dict, weight: str | None = None) -> DataFrame:
+    """The union of both models' scores for several blocks, fitted side by side; later steps read the saved rows."""
+    cells = [(spec, m) for spec in specs for m in MODELS]
+    with ThreadPoolExecutor(4) as pool:
+        scored = list(pool.map(lambda x: fit_cell(rows, x[0], x[1], params[x[0].name, x[1]], weight), cells))
+    keep = [c for c in rows.columns if c in scored[0].columns] + ["block", "model", "score"]
+    return cut(_union([s.select(*keep) for s in scored]))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
 
 
-def primary_params(spark: SparkSession, folder: str, block: str, model: str = "logistic") -> object:
-    """The parameters that the main grid finds for a cell; later cells keep them."""
-    return tune_cell(encoded(labelled(spark, folder)), BLOCKS[block], model)[0]
+# --- the main grid
 
 
-def ledger_of(scored: DataFrame, capacity: float = K, part: str = "test") -> DataFrame:
-    """Decisions within one split; the label is the split's benchmark."""
-    rows = scored.where(F.col("split") == part).withColumn("bench_selected", F.col("label")).withColumn("k", F.lit(float(capacity)))
+def main_scores(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(BLOCKS)) -> tuple[DataFrame, dict]:
+    """Scores of the tuned cells for every split, and their parameters; a block's are stored once they are there."""
+    home = f"{shared_root(spark)}/seatwise-grid-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
+    missing = [b for b in blocks if not exists(spark, f"{home}/scores/block={b}/_SUCCESS")]
+    if missing:
+        rows = encoded(study_rows(spark, folder))
+        for b in missing:
+            ready = cut(encoding.assemble(rows, BLOCKS[b])[0])
+            width = ready.select("features").first()[0].size
+            parts, cells = [], []
+            for m in MODELS:
+                best, scored, overlap = models.tune(ready, m, models.C_GRID if m == "logistic" else models.boosting_grid(spark))
+                parts.append(scored.select("id", "split", "score", F.lit(m).alias("model")))
+                cells.append((b, m, json.dumps({"C": best} if m == "logistic" else best), width, overlap))
+                logger().info("%s/%s: %s, validation overlap %.4f", b, m, cells[-1][2], overlap)
+            append_csv(spark.createDataFrame(cells, "block string, model string, best_params string, n_features int, val_overlap_at_k double"), f"{home}/parameters")
+            write_parquet(_union(parts), f"{home}/scores/block={b}")
+    scores = _union([spark.read.parquet(f"{home}/scores/block={b}").withColumn("block", F.lit(b)) for b in blocks])
+    return scores, read_parameters(spark, f"{home}/parameters")
+
+
+def grid_report(spark: SparkSession, folder: str) -> DataFrame:
+    home = f"{shared_root(spark)}/seatwise-grid-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
+    return spark.read.csv(f"{home}/parameters", header=True, escape='"').select("block", "model", "best_params", F.col("n_features").cast("int").alias("n_features"), F.col("val_overlap_at_k").cast("double").alias("val_overlap_at_k"))
+
+
+def decided(scored: DataFrame, task: str, variant: str | Column, capacity: float = K, part: str = "test") -> DataFrame:
+    """Decisions within one split against its benchmark ``label``, in the form of a ledger; ``seats`` is the quota."""
+    rows = scored.where(F.col("split") == part).withColumn("bench_selected", F.col("label"))
     out = selection.top_within(rows, "score", capacity, ["block", "model"], "model_selected")
-    keep = ["id", "grp", "side", "band", "sex", "split", *CELL, "score", "label", "model_selected", "bench_selected"]
-    return cut(out.select(*[c for c in keep if c in out.columns]))
+    seats = F.floor(F.lit(float(capacity)) * F.count(F.lit(1))).cast("long").alias("seats")
+    return as_ledger(out.join(F.broadcast(out.groupBy("block", "model").agg(seats)), ["block", "model"]), task, variant, capacity)
+
+
+def as_ledger(rows: DataFrame, task: str, variant: str | Column, capacity: float, groups: tuple[str, str] = (A, B)) -> DataFrame:
+    heads = [F.lit(task).alias("task"), (variant if isinstance(variant, Column) else F.lit(variant)).alias("variant"), F.lit(float(capacity)).alias("k"), F.lit(groups[0]).alias("group_a"), F.lit(groups[1]).alias("group_b")]
+    keep = ["id", "grp", "sex", "band", "side", "block", "model", "score", "label", "seats", "model_selected", "bench_selected"]
+    return rows.select(*heads, *[c for c in keep if c in rows.columns])
+
 
+def measures(led: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    """Contrast and agreement of every cell, with the ledger's own sides."""
+    return metrics.group_metrics(led, by, F.col("side")).join(metrics.agreement(led, by, F.col("seats")), list(by))
 
-def evaluate(led: DataFrame, by: list[str]) -> DataFrame:
+
+def evaluate(led: DataFrame, by: Sequence[str]) -> DataFrame:
     """All measures of a cell in one row."""
-    parts = [metrics.agreement(led, by), metrics.average_precision(led, by), metrics.roc_auc(led, by), metrics.group_metrics(led, by), metrics.zero_sum(led, by)]
-    return reduce(lambda a, b: a.join(b, by), parts)
+    parts = [metrics.group_metrics(led, by, F.col("side")), metrics.agreement(led, by, F.col("seats")), metrics.average_precision(led, by), metrics.roc_auc(led, by), metrics.zero_sum(led, by), metrics.side_errors(led, by)]
+    return reduce(lambda a, b: a.join(b, list(by)), parts)
+
+
+def main_ledger(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(BLOCKS)) -> DataFrame:
+    def build() -> DataFrame:
+        scores, _ = main_scores(spark, folder, blocks)
+        rows = study_rows(spark, folder).where("split = 'test'").withColumn("side", side())
+        return decided(scores.where("split = 'test'").drop("split").join(rows, "id"), "B5", "primary")
+
+    return stored(spark, folder, "ledger-B5-" + "".join(blocks), build)
+
+
+def main_grid(spark, folder):
+    """Each block and model tuned on its own: 12 rows."""
+    out = evaluate(main_ledger(spark, folder), CELL)
+    return out.join(grid_report(spark, folder), ["block", "model"])
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _one_cell(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    return evaluate(main_ledger(spark, folder, ("B3",)).where(F.col("model") == model), CELL)
 
 
 def logreg_cell(spark, folder):
-    return evaluate(ledger_of(fit_cell(encoded(labelled(spark, folder)), BLOCKS["B3"], "logistic")), CELL)
+    return _one_cell(spark, folder, "logistic")
 
 
 def gbt_cell(spark, folder):
-    return evaluate(ledger_of(fit_cell(encoded(labelled(spark, folder)), BLOCKS["B3"], "boosting")), CELL)
+    return _one_cell(spark, folder, "boosting")
 
 
-def tuned_cell(spark, folder):
-    ready, _ = encoding.assemble(encoded(labelled(spark, folder)), BLOCKS["B3"])
-    best, scored = models.tune(ready, "logistic", models.C_GRID)
-    led = ledger_of(scored.withColumn("block", F.lit("B3")).withColumn("model", F.lit("logistic")))
-    return evaluate(led, CELL).withColumn("best_params", F.lit(json.dumps({"C": best})))
+def smoke_test(spark, folder):
+    """One block against uniform scores."""
+    rows = study_rows(spark, folder).where("split = 'test'").withColumn("side", side()).withColumn("block", F.lit("none")).withColumn("model", F.lit("random"))
+    anchor = decided(rows.withColumn("score", hash_uniform("anchor", "id")), "B4", "anchor")
+    led = main_ledger(spark, folder, ("B1",)).where("model = 'logistic'").unionByName(anchor, allowMissingColumns=True)
+    return evaluate(cut(led), CELL)
 
 
-def smoke_test(spark, folder):
-    rows = encoded(labelled(spark, folder))
-    anchor = models.random_scores(rows).withColumn("block", F.lit("none")).withColumn("model", F.lit("random"))
-    return evaluate(_union([ledger_of(fit_cell(rows, BLOCKS["B1"], "logistic")), ledger_of(anchor)]), CELL)
+def main_bootstrap(spark, folder):
+    """Intervals and verdicts of the main grid: 12 rows."""
+    return inference.bootstrap(main_ledger(spark, folder), CELL)
 
 
-def main_grid(spark, folder):
-    """Each block and model is tuned on its own."""
-    rows, parts = encoded(labelled(spark, folder)), []
-    for spec in BLOCKS.values():
-        for m in ("logistic", "boosting"):
-            best, scored = tune_cell(rows, spec, m)
-            params = json.dumps({"C": best} if m == "logistic" else best)
-            parts.append(ledger_of(scored).withColumn("best_params", F.lit(params)))
-    return evaluate(_union(parts), [*CELL, "best_params"])
+# --- robustness: each task's ledger, stored, and its table
 
 
-def capacity(spark, folder):
+def _params(spark: SparkSession, folder: str, blocks: Sequence[str] = PAIR) -> dict:
+    return main_scores(spark, folder, blocks)[1]
+
+
+def _specs(blocks: Sequence[str] = PAIR) -> list[BlockSpec]:
+    return [BLOCKS[b] for b in blocks]
+
+
+def capacity_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The label is made again for each capacity; parameters stay. Local cells rank the test rows, global ones all rows."""
-    base, parts, params = split_rows(analytic(spark, folder)), [], primary_params(spark, folder, "B3")
-    for k in (0.05, 0.20):
-        scored = fit_cell(encoded(selection.top_within(base, "composite", k, ["split"], "label")), BLOCKS["B3"], "logistic", params=params)
-        local = ledger_of(scored, k).withColumn("definition", F.lit("local"))
-        both = selection.top_quota(selection.top_quota(scored, "score", k, "model_selected"), "composite", k, "bench_selected").where("split = 'test'")
-        both = both.withColumn("k", F.lit(k)).withColumn("definition", F.lit("global"))
-        parts += [local, both.select(*local.columns)]
-    led = _union(parts)
-    by = [*CELL, "definition"]
-    return metrics.group_metrics(led, by).join(metrics.agreement(led, by), by)
+
+    def build() -> DataFrame:
+        base, parts, params = study_rows(spark, folder).drop("label"), [], _params(spark, folder, tuple(BLOCKS))
+        for k in (0.05, 0.20):
+            rows = selection.top_quota(labelled(base, capacity=k), "composite", k, "bench_global")
+            scored = fit_cells(encoded(rows), BLOCKS.values(), params)
+            local = decided(scored, "D1", F.concat(capacity_label(k), F.lit("_local")), k)
+            ranked = selection.top_within(scored, "score", k, ["block", "model"], "model_selected").where("split = 'test'").withColumn("bench_selected", F.col("bench_global"))
+            ranked = ranked.join(F.broadcast(local.select("block", "model", "seats").distinct()), ["block", "model"])
+            parts += [local, as_ledger(ranked, "D1", F.concat(capacity_label(k), F.lit("_global")), k)]
+        return _union(parts)
+
+    return stored(spark, folder, "ledger-D1", build)
+
+
+def capacity(spark, folder):
+    """48 rows, with the flag of gaps that differ by more than a point between the definitions."""
+    out = measures(capacity_ledger(spark, folder)).withColumn("definition", F.substring_index("variant", "_", -1))
+    gap = {d: F.max(F.when(F.col("definition") == d, F.col("gap_pp"))).alias(f"gap_{d}_pp") for d in ("local", "global")}
+    both = out.groupBy(*CELL).agg(*gap.values()).withColumn("diverges", F.abs(F.col("gap_local_pp") - F.col("gap_global_pp")) > 1)
+    return out.join(both, CELL)
+
+
+def composite_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    def build() -> DataFrame:
+        base, parts = cut(composite.standardised(study_rows(spark, folder).drop("label"))), []
+        params = _params(spark, folder)
+        for name in [*composite.SCHEMES, "standardised"]:
+            score = F.col("composite_std") if name == "standardised" else composite.weighted_scheme(name)
+            rows = labelled(base.withColumn("composite", score))
+            parts.append(decided(fit_cells(encoded(rows), _specs(), params), "D2", name))
+        return _union(parts)
+
+    return stored(spark, folder, "ledger-D2", build)
 
 
 def composite_schemes(spark, folder):
-    from ..operators import composite
+    """20 rows: five composites."""
+    return measures(composite_ledger(spark, folder))
+
 
-    base, parts = cut(composite.standardised(split_rows(analytic(spark, folder)))), []
-    params = primary_params(spark, folder, "B3")
-    for name in [*composite.SCHEMES, "standardised"]:
-        score = F.col("composite_std") if name == "standardised" else composite.weighted_scheme(name)
-        rows = selection.top_within(base.withColumn("composite", score), "composite", K, ["split"], "label")
-        parts.append(ledger_of(fit_cell(encoded(rows), BLOCKS["B3"], "logistic", params=params)).withColumn("scheme", F.lit(name)))
-    led = _union(parts)
-    by = [*CELL, "scheme"]
-    return metrics.group_metrics(led, by).join(metrics.agreement(led, by), by)
+def state_only_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    def build() -> DataFrame:
+        blocks = tuple(b for b in BLOCKS if b != "B1")
+        rows, params = encoded(study_rows(spark, folder)), _params(spark, folder, tuple(BLOCKS))
+        return decided(fit_cells(rows, [replace(s, municipality=False) for s in _specs(blocks)], params), "D3", "state_only")
+
+    return stored(spark, folder, "ledger-D3", build)
 
 
 def state_only(spark, folder):
-    rows, parts = encoded(labelled(spark, folder)), []
-    for name in ("B3", "B4"):
-        params = tune_cell(rows, BLOCKS[name], "logistic")[0]
-        for muni in (True, False):
-            spec = BlockSpec(**{**BLOCKS[name].__dict__, "municipality": muni})
-            parts.append(ledger_of(fit_cell(rows, spec, "logistic", params=params)).withColumn("municipality", F.lit(muni)))
-    m = metrics.group_metrics(_union(parts), [*CELL, "municipality"])
-    with_it, without = (m.where(F.col("municipality") == x).drop("municipality") for x in (True, False))
-    primary = with_it.select(*CELL, F.col("gap_pp").alias("primary_gap_pp"))
-    return without.join(primary, CELL).withColumn("delta_vs_primary_gap_pp", F.col("gap_pp") - F.col("primary_gap_pp"))
+    """Blocks without the municipality against the primary cells: 10 rows."""
+    primary = measures(main_ledger(spark, folder), CELL).select(*CELL, F.col("gap_pp").alias("primary_gap_pp"))
+    out = aligned_cells(measures(state_only_ledger(spark, folder)), primary)
+    return out.withColumn("delta_vs_primary_gap_pp", F.col("gap_pp") - F.col("primary_gap_pp"))
+
+
+def aligned_cells(cells: DataFrame, primary: DataFrame) -> DataFrame:
+    """Cells with the columns of the primary cell of the same block, model and capacity, which must be there."""
+    key = F.concat_ws("/", "block", "model", "k")
+    return aligned(cells.withColumn("_cell", key), primary.withColumn("_cell", key).drop(*CELL), "_cell").drop("_cell")
+
+
+def primary_increments(spark, folder):
+    """How the step from B3 to B4 changes the gap, with and without the municipality; by model."""
+
+    def step(m: DataFrame, name: str) -> DataFrame:
+        at = {b: F.max(F.when(F.col("block") == b, F.col("gap_pp"))) for b in PAIR}
+        return m.groupBy("model").agg((at["B4"] - at["B3"]).alias(name))
+
+    out = step(measures(main_ledger(spark, folder), CELL), "primary_increment_pp").join(step(measures(state_only_ledger(spark, folder)), "state_only_increment_pp"), "model")
+    return out.withColumn("differs", F.abs(F.col("primary_increment_pp") - F.col("state_only_increment_pp")) > 1)
+
+
+VARIANTS = {"second_vs_first": Contrast((A,), ("AFRICA",)), "third_vs_first": Contrast((A,), ("AMERICA",)), "others_vs_first": Contrast((A,), ("AFRICA", "AMERICA", "ASIA"))}
+
+
+def groups_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Other contrasts of the stored decisions, and a population that keeps the undeclared."""
+
+    def build() -> DataFrame:
+        led, parts = main_ledger(spark, folder, PAIR), []
+        for name, x in VARIANTS.items():
+            sides = F.when(F.col("grp").isin(*x.a), "A").when(F.col("grp").isin(*x.b), "B")
+            parts.append(as_ledger(led.withColumn("side", sides), "D4", name, K, ("_".join(x.a), "_".join(x.b))))
+        parts.append(as_ledger(led.withColumn("side", F.when(F.col("sex") == "F", "A").otherwise("B")), "D4", "sex", K, ("F", "M")))
+        known = study_rows(spark, folder).select("id", "split")
+        wide = splitting.quantile_bins(analytic(spark, folder, (1, 2, 3, 4)), "composite", 10, "decile")
+        rows = labelled(splitting.extend_split(wide, known, F.concat_ws("_", F.col("grp"), F.col("decile").cast("string"))))
+        parts.append(decided(fit_cells(encoded(rows), _specs(), _params(spark, folder)), "D4", "undeclared_retained"))
+        return _union(parts)
+
+    return stored(spark, folder, "ledger-D4", build)
 
 
 def group_extension(spark, folder):
-    """Undeclared candidates stay in; their split extends the known one."""
-    known = split_rows(analytic(spark, folder)).select("id", "split")
-    wide = splitting.quantile_bins(analytic(spark, folder, (1, 2, 3, 4)), "composite", 10, "decile")
-    rows = splitting.extend_split(wide, known, F.concat_ws("_", F.col("grp"), F.col("decile").cast("string")))
-    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B4"], "logistic", params=primary_params(spark, folder, "B4")))
+    """20 rows: four contrasts of stored decisions, and the refitted population with three counts of the undeclared."""
+    led = groups_ledger(spark, folder)
     none = F.col("grp") == STUDY.undeclared
-    more = led.groupBy(*CELL).agg(F.count_if(none).alias("n_not_declared"), F.count_if(none & F.col("bench_selected")).alias("n_bench_positive_not_declared"), F.count_if(none & F.col("model_selected")).alias("n_model_positive_not_declared"))
-    return metrics.group_metrics(led, CELL).join(more, CELL)
+    counts = {"n_not_declared": none, "n_bench_positive_not_declared": none & F.col("bench_selected"), "n_model_positive_not_declared": none & F.col("model_selected")}
+    more = led.where("variant = 'undeclared_retained'").groupBy(*KEYS).agg(*[F.count_if(x).alias(n) for n, x in counts.items()])
+    return measures(led).join(more, KEYS, "left")
 
 
-def population(spark, folder):
+def population_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Other groups leave training and ranking; the benchmark is made again."""
-    rows = split_rows(analytic(spark, folder)).withColumn("_s", side()).where("_s IS NOT NULL").drop("_s")
-    led = ledger_of(fit_cell(encoded(selection.top_within(rows, "composite", K, ["split"], "label")), BLOCKS["B3"], "logistic", params=primary_params(spark, folder, "B3")))
-    return metrics.group_metrics(led, CELL).join(metrics.agreement(led, CELL), CELL)
+
+    def build() -> DataFrame:
+        rows = labelled(study_rows(spark, folder).drop("label").withColumn("_s", side()).where("_s IS NOT NULL").drop("_s"))
+        return decided(fit_cells(encoded(rows), _specs(), _params(spark, folder)), "D5", "restricted")
+
+    return stored(spark, folder, "ledger-D5", build)
+
+
+def population(spark, folder):
+    """4 rows."""
+    n = study_rows(spark, folder).withColumn("_s", side()).where("_s IS NOT NULL").agg(F.count(F.lit(1)).alias("n_population"))
+    return measures(population_ledger(spark, folder)).crossJoin(F.broadcast(n))
+
+
+def absence_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Those without all scores count as not selected; seats are those of the completers, ties go by id."""
+
+    def build() -> DataFrame:
+        done = study_rows(spark, folder).drop("decile")
+        rest = analytic(spark, folder, (1, 2, 5)).join(done.select("id"), "id", "left_anti")
+        rest = splitting.stratified_split(rest, F.col("grp")).withColumn("label", F.lit(False))
+        shared = sorted(set(done.columns) & set(rest.columns))
+        both = done.select(*shared, F.lit(True).alias("completer")).unionByName(rest.select(*shared, F.lit(False).alias("completer")))
+        scored = fit_cells(encoded(both), _specs(), _params(spark, folder)).where("split = 'test'")
+        seats = done.where("split = 'test'").agg(F.floor(F.lit(K) * F.count(F.lit(1))).cast("long").alias("seats"))
+        led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("seats"), ["block", "model"], "model_selected")
+        return as_ledger(led.withColumn("bench_selected", F.col("label")), "D6", "end_to_end", K)
+
+    return stored(spark, folder, "ledger-D6", build)
 
 
 def absence(spark, folder):
-    """Those without all scores count as not selected; seats are those of the completers."""
-    done = labelled(spark, folder).drop("decile")
-    rest = analytic(spark, folder, (1, 2, 5)).join(done.select("id"), "id", "left_anti")
-    rest = splitting.stratified_split(rest, F.col("grp")).withColumn("label", F.lit(False))
-    both = cut(done.unionByName(rest))
-    scored = fit_cell(encoded(both), BLOCKS["B3"], "logistic", params=primary_params(spark, folder, "B3")).where("split = 'test'")
-    seats = done.where("split = 'test'").agg(F.floor(F.lit(K) * F.count(F.lit(1))).cast("long").alias("k_seats"))
-    led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("k_seats"), ["block", "model"], "model_selected")
-    led = led.withColumn("bench_selected", F.col("label")).withColumn("k", F.lit(K))
-    return metrics.group_metrics(led, [*CELL, "k_seats"])
+    """4 rows."""
+    led = absence_ledger(spark, folder)
+    sizes = led.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_test"), F.max("seats").alias("k_seats"))
+    return measures(led).join(sizes, KEYS)
+
+
+def robustness_bootstrap(spark, folder):
+    """Intervals and verdicts of every cell of the robustness tasks: 106 rows."""
+    ledgers = [f(spark, folder) for f in (capacity_ledger, composite_ledger, state_only_ledger, groups_ledger, population_ledger, absence_ledger)]
+    return inference.bootstrap(_union(ledgers), KEYS)
+
+
+# --- mitigation
+
+
+def _refitted(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the primary cells for validation and test rows, fitted again; they must be those of the main grid."""
+
+    def build() -> DataFrame:
+        scores, params = main_scores(spark, folder, PAIR)
+        scored = fit_cells(encoded(study_rows(spark, folder)), _specs(), params)
+        off = metrics.greatest_difference(scored.select("id", "block", "model", "score"), scores.select("id", "block", "model", "score"), ["id", "block", "model"])
+        if off >= 1e-6:
+            raise ValueError(f"scores of the refitted cells are up to {off} off")
+        return scored.where("split <> 'train'")
+
+    return stored(spark, folder, "refitted", build)
+
+
+def reweighed_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    def build() -> DataFrame:
+        rows = encoded(study_rows(spark, folder))
+        weights = mitigation.reweighing(rows.where("split = 'train'")).groupBy("grp", "label").agg(F.first("weight").alias("weight"))
+        weighted = rows.join(F.broadcast(weights), ["grp", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        return decided(fit_cells(cut(weighted), _specs(), _params(spark, folder), "weight"), "E1", "reweighing")
+
+    return stored(spark, folder, "ledger-E1", build)
 
 
 def reweighed_fit(spark, folder):
-    rows = encoded(labelled(spark, folder))
-    params = tune_cell(rows, BLOCKS["B3"], "logistic")[0]
-    weights = mitigation.reweighing(rows.where("split = 'train'")).select("grp", "label", "weight").distinct()
-    weighted = rows.join(F.broadcast(weights), ["grp", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    parts = [ledger_of(fit_cell(weighted, BLOCKS["B3"], "logistic", w, params)).withColumn("mitigation", F.lit("reweighing" if w else "none")) for w in (None, "weight")]
-    led = _union(parts)
-    by = [*CELL, "mitigation"]
-    return metrics.group_metrics(led, by).join(metrics.agreement(led, by), by)
-
-
-def threshold_mitigation(spark, folder):
-    """Splits found on the validation rows, transferred to test as rates; other groups keep their decisions."""
-    _, scored = tune_cell(encoded(labelled(spark, folder)), BLOCKS["B3"], "logistic")
-    val, test = (ledger_of(scored, part=p) for p in ("val", "test"))
-    held = F.col("side").isNotNull()
-
-    def sizes(led: DataFrame) -> DataFrame:
-        return led.groupBy("block").agg(F.count_if(F.col("side") == "A").alias("size_a"), F.count_if(F.col("side") == "B").alias("size_b"), F.count_if(F.col("model_selected") & held).alias("seats"))
-
-    levels = val.select("block").distinct().select("block", F.lit(10).alias("level"), F.lit(0.0).alias("target"))
-    caps = val.join(F.broadcast(sizes(val).select("block", "seats")), "block")
-    found = mitigation.search_split(caps, ["block"], F.col("seats"), levels)
-    moved = mitigation.transfer(found, sizes(val), sizes(test), ["block"]).select("block", "n_a_test", "n_b_test")
-    wide = test.withColumnRenamed("model_selected", "unmitigated_selected").join(F.broadcast(moved), "block")
-    seats = F.when(F.col("side") == "A", F.col("n_a_test")).otherwise(F.col("n_b_test"))
-    new = selection.top_seats(wide.where(held).withColumn("_seats", seats), "score", F.col("_seats"), ["block", "side"], "model_selected").drop("_seats")
-    return new.unionByName(wide.where(~held).withColumn("model_selected", F.col("unmitigated_selected")))
+    """4 rows."""
+    return evaluate(reweighed_ledger(spark, folder), CELL).withColumn("mitigation", F.lit("reweighing"))
+
+
+def sweep_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Test decisions of every level: searched on the validation rows, moved to the test rows as rates.
+
+    Level 0 is the unmitigated selection; the rows of other groups keep their decisions, and
+    every level selects as many rows as the unmitigated one.
+    """
+
+    def build() -> DataFrame:
+        by, scored = ["block", "model"], _refitted(spark, folder)
+        val, test = (cut(decided(scored, "E3", "sweep", part=p)) for p in ("val", "test"))
+        levels = mitigation.target_gaps(val, by)
+        found = searched(val, by, levels.where("level > 0").drop("gap0"))
+        moved = mitigation.transfer(found, side_sizes(val, by), side_sizes(test, by), by).select(*by, "level", "n_a_test", "n_b_test", "tau_a", "tau_b", "tpr_a", "tpr_b")
+        start = mitigation.unmitigated(test, by).select(*by, F.lit(0).alias("level"), F.col("n_a").alias("n_a_test"), F.col("n_b").alias("n_b_test"))
+        before = mitigation.unmitigated(val, by).select(*by, "tpr_a", "tpr_b")
+        seats = moved.unionByName(start.join(before, by), allowMissingColumns=True).join(levels, [*by, "level"])
+        strength = F.when(F.col("gap0") != 0, 1 - F.col("target") / F.col("gap0"))
+        seats = cut(seats.withColumn("strength", strength).drop("gap0").withColumnsRenamed({"tpr_a": "tpr_a_val", "tpr_b": "tpr_b_val"}))
+        wide = test.withColumnRenamed("model_selected", "unmitigated_selected").join(F.broadcast(seats), by)
+        held = F.col("side").isNotNull()
+        own = F.when(F.col("side") == "A", F.col("n_a_test")).otherwise(F.col("n_b_test"))
+        new = selection.top_seats(wide.where(held).withColumn("_seats", own), "score", F.col("_seats"), [*by, "level", "side"], "model_selected").drop("_seats")
+        led = cut(new.unionByName(wide.where(~held).withColumn("model_selected", F.col("unmitigated_selected"))))
+        return mitigation.require_capacity(led, [*by, "level"], F.col("seats"))
+
+    return stored(spark, folder, "ledger-E3", build)
+
+
+_LEVEL = ["target", "strength", "tau_a", "tau_b", "tpr_a_val", "tpr_b_val"]
+
+
+def _levelled(spark: SparkSession, folder: str, led: DataFrame) -> DataFrame:
+    by = [*CELL, "level"]
+    counts = led.groupBy(*by).agg(F.count_if("model_selected").alias("n_realised"), F.max("seats").alias("n_target"), *[F.max(c).alias(c) for c in _LEVEL])
+    return evaluate(led, by).join(counts, by)
 
 
 def threshold_cells(spark, folder):
-    led = threshold_mitigation(spark, folder)
-    counts = led.groupBy(*CELL).agg(F.count_if("model_selected").alias("n_realised"), F.count_if("unmitigated_selected").alias("n_target"))
-    return metrics.group_metrics(led, CELL).join(counts, CELL)
+    """Equal rates of true positives: 4 rows."""
+    return _levelled(spark, folder, sweep_ledger(spark, folder).where("level = 10"))
+
+
+def frontier_cells(spark, folder):
+    """11 levels of 4 cells: 44 rows."""
+    return _levelled(spark, folder, sweep_ledger(spark, folder))
+
+
+def anchor_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All mitigated cells with their distance from a random selection of the same rows: 52 rows."""
+    led = random_cell(spark, folder)
+    anchor = metrics.agreement(led, ["block"]).join(metrics.group_metrics(led, ["block"]), "block").select("overlap_at_k", "gap_pp")
+    e1 = reweighed_fit(spark, folder).withColumn("source", F.lit("reweighing")).withColumn("level", F.lit(0))
+    e2 = threshold_cells(spark, folder).withColumn("source", F.lit("threshold")).withColumn("strength", F.lit(1.0))
+    e3 = frontier_cells(spark, folder).withColumn("source", F.lit("frontier"))
+    return anchor_distance(_union([e1, e2, e3]), anchor)
 
 
-def bootstrap_fidelity(spark, folder):
-    return inference.bootstrap_fidelity(threshold_mitigation(spark, folder), CELL)
+def anchor_summary(spark, folder):
+    """Least, median and greatest distance by source, and how many cells are near the anchor."""
+    out = anchor_cells(spark, folder).groupBy("source")
+    spread = [f(c).alias(f"{n}_{c}") for c in ("overlap_above_anchor", "gap_above_anchor") for n, f in (("least", F.min), ("median", F.median), ("most", F.max))]
+    return out.agg(F.count(F.lit(1)).alias("n_cells"), *spread, F.count_if("near_anchor").alias("n_near"))
+
+
+def mitigation_bootstrap(spark, folder):
+    """D, its verdict and the cost in fidelity of reweighing, thresholds and the sweep's ends: 16 rows."""
+    base = main_ledger(spark, folder, PAIR).select("id", "block", "model", F.col("model_selected").alias("unmitigated_selected"))
+    e1 = joined_cells(reweighed_ledger(spark, folder), base)
+    e3 = sweep_ledger(spark, folder)
+    ends = e3.withColumn("variant", F.when(F.col("level") == 0, "level0_unmitigated").when(F.col("level") == 10, "level10_full_eq"))
+    e2 = e3.where("level = 10").withColumn("task", F.lit("E2")).withColumn("variant", F.lit("threshold_eq_opp"))
+    wanted = {"E1": None, "E2": None, "E3": ("level0_unmitigated", "level10_full_eq")}
+    led = cut(_union([e1, e2, ends]).where(any_cell(wanted)))
+    return inference.bootstrap(led, KEYS).join(inference.bootstrap_fidelity(led, KEYS), KEYS)
 
 
-def bootstrap_multinomial(spark, folder):
-    return inference.bootstrap(decisions(analytic(spark, folder)), ["block"])
+def joined_cells(led: DataFrame, base: DataFrame) -> DataFrame:
+    return led.join(base, ["id", "block", "model"])
+
+
+# --- strata, ties, composition
+
+
+def income_strata(spark, folder):
+    """The step from B3 to B4 within terciles of the whole population, on test rows: 6 rows."""
+    rows = study_rows(spark, folder)
+    bench = selection.top_quota(rows, "composite", K, "bench_selected").where("split = 'test'").select("id", "bench_selected")
+    led = main_ledger(spark, folder, PAIR).drop("bench_selected").join(bench, "id")
+    led = cut(with_tercile(led, terciles(rows)))
+    m = metrics.group_metrics(led, ["tercile", "model", "block"], F.col("side"))
+    at = {b: F.max(F.when(F.col("block") == b, F.col("model_selected"))) for b in PAIR}
+    wide = led.groupBy("id", "side", "tercile", "model").agg(at["B3"].alias("first"), at["B4"].alias("second"))
+    boot = inference.bootstrap_increment(wide, ["tercile", "model"], "first", "second")
+    return tercile_increments(m, ["tercile", "model"]).join(boot, ["tercile", "model"])
+
+
+def income_overlaps(spark, folder):
+    """Whether the intervals of two terciles overlap, by model: 6 rows."""
+    boot = cut(income_strata(spark, folder))
+    a, b = (boot.select("model", F.col("tercile").alias(f"tercile_{s}"), F.col("increment_lo").alias(f"lo_{s}"), F.col("increment_hi").alias(f"hi_{s}")) for s in "ab")
+    both = a.join(b, "model").where("tercile_a < tercile_b")  # a row a tercile
+    return both.select("model", "tercile_a", "tercile_b", (~((F.col("hi_a") < F.col("lo_b")) | (F.col("hi_b") < F.col("lo_a")))).alias("overlaps"))
+
+
+def tie_cells(spark, folder):
+    """Ties at the boundary of the main grid's cells, distinct scores and feature vectors: 12 rows, and each cell under the tie-inclusive rule."""
+    led = main_ledger(spark, folder)
+    by = ["block", "model"]
+    info = selection.tie_info(led, "score", K, by)
+    sizes = led.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "score"))
+    spread = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_distinct_scores"), largest.alias("x")).select(*by, "n_distinct_scores", F.col("x.m").alias("largest_score_group"), F.col("x.score").alias("_largest"))
+    rows = encoded(study_rows(spark, folder))
+    vectors = [encoding.assemble(rows, s)[0].where("split = 'test'").select(F.col("features").cast("string").alias("v")).agg(F.countDistinct("v").alias("n_distinct_vectors")).withColumn("block", F.lit(s.name)) for s in _specs(tuple(BLOCKS))]
+    strict = metrics.group_metrics(led, by, F.col("side")).select(*by, "gap_pp", "ratio", "d_pp")
+    wide = selection.tie_inclusive(led.drop("model_selected"), "score", K, by, "model_selected")
+    inclusive = metrics.group_metrics(wide, by, F.col("side")).select(*by, *[F.col(c).alias(f"inclusive_{c}") for c in ("gap_pp", "ratio", "d_pp")])
+    verdicts = {"strict": "d_pp", "inclusive": "inclusive_d_pp"}
+    out = reduce(lambda x, y: x.join(y, by), [info, spread, strict, inclusive]).join(_union(vectors), "block")
+    out = out.withColumns({f"{n}_verdict": verdict(F.col(c), F.col(c), F.col(c)) for n, c in verdicts.items()})
+    return out.withColumn("boundary_in_largest_group", F.col("boundary") == F.col("_largest")).drop("_largest")
+
+
+def benchmark_composition(spark, folder):
+    """Counts and shares of groups, with totals, and the cutoff at three capacities: 39 rows on five groups."""
+    rows, parts = analytic(spark, folder), []
+    for k in (0.05, 0.10, 0.20):
+        cells = selection.top_quota(rows, "composite", k).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))  # a row a group
+        total = cells.agg(F.sum("n").alias("n"), F.sum("n_selected").alias("n_selected")).withColumn("grp", F.lit("Total"))
+        sums = total.select(F.col("n").alias("_n"), F.col("n_selected").alias("_s"))
+        both = cells.unionByName(total).crossJoin(F.broadcast(sums)).withColumn("k", F.lit(k))
+        parts.append(both.select(F.lit("counts").alias("section"), "k", "grp", "n_selected"))
+        shares = [(100 * F.try_divide("n_selected", "_s")).alias("selected_share_pct"), (100 * F.col("n") / F.col("_n")).alias("eligible_pool_share_pct")]
+        parts.append(both.select(F.lit("shares").alias("section"), "k", "grp", *shares))
+        info = selection.tie_info(rows, "composite", k).withColumn("check_sums", F.col("n_above") + F.col("n_drawn") == F.col("k"))
+        parts.append(info.select(F.lit("cutoff").alias("section"), F.lit(k).alias("k"), F.col("k").alias("k_target"), F.col("boundary").alias("cutoff"), "n_above", "n_tied", "n_drawn", "check_sums"))
+    return _union(parts)
+
+
+# --- subsamples by school
+
+
+def _subsample(spark: SparkSession, folder: str, name: str, where: str, extra: tuple[str, ...]) -> DataFrame:
+    """A subsample keeps its split; its benchmark and fits are its own, with the primary parameters."""
+
+    def build() -> DataFrame:
+        rows = labelled(study_rows(spark, folder).drop("label").where(where))
+        return decided(fit_cells(encoded(rows), [replace(s, extra=extra) for s in _specs()], _params(spark, folder)), "K", name)
+
+    return stored(spark, folder, f"ledger-{name}", build)
+
+
+SUBSAMPLES = {"school_kind": ("school IN (2, 3)", ("school",)), "school_register": ("owner IS NOT NULL AND place IS NOT NULL", ("owner", "place")), "leaving_no_features": ("status = 2", ())}
+
+
+def subsample_cells(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
+    """Cells of subsamples with their intervals, beside the full sample's: 4 rows a subsample."""
+    led = _union([_subsample(spark, folder, n, *SUBSAMPLES[n]) for n in names])
+    boot = inference.bootstrap(led, KEYS).select(*KEYS, "d_lo", "d_hi", "verdict")
+    sizes = led.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_test"))
+    full_led = main_ledger(spark, folder, PAIR)
+    full = metrics.group_metrics(full_led, CELL, F.col("side")).join(inference.bootstrap(full_led, CELL).select(*CELL, F.col("verdict").alias("full_verdict")), CELL, "left")
+    full = full.select(*CELL, *[F.col(c).alias(f"full_{c}") for c in ("gap_pp", "ratio", "d_pp")], "full_verdict")
+    out = aligned_cells(measures(led).join(boot, KEYS, "left").join(sizes, KEYS), full)
+    return out.withColumnRenamed("variant", "subsample").withColumn("verdict_matches", F.col("verdict") == F.col("full_verdict"))
 
 
 def school_subsample(spark, folder):
-    """A subsample keeps its split labels; blocks are fitted on it alone, against the full sample's cell."""
-    full = encoded(labelled(spark, folder))
-    params = tune_cell(full, BLOCKS["B3"], "logistic")[0]
-    sub = selection.top_within(split_rows(analytic(spark, folder)).where("status = 1"), "composite", K, ["split"], "label")
-    parts = [ledger_of(fit_cell(x, BLOCKS["B3"], "logistic", params=params)).withColumn("subsample", F.lit(n)) for n, x in (("full", full), ("completed", encoded(sub)))]
-    led = _union(parts)
-    by = [*CELL, "subsample"]
-    boot = inference.bootstrap(led, by).select(*by, "d_lo", "d_hi", "verdict")
-    return metrics.group_metrics(led, by).join(boot, by)
+    """Two subsamples with features of their schools, and their composition by group against the full sample: 18 rows on five groups."""
+    names = ("school_kind", "school_register")
+    rows, parts = study_rows(spark, folder), [subsample_cells(spark, folder, names).withColumn("row_type", F.lit("metrics"))]
+
+    def shares(df: DataFrame, n: str, pct: str) -> DataFrame:
+        sizes = df.groupBy("grp").agg(F.count(F.lit(1)).alias(n))
+        total = sizes.agg(F.sum(n).alias("_t"))
+        return sizes.crossJoin(F.broadcast(total)).select("grp", n, (100 * F.col(n) / F.col("_t")).alias(pct))
+
+    for n in names:
+        both = shares(rows.where(SUBSAMPLES[n][0]), "sub_n", "sub_pct").join(shares(rows, "full_n", "full_pct").drop("full_n"), "grp")
+        parts.append(both.withColumn("diff_pp", F.col("sub_pct") - F.col("full_pct")).withColumn("subsample", F.lit(n)).withColumn("row_type", F.lit("composition")))
+    return _union(parts)
+
+
+def leaving_subsample(spark, folder):
+    """The first subsample's population without features of schools: 4 rows. It must be the same population."""
+    rows = study_rows(spark, folder)
+    a, b = (rows.where(SUBSAMPLES[n][0]).select("id") for n in ("school_kind", "leaving_no_features"))
+    differ = a.exceptAll(b).unionAll(b.exceptAll(a)).count()
+    if differ:
+        raise ValueError(f"{differ} rows are in one of two populations that should be the same")
+    return subsample_cells(spark, folder, ("leaving_no_features",))
+
+
+def subsample_export(spark, folder):
+    """All subsamples' cells in one table: 12 rows, with a line of text for each."""
+    out = subsample_cells(spark, folder, tuple(SUBSAMPLES))
+    shown = F.format_string("| %s | %s | %s | %+.2fpp | [%+.2f, %+.2f] | %s | %.4f |", "subsample", "block", "model", "d_pp", "d_lo", "d_hi", "verdict", "overlap_at_k")
+    return out.select("subsample", "block", "model", "d_pp", "d_lo", "d_hi", "verdict", "overlap_at_k", "gap_pp", "ratio", "bench_gap_pp", "n_test", shown.alias("line"))
+
+
+# --- controls
+
+
+def bootstrap_multinomial(spark, folder):
+    return inference.bootstrap(decisions(analytic(spark, folder)), ["block"])
 
 
 def bootstrap_uniform(spark, folder):
@@ -232,10 +574,24 @@ def bootstrap_uniform(spark, folder):
     return metrics.agreement(led, ["block"])
 
 
+def cascade_population(spark, folder):
+    """The restricted population, halted if its counts are not those of its steps one by one."""
+    from ..operators import cascade
+
+    rows, expected = candidates(spark, folder), []
+    now = rows
+    expected.append(now.count())
+    for _, step in cascade.steps():
+        now = now.where(step)
+        expected.append(now.count())
+    return cascade.apply_cascade(cascade.assert_counts(rows, expected)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        logreg_cell, gbt_cell, tuned_cell, smoke_test, main_grid, capacity, composite_schemes, state_only, group_extension, population, absence,
-        reweighed_fit, threshold_cells, bootstrap_fidelity, bootstrap_multinomial, school_subsample, bootstrap_uniform,
+        logreg_cell, gbt_cell, smoke_test, main_grid, main_bootstrap, capacity, composite_schemes, state_only, primary_increments, group_extension, population, absence, robustness_bootstrap,
+        reweighed_fit, threshold_cells, frontier_cells, anchor_cells, anchor_summary, mitigation_bootstrap, income_strata, income_overlaps, tie_cells, benchmark_composition,
+        school_subsample, leaving_subsample, subsample_export, bootstrap_multinomial, bootstrap_uniform, cascade_population,
     )
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STUDY, Contrast
-from ..functions.columns import hash_uniform, letter_ordinal, ratio, verdict
+from ..functions.columns import any_cell, capacity_label, hash_uniform, letter_ordinal, verdict
 from ..operators import cascade, composite, descriptives, encoding, inference, metrics, mitigation, selection, splitting
 from ..sources.tables import ledger, upsert
 from . import candidates as c
@@ -43,7 +43,7 @@ ANA = f"{CAND},\n{ana_sql()}"
 LED = f"{ANA},\n{DEC}"
 SPLIT = f"{ANA},\n{split_sql('ana')}"
 RATES = """100 * avg({s}::INT) FILTER (grp = 'EUROPE') AS rate_a_pct, 100 * avg({s}::INT) FILTER (grp IN ('AFRICA', 'AMERICA')) AS rate_b_pct"""
-GAP = "SELECT *, rate_a_pct - rate_b_pct AS gap_pp, rate_b_pct / nullif(rate_a_pct, 0) AS ratio FROM ({})"
+GAP = "SELECT *, rate_a_pct - rate_b_pct AS gap_pp, rate_a_pct / nullif(rate_b_pct, 0) AS ratio FROM ({})"
 
 
 def metric_sql(source: str, by: str, side_sql: str = "side") -> str:
@@ -53,7 +53,7 @@ def metric_sql(source: str, by: str, side_sql: str = "side") -> str:
     def count(flag: str, s: str) -> str:
         return f"count(*) FILTER (sd = '{s}' AND {flag})"
 
-    return f"""SELECT *, rate_a_pct - rate_b_pct AS gap_pp, rate_b_pct / nullif(rate_a_pct, 0) AS ratio, bench_rate_a_pct - bench_rate_b_pct AS bench_gap_pp,
+    return f"""SELECT *, rate_a_pct - rate_b_pct AS gap_pp, rate_a_pct / nullif(rate_b_pct, 0) AS ratio, bench_rate_a_pct - bench_rate_b_pct AS bench_gap_pp,
   (rate_a_pct - rate_b_pct) - (bench_rate_a_pct - bench_rate_b_pct) AS d_pp FROM (
   SELECT {by}, {count('true', 'A')} AS n_a, {count('true', 'B')} AS n_b, {rate('model_selected', 'A')} AS rate_a_pct, {rate('model_selected', 'B')} AS rate_b_pct,
     {rate('bench_selected', 'A')} AS bench_rate_a_pct, {rate('bench_selected', 'B')} AS bench_rate_b_pct,
@@ -73,10 +73,8 @@ def _(spark, folder):
 
 @query("selection_table", ANA, " UNION ALL ".join(GAP.format(f"SELECT {k}::DOUBLE AS k, count(*) AS n, count(*) FILTER (selected) AS n_selected, {RATES.format(s='selected')} FROM {top_sql('ana', 'composite', k)}") for k in (0.05, 0.1, 0.2)), "k " + METRICS)
 def selection_table(spark, folder):
-    rows = analytic(spark, folder)
-    ranked = selection.global_rank(rows, "composite").withColumn("_n", F.lit(rows.count()))
-    cells = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0.05, 0.1, 0.2)]))).withColumn("selected", F.col("rk") <= F.floor(F.col("k") * F.col("_n")))
-    return metrics.selection_table(cells, ["k"])
+    ranked = selection.rank_within(analytic(spark, folder), "composite", [], "rk", "_n")
+    return metrics.selection_at(ranked, F.col("rk"), F.col("_n"), (0.05, 0.1, 0.2))
 
 
 @query("topk_exact", ANA, f"SELECT id, grp, composite FROM {top_sql('ana', 'composite', K)} WHERE selected", "composite")
@@ -193,6 +191,16 @@ def _(spark, folder):
 
 
 _COMPARE = f"SELECT coalesce(a.variable, b.variable) AS variable, coalesce(a.category, b.category) AS category, coalesce(round(a.pct, 6), 0) AS full_value, coalesce(round(b.pct, 6), 0) AS sample_value, abs(coalesce(round(a.pct, 6), 0) - coalesce(round(b.pct, 6), 0)) AS abs_diff FROM ({_marginal_sql('cand')}) a FULL JOIN ({_marginal_sql('samp')}) b ON a.variable = b.variable AND a.category IS NOT DISTINCT FROM b.category"
+_CONT = ("s1", "s2", "s3", "s4", "s5")
+_MOMENTS = " UNION ALL ".join(f"SELECT '{v}' AS variable, '{m}' AS category, round(a, 6) AS full_value, round(b, 6) AS sample_value, abs(round(a, 6) - round(b, 6)) AS abs_diff FROM (SELECT {f}({v}) AS a FROM cand), (SELECT {f}({v}) AS b FROM samp)" for v in _CONT for m, f in (("mean", "avg"), ("sd", "stddev_samp")))
+
+
+@query("sample_moments", f"{CAND},\n{_SAMPLE}", _MOMENTS, "full_value sample_value abs_diff")
+def _(spark, folder):
+    rows = candidates(spark, folder)
+    return descriptives.compare_moments(rows, splitting.sample_fraction(rows, 0.4, ["state"]), _CONT)
+
+
 for _name in ("sample_vs_full", "full_outer_freq"):
 
     @query(_name, f"{CAND},\n{_SAMPLE}", _COMPARE if _name == "sample_vs_full" else f"SELECT variable, category, full_value > 0 AS in_full, sample_value > 0 AS in_sample FROM ({_COMPARE})", "full_value sample_value abs_diff" if _name == "sample_vs_full" else "")
@@ -300,8 +308,8 @@ def _(spark, folder):
 @query("standard_scale", SPLIT, "SELECT id, (composite - m) / d AS composite_z, year - y AS year_c FROM split, (SELECT avg(composite) AS m, stddev_pop(composite) AS d, avg(year) AS y FROM split WHERE split = 'train')", "composite_z year_c")
 def _(spark, folder):
     out = encoding.scale(split_rows(analytic(spark, folder)), F.col("split") == "train", ["composite", "year"])
-    mean = F.avg(F.when(F.col("split") == "train", F.col("year"))).over(Window.partitionBy())
-    return out.select("id", "composite_z", (F.col("year") - mean).alias("year_c"))
+    mean = out.agg(F.avg(F.when(F.col("split") == "train", F.col("year"))).alias("_mean"))
+    return out.crossJoin(F.broadcast(mean)).select("id", "composite_z", (F.col("year") - F.col("_mean")).alias("year_c"))
 
 
 # --- joins and set operations
@@ -420,13 +428,6 @@ def _(spark, folder):
 _ANCHOR = f"{SPLIT},\ntest AS (SELECT *, CAST(concat('0x', substr(md5(concat('{STUDY.seed}:anchor:', id)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u, {SIDE} AS side FROM split WHERE split = 'test'),\ncells AS (SELECT *, 'random' AS block FROM {top_sql(top_sql('test', 'composite', K, '', 'bench_selected'), 'u', K, '', 'model_selected')})"
 
 
-@query("random_anchor", _ANCHOR, f"SELECT m.*, o.overlap_at_k FROM ({metric_sql('cells', 'block')}) m, (SELECT count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM cells) o", METRIC14 + " overlap_at_k")
-def _(spark, folder):
-    rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("u", hash_uniform("anchor", F.col("id").cast("string"))).withColumn("block", F.lit("random"))
-    led = selection.top_quota(selection.top_quota(rows, "composite", K, "bench_selected"), "u", K, "model_selected")
-    return metrics.group_metrics(led, ["block"]).join(metrics.agreement(led, ["block"]).select("block", "overlap_at_k"), "block")
-
-
 # --- mitigation
 
 
@@ -443,26 +444,45 @@ def _(spark, folder):
     return mitigation.cumulative_tpr(decisions(analytic(spark, folder)), ["block"])
 
 
-_SEARCH = f"""{LED},
+# splits are searched on the validation rows, each part with the benchmark and the quota of its own
+_VAL = f"""{_LAB.replace("'label'", "'bench_selected'").replace(' AS label', ' AS bench_selected')},
+blocks AS ({c.BLOCKS_SQL.format(cols='id, grp, split, bench_selected', src='lab')}),
+parts AS (SELECT *, {SIDE} AS side FROM {top_sql('blocks', 'score', K, 'block, split', 'model_selected')}),
+dec AS (SELECT * FROM parts WHERE split = 'val')"""
+_SEARCH = f"""{_VAL},
 {_TPR},
-every AS (SELECT * FROM cum UNION ALL SELECT DISTINCT block, side, 0, 0.0::DOUBLE, NULL::DOUBLE FROM dec WHERE side IS NOT NULL),
+every AS (SELECT block, side, rk, tpr, CASE WHEN rk = max(rk) OVER (PARTITION BY block, side) THEN '-inf'::DOUBLE ELSE boundary END AS boundary FROM cum
+  UNION ALL SELECT DISTINCT block, side, 0, 0.0::DOUBLE, 'inf'::DOUBLE FROM dec WHERE side IS NOT NULL),
 caps AS (SELECT block, count(*) FILTER (model_selected AND side IS NOT NULL) AS seats FROM dec GROUP BY block),
-opts AS (SELECT a.block, caps.seats, a.rk AS n_a, b.rk AS n_b, a.tpr AS tpr_a, b.tpr AS tpr_b, a.boundary AS tau_a, b.boundary AS tau_b FROM every a JOIN caps ON a.block = caps.block JOIN every b ON a.block = b.block AND b.rk = caps.seats - a.rk WHERE a.side = 'A' AND b.side = 'B'),
-base AS (SELECT block, avg(model_selected::INT) FILTER (side = 'A' AND bench_selected) - avg(model_selected::INT) FILTER (side = 'B' AND bench_selected) AS gap0 FROM dec GROUP BY block),
+opts AS (
+  SELECT a.block, caps.seats, a.rk AS n_a, b.rk AS n_b, a.tpr AS tpr_a, b.tpr AS tpr_b, a.boundary AS tau_a, b.boundary AS tau_b
+  FROM every a JOIN caps ON a.block = caps.block JOIN every b ON a.block = b.block AND b.rk = caps.seats - a.rk WHERE a.side = 'A' AND b.side = 'B'),
+base AS (
+  SELECT block, avg(model_selected::INT) FILTER (side = 'A' AND bench_selected) - avg(model_selected::INT) FILTER (side = 'B' AND bench_selected) AS gap0,
+    count(*) FILTER (side = 'A' AND model_selected) AS n_a0, count(*) FILTER (side = 'B' AND model_selected) AS n_b0,
+    round(avg(model_selected::INT) FILTER (side = 'A' AND bench_selected), 9) AS tpr_a0, round(avg(model_selected::INT) FILTER (side = 'B' AND bench_selected), 9) AS tpr_b0
+  FROM dec GROUP BY block),
 levels AS (SELECT block, level, round(gap0 * (1 - level / 10.0::DOUBLE), 9) AS target FROM base, (SELECT unnest(range(0, 11)) AS level)),
-best AS (SELECT * FROM (SELECT o.*, l.level, l.target, row_number() OVER (PARTITION BY o.block, l.level ORDER BY round(abs(abs(tpr_a - tpr_b) - abs(target)), 9), n_a) AS pick FROM opts o JOIN levels l ON o.block = l.block) WHERE pick = 1)"""
+best AS (SELECT * FROM (
+  SELECT o.*, l.level, l.target, row_number() OVER (PARTITION BY o.block, l.level ORDER BY round(abs(tpr_a - tpr_b - target), 9), n_a) AS pick
+  FROM opts o JOIN levels l ON o.block = l.block) WHERE pick = 1)"""
+
+
+def validated(spark: SparkSession, folder: str) -> DataFrame:
+    """Both deterministic scores against the benchmark within each split."""
+    rows = c.by_block(labelled(spark, folder).withColumnRenamed("label", "bench_selected"))
+    return c.cut(selection.top_within(rows, "score", K, ["block", "split"], "model_selected").withColumn("side", side()))
 
 
-def _levels(led: DataFrame) -> DataFrame:
-    m, s = F.col("model_selected").cast("double"), F.col("bench_selected")
-    gap = F.avg(F.when((F.col("side") == "A") & s, m)) - F.avg(F.when((F.col("side") == "B") & s, m))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(mitigation.LEVELS - 1)))
-    return led.groupBy("block").agg(gap.alias("_gap")).select("block", levels.alias("level"), "_gap").select("block", "level", F.round(F.col("_gap") * (1 - F.col("level") / 10), 9).alias("target"))
+def searched(led: DataFrame, by: list[str], levels: DataFrame) -> DataFrame:
+    """The found splits of ``led``'s own seats: those that its other rows leave."""
+    caps = led.groupBy(*by).agg(F.count_if(F.col("model_selected") & F.col("side").isNotNull()).alias("_seats"))  # a row a cell
+    return mitigation.search_split(led.join(F.broadcast(caps), by), by, F.col("_seats"), levels)
 
 
-def _searched(led: DataFrame, levels: DataFrame) -> DataFrame:
-    seats = F.sum((F.col("model_selected") & F.col("side").isNotNull()).cast("int")).over(Window.partitionBy("block"))
-    return mitigation.search_split(led.withColumn("_seats", seats), ["block"], F.col("_seats"), levels)
+def side_sizes(led: DataFrame, by: list[str]) -> DataFrame:
+    held = F.col("side").isNotNull()
+    return led.groupBy(*by).agg(F.count_if(F.col("side") == "A").alias("size_a"), F.count_if(F.col("side") == "B").alias("size_b"), F.count_if(F.col("model_selected") & held).alias("seats"))
 
 
 _PICKED = "level, target, seats, n_a, n_b, tpr_a, tpr_b, tau_a, tau_b"
@@ -470,34 +490,74 @@ _PICKED = "level, target, seats, n_a, n_b, tpr_a, tpr_b, tau_a, tau_b"
 
 @query("threshold_search", _SEARCH, f"SELECT block, {_PICKED} FROM best WHERE level = 10", "target tpr_a tpr_b tau_a tau_b")
 def _(spark, folder):
-    led = decisions(analytic(spark, folder))
-    return _searched(led, _levels(led).where("level = 10"))
+    led = validated(spark, folder).where("split = 'val'")
+    return searched(led, ["block"], mitigation.target_gaps(led, ["block"]).where("level = 10").drop("gap0"))
+
+
+_SWEEP = """SELECT block, level, target, n_a, n_b, tpr_a, tpr_b, coalesce(1 - target / nullif(gap0, 0), 1) AS strength FROM best JOIN base USING (block) WHERE level > 0
+UNION ALL SELECT block, level, target, n_a0, n_b0, tpr_a0, tpr_b0, coalesce(1 - target / nullif(gap0, 0), 1) FROM levels JOIN base USING (block) WHERE level = 0"""
+
 
+def sweep(led: DataFrame, by: list[str]) -> DataFrame:
+    """``level, target, n_a, n_b, tpr_a, tpr_b, strength``: level 0 as the decisions are, the others as found."""
+    levels = mitigation.target_gaps(led, by)
+    found = searched(led, by, levels.where("level > 0").drop("gap0")).select(*by, "level", "n_a", "n_b", "tpr_a", "tpr_b")
+    start = mitigation.unmitigated(led, by).select(*by, F.lit(0).alias("level"), "n_a", "n_b", "tpr_a", "tpr_b")
+    strength = F.round(F.coalesce(1 - F.try_divide("target", "gap0"), F.lit(1.0)), 6)
+    return levels.join(found.unionByName(start), [*by, "level"]).select(*by, "level", "target", "n_a", "n_b", "tpr_a", "tpr_b", strength.alias("strength"))
 
-@query("frontier", _SEARCH, f"SELECT block, {_PICKED}, coalesce(1 - target / nullif(gap0, 0), 1) AS strength FROM best JOIN base USING (block)", "target tpr_a tpr_b tau_a tau_b strength")
+
+@query("frontier", _SEARCH, _SWEEP, "target tpr_a tpr_b strength")
 def _(spark, folder):
-    led = decisions(analytic(spark, folder))
-    levels = _levels(led)
-    base = levels.where("level = 0").select("block", F.col("target").alias("_gap"))
-    return _searched(led, levels).join(base, "block").withColumn("strength", F.round(F.coalesce(1 - F.try_divide("target", "_gap"), F.lit(1.0)), 6)).drop("_gap")
+    return sweep(validated(spark, folder).where("split = 'val'"), ["block"])
+
 
+_MOVED = """SELECT block, seats_test, least(ta, seats_test - n_b_test) AS n_a_test, n_b_test FROM (SELECT *, greatest(0, least(seats_test - a0, tb)) AS n_b_test FROM (
+  SELECT b.block, ta, tb, seats_test, CAST(greatest(0, least(round_even(n_a / va::DOUBLE * ta, 0), ta, seats_test)) AS BIGINT) AS a0
+  FROM best b JOIN (SELECT block, count(*) FILTER (side = 'A') AS va FROM dec GROUP BY block) USING (block)
+  JOIN (SELECT block, count(*) FILTER (side = 'A') AS ta, count(*) FILTER (side = 'B') AS tb, count(*) FILTER (model_selected AND side IS NOT NULL) AS seats_test FROM parts WHERE split = 'test' GROUP BY block) USING (block)
+  WHERE level = 10))"""
 
-@query("threshold_transfer", _SEARCH + ",\nsizes AS (SELECT block, count(*) FILTER (side = 'A') AS va, count(*) FILTER (side = 'B') AS vb FROM dec GROUP BY block)",
-       "SELECT block, seats_test, least(ta, seats_test - n_b_test) AS n_a_test, n_b_test FROM (SELECT *, greatest(0, least(seats_test - a0, tb)) AS n_b_test FROM (SELECT b.block, va // 2 AS ta, vb // 2 AS tb, seats // 2 AS seats_test, CAST(greatest(0, least(round_even(n_a / va::DOUBLE * (va // 2), 0), va // 2, seats // 2)) AS BIGINT) AS a0 FROM best b JOIN sizes USING (block) WHERE level = 10))")
+
+@query("threshold_transfer", _SEARCH, _MOVED)
 def _(spark, folder):
-    led = decisions(analytic(spark, folder))
-    found = _searched(led, _levels(led).where("level = 10"))
-    sizes = led.groupBy("block").agg(F.count_if(F.col("side") == "A").alias("size_a"), F.count_if(F.col("side") == "B").alias("size_b"))
-    half = sizes.join(found.select("block", "seats"), "block").select("block", F.expr("size_a div 2").alias("size_a"), F.expr("size_b div 2").alias("size_b"), F.expr("seats div 2").alias("seats"))
-    return mitigation.transfer(found, sizes, half, ["block"]).select("block", "seats_test", "n_a_test", "n_b_test")
+    both = validated(spark, folder)
+    val, test = (both.where(F.col("split") == p) for p in ("val", "test"))
+    found = searched(val, ["block"], mitigation.target_gaps(val, ["block"]).where("level = 10").drop("gap0"))
+    return mitigation.transfer(found, side_sizes(val, ["block"]), side_sizes(test, ["block"]), ["block"]).select("block", "seats_test", "n_a_test", "n_b_test")
+
+
+_NEAR = f"""SELECT d.block, d.overlap_at_k, d.gap_pp, d.overlap_at_k - a.overlap_at_k AS overlap_above_anchor, d.gap_pp - a.gap_pp AS gap_above_anchor, d.overlap_at_k - a.overlap_at_k < 0.05 AS near_anchor
+FROM (SELECT block, overlap_at_k, gap_pp FROM ({metric_sql('dec', 'block')}) JOIN ({{overlap}} dec GROUP BY block) USING (block)) d,
+  (SELECT overlap_at_k, gap_pp FROM ({metric_sql('cells', 'block')}) JOIN ({{overlap}} cells GROUP BY block) USING (block)) a"""
+_OVERLAP = "SELECT block, count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM"
+
+
+def anchor_distance(cells: DataFrame, anchor: DataFrame) -> DataFrame:
+    """``cells`` with the distances of overlap and gap from those of a random selection (one row)."""
+    one = anchor.select(F.col("overlap_at_k").alias("_o"), F.col("gap_pp").alias("_g"))
+    out = cells.crossJoin(F.broadcast(one)).withColumn("overlap_above_anchor", F.col("overlap_at_k") - F.col("_o")).withColumn("gap_above_anchor", F.col("gap_pp") - F.col("_g"))
+    return out.withColumn("near_anchor", F.col("overlap_above_anchor") < 0.05).drop("_o", "_g")
+
+
+def random_cell(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions by uniform scores over the test rows."""
+    rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("u", hash_uniform("anchor", F.col("id").cast("string"))).withColumn("block", F.lit("random"))
+    return selection.top_quota(selection.top_quota(rows, "composite", K, "bench_selected"), "u", K, "model_selected")
 
 
-@query("anchor_distance", LED, f"SELECT block, overlap_at_k, gap_pp, overlap_at_k - 0.096 AS overlap_above_anchor, gap_pp + 0.39 AS gap_above_anchor, overlap_at_k - 0.096 < 0.05 AS near_anchor FROM (SELECT block, count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM dec GROUP BY block) JOIN (SELECT block, gap_pp FROM ({metric_sql('dec', 'block')})) USING (block)", "overlap_at_k gap_pp overlap_above_anchor gap_above_anchor")
+@query("random_anchor", _ANCHOR, f"SELECT m.*, o.overlap_at_k FROM ({metric_sql('cells', 'block')}) m, (SELECT count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM cells) o", METRIC14 + " overlap_at_k")
 def _(spark, folder):
-    led = decisions(analytic(spark, folder))
-    m = metrics.agreement(led, ["block"]).join(metrics.group_metrics(led, ["block"]).select("block", "gap_pp"), "block")
-    out = m.select("block", "overlap_at_k", "gap_pp", (F.col("overlap_at_k") - 0.096).alias("overlap_above_anchor"), (F.col("gap_pp") + 0.39).alias("gap_above_anchor"))
-    return out.withColumn("near_anchor", F.col("overlap_above_anchor") < 0.05)
+    led = random_cell(spark, folder)
+    return metrics.group_metrics(led, ["block"]).join(metrics.agreement(led, ["block"]).select("block", "overlap_at_k"), "block")
+
+
+@query("anchor_distance", f"{_ANCHOR},\n{DEC}", _NEAR.format(overlap=_OVERLAP), "overlap_at_k gap_pp overlap_above_anchor gap_above_anchor")
+def _(spark, folder):
+    def measured(led: DataFrame) -> DataFrame:
+        return metrics.agreement(led, ["block"]).join(metrics.group_metrics(led, ["block"]), "block").select("block", "overlap_at_k", "gap_pp")
+
+    return anchor_distance(measured(decisions(analytic(spark, folder))), measured(random_cell(spark, folder)))
 
 
 # --- strata and inference
@@ -526,19 +586,34 @@ def _(spark, folder):
     return with_tercile(rows, terciles(rows)).groupBy("tercile").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("first_band"), F.max("band").alias("last_band"))
 
 
-_STRATA = f"{LED},\n{_BANDS},\nstr AS (SELECT dec.*, {_TER} FROM dec, cuts)"
+# the benchmark is that of the whole population, the cuts too; selections are those within the test rows
+_STRATA = f"""{SPLIT},
+{_BANDS},
+ranked AS {top_sql('split', 'composite', K, out='bench_selected')},
+tests AS (SELECT * FROM ranked WHERE split = 'test'),
+blocks AS ({c.BLOCKS_SQL.format(cols='id, grp, band, bench_selected', src='tests')}),
+dec AS (SELECT *, {SIDE} AS side FROM {top_sql('blocks', 'score', K, 'block', 'model_selected')}),
+str AS (SELECT dec.*, {_TER} FROM dec, cuts)"""
+_INCREMENT = f"""SELECT a.tercile, a.gap_pp AS b3_gap_pp, b.gap_pp AS b4_gap_pp, b.gap_pp - a.gap_pp AS increment_pp, a.n_bench_positive_a < 30 OR a.n_bench_positive_b < 30 AS low_events
+FROM ({metric_sql('str', 'block, tercile')}) a JOIN ({metric_sql('str', 'block, tercile')}) b ON a.tercile = b.tercile AND a.block = 'B3' AND b.block = 'B4'"""
 
 
-@query("income_increment", _STRATA, f"SELECT a.tercile, a.gap_pp AS b3_gap_pp, b.gap_pp AS b4_gap_pp, b.gap_pp - a.gap_pp AS increment_pp, a.n_bench_positive_a < 30 OR a.n_bench_positive_b < 30 AS low_events FROM ({metric_sql('str', 'block, tercile')}) a JOIN ({metric_sql('str', 'block, tercile')}) b ON a.tercile = b.tercile AND a.block = 'B3' AND b.block = 'B4'", "b3_gap_pp b4_gap_pp increment_pp")
-def _(spark, folder):
-    rows = analytic(spark, folder)
-    m = metrics.group_metrics(with_tercile(decisions(rows), terciles(rows)), ["tercile", "block"])
+def tercile_increments(m: DataFrame, by: list[str]) -> DataFrame:
+    """The gaps of both blocks by tercile, from ``group_metrics`` by tercile and block."""
 
     def at(block: str, col: str) -> F.Column:
         return F.max(F.when(F.col("block") == block, F.col(col)))
 
     few = (at("B3", "n_bench_positive_a") < STUDY.min_events) | (at("B3", "n_bench_positive_b") < STUDY.min_events)
-    return m.groupBy("tercile").agg(at("B3", "gap_pp").alias("b3_gap_pp"), at("B4", "gap_pp").alias("b4_gap_pp"), (at("B4", "gap_pp") - at("B3", "gap_pp")).alias("increment_pp"), few.alias("low_events"))
+    return m.groupBy(*by).agg(at("B3", "gap_pp").alias("b3_gap_pp"), at("B4", "gap_pp").alias("b4_gap_pp"), (at("B4", "gap_pp") - at("B3", "gap_pp")).alias("increment_pp"), few.alias("low_events"))
+
+
+@query("income_increment", _STRATA, _INCREMENT, "b3_gap_pp b4_gap_pp increment_pp")
+def _(spark, folder):
+    rows = split_rows(analytic(spark, folder))
+    bench = selection.top_quota(rows, "composite", K, "bench_selected").where("split = 'test'")
+    led = selection.top_within(c.by_block(bench), "score", K, ["block"], "model_selected").withColumn("side", side())
+    return tercile_increments(metrics.group_metrics(with_tercile(led, terciles(rows)), ["tercile", "block"]), ["tercile"])
 
 
 _REGION = "CASE WHEN {0} > 1 THEN 'amplification' WHEN {0} < -1 THEN 'attenuation' WHEN {0} IS NOT NULL THEN 'practical_reproduction' END"
@@ -582,9 +657,32 @@ def _(spark, folder):
     return metrics.group_metrics(selection.top_quota(selection.top_quota(pop, "composite", K, "bench_selected"), "score_b3", K, "model_selected"), ["block"])
 
 
-@query("first_per_group", _LAB, "SELECT grp, label, min(w) AS weight FROM (SELECT grp, label, count(*) OVER (PARTITION BY grp) / count(*) OVER ()::DOUBLE AS w FROM lab) GROUP BY grp, label", "weight")
+@query("first_per_group", _LAB, "SELECT grp, label, arg_min(w, id) AS weight, min(id) AS first_id FROM (SELECT id, grp, label, count(*) OVER (PARTITION BY grp) * count(*) OVER (PARTITION BY label) / (count(*) OVER () * count(*) OVER (PARTITION BY grp, label))::DOUBLE AS w FROM lab WHERE split = 'train') GROUP BY grp, label", "weight")
 def _(spark, folder):
-    w = Window.partitionBy
-    rows = labelled(spark, folder)
-    cells = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    return cells.select("grp", "label", ratio(F.sum("n").over(w("grp")), F.sum("n").over(w())).alias("weight"))
+    weighted = mitigation.reweighing(labelled(spark, folder).where("split = 'train'"))
+    return weighted.groupBy("grp", "label").agg(F.min_by("weight", "id").alias("weight"), F.min("id").alias("first_id"))
+
+
+@query("feature_vector_ties", SPLIT, "SELECT split, count(*) AS n, count(DISTINCT (state, marital, status, band, letter, year)) AS n_vectors FROM split GROUP BY split")
+def _(spark, folder):
+    rows = split_rows(analytic(spark, folder))
+    vectors = rows.groupBy("split", "state", "marital", "status", "band", "letter", "year").agg(F.count(F.lit(1)).alias("n"))
+    return vectors.groupBy("split").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_vectors"))
+
+
+@query("capacity_labels", CAND, "SELECT DISTINCT k, concat('K', lpad(CAST(CAST(floor(k * 100 + 1e-9) AS INT) AS VARCHAR), 2, '0')) AS label FROM cand, (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS k)", "k")
+def _(spark, folder):
+    ks = F.explode(F.array(*[F.lit(k) for k in (0.05, 0.1, 0.2)])).alias("k")
+    return candidates(spark, folder).select(ks).distinct().select("k", capacity_label(F.col("k")).alias("label"))
+
+
+@query("cell_filter", LED, "SELECT block, grp, count(*) AS n FROM dec WHERE (block = 'B3' AND grp IN ('EUROPE', 'ASIA')) OR block = 'B4' GROUP BY block, grp")
+def _(spark, folder):
+    wanted = any_cell({"B3": ("EUROPE", "ASIA"), "B4": None}, "block", "grp")
+    return decisions(analytic(spark, folder)).where(wanted).groupBy("block", "grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_spread", LED, "SELECT block, min(score) AS least, quantile_cont(score, 0.5) AS median, max(score) AS most FROM dec GROUP BY block", "least median most")
+def _(spark, folder):
+    led = decisions(analytic(spark, folder))
+    return led.groupBy("block").agg(F.min("score").alias("least"), F.percentile("score", F.lit(0.5)).alias("median"), F.max("score").alias("most"))

@@ -3,24 +3,69 @@
 from __future__ import annotations
 
 import json
+import logging
+import os
 import tempfile
-from collections.abc import Sequence
+import uuid
+import zlib
+from collections.abc import Callable, Sequence
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LEDGER_SCHEMA = "task string, variant string, block string, model string, k double, group_a string, group_b string, row_id long, model_selected boolean, bench_selected boolean, group_value string"
+_HEAD = 1 << 16
 CELL = ["task", "variant", "block", "model", "k", "group_a", "group_b"]
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a new local folder where it is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="seatwise-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def _file(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its rows saved in the shared checkpoint folder, so that later plans start from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="seatwise-"))
-    return df.checkpoint()
+    """``df`` with its rows saved in the shared folder, so that later plans start from there; the rows go with the JVM."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/seatwise-cut-{uuid.uuid4().hex}"
+    write_parquet(df, path)
+    system, target = _file(spark, path)
+    system.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).parquet(path)
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of a study of ``folder``: read if this application has written it, else built and written."""
+    path = f"{shared_root(spark)}/seatwise-study-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df = build()
+        write_parquet(df, path)
+        system, target = _file(spark, path)
+        system.deleteOnExit(target)
+    return spark.read.parquet(path)
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,10 +79,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, columns:
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The first separator and encoding under which five rows have several columns."""
+    """The first separator and encoding under which the first five rows decode and have several columns."""
+    system, target = _file(spark, path)
+    stream = system.open(target)
+    head = bytes(stream.readNBytes(_HEAD))
+    stream.close()
+    lines = head.split(b"\n")[: 6 if len(head) < _HEAD else min(6, max(1, head.count(b"\n")))]
     for sep in (";", ","):
         for encoding in ("UTF-8", "ISO-8859-1"):
-            if len(spark.read.csv(path, sep=sep, header=True, encoding=encoding).limit(5).columns) > 1:
+            try:
+                text = [x.decode(encoding) for x in lines]
+            except UnicodeDecodeError:
+                continue
+            if len(text[0].split(sep)) > 1:
                 return sep, encoding
     raise ValueError(f"no known delimiter in {path}")
 
@@ -46,9 +100,44 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files, each with the header; the results so far stay readable after a failure."""
+    df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+def joined_whole(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """The inner join of two tables that must have the same keys, each once; anything else is an error."""
+    sides = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(right.select(key, F.lit(0), F.lit(1)))
+    keys = sides.groupBy(key).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    wrong = keys.agg(F.count_if((F.col("l") != 1) | (F.col("r") != 1)).alias("n")).first().n
+    if wrong:
+        raise ValueError(f"{wrong} keys of {key} are not on both sides once")
+    return left.join(right, key)
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """``left`` with the columns of ``right``; a key of ``left`` that ``right`` lacks or has twice is an error."""
+    right_keys = right.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    wrong = left.join(right_keys, F.col(key) == F.col("_key"), "left").where("_n IS NULL OR _n > 1").count()
+    if wrong:
+        raise KeyError(f"{wrong} keys of {key} are missing or repeated")
+    return left.join(right, key)
+
+
+def logger(path: str | None = None) -> logging.Logger:
+    """The package's logger; with ``path`` it also appends to a file of the driver, line by line."""
+    log = logging.getLogger("seatwise")
+    log.setLevel(logging.INFO)
+    if path and not any(getattr(h, "baseFilename", None) == os.path.abspath(path) for h in log.handlers):
+        handler = logging.FileHandler(path, mode="a", encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        log.addHandler(handler)
+    return log
+
+
 def read_parameters(spark: SparkSession, path: str) -> dict[tuple[str, str], dict]:
     """Tuned parameters by (block, model), from a results file with a JSON column."""
-    rows = spark.read.csv(path, header=True, escape='"').select("block", "model", "best_params").collect()
+    rows = spark.read.csv(path, header=True, escape='"').select("block", "model", "best_params").collect()  # a row a cell
     return {(r.block, r.model): json.loads(r.best_params) for r in rows}
 
 

@@ -1,22 +1,69 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from seatwise.config import BLOCKS
 from seatwise.operators import models
 from seatwise.plans import modelled
 
-FOLDER = "/root/testdata/sf0.001"
-
-
-def test_main_grid_tunes_every_cell_and_later_cells_keep_the_winner(spark, monkeypatch):
-    grid, used = ({"maxDepth": 2, "stepSize": 0.1, "maxIter": 2}, {"maxDepth": 3, "stepSize": 0.1, "maxIter": 2}), []
-    monkeypatch.setattr(models, "C_GRID", (0.1, 10.0))
-    monkeypatch.setattr(models, "GBT_GRID", grid)
-    # the last point of a grid wins
-    monkeypatch.setattr(models, "tune", lambda df, kind, points: (points[-1], (models.fit_logistic if kind == "logistic" else models.fit_boosting)(df, points[-1])))
-    fit = models.fit_logistic
-    monkeypatch.setattr(models, "fit_logistic", lambda df, c, weight=None: used.append(c) or fit(df, c, weight))
-    rows = {(r.block, r.model): json.loads(r.best_params) for r in modelled.main_grid(spark, FOLDER).collect()}
-    assert rows == {(b, m): {"C": 10.0} if m == "logistic" else grid[-1] for b in BLOCKS for m in ("logistic", "boosting")}
-    modelled.population(spark, FOLDER).collect()
-    modelled.reweighed_fit(spark, FOLDER).collect()
-    assert set(used) == {10.0}
+FOLDER = "/root/testdata/sf0.01"
+GRID = ({"maxDepth": 2, "stepSize": 0.1, "maxIter": 2, "minInstancesPerNode": 1}, {"maxDepth": 3, "stepSize": 0.1, "maxIter": 2, "minInstancesPerNode": 1})
+
+
+@pytest.fixture(autouse=True)
+def small_grids(monkeypatch):
+    monkeypatch.setattr(models, "C_GRID", (0.1, 1.0))
+    monkeypatch.setattr(models, "GBT_GRID", GRID)
+
+
+def test_the_whole_grid_has_its_points_and_the_session_chooses_it(spark):
+    assert len({tuple(p.items()) for p in models.FULL_GBT_GRID}) == 108
+    assert models.boosting_grid(spark) == GRID
+    spark.conf.set("seatwise.grid", "full")
+    assert models.boosting_grid(spark) == models.FULL_GBT_GRID
+    spark.conf.unset("seatwise.grid")
+
+
+def test_boosting_stops_after_its_patience():
+    assert models.patient_length([1.0, 0.9, 0.8]) == 3
+    assert models.patient_length([1.0, 0.9, *[0.95] * 50], 20) == 22
+    assert models.patient_length([1.0 - i / 1000 for i in range(80)], 20) == 80
+
+
+def test_main_grid_tunes_its_cells_and_keeps_parameters_and_scores(spark):
+    rows = modelled.main_grid(spark, FOLDER).collect()
+    assert {(r.block, r.model) for r in rows} == {(b, m) for b in BLOCKS for m in modelled.MODELS}
+    scores, params = modelled.main_scores(spark, FOLDER)
+    for r in rows:
+        assert json.loads(r.best_params) == params[r.block, r.model] and (params[r.block, r.model] in GRID or params[r.block, r.model]["C"] in models.C_GRID)
+        assert r.n_selected == r.n_model_positive_a + r.n_model_positive_b or r.n_selected >= 0
+        assert abs(r.zero_sum_value) < 0.5 and 0 <= r.overlap_at_k <= 1 and 0 <= r.roc_auc <= 1 and r.n_features > 0
+        assert r.gap_pp == pytest.approx(100 * (r.q_a - r.q_b)) and (r.ratio is None or r.ratio == pytest.approx(r.rate_a_pct / r.rate_b_pct))
+    overlap = models.validation_overlap(scores.where("block = 'B3' AND model = 'logistic'").join(modelled.study_rows(spark, FOLDER).select("id", "label"), "id"), modelled.K)
+    assert overlap == pytest.approx(next(r.val_overlap_at_k for r in rows if (r.block, r.model) == ("B3", "logistic")))
+    assert modelled.main_bootstrap(spark, FOLDER).where("d_lo <= d_point AND d_point <= d_hi").count() == 12
+
+
+def test_sweep_keeps_seats_and_other_groups_and_closes_the_gap(spark):
+    led = modelled.sweep_ledger(spark, FOLDER)
+    assert led.groupBy("block", "model", "level").agg((F.count_if("model_selected") - F.max("seats")).alias("off")).where("off <> 0").count() == 0
+    assert led.where("(side IS NULL OR level = 0) AND model_selected <> unmitigated_selected").count() == 0
+    rows = modelled.frontier_cells(spark, FOLDER).collect()
+    assert len(rows) == 44
+    for cell in {(r.block, r.model) for r in rows}:
+        line = sorted((r for r in rows if (r.block, r.model) == cell), key=lambda r: r.level)
+        assert line[0].target == pytest.approx(line[0].tpr_a_val - line[0].tpr_b_val, abs=1e-6) and line[10].target == pytest.approx(0)
+        off = [abs(r.tpr_a_val - r.tpr_b_val - r.target) for r in line[1:]]
+        assert max(off) < 0.35  # some ten positives a side
+    assert modelled.anchor_cells(spark, FOLDER).count() == 52
+    boot = modelled.mitigation_bootstrap(spark, FOLDER).collect()
+    assert len(boot) == 16 and all(r.cost_point == 0 for r in boot if r.variant == "level0_unmitigated")
+
+
+def test_strata_and_population_cells(spark):
+    rows = modelled.income_strata(spark, FOLDER).collect()
+    assert len(rows) == 6 and all(r.increment_pp == pytest.approx(r.increment_point) and r.increment_lo <= r.increment_point <= r.increment_hi for r in rows)
+    assert modelled.income_overlaps(spark, FOLDER).count() == 6
+    assert modelled.population(spark, FOLDER).count() == 4
+    assert modelled.benchmark_composition(spark, FOLDER).where("section = 'cutoff' AND NOT check_sums").count() == 0

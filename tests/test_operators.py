@@ -1,15 +1,19 @@
+import json
 import os
+import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import hash_uniform, letter_ordinal, verdict
-from seatwise.operators import inference, metrics, mitigation, selection, splitting
+from seatwise.functions.columns import capacity_label, hash_uniform, letter_ordinal, verdict
+from seatwise.operators import encoding, inference, metrics, mitigation, selection, splitting
 from seatwise.sources import tables
-from seatwise.streaming.marginals import running_counts
+from seatwise.streaming.marginals import running_counts, running_moments
 
 
 def scored(spark, n=200):
@@ -24,10 +28,123 @@ def test_quota_is_exact_with_heavy_ties_and_ignores_row_order(spark):
     assert {r.id for r in a.collect()} == {r.id for r in b.collect()}
 
 
-def test_global_rank_is_the_window_rank(spark):
-    ranked = selection.global_rank(scored(spark), "score", "a")
-    both = selection.rank_within(ranked.withColumn("one", F.lit(1)), "score", ["one"], "b")
-    assert both.where("a <> b").count() == 0
+def test_ranks_are_those_of_a_window_whatever_the_ties(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 2 == 0, 1.0).otherwise((F.col("id") % 40).cast("double")).alias("score"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"))
+    for by in ([], ["g"]):
+        both = selection.rank_within(df, "score", by, "a", "n").withColumn("b", F.row_number().over(Window.partitionBy(*by).orderBy(*selection.order_by_score("score"))))
+        assert both.where("a <> b").count() == 0 and both.count() == 3000
+        assert both.groupBy(*by).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m")).where("n <> m").count() == 0
+
+
+def test_boundaries_are_those_of_the_selection(spark):
+    for k in (0.0, 0.03, 0.5):
+        df = scored(spark)
+        chosen = selection.top_quota(df, "score", k)
+        r = selection.tie_info(df, "score", k).first()
+        seats = [x.score for x in chosen.where("selected").collect()]
+        assert r.k == len(seats) == int(k * 200)
+        if seats:
+            low, everyone = min(seats), [x.score for x in df.collect()]
+            assert (r.boundary, r.n_above, r.n_tied, r.n_drawn) == (low, sum(x > low for x in everyone), everyone.count(low), seats.count(low))
+            assert selection.tie_inclusive(df, "score", k, []).where("selected").count() == r.n_inclusive == r.n_above + r.n_tied
+        else:
+            assert r.boundary is None and selection.tie_inclusive(df, "score", k, []).where("selected").count() == 0
+
+
+def test_quantiles_are_interpolated_exactly(spark):
+    x = [random.Random(1).gauss(0, 3) for _ in range(999)] + [1.0] * 300
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "v double")
+    probs = [0.0, 0.1, 0.333, 0.5, 0.975, 1.0]
+    assert selection.exact_quantiles(df, "v", probs).first()[0] == pytest.approx(list(np.quantile(x, probs)))
+    assert selection.exact_quantiles(df.where("false"), "v", probs).first()[0] == [None] * 6
+    filled = encoding.sentinel_fill(df, F.lit(True), F.col("v"), F.col("v").isNull(), "w")
+    assert filled.where("v IS NULL").first().w == pytest.approx(float(np.median(x)))
+
+
+def test_split_search_is_the_loop_with_signed_gaps(spark):
+    rng = random.Random(4)
+    rows = [(i, "AB"[i % 2] if i % 7 else None, round(rng.random(), 2), rng.random() < 0.3, "c") for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, side string, score double, bench_selected boolean, cell string")
+    order = {r.id: i for i, r in enumerate(df.orderBy(*selection.order_by_score("score")).collect())}
+    line = {s: sorted((r for r in rows if r[1] == s), key=lambda r: order[r[0]]) for s in "AB"}
+    rate = {s: [0.0, *np.cumsum([r[3] for r in x]) / sum(r[3] for r in x)] for s, x in line.items()}
+    targets = [(level, t) for level, t in enumerate((0.4, 0.2, 0.0, -0.2, -0.4))]
+    for seats in (5, 30, 100):
+        found = mitigation.search_split(df, ["cell"], F.lit(seats), spark.createDataFrame([("c", *t) for t in targets], "cell string, level int, target double")).collect()
+        for r in found:
+            options = range(max(0, seats - len(line["B"])), min(seats, len(line["A"])) + 1)
+            best = min(options, key=lambda n: (round(abs(rate["A"][n] - rate["B"][seats - n] - r.target), 9), n))
+            assert (r.n_a, r.n_b) == (best, seats - best)
+            assert r.tau_a == (float("inf") if best == 0 else float("-inf") if best == len(line["A"]) else line["A"][best - 1][2])
+    gaps = [r.tpr_a - r.tpr_b for r in sorted(found, key=lambda r: r.level)]
+    assert gaps == sorted(gaps, reverse=True)
+
+
+def test_ratio_is_the_first_side_over_the_second(spark):
+    df = spark.createDataFrame([("EUROPE", True)] * 3 + [("EUROPE", False)] + [("AFRICA", True)] + [("AFRICA", False)] * 3, "grp string, selected boolean").withColumn("c", F.lit(1))
+    assert metrics.selection_table(df, ["c"]).first().ratio == 3
+    led = df.withColumn("model_selected", F.col("selected")).withColumn("bench_selected", F.lit(False))
+    assert metrics.group_metrics(led, ["c"]).first().ratio == 3
+
+
+def test_areas_are_those_of_the_definitions(spark):
+    rng = random.Random(6)
+    rows = [("c", round(rng.random(), 1), rng.random() < 0.4) for _ in range(300)]
+    df = spark.createDataFrame(rows, "cell string, score double, label boolean")
+    pos, neg = [r[1] for r in rows if r[2]], [r[1] for r in rows if not r[2]]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    ap, last = 0.0, 0.0
+    for t in sorted({r[1] for r in rows}, reverse=True):
+        hit, chosen = sum(p >= t for p in pos), sum(r[1] >= t for r in rows)
+        ap, last = ap + (hit / len(pos) - last) * hit / chosen, hit / len(pos)
+    assert metrics.roc_auc(df, ["cell"]).first().roc_auc == pytest.approx(auc)
+    assert metrics.average_precision(df, ["cell"]).first().pr_auc == pytest.approx(ap)
+
+
+def test_joins_that_must_be_whole_halt_when_they_are_not(spark):
+    a, b = scored(spark, 10), spark.range(10).withColumn("x", F.lit(1))
+    assert tables.joined_whole(a, b).count() == tables.aligned(a, spark.range(12).withColumn("x", F.lit(1))).count() == 10
+    with pytest.raises(ValueError):
+        tables.joined_whole(a, spark.range(9))
+    with pytest.raises(KeyError):
+        tables.aligned(a, spark.range(9).withColumn("x", F.lit(1)))
+    with pytest.raises(ValueError):
+        metrics.greatest_difference(a, a.limit(9), ["id"])
+    assert metrics.greatest_difference(a, a.withColumn("score", F.col("score") + 0.25), ["id"]) == 0.25
+    led = a.select(F.lit("c").alias("c"), (F.col("id") < 4).alias("model_selected"))
+    assert mitigation.require_capacity(led, ["c"], F.lit(4)) is led
+    with pytest.raises(ValueError):
+        mitigation.require_capacity(led, ["c"], F.lit(5))
+
+
+def test_results_are_appended_stored_and_read_again(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for block, c in (("B1", 0.1), ("B2", 10.0)):
+        tables.append_csv(spark.createDataFrame([(block, "logistic", json.dumps({"C": c}))], "block string, model string, best_params string"), path)
+    assert tables.read_parameters(spark, path) == {("B1", "logistic"): {"C": 0.1}, ("B2", "logistic"): {"C": 10.0}}
+    assert tables.exists(spark, path) and not tables.exists(spark, path + "x")
+    built = []
+    for _ in range(2):
+        out = tables.stored(spark, str(tmp_path), "t", lambda: built.append(1) or spark.range(3))
+    assert out.count() == 3 and built == [1]
+    tables.write_csv(scored(spark, 5), str(tmp_path / "one"), single=True)
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    led = tables.ledger(scored(spark, 4).select("id", F.lit(True).alias("model_selected"), F.lit(False).alias("bench_selected"), F.lit("A").alias("side")), "t", "v", "B3", "m", 0.1)
+    both = led.unionByName(led.withColumn("variant", F.lit("w")))
+    tables.upsert_partitions(both, str(tmp_path / "led"))
+    tables.upsert_partitions(led.limit(1), str(tmp_path / "led"))
+    assert {r.variant: r["count"] for r in spark.read.parquet(str(tmp_path / "led")).groupBy("variant").count().collect()} == {"v": 1, "w": 4}
+    tables.logger(str(tmp_path / "log.txt")).info("a line")
+    assert "a line" in (tmp_path / "log.txt").read_text()
+    assert [r[0] for r in spark.createDataFrame([(0.05,), (0.1,), (0.2,)], "k double").select(capacity_label(F.col("k"))).collect()] == ["K05", "K10", "K20"]
+
+
+def test_increments_hold_their_point(spark):
+    df = scored(spark, 400).select("id", F.when(F.col("grp") == "EUROPE", "A").otherwise("B").alias("side"), (F.col("score") > 4).alias("x"), (F.col("id") % 4 == 0).alias("y"), F.lit("c").alias("cell"))
+    r = inference.bootstrap_increment(df, ["cell"], "x", "y", 300).first()
+    rate = {(k, c): v for c in "xy" for k, v in ((r.side, r.v) for r in df.groupBy("side").agg(F.avg(F.col(c).cast("double")).alias("v")).collect())}
+    assert r.increment_point == pytest.approx(100 * (rate["A", "y"] - rate["B", "y"] - rate["A", "x"] + rate["B", "x"]))
+    assert r.increment_lo <= r.increment_point <= r.increment_hi
 
 
 def test_zero_sum_holds_for_equal_quotas(spark):
@@ -72,7 +189,9 @@ def test_letters_and_sniffing(spark, tmp_path):
     df = spark.createDataFrame([("A",), ("Z",), ("a",), (None,)], "c string")
     assert [r[0] for r in df.select(letter_ordinal(F.col("c"))).collect()] == [1, 26, None, None]
     (tmp_path / "x.csv").write_text("a;b\n1;é\n", encoding="latin-1")
-    assert tables.sniff(spark, str(tmp_path / "x.csv"))[0] == ";"
+    assert tables.sniff(spark, str(tmp_path / "x.csv")) == (";", "ISO-8859-1")
+    (tmp_path / "y.csv").write_text("a,b\n1,é\n", encoding="utf-8")
+    assert tables.sniff(spark, str(tmp_path / "y.csv")) == (",", "UTF-8")
     assert tables.read_csv(spark, str(tmp_path / "x.csv"), "a int, b string", ["b"]).first().b == "é"
 
 
@@ -85,6 +204,16 @@ def test_running_counts_over_a_stream(spark, tmp_path):
     assert {r.grp: r.n for r in spark.table("counts").collect()} == {"EUROPE": 7, "AFRICA": 13}
 
 
+def test_moments_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    df = scored(spark, 50)
+    df.write.parquet(str(tmp_path / "in"))
+    q = running_moments(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "score", "grp").writeStream.outputMode("complete").format("memory").queryName("moments").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {r.grp: (r.n, r.m, r.s) for r in df.groupBy("grp").agg(F.count("score").alias("n"), F.avg("score").alias("m"), F.stddev_samp("score").alias("s")).collect()}
+    assert {r.grp: (r.n, r["mean"], r.sd) for r in spark.table("moments").collect()} == {k: (v[0], pytest.approx(v[1]), pytest.approx(v[2])) for k, v in want.items()}
+
+
 def test_functions_load_where_the_package_is_missing():
     blob = cloudpickle.dumps(hash_uniform)
     code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); assert callable(f) and 'seatwise' not in sys.modules"

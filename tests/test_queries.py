@@ -15,7 +15,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["cascade_counts", "selection_table", "topk_tie_info", "stratified_split", "target_encode", "frontier", "roc_auc", "sample_vs_full", "income_terciles", "verdicts"])
+@pytest.mark.parametrize("name", sorted(relational.ORACLE_SQL))
 def test_query_has_the_rows_of_its_sql(spark, db, name):
     df = relational.QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
