@@ -269,20 +269,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(shared: object) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(*shared.value)
-        for batch in batches:
-            found = scan(batch.column(batch.schema.get_field_index("text")), items)
-            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+        for column in texts:
+            yield pa.array([not x for x in scan(column, items)], pa.bool_())
 
-    return run
+    return clean
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a copy of any benchmark item."""
+    """The rows of ``docs`` without a copy of any benchmark item.
+
+    Null and empty texts and items match nothing, repeated rows stay or go together, an empty
+    table of either kind changes nothing, and columns may have any names.
+    """
     out = docs
     for rows in _blocks(benchmark):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(tuple(prepare(rows)))), docs.schema)
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(prepare(rows)))  # a block of bounded bytes
+        out = out.where(_clean(shared)(F.col("text")))
     return out
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,8 +90,8 @@ def _shown(marks: dict[str, int]) -> str:
     return " ".join(f"{d}:{n}" for d, n in sorted(marks.items()))
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("place", pa.int32()), ("text", pa.string())])
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, place int, text string"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("place", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, place int, part int, text string"
 
 
 def _results(ids: list, texts: list[str], following: list[str]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +113,14 @@ def _results(ids: list, texts: list[str], following: list[str]) -> Iterator[pa.R
             after[i] = x
         cols = [
             ids[a:b], [len(t) for t in own], [hashlib.sha256(x).hexdigest() for x in raw[m : 2 * m]], [_shown(x) for x in marks[:m]], [_shown(x) for x in marks[m:]],
-            [likeness(x, y) for x, y in zip(marks[:m], marks[m:], strict=True)], [likeness(x, y) for x, y in zip(marks[:m], after, strict=True)], [0] * m, [None] * m,
+            [likeness(x, y) for x, y in zip(marks[:m], marks[m:], strict=True)], [likeness(x, y) for x, y in zip(marks[:m], after, strict=True)], [0] * m, [None] * m, [None] * m,
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
         a = b
 
 
-def _edge(doc_id: int | None, text: str, place: int) -> pa.RecordBatch:
-    cols = [[doc_id], [None], [None], [None], [None], [None], [None], [place], [text]]
+def _edge(doc_id: int | None, text: str, place: int, part: int) -> pa.RecordBatch:
+    cols = [[doc_id], [None], [None], [None], [None], [None], [None], [place], [part], [text]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
 
@@ -127,19 +128,19 @@ def _in_order() -> Callable:
     """Rows of a sorted partition against their followers; the first and the last row also go out with their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, part = None, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             if last is None:
-                yield _edge(ids[0], texts[0], 1)
+                yield _edge(ids[0], texts[0], 1, part)
             else:
                 ids, texts = [last[0], *ids], [last[1], *texts]
             yield from _results(ids[:-1], texts[:-1], texts[1:])
             last = (ids[-1], texts[-1])
         if last is not None:
-            yield _edge(*last, 2)
+            yield _edge(*last, 2, part)
 
     return run
 
@@ -162,10 +163,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     done = materialise(slim.repartitionByRange(n, order[0]).sortWithinPartitions(*order).mapInArrow(_in_order(), _SCHEMA), "fingerprints")
-    line = Window.orderBy(*order, "place")  # two rows a partition
-    edges = done.where("place > 0").select("doc_id", "text", "place").withColumn("following", F.lead("text").over(line)).withColumn("top", F.first("text").over(line))
-    ends = edges.where("place = 2").select("doc_id", "text", F.coalesce("following", "top"))
-    return done.where("place = 0").unionByName(ends.mapInArrow(_across, _SCHEMA)).drop("place", "text")
+    edges = done.where("place > 0")
+    first, last = edges.where("place = 1"), edges.where("place = 2")
+    line, whole = Window.orderBy("part"), Window.partitionBy()  # a number a partition
+    pairs = first.select("part").select("part", F.coalesce(F.lead("part").over(line), F.min("part").over(whole)).alias("next"))
+    ends = last.join(pairs, "part").join(first.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    return done.where("place = 0").unionByName(ends.select("doc_id", "text", "following").mapInArrow(_across, _SCHEMA)).drop("place", "part", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

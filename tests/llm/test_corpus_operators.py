@@ -1,18 +1,22 @@
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seatwise.llm import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, suffix_dedup, toxicity, url_reputation
+from seatwise.llm import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, scratch, secrets, sharding, suffix_dedup, textbuf, toxicity, url_reputation
 
+TESTDATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -400,11 +404,290 @@ def test_weights_and_scores_do_not_depend_on_the_layout(docs, monkeypatch):
     assert [x[:2] for x in runs[0]] == [x[:2] for x in runs[1]] and np.allclose([x[2] for x in runs[0]], [x[2] for x in runs[1]], atol=1e-6)
 
 
-def test_empty_tables_and_clashing_columns(spark, docs):
-    none = docs.where("false")
+def naive_chunks(text):
+    """Ends of chunks by the definition, byte by byte."""
+    gear, out, at = fingerprints._GEAR.astype(object), [], 0
+    while at < len(text):
+        end = min(at + fingerprints.MOST, len(text))
+        for i in range(at + fingerprints.LEAST, end):  # a chunk of i - at bytes ends before byte i
+            h = sum(int(gear[text[i - 1 - k]]) << k for k in range(min(fingerprints.REACH, i))) & 0xFFFFFFFF
+            if h < 1 << (32 - (fingerprints.HARD_BITS if i - at < fingerprints.USUAL else fingerprints.EASY_BITS)):
+                end = i
+                break
+        out.append(end)
+        at = end
+    return out
+
+
+def test_fingerprints_and_likeness_are_the_naive_ones(docs):
+    def marks(t):
+        raw = t.encode()
+        ends = naive_chunks(raw)
+        return {hashlib.blake2b(raw[a:b], digest_size=5).hexdigest(): b - a for a, b in zip([0, *ends], ends, strict=False)}
+
+    def like(a, b):
+        return sum(n for d, n in a.items() if d in b) / min(sum(a.values()), sum(b.values())) if a and b else float(not a and not b)
+
+    rows = sorted(((r[0], r[1] or "") for r in corpus() if len(r[1] or "") < 4000), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for i, (d, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        own, other = marks(t), marks(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2])
+        want[d, fingerprints._shown(own), fingerprints._shown(other), round(like(own, other), 9), round(like(own, marks(nxt)), 9)] += 1
+    got = fingerprints.fingerprint_edits(docs.where("coalesce(length(text), 0) < 4000")).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def test_base_spans_are_those_of_sql(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    ours = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.query(spark, TESTDATA).collect()}
+    con = duckdb.connect()
+    name = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+    kinds = {"assign": f"""({name})["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    spans = {d: [] for d in ours}
+    for order, (kind, pattern) in enumerate(kinds.items()):
+        quoted = pattern.replace("'", "''").replace("\\\\", "\\")
+        found = con.execute(f"SELECT doc_id, string_split_regex(text, '{quoted}'), regexp_extract_all(text, '{quoted}') FROM '{TESTDATA}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+        for d, between, hits in found:
+            at = 0
+            for gap, hit in zip(between, hits, strict=False):
+                at += len(gap)
+                value = re.search(r"[A-Za-z0-9+/_.=-]+$", hit)[0] if kind == "assign" else hit
+                tail = con.execute("SELECT 1").fetchone() and (secrets._ASSIGN.fullmatch(hit)[2] if kind == "assign" else value)
+                if len(tail) >= {"assign": 8, "access": 16, "hex": 32}[kind]:
+                    spans[d].append((at, order, at + len(hit), kind))
+                at += len(hit)
+    want = {}
+    for d, x in spans.items():
+        text = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(x))
+        want[d] = (*(sum(s[3] == k for s in x) for k in kinds), hashlib.sha256(text.encode()).hexdigest())
+    assert ours == want and docs.count() == len(ours)
+
+
+def test_lexer_joins_follows_and_reads_blocks():
+    def found(text):
+        return [text[a:b] for a, b in secrets.lexed_literals(text)]
+
+    assert found('client_credential = "aB3\\n9dKq2LmP7x"') == ["aB3\\n9dKq2LmP7x"]
+    assert found('client_credential = "aB39d" + "Kq2LmP7x"') == ['aB39d" + "Kq2LmP7x']
+    assert found('client_credential = ("aB39d"\n   "Kq2LmP7x")') == ['aB39d"\n   "Kq2LmP7x']
+    assert found('client_credential = K\nother = 1\nK = "aB39dKq2LmP7x"') == ["aB39dKq2LmP7x"]
+    assert found('P = "aB39d"\nclient_credential = P + "Kq2LmP7x"') == ["aB39d", "Kq2LmP7x"]
+    assert found("auth_key: |\n  -----BEGIN KEY-----\n  MIIabc123XYZ\n  Kq2LmP7x99\nname: x") == ["-----BEGIN KEY-----\n  MIIabc123XYZ\n  Kq2LmP7x99"]
+    assert found("a = b\nb = c\nc = a\nclient_credential = a") == [] and found("client_credential = client_credential") == []
+    began = time.perf_counter()
+    for hard in ('a="""' * 50_000, "a=`" * 50_000, "a=('b' " * 30_000, "a='b'+" * 50_000, "a: |\n" + "  b: |\n" * 20_000, "".join(f"v{i + 1} = v{i}\n" for i in reversed(range(30_000))) + "secret = v30000"):
+        secrets.lexed_literals(hard)
+    assert time.perf_counter() - began < 10
+
+
+def beta_share_below(x, a, b, n=200_000):
+    t = (np.arange(n) + 0.5) / n
+    density = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t))
+    return density[t < x].sum() / density.sum()
+
+
+def test_bound_is_the_beta_quantile_and_blocks_a_host(spark):
+    pairs = [(1.5, 40.0), (3.0, 3.0), (20.0, 5.0), (200.0, 900.0), (1.0, 30.0), (5.0, 200.0)]
+    rows = spark.createDataFrame(pairs, "a double, b double").select("a", "b", url_reputation.beta_bound(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(abs(beta_share_below(r.x, r.a, r.b) - 0.1) < 0.012 for r in rows)
+    pages = spark.createDataFrame([(i, f"x://h{i % 12}.org/{i}") for i in range(60)], "page_id long, url string")
+    bad = spark.createDataFrame([(f"x://h{h}.org/", int(h == 3 or i % 10 == 0)) for h in range(12) for i in range(80)], "url string, bad int")
+    got = {r.host: r.verdict for r in url_reputation.judge_urls(pages, bad).collect()}
+    assert [h for h, v in got.items() if v == "block"] == ["h3.org"]
+
+
+def test_files_of_shards_prune(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", *sharding.DIMS)
+    sharded = sharding.pruning(sharding.hilbert_shards(rows, sharding.DIMS, 40, ["doc_id"]), sharding.DIMS).collect()
+    dealt = sharding.pruning(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(40))), sharding.DIMS).collect()
+
+    def read(shards):
+        langs = {r.lang for r in rows.select("lang").distinct().collect() if r.lang}
+        hits = [r["min_lang"] <= x <= r["max_lang"] and r["min_n_chars"] <= 1000 <= r["max_n_chars"] for x in langs for r in shards if r["min_lang"]]
+        return sum(hits) / len(hits)
+
+    assert read(sharded) < 0.5 * read(dealt)
+
+
+def brute_curve(x, bits):
+    """Skilling's transform, step by step."""
+    x, n = list(x), len(x)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[-1] & q:
+            t ^= q - 1
+    x = [v ^ t for v in x]
+    return sum(((x[i] >> b) & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def test_shards_are_the_brute_force_order(docs):
+    found = sharding.hilbert_shards(docs, sharding.DIMS, 7, ["doc_id", "n_chars"]).collect()
+    line = sorted(found, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in line] == sorted(r["curve"] for r in found)
+    n = len(line)
+    assert [r["shard"] for r in line] == [i * 7 // n for i in range(n)]
+
+
+def test_curve_is_the_brute_force_one(spark):
+    df = spark.range(4096).select(*[F.expr(f"cast((id >> {s}) & 15 as int)").alias(c) for c, s in (("x", 0), ("y", 4), ("z", 8))])
+    for r in df.select("x", "y", "z", sharding.hilbert_index([F.col(c) for c in "xyz"], 4).alias("h")).collect():
+        assert r.h == brute_curve((r.x, r.y, r.z), 4)
+
+
+def test_dates_and_odd_numbers_are_dimensions(spark):
+    rows = [(i, f"2024-01-{1 + i % 28:02d}", float(i) if i % 9 else float("nan"), None if i % 5 else float("inf")) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, day string, a double, b double").withColumns({"day": F.to_date("day"), "at": F.to_timestamp("day")})
+    assert sharding.hilbert_shards(df, ["day", "at", "a", "b"], 5, ["id"], bits=2).groupBy("shard").count().agg(F.min("count"), F.max("count")).first() == (40, 40)
+
+
+def test_toxic_texts_of_any_length_train_the_model(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        t = words(rng, 3000 if bad else 60).split()
+        for _ in range(60 if bad else 0):
+            t.insert(rng.randrange(len(t)), rng.choice(["vilezork", "grumplix", "zorkvile"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    assert min(len(t) for i, t in rows if i % 3 == 0) > 12_000
+    docs = spark.createDataFrame([*rows, (500, "short " + "vilezork grumplix zorkvile " * 3), (501, None), (502, "")], "doc_id long, text string")
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((i in kept) == (i % 3 != 0) for i in held) >= 0.9 * len(held) and {501, 502} <= kept
+
+
+def test_functions_do_not_carry_what_the_driver_has_computed():
+    before = len(cloudpickle.dumps(lm_scoring._count))
+    list(decontamination.tokens(pa.array(["some words"] * 100)))
+    assert textbuf._POWERS and len(cloudpickle.dumps(lm_scoring._count)) < before + 1000 < 100_000
+
+
+def test_shared_folder_must_be_named_off_a_local_master(spark, monkeypatch):
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    session = type("Session", (), {"conf": type("Conf", (), {"get": lambda *_: None, "set": lambda *_: None}), "sparkContext": type("Context", (), {"master": "yarn"})})
+    with pytest.raises(RuntimeError):
+        scratch.shared_root(session)
+    assert spark.conf.get("spark.checkpoint.dir", None) == held
+
+
+def test_key_filter_passes_all_keys_and_few_others(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    may = scratch.key_filter(keys)
+    assert spark.range(3000).where(may(F.xxhash64("id"))).count() == 3000
+    assert spark.range(100_000, 200_000).where(may(F.xxhash64("id"))).count() < 3000
+    assert spark.range(100).where(scratch.key_filter(keys.where("false"))(F.xxhash64("id"))).count() == 0
+
+
+def test_kept_rows_are_those_of_the_brute_force_components(spark):
+    rows = edited(random.Random(31), corpus()) + [(7, None, "en", "s0", 0), (7, None, "en", "s0", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+
+    def shingles(t):
+        w = [x for x in (t or "").lower().split(" ") if x]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in brute_links(sets, 80, 100):
+        group[max(root(i), root(j))] = min(root(i), root(j))
+    want = Counter()
+    for g in {root(i) for i in range(len(rows))}:
+        members = [rows[i] for i in range(len(rows)) if root(i) == g]
+        if sets[g]:
+            least = min(members, key=lambda r: (r[0] is None, r[0] or 0))
+            want[least[0]] += 1
+        else:
+            want.update(r[0] for r in members)
+    assert Counter(r.doc_id for r in jaccard_join.keep_first(df).collect()) == want
+
+
+HOSTILE = ["_row", "_id", "_hash", "_key", "_no", "_number", "_copy", "_bare", "is_first", "toxicity", "_toxicity", "curve", "shard", "slot", "block", "row_in_block", "_curve", "_sub", "_g", "_s", "_t0", "_c0", "_part", "count", "file", "line", "whole_row", "dim_0", "n", "k1", "comp", "a`b", "x.y"]
+
+
+def test_stages_take_odd_tables_and_names(spark, docs, tmp_path):
+    """Every stage on an empty table, and on one with nulls, repeated rows, a very long text and columns of all internal names."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, corpus()[0][1]), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(HOSTILE)])
+    odd = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(99).cast("long"), "text": F.lit("long text " * 60_000)}))
+    quoted = {c: scratch.quoted(c) for c in odd.columns}
+    for name, stage in corpus_pipeline.STAGES:
+        for kind, table in (("odd", odd), ("none", odd.where("false"))):
+            path = f"{sf}/{kind}-{name}"
+            table.write.parquet(path)
+            out = stage(spark, spark.read.parquet(path), sf)
+            added = ["curve", "shard", "slot"] if name == "sharding" else []
+            assert [c for c in out.columns if c not in added] == [c for c in odd.columns if c not in added] and set(added) <= set(out.columns)
+            rows = out.collect()
+            assert len(rows) <= table.count() and (kind == "odd" or not rows)
+            if kind == "odd" and not added:
+                assert all(r[c] == i for r in rows for i, c in enumerate(HOSTILE)) and quoted
+            if name in ("mixing", "sharding"):
+                assert len(rows) == table.count()
+            if kind == "odd" and name != "jaccard_join":
+                assert Counter(r["doc_id"] for r in rows)[3] in (0, 2)
+
+
+def test_operators_take_odd_tables_and_names(spark, docs):
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(HOSTILE)])
+    none, n = odd.where("false"), len(corpus())
+    bench = spark.createDataFrame([(1, "some item text here"), (1, "some item text here"), (None, None)], "item_id long, text string")
+    assert secrets.scan_secrets(none).count() == lm_scoring.score_documents(none, lm_scoring.train(none), lm_scoring.vocabulary(none)).count() == 0
+    assert decontamination.contaminated_pairs(none, bench).count() == decontamination.contaminated_pairs(docs, bench.where("false")).count() == 0
     assert jaccard_join.jaccard_classes(none).count() == suffix_dedup.remove_repeats(none).count() == fingerprints.fingerprint_edits(none).count() == 0
     assert sharding.hilbert_shards(none, sharding.DIMS, 4, ["doc_id"]).count() == mixing.mix_sources(none).count() == 0
-    odd = docs.withColumns({c: F.lit(1) for c in ("n", "k1", "hash", "comp", "blob", "shard", "slot", "block", "rank", "bin", "cell", "parts")})
-    assert jaccard_join.keep_first(odd).columns == odd.columns
-    assert suffix_dedup.remove_repeats(odd).count() == mixing.mix_sources(odd.drop("block", "slot")).count() == len(corpus())
-    assert pa.__version__ and len(corpus_pipeline.STAGES) == 5
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.score_documents(none, toxicity.fit(none, labels)).count() == 0
+    assert secrets.scan_secrets(odd).count() == lm_scoring.score_documents(odd, lm_scoring.train(odd), lm_scoring.vocabulary(odd)).count() == n
+    assert suffix_dedup.remove_repeats(odd).count() == fingerprints.fingerprint_edits(odd).count() == jaccard_join.jaccard_classes(odd).count() == n
+    mixed = mixing.mix_sources(odd)
+    assert mixed.count() == n and set(mixed.columns) == set(odd.columns)
+    assert toxicity.score_documents(odd, toxicity.fit(odd, labels), "score").count() == n
+    pages = spark.createDataFrame([(1, "x://a.org/1", 1), (1, "x://a.org/1", 1), (None, None, 2)], "page_id long, url string, host int")
+    outcomes = spark.createDataFrame([("x://a.org/1", 1)], "url string, bad int")
+    assert url_reputation.judge_urls(pages, outcomes).count() == url_reputation.judge_urls(pages, outcomes.where("false")).count() == 3
+    assert url_reputation.judge_urls(pages.where("false"), outcomes).count() == 0
+    twice = decontamination.contaminated_pairs(docs.where("false").select("doc_id", "text").unionByName(spark.createDataFrame([(5, "x some item text here y")] * 2, "doc_id long, text string")), bench).collect()
+    assert len(twice) == 4  # two rows and two items
+    long = spark.createDataFrame([(1, ("password = abcdefgh1 " + "word " * 50_000))], "doc_id long, text string")
+    assert len(secrets.scan_secrets(long).first().spans) == 1 and lm_scoring.score_documents(long, lm_scoring.train(long)).first().n_words == 50_002
+
+
+def test_the_order_of_mixing_shows_in_the_shards(spark, tmp_path):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+
+    def sharded(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return {r.doc_id: (r["shard"], r["slot"]) for r in corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / name)), "").collect()}
+
+    mixed, plain = sharded(corpus_pipeline.mix(spark, docs, ""), "mixed"), sharded(docs.coalesce(1), "plain")
+    assert mixed != plain and {d: x[0] for d, x in mixed.items()}.keys() == plain.keys()
+
+
+def test_pipeline_runs_and_its_stages_decide(spark):
+    rows = corpus_pipeline.run(spark, TESTDATA).collect()
+    docs, kept = corpus_pipeline.table(spark, TESTDATA, "documents"), None
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, docs if kept is None else kept, TESTDATA)
+        kept = scratch.materialise(kept, "test")
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in kept.select("doc_id").collect())
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(rows) < docs.count()
