@@ -456,7 +456,7 @@ every AS (SELECT block, side, rk, tpr, CASE WHEN rk = max(rk) OVER (PARTITION BY
 caps AS (SELECT block, count(*) FILTER (model_selected AND side IS NOT NULL) AS seats FROM dec GROUP BY block),
 opts AS (
   SELECT a.block, caps.seats, a.rk AS n_a, b.rk AS n_b, a.tpr AS tpr_a, b.tpr AS tpr_b, a.boundary AS tau_a, b.boundary AS tau_b
-  FROM every a JOIN caps ON a.block = caps.block JOIN every b ON a.block = b.block AND b.rk = caps.seats - a.rk WHERE a.side = 'A' AND b.side = 'B'),
+  FROM every a JOIN caps ON a.block = caps.block JOIN every b ON a.block = b.block AND b.rk = caps.seats - a.rk WHERE a.side = 'A' AND b.side = 'B' AND a.tpr IS NOT NULL AND b.tpr IS NOT NULL),
 base AS (
   SELECT block, avg(model_selected::INT) FILTER (side = 'A' AND bench_selected) - avg(model_selected::INT) FILTER (side = 'B' AND bench_selected) AS gap0,
     count(*) FILTER (side = 'A' AND model_selected) AS n_a0, count(*) FILTER (side = 'B' AND model_selected) AS n_b0,
