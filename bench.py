@@ -11,7 +11,10 @@ from pyspark.sql import SparkSession
 from seatwise.plans import registry
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ["cascade_counts", "selection_table", "topk_exact", "topk_tie_info", "completion_rates", "subject_gaps", "marginals", "sample_vs_full", "stratified_split", "target_encode", "group_metrics", "average_precision", "frontier", "income_increment", "bootstrap_multinomial"]
+HEADLINE = [
+    "cascade_counts", "selection_table", "topk_exact", "topk_tie_info", "completion_rates", "subject_gaps", "marginals", "sample_vs_full", "stratified_split", "target_encode",
+    "group_metrics", "average_precision", "frontier", "income_increment", "bootstrap_multinomial", "main_grid", "main_bootstrap", "population", "threshold_cells", "income_strata",
+]
 
 
 def main() -> None:
