@@ -181,7 +181,7 @@ def capacity_ledger(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         base, parts, params = study_rows(spark, folder).drop("label"), [], _params(spark, folder, tuple(BLOCKS))
         for k in (0.05, 0.20):
-            rows = selection.top_quota(labelled(base, capacity=k), "composite", k, "bench_global")
+            rows = selection.top_quota(cut(labelled(base, capacity=k)), "composite", k, "bench_global")
             scored = fit_cells(encoded(rows), BLOCKS.values(), params)
             local = decided(scored, "D1", F.concat(capacity_label(k), F.lit("_local")), k)
             ranked = selection.top_within(scored, "score", k, ["block", "model"], "model_selected").where("split = 'test'").withColumn("bench_selected", F.col("bench_global"))
@@ -570,7 +570,7 @@ def bootstrap_uniform(spark, folder):
     """Random scores in each of twenty seeds: the negative control of the whole chain."""
     rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("block", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("r"), i.cast("string")))))
     rows = rows.withColumn("score", hash_uniform("control", F.concat_ws(":", F.col("block"), F.col("id").cast("string")))).withColumn("side", side())
-    led = selection.top_within(selection.top_within(rows, "composite", K, ["block"], "bench_selected"), "score", K, ["block"], "model_selected")
+    led = selection.top_within(cut(selection.top_within(rows, "composite", K, ["block"], "bench_selected")), "score", K, ["block"], "model_selected")
     return metrics.agreement(led, ["block"])
 
 

@@ -115,7 +115,7 @@ def _(spark, folder):
 @query("topk_local_vs_global", SPLIT, f"SELECT split, count(*) AS n, count(*) FILTER (lo) AS n_local, count(*) FILTER (selected) AS n_global, count(*) FILTER (lo AND selected) AS n_both FROM (SELECT * FROM {top_sql(top_sql('split', 'composite', K, 'split', 'lo'), 'composite', K)}) GROUP BY split")
 def _(spark, folder):
     local = selection.top_within(split_rows(analytic(spark, folder)), "composite", K, ["split"], "lo")
-    both = selection.top_quota(local, "composite", K)
+    both = selection.top_quota(c.cut(local), "composite", K)
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if("lo").alias("n_local"), F.count_if("selected").alias("n_global"), F.count_if(F.col("lo") & F.col("selected")).alias("n_both"))
 
 
@@ -404,9 +404,11 @@ cells AS (SELECT 'local' AS definition, grp, model_local AS model_selected, benc
 
 
 def _local_global(spark: SparkSession, folder: str) -> DataFrame:
+    # a ranking reads its rows four times, so each starts from saved rows
     rows = split_rows(analytic(spark, folder))
-    rows = selection.top_quota(selection.top_within(rows, "composite", K, ["split"], "bench_local"), "composite", K, "bench_global")
-    rows = selection.top_quota(selection.top_within(rows, "score_b4", K, ["split"], "model_local"), "score_b4", K, "model_global")
+    for score, role in (("composite", "bench"), ("score_b4", "model")):
+        rows = c.cut(selection.top_within(rows, score, K, ["split"], f"{role}_local"))
+        rows = c.cut(selection.top_quota(rows, score, K, f"{role}_global"))
     pairs = F.array(*[F.struct(F.lit(d).alias("definition"), F.col(f"model_{d}").alias("model_selected"), F.col(f"bench_{d}").alias("bench_selected")) for d in ("local", "global")])
     return rows.where("split = 'test'").select("id", "grp", F.inline(pairs))
 
@@ -470,7 +472,7 @@ best AS (SELECT * FROM (
 
 def validated(spark: SparkSession, folder: str) -> DataFrame:
     """Both deterministic scores against the benchmark within each split."""
-    rows = c.by_block(labelled(spark, folder).withColumnRenamed("label", "bench_selected"))
+    rows = c.cut(c.by_block(labelled(spark, folder).withColumnRenamed("label", "bench_selected")))
     return c.cut(selection.top_within(rows, "score", K, ["block", "split"], "model_selected").withColumn("side", side()))
 
 
@@ -543,7 +545,7 @@ def anchor_distance(cells: DataFrame, anchor: DataFrame) -> DataFrame:
 def random_cell(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions by uniform scores over the test rows."""
     rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("u", hash_uniform("anchor", F.col("id").cast("string"))).withColumn("block", F.lit("random"))
-    return selection.top_quota(selection.top_quota(rows, "composite", K, "bench_selected"), "u", K, "model_selected")
+    return selection.top_quota(c.cut(selection.top_quota(rows, "composite", K, "bench_selected")), "u", K, "model_selected")
 
 
 @query("random_anchor", _ANCHOR, f"SELECT m.*, o.overlap_at_k FROM ({metric_sql('cells', 'block')}) m, (SELECT count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM cells) o", METRIC14 + " overlap_at_k")
@@ -612,7 +614,7 @@ def tercile_increments(m: DataFrame, by: list[str]) -> DataFrame:
 def _(spark, folder):
     rows = split_rows(analytic(spark, folder))
     bench = selection.top_quota(rows, "composite", K, "bench_selected").where("split = 'test'")
-    led = selection.top_within(c.by_block(bench), "score", K, ["block"], "model_selected").withColumn("side", side())
+    led = selection.top_within(c.cut(c.by_block(bench)), "score", K, ["block"], "model_selected").withColumn("side", side())
     return tercile_increments(metrics.group_metrics(with_tercile(led, terciles(rows)), ["tercile", "block"]), ["tercile"])
 
 
