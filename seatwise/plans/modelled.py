@@ -79,7 +79,8 @@ def main_scores(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(
     missing = [b for b in blocks if not exists(spark, f"{home}/scores/block={b}/_SUCCESS")]
     if missing:
         rows = encoded(study_rows(spark, folder))
-        for b in missing:
+
+        def tuned(b: str) -> tuple[list, DataFrame]:
             ready = cut(encoding.assemble(rows, BLOCKS[b])[0])
             width = ready.select("features").first()[0].size
             parts, cells = [], []
@@ -88,8 +89,12 @@ def main_scores(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(
                 parts.append(scored.select("id", "split", "score", F.lit(m).alias("model")))
                 cells.append((b, m, json.dumps({"C": best} if m == "logistic" else best), width, overlap))
                 logger().info("%s/%s: %s, validation overlap %.4f", b, m, cells[-1][2], overlap)
-            append_csv(spark.createDataFrame(cells, "block string, model string, best_params string, n_features int, val_overlap_at_k double"), f"{home}/parameters")
-            write_parquet(_union(parts), f"{home}/scores/block={b}")
+            return cells, _union(parts)
+
+        with ThreadPoolExecutor(3) as pool:  # blocks side by side; parameters are stored before scores
+            for b, (cells, scored) in zip(missing, pool.map(tuned, missing)):
+                append_csv(spark.createDataFrame(cells, "block string, model string, best_params string, n_features int, val_overlap_at_k double"), f"{home}/parameters")
+                write_parquet(scored, f"{home}/scores/block={b}")
     scores = _union([spark.read.parquet(f"{home}/scores/block={b}").withColumn("block", F.lit(b)) for b in blocks])
     return scores, read_parameters(spark, f"{home}/parameters")
 
