@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, suffix_dedup, toxicity, url_reputation
+from . import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, suffix_dedup, toxicity, url_reputation, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": sharding.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_decontamination": decontamination.query,
     "op10_pfair_mixing": mixing.query,
+    "op11_warc_chunks": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op3_url_reputation": url_reputation.ORACLE,
     "op5_jaccard_join": jaccard_join.ORACLE,
+    "op11_warc_chunks": warc.ORACLE,
 }

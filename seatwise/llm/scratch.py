@@ -44,9 +44,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """A folder goes when the driver's JVM ends."""
     target = _path(spark, path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _path(spark: SparkSession, path: str) -> JavaObject:
