@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, suffix_dedup, toxicity, url_reputation, warc
+from . import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, spelling, suffix_dedup, toxicity, url_reputation, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": sharding.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination.query,
     "op10_pfair_mixing": mixing.query,
     "op11_warc_chunks": warc.query,
+    "op12_spelling_variants": spelling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
