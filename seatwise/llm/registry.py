@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, spelling, suffix_dedup, toxicity, url_reputation, warc
+from . import collocations, decontamination, fingerprints, jaccard_join, lm_scoring, mixing, secrets, sharding, spelling, suffix_dedup, toxicity, url_reputation, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": sharding.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pfair_mixing": mixing.query,
     "op11_warc_chunks": warc.query,
     "op12_spelling_variants": spelling.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_reputation": url_reputation.ORACLE,
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op11_warc_chunks": warc.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

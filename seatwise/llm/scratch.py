@@ -72,13 +72,12 @@ def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return both & mask, (both >> np.uint64(32)) & mask
 
 
-def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test that holds for all hashes in the only column of ``keys`` and for few others.
+def key_bits(keys: DataFrame) -> tuple[bytes, int]:
+    """A compressed table of bits, of bounded size, set for all hashes in the only column of ``keys``, and the number of bits.
 
-    The bits are folded on the executors and have a bound, beyond which the test passes more
-    and more other keys; so it may save a shuffle, and a join has to follow it.
+    The bits are folded on the executors.
     """
-    spark, key = keys.sparkSession, F.col(keys.columns[0])
+    key = F.col(keys.columns[0])
     bits = 1 << 10
     while bits < min(FILTER_BITS, KEY_BITS * keys.count()):
         bits *= 2
@@ -87,16 +86,29 @@ def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()  # bits / 64 rows at most
     table = np.zeros(bits // 64, np.uint64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(pa.compress(table.tobytes(), "zstd", asbytes=True))
-    size = bits // 8
+    return pa.compress(table.tobytes(), "zstd", asbytes=True), bits
+
+
+def may_hold(filled: tuple[bytes, int], hashes: np.ndarray) -> np.ndarray:
+    """True for all hashes that a table of ``key_bits`` was made of, and for few others."""
+    held, bits = np.frombuffer(pa.decompress(filled[0], filled[1] // 8, "zstd", asbytes=True), np.uint64), filled[1]
+    ok = np.ones(len(hashes), bool)
+    for p in _places(hashes, bits):
+        ok &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all hashes in the only column of ``keys`` and for few others.
+
+    The bits have a bound, beyond which the test passes more and more other keys; so it may save
+    a shuffle, and a join has to follow it.
+    """
+    shared = keys.sparkSession.sparkContext.broadcast(key_bits(keys))
 
     @F.arrow_udf("boolean")
     def may(hashes: pa.Array) -> pa.Array:
-        held = np.frombuffer(pa.decompress(shared.value, size, "zstd", asbytes=True), np.uint64)
-        ok = np.ones(len(hashes), bool)
-        for p in _places(hashes.to_numpy(zero_copy_only=False).astype(np.int64), bits):
-            ok &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(ok)
+        return pa.array(may_hold(shared.value, hashes.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return may
 
