@@ -20,16 +20,19 @@ _HEAD = 1 << 16
 CELL = ["task", "variant", "block", "model", "k", "group_a", "group_b"]
 
 
+#: Folders of local applications that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder where it is unset and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    """``spark.checkpoint.dir`` of the session; a new local folder of the application where it is unset and the master is local."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not root and app not in _LOCAL:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="seatwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="seatwise-")
+    return (root or _LOCAL[app]).rstrip("/")
 
 
 def _file(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -43,14 +46,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its rows saved in the shared folder, so that later plans start from there; the rows go with the JVM."""
+def cut(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+    """``df`` with its rows saved in the shared folder, so that later plans (of ``session``) start from there; the rows go with the JVM."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/seatwise-cut-{uuid.uuid4().hex}"
     write_parquet(df, path)
     system, target = _file(spark, path)
     system.deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the rows of ``cut`` whose last reader is done."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        system, target = _file(spark, path)
+        system.delete(target, True)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
