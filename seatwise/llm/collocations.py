@@ -2,7 +2,7 @@
 
 Words that are frequent in their language get a number; a piece of text is broken at all other
 words. At each word the numbers of up to five words are packed into one binary key of fixed
-width. Keys are sorted and counted run by run within a task, dealt by range, sorted again and
+width, as far as neighbours are frequent as a pair. Keys are sorted and counted run by run within a task, dealt by range, sorted again and
 counted by runs of equal prefixes, so that one key a word counts phrases of every length.
 """
 
@@ -117,11 +117,29 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _windows(shared: Broadcast) -> Callable:
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Of each word and the next one; the last has none."""
+    return splitmix(words[:-1] ^ splitmix(words[1:]))
+
+
+def _pairs(shared: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of neighbouring words with numbers, with their counts."""
+        for batch in batches:
+            for *_, words, follows in _tokens(batch):
+                known = _numbers(words, shared.value) != 0
+                hashes, n = np.unique(_pair_hashes(words)[follows[:-1] & known[:-1] & known[1:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return run
+
+
+def _windows(shared: Broadcast, pairs: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys of the words from each on, sorted, with the number of equal ones."""
+        """Keys of the words from each on, sorted, with the number of equal ones; text is broken between words that are rare as a pair."""
         for batch in batches:
             for *_, words, follows in _tokens(batch):
+                follows[:-1] &= may_hold(pairs.value, _pair_hashes(words))
                 ids = _following(_numbers(words, shared.value), follows)
                 kept = ids[1] != 0
                 keys = packed([x[kept] for x in ids])
@@ -202,7 +220,9 @@ def count_phrases(texts: DataFrame, words: DataFrame, least: int = LEAST, number
     head = words if found.n <= numbered else materialise(words.orderBy(F.desc("n"), "lang", "word").limit(numbered), "collocations-head")
     known = np.sort(head.select("h").toArrow()["h"].to_numpy().view(np.uint64))  # ``numbered`` hashes at most
     shared = spark.sparkContext.broadcast(known)
-    keys = materialise(texts.mapInArrow(_windows(shared), "key binary, n long"), "collocations-keys")
+    pairs = texts.mapInArrow(_pairs(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = spark.sparkContext.broadcast(key_bits(materialise(pairs.select("h"), "collocations-pairs")))
+    keys = materialise(texts.mapInArrow(_windows(shared, often), "key binary, n long"), "collocations-keys")
     ranged = keys.repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     runs = ranged.mapInArrow(_prefix_runs(shared, least), "words array<long>, n long")
     if found.n > numbered:
