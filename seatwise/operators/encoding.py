@@ -13,12 +13,16 @@ from ..config import STUDY, BlockSpec
 from ..functions.columns import letter_ordinal
 from .selection import exact_quantiles
 
+#: Levels of a name that become columns, at most.
+LEVELS = 4096
 NOMINAL = ["state", "marital", "status"]
 
 
 def one_hot(df: DataFrame, train: DataFrame, col: str) -> DataFrame:
     """``id`` and a 0/1 column for each level of the training rows, in order; others have zeros only."""
-    levels = [r[0] for r in train.select(F.col(col).cast("string")).where(F.col(col).isNotNull()).distinct().collect()]
+    levels = [r[0] for r in train.select(F.col(col).cast("string")).where(F.col(col).isNotNull()).distinct().limit(LEVELS + 1).collect()]
+    if len(levels) > LEVELS:
+        raise ValueError(f"{col} has more than {LEVELS} levels")
     return df.select("id", *[F.coalesce(F.col(col).cast("string") == v, F.lit(False)).cast("int").alias(f"{col}_{v}") for v in sorted(levels)])
 
 
@@ -62,10 +66,15 @@ def numeric_features(df: DataFrame) -> DataFrame:
     return target_encode(out, train, F.col("label"))
 
 
+def block_columns(spec: BlockSpec) -> tuple[list[str], list[str]]:
+    """Names and numbers of a block."""
+    nominal = [*NOMINAL, *(["grp"] if spec.group else []), *(["sex"] if spec.sex else []), *spec.extra]
+    return nominal, ["year_ord", "year_ord_missing", *(["muni_te"] if spec.municipality else []), *(["letter_ord", "letter_ord_missing", "band_ord"] if spec.background else [])]
+
+
 def assembler(spec: BlockSpec) -> Pipeline:
     """One-hot levels of the training rows (unseen ones get zeros) and numeric columns in one vector."""
-    nominal = [*NOMINAL, *(["grp"] if spec.group else []), *(["sex"] if spec.sex else []), *spec.extra]
-    numeric = ["year_ord", "year_ord_missing", *(["muni_te"] if spec.municipality else []), *(["letter_ord", "letter_ord_missing", "band_ord"] if spec.background else [])]
+    nominal, numeric = block_columns(spec)
     index = StringIndexer(inputCols=[f"{c}_s" for c in nominal], outputCols=[f"{c}_i" for c in nominal], stringOrderType="alphabetAsc", handleInvalid="keep")
     hot = OneHotEncoder(inputCols=[f"{c}_i" for c in nominal], outputCols=[f"{c}_h" for c in nominal], dropLast=True)
     return Pipeline(stages=[index, hot, VectorAssembler(inputCols=[*[f"{c}_h" for c in nominal], *numeric], outputCol="features")])

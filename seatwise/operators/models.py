@@ -2,96 +2,149 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import STUDY
+from ..config import STUDY, BlockSpec
 from ..functions.columns import hash_uniform
+from ..sources.tables import cut
+from . import boosting, logistic
+from .encoding import block_columns
 from .metrics import agreement
 from .selection import top_within
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
-#: The whole grid for boosting: 4 depths (12 for trees without a limit), 3 rates, 3 numbers of trees, 3 sizes of leaves.
-FULL_GBT_GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": n, "minInstancesPerNode": m} for d in (3, 5, 8, 12) for r in (0.03, 0.1, 0.3) for n in (100, 300, 600) for m in (20, 50, 200))
-#: The grid that queries use unless ``seatwise.grid`` is ``full`` in the session.
-GBT_GRID = tuple({"maxDepth": d, "stepSize": r, "maxIter": 20, "minInstancesPerNode": m} for d in (3, 5) for r in (0.1, 0.3) for m in (20, 50))
-#: Trees without a smaller loss on the rows held back, after which boosting stops.
-PATIENCE = 20
+#: The grid for boosting: 4 depths (None: no limit), 3 rates, 3 numbers of trees, 3 sizes of leaves.
+GBT_GRID = tuple({"depth": d, "rate": r, "trees": n, "leaf": m} for d in (3, 5, 8, None) for r in (0.03, 0.1, 0.3) for n in (100, 300, 600) for m in (20, 50, 200))
+#: A grid for trials, if ``seatwise.grid`` is ``small`` in the session.
+SMALL_GRID = tuple({"depth": d, "rate": 0.1, "trees": 40, "leaf": m} for d in (3, None) for m in (20, 50))
+MODELS = ("logistic", "boosting")
+#: Share of the training rows that is held back to end boosting early.
+HELD = 0.1
 
 
 def boosting_grid(spark: SparkSession) -> tuple[dict, ...]:
-    return FULL_GBT_GRID if spark.conf.get("seatwise.grid", "small") == "full" else GBT_GRID
+    return SMALL_GRID if spark.conf.get("seatwise.grid", "full") == "small" else GBT_GRID
+
+
+class Design(NamedTuple):
+    """What fits of several blocks share: binned columns, and the features of regressions."""
+
+    bins: boosting.Bins
+    features: logistic.Features
+
+
+def held_back() -> Column:
+    return hash_uniform("early", "id") < HELD
+
+
+def prepare(train: DataFrame, specs: Sequence[BlockSpec]) -> Design:
+    columns = [block_columns(s) for s in specs]
+    named, numbers = (list(dict.fromkeys(c for x in columns for c in x[i])) for i in (0, 1))
+    bins = boosting.fit_bins(train, named, numbers)
+    return Design(bins, logistic.fit_features(train, bins))
+
+
+def _all_columns(spec: BlockSpec) -> tuple[str, ...]:
+    named, numbers = block_columns(spec)
+    return (*named, *numbers)
+
+
+def _config(spec: BlockSpec, p: Mapping) -> boosting.Config:
+    return boosting.Config(_all_columns(spec), p["depth"], p["rate"], p["trees"], p["leaf"])
 
 
-def fit_logistic(df: DataFrame, c: float, weight: str | None = None) -> DataFrame:
-    """``df`` with ``score``: L2 logistic regression, loss weight ``c`` against half the squared norm.
+def _exploded(scored: DataFrame, keys: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
+    """A row for each score, with the key of its place."""
+    each = scored.select(*[c for c in scored.columns if c != "scores"], F.posexplode("scores").alias("_at", "score"))
+    values = [F.get(F.array(*[F.lit(k[i]) for k in keys]), F.col("_at")).alias(n) for i, n in enumerate(names)]
+    return each.select("*", *values).drop("_at")
 
-    Features are in units of their population deviation over the training rows; as the
-    intercept is free, centring them would change no score. The scaler divides by the sample
-    deviation, which is the same as a penalty smaller by (n - 1) / n.
+
+def fit_cells(rows: DataFrame, specs: Sequence[BlockSpec], params: Mapping[tuple[str, str], Mapping], weight: str | None = None) -> DataFrame:
+    """``rows`` with ``block, model, score`` of every split, for each block both models with the given parameters.
+
+    ``rows`` have ``split`` and the label ``y``. All blocks are fitted side by side.
     """
-    train = df.where(F.col("split") == "train")
-    scaler = StandardScaler(inputCol="features", outputCol="_x", withMean=False, withStd=True).fit(train)
-    total, n = train.agg(F.sum(weight) if weight else F.count(F.lit(1)), F.count(F.lit(1))).first()
-    penalty = (n - 1) / n / (c * float(total))
-    lr = LogisticRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.0, standardization=False, regParam=penalty, maxIter=2000, tol=1e-8)
-    if weight:
-        lr = lr.setWeightCol(weight)
-    return _scored(lr.fit(scaler.transform(train)).transform(scaler.transform(df)))
-
-
-def patient_length(losses: Sequence[float], patience: int = PATIENCE, least: float = 1e-7) -> int:
-    """How many trees there are when the loss has not fallen for ``patience`` trees; all if it never stops falling."""
-    best, at = float("inf"), 0
-    for i, loss in enumerate(losses, 1):
-        if loss < best - least:
-            best, at = loss, i
-        elif i - at >= patience:
-            return i
-    return len(losses)
-
-
-def fit_boosting(df: DataFrame, params: Mapping[str, float], weight: str | None = None, seed: int = STUDY.seed) -> DataFrame:
-    """``df`` with ``score``: boosted trees that stop once a tenth of the training rows, held back, gain nothing for PATIENCE trees."""
-    train = df.where(F.col("split") == "train").withColumn("_stop", hash_uniform("early", "id") < 0.1)
-    gbt = GBTClassifier(featuresCol="features", labelCol="y", maxBins=255, seed=seed, **params)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    kept = train.where(~F.col("_stop"))
-    model = gbt.fit(kept)
-    if params.get("maxIter", 20) > PATIENCE:
-        length = patient_length(model.evaluateEachIteration(train.where("_stop"), "logistic"))
-        if length < params["maxIter"]:  # the first trees of a shorter fit are the same
-            model = gbt.copy({gbt.maxIter: length}).fit(kept)
-    return _scored(model.transform(df))
-
-
-def _scored(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round(vector_to_array("probability")[1], 9)).drop("probability", "rawPrediction", "prediction", "_x")
+    train = rows.where(F.col("split") == "train")
+    design = prepare(train, specs)
+    fits = [logistic.Penalised(_all_columns(s), params[s.name, "logistic"]["C"]) for s in specs]
+    linear = logistic.score_path(rows, design.features, logistic.fit_path(train, design.features, fits, weight=weight), rows.columns)
+    configs = [_config(s, params[s.name, "boosting"]) for s in specs]
+    trees = boosting.fit_many(train, design.bins, configs, weight=weight, held=held_back())
+    boosted = boosting.score_many(rows, design.bins, [(m, m.config.trees) for m in trees], rows.columns)
+    return cut(_exploded(linear, [(s.name, "logistic") for s in specs], ["block", "model"]).unionByName(_exploded(boosted, [(s.name, "boosting") for s in specs], ["block", "model"])))
 
 
-def random_scores(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", hash_uniform("anchor", "id"))
+def overlaps(scored: DataFrame, by: Sequence[str], capacity: float) -> DataFrame:
+    """``by, overlap_at_k`` of the best scores with the rows labelled, ties by hash."""
+    rows = scored.select("id", *by, "score", F.col("label").alias("bench_selected"))
+    return agreement(top_within(rows, "score", capacity, by, "model_selected"), by).select(*by, "overlap_at_k")
+
+
+class Tuned(NamedTuple):
+    """Parameters of the first grid point of the greatest overlap of each block and model, this overlap, each block's features, and the scores of these cells."""
 
+    params: dict[tuple[str, str], dict]
+    overlap: dict[tuple[str, str], float]
+    width: dict[str, int]
+    scores: DataFrame
 
-def validation_overlap(scored: DataFrame, capacity: float) -> float:
-    val = top_within(scored.where(F.col("split") == "val").select("id", "split", "score", F.col("label").alias("bench_selected")), "score", capacity, ["split"], "model_selected")
-    return agreement(val, ["split"]).first()["overlap_at_k"]
 
+def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c_grid: Sequence[float], capacity: float = STUDY.capacity) -> Tuned:
+    """Tune both models of all blocks by their overlap on the validation rows.
 
-def tune(df: DataFrame, kind: str, grid: Iterable, capacity: float = STUDY.capacity, parallelism: int = 4) -> tuple[object, DataFrame, float]:
-    """The first grid point of the greatest validation overlap, its scores and this overlap; points are fitted side by side."""
-    points = list(grid)
-    fit = (lambda p: fit_logistic(df, p)) if kind == "logistic" else (lambda p: fit_boosting(df, p))
-    with ThreadPoolExecutor(parallelism) as pool:
-        scored = list(pool.map(fit, points))
-        overlaps = list(pool.map(lambda s: validation_overlap(s, capacity), scored))
-    best = reduce(lambda i, j: j if overlaps[j] > overlaps[i] else i, range(len(points)))
-    return points[best], scored[best], overlaps[best]
+    All regressions are one path of Newton steps, and all boosted models grow together: grid points
+    that differ in their number of trees only are one fit. Only validation rows are scored before
+    the choice, and one ranking serves all points.
+    """
+    train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
+    design = prepare(train, specs)
+    linear = logistic.fit_path(train, design.features, [logistic.Penalised(_all_columns(s), c) for s in specs for c in c_grid])
+    grown: dict[tuple, int] = {}
+    configs: list[boosting.Config] = []
+    for s in specs:
+        for p in sorted(grid, key=lambda p: -p["trees"]):
+            if (key := (s.name, p["depth"], p["rate"], p["leaf"])) not in grown:
+                grown[key] = len(configs)
+                configs.append(_config(s, p))
+    models = boosting.fit_many(train, design.bins, configs, held=held_back())
+
+    def fit_of(s: BlockSpec, p: Mapping) -> tuple[int, int]:
+        """The model of a grid point and how many of its trees the point has."""
+        i = grown[s.name, p["depth"], p["rate"], p["leaf"]]
+        return i, min(p["trees"], len(models[i].trees))
+
+    keep = ["id", "label"]
+    parts = [_exploded(logistic.score_path(val, design.features, linear, keep), [(f"c{i}",) for i in range(len(linear))], ["point"])]
+    for s in specs:
+        points = sorted({fit_of(s, p) for p in grid})
+        scored = boosting.score_many(val, design.bins, [(models[i], n) for i, n in points], keep)
+        parts.append(_exploded(scored, [(f"t{i}:{n}",) for i, n in points], ["point"]))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    found = {r.point: r.overlap_at_k or 0.0 for r in overlaps(every, ["point"], capacity).collect()}  # a row a grid point
+    params, overlap, chosen, best = {}, {}, [], []
+    for k, s in enumerate(specs):
+        at = [found.get(f"c{k * len(c_grid) + j}", 0.0) for j in range(len(c_grid))]
+        j = at.index(max(at))
+        params[s.name, "logistic"], overlap[s.name, "logistic"] = {"C": c_grid[j]}, at[j]
+        chosen.append(linear[k * len(c_grid) + j])
+        at = [found.get("t{}:{}".format(*fit_of(s, p)), 0.0) for p in grid]
+        j = at.index(max(at))
+        params[s.name, "boosting"], overlap[s.name, "boosting"] = dict(grid[j]), at[j]
+        i, n = fit_of(s, grid[j])
+        best.append((models[i], n))
+    keep = ["id", "split"]
+    scores = _exploded(logistic.score_path(rows, design.features, chosen, keep), [(s.name, "logistic") for s in specs], ["block", "model"])
+    scores = scores.unionByName(_exploded(boosting.score_many(rows, design.bins, best, keep), [(s.name, "boosting") for s in specs], ["block", "model"]))
+    width = {s.name: len(design.features.of(_all_columns(s))) for s in specs}
+    return Tuned(params, overlap, width, scores)
+
+
+def random_scores(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", hash_uniform("anchor", "id"))

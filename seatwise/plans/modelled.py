@@ -8,9 +8,8 @@ need them read them, or build them first.
 from __future__ import annotations
 
 import json
-import zlib
+import uuid
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import partial, reduce
 
@@ -20,13 +19,13 @@ from pyspark.sql import functions as F
 from ..config import BLOCKS, STUDY, BlockSpec, Contrast
 from ..functions.columns import any_cell, capacity_label, hash_uniform, verdict
 from ..operators import composite, encoding, inference, metrics, mitigation, models, selection, splitting
-from ..sources.tables import aligned, append_csv, cut, exists, joined_whole, logger, read_parameters, shared_root, stored, write_parquet
+from ..sources.tables import aligned, append_csv, commit, cut, joined_whole, logger, read_parameters, read_small, stored, study_home
 from .candidates import analytic, candidates, decisions, side, split_rows
 from .relational import anchor_distance, random_cell, searched, side_sizes, tercile_increments, terciles, with_tercile
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = STUDY.capacity
-MODELS = ("logistic", "boosting")
+MODELS = models.MODELS
 PAIR = ("B3", "B4")
 CELL = ["block", "model", "k"]
 KEYS = ["task", "variant", *CELL, "group_a", "group_b"]
@@ -38,11 +37,21 @@ def labelled(rows: DataFrame, score: str = "composite", capacity: float = K) ->
     return selection.top_within(rows, score, capacity, ["split"], "label")
 
 
+def _settings(spark: SparkSession) -> tuple:
+    """All that results of a study depend on besides its tables."""
+    return STUDY, models.C_GRID, models.boosting_grid(spark)
+
+
+def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table of the study under its settings."""
+    return stored(spark, folder, name, build, _settings(spark))
+
+
 def study_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with their split, each once on both sides of the join, and the benchmark of their split."""
     base = stored(spark, folder, "analytic", lambda: analytic(spark, folder))
     split = stored(spark, folder, "split", lambda: split_rows(base).select("id", "decile", "split"))
-    return stored(spark, folder, "rows", lambda: labelled(cut(joined_whole(base, split))))
+    return stored(spark, folder, "rows", lambda: labelled(joined_whole(base, split)))
 
 
 def encoded(rows: DataFrame) -> DataFrame:
@@ -50,20 +59,8 @@ def encoded(rows: DataFrame) -> DataFrame:
     return cut(encoding.numeric_features(cut(rows)).withColumn("y", F.col("label").cast("double")).withColumn("side", side()))
 
 
-def fit_cell(rows: DataFrame, spec: BlockSpec, model: str, params: object, weight: str | None = None) -> DataFrame:
-    """Scores of one block and model for every split, with the given parameters."""
-    ready, _ = encoding.assemble(rows, spec)
-    scored = models.fit_logistic(ready, params["C"], weight) if model == "logistic" else models.fit_boosting(ready, params, weight)
-    return scored.drop("features").withColumn("block", F.lit(spec.name)).withColumn("model", F.lit(model))
-
-
 def fit_cells(rows: DataFrame, specs: Iterable[BlockSpec], params: dict, weight: str | None = None) -> DataFrame:
-    """The union of both models' scores for several blocks, fitted side by side; later steps read the saved rows."""
-    cells = [(spec, m) for spec in specs for m in MODELS]
-    with ThreadPoolExecutor(4) as pool:
-        scored = list(pool.map(lambda x: fit_cell(rows, x[0], x[1], params[x[0].name, x[1]], weight), cells))
-    keep = [c for c in rows.columns if c in scored[0].columns] + ["block", "model", "score"]
-    return cut(_union([s.select(*keep) for s in scored]))
+    return models.fit_cells(rows, list(specs), params, weight)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -73,35 +70,37 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 # --- the main grid
 
 
-def main_scores(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(BLOCKS)) -> tuple[DataFrame, dict]:
-    """Scores of the tuned cells for every split, and their parameters; a block's are stored once they are there."""
-    home = f"{shared_root(spark)}/seatwise-grid-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
-    missing = [b for b in blocks if not exists(spark, f"{home}/scores/block={b}/_SUCCESS")]
+def _cells(spark: SparkSession, folder: str, blocks: Sequence[str]) -> dict[str, str]:
+    """For each block the folder of its scores and parameters, which are tuned if no one has committed them."""
+    home = study_home(spark, folder, _settings(spark))
+    missing = [BLOCKS[b] for b in blocks if read_small(spark, f"{home}/{b}.done") is None]
     if missing:
-        rows = encoded(study_rows(spark, folder))
+        tuned = models.tune(encoded(study_rows(spark, folder)), missing, models.boosting_grid(spark), models.C_GRID)
+        data = f"{home}/cells-{uuid.uuid4().hex}"
+        rows = [(*cell, json.dumps(p), tuned.width[cell[0]], tuned.overlap[cell]) for cell, p in tuned.params.items()]
+        for b, m, text, _, overlap in rows:
+            logger().info("%s/%s: %s, validation overlap %.4f", b, m, text, overlap)
+        append_csv(spark.createDataFrame(rows, "block string, model string, best_params string, n_features int, val_overlap_at_k double"), f"{data}/parameters")
+        tuned.scores.write.partitionBy("block").parquet(f"{data}/scores")
+        for s in missing:  # from here on both are seen
+            commit(spark, f"{home}/{s.name}.done", data)
+    return {b: read_small(spark, f"{home}/{b}.done") for b in blocks}
 
-        def tuned(b: str) -> tuple[list, DataFrame]:
-            ready = cut(encoding.assemble(rows, BLOCKS[b])[0])
-            width = ready.select("features").first()[0].size
-            parts, cells = [], []
-            for m in MODELS:
-                best, scored, overlap = models.tune(ready, m, models.C_GRID if m == "logistic" else models.boosting_grid(spark))
-                parts.append(scored.select("id", "split", "score", F.lit(m).alias("model")))
-                cells.append((b, m, json.dumps({"C": best} if m == "logistic" else best), width, overlap))
-                logger().info("%s/%s: %s, validation overlap %.4f", b, m, cells[-1][2], overlap)
-            return cells, _union(parts)
-
-        with ThreadPoolExecutor(3) as pool:  # blocks side by side; parameters are stored before scores
-            for b, (cells, scored) in zip(missing, pool.map(tuned, missing)):
-                append_csv(spark.createDataFrame(cells, "block string, model string, best_params string, n_features int, val_overlap_at_k double"), f"{home}/parameters")
-                write_parquet(scored, f"{home}/scores/block={b}")
-    scores = _union([spark.read.parquet(f"{home}/scores/block={b}").withColumn("block", F.lit(b)) for b in blocks])
-    return scores, read_parameters(spark, f"{home}/parameters")
+
+def main_scores(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(BLOCKS)) -> tuple[DataFrame, dict]:
+    """Scores of the tuned cells for every split, and their parameters."""
+    where = _cells(spark, folder, blocks)
+    scores = _union([spark.read.parquet(f"{p}/scores/block={b}").withColumn("block", F.lit(b)) for b, p in where.items()])
+    params = {}
+    for b, p in where.items():
+        params |= {cell: x for cell, x in read_parameters(spark, f"{p}/parameters").items() if cell[0] == b}
+    return scores, params
 
 
 def grid_report(spark: SparkSession, folder: str) -> DataFrame:
-    home = f"{shared_root(spark)}/seatwise-grid-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
-    return spark.read.csv(f"{home}/parameters", header=True, escape='"').select("block", "model", "best_params", F.col("n_features").cast("int").alias("n_features"), F.col("val_overlap_at_k").cast("double").alias("val_overlap_at_k"))
+    """Parameters, validation overlap and number of features of each cell."""
+    parts = [spark.read.csv(f"{p}/parameters", header=True, escape='"').where(F.col("block") == b) for b, p in _cells(spark, folder, tuple(BLOCKS)).items()]
+    return _union(parts).select("block", "model", "best_params", F.col("n_features").cast("int").alias("n_features"), F.col("val_overlap_at_k").cast("double").alias("val_overlap_at_k"))
 
 
 def decided(scored: DataFrame, task: str, variant: str | Column, capacity: float = K, part: str = "test") -> DataFrame:
@@ -135,7 +134,7 @@ def main_ledger(spark: SparkSession, folder: str, blocks: Sequence[str] = tuple(
         rows = study_rows(spark, folder).where("split = 'test'").withColumn("side", side())
         return decided(scores.where("split = 'test'").drop("split").join(rows, "id"), "B5", "primary")
 
-    return stored(spark, folder, "ledger-B5-" + "".join(blocks), build)
+    return kept(spark, folder, "ledger-B5-" + "".join(blocks), build)
 
 
 def main_grid(spark, folder):
@@ -194,7 +193,7 @@ def capacity_ledger(spark: SparkSession, folder: str) -> DataFrame:
             parts += [local, as_ledger(ranked, "D1", F.concat(capacity_label(k), F.lit("_global")), k)]
         return _union(parts)
 
-    return stored(spark, folder, "ledger-D1", build)
+    return kept(spark, folder, "ledger-D1", build)
 
 
 def capacity(spark, folder):
@@ -215,7 +214,7 @@ def composite_ledger(spark: SparkSession, folder: str) -> DataFrame:
             parts.append(decided(fit_cells(encoded(rows), _specs(), params), "D2", name))
         return _union(parts)
 
-    return stored(spark, folder, "ledger-D2", build)
+    return kept(spark, folder, "ledger-D2", build)
 
 
 def composite_schemes(spark, folder):
@@ -229,7 +228,7 @@ def state_only_ledger(spark: SparkSession, folder: str) -> DataFrame:
         rows, params = encoded(study_rows(spark, folder)), _params(spark, folder, tuple(BLOCKS))
         return decided(fit_cells(rows, [replace(s, municipality=False) for s in _specs(blocks)], params), "D3", "state_only")
 
-    return stored(spark, folder, "ledger-D3", build)
+    return kept(spark, folder, "ledger-D3", build)
 
 
 def state_only(spark, folder):
@@ -274,7 +273,7 @@ def groups_ledger(spark: SparkSession, folder: str) -> DataFrame:
         parts.append(decided(fit_cells(encoded(rows), _specs(), _params(spark, folder)), "D4", "undeclared_retained"))
         return _union(parts)
 
-    return stored(spark, folder, "ledger-D4", build)
+    return kept(spark, folder, "ledger-D4", build)
 
 
 def group_extension(spark, folder):
@@ -293,7 +292,7 @@ def population_ledger(spark: SparkSession, folder: str) -> DataFrame:
         rows = labelled(study_rows(spark, folder).drop("label").withColumn("_s", side()).where("_s IS NOT NULL").drop("_s"))
         return decided(fit_cells(encoded(rows), _specs(), _params(spark, folder)), "D5", "restricted")
 
-    return stored(spark, folder, "ledger-D5", build)
+    return kept(spark, folder, "ledger-D5", build)
 
 
 def population(spark, folder):
@@ -316,7 +315,7 @@ def absence_ledger(spark: SparkSession, folder: str) -> DataFrame:
         led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("seats"), ["block", "model"], "model_selected")
         return as_ledger(led.withColumn("bench_selected", F.col("label")), "D6", "end_to_end", K)
 
-    return stored(spark, folder, "ledger-D6", build)
+    return kept(spark, folder, "ledger-D6", build)
 
 
 def absence(spark, folder):
@@ -346,7 +345,7 @@ def _refitted(spark: SparkSession, folder: str) -> DataFrame:
             raise ValueError(f"scores of the refitted cells are up to {off} off")
         return scored.where("split <> 'train'")
 
-    return stored(spark, folder, "refitted", build)
+    return kept(spark, folder, "refitted", build)
 
 
 def reweighed_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -356,7 +355,7 @@ def reweighed_ledger(spark: SparkSession, folder: str) -> DataFrame:
         weighted = rows.join(F.broadcast(weights), ["grp", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         return decided(fit_cells(cut(weighted), _specs(), _params(spark, folder), "weight"), "E1", "reweighing")
 
-    return stored(spark, folder, "ledger-E1", build)
+    return kept(spark, folder, "ledger-E1", build)
 
 
 def reweighed_fit(spark, folder):
@@ -389,7 +388,7 @@ def sweep_ledger(spark: SparkSession, folder: str) -> DataFrame:
         led = cut(new.unionByName(wide.where(~held).withColumn("model_selected", F.col("unmitigated_selected"))))
         return mitigation.require_capacity(led, [*by, "level"], F.col("seats"))
 
-    return stored(spark, folder, "ledger-E3", build)
+    return kept(spark, folder, "ledger-E3", build)
 
 
 _LEVEL = ["target", "strength", "tau_a", "tau_b", "tpr_a_val", "tpr_b_val"]
@@ -513,7 +512,7 @@ def _subsample(spark: SparkSession, folder: str, name: str, where: str, extra: t
         rows = labelled(study_rows(spark, folder).drop("label").where(where))
         return decided(fit_cells(encoded(rows), [replace(s, extra=extra) for s in _specs()], _params(spark, folder)), "K", name)
 
-    return stored(spark, folder, f"ledger-{name}", build)
+    return kept(spark, folder, f"ledger-{name}", build)
 
 
 SUBSAMPLES = {"school_kind": ("school IN (2, 3)", ("school",)), "school_register": ("owner IS NOT NULL AND place IS NOT NULL", ("owner", "place")), "leaving_no_features": ("status = 2", ())}

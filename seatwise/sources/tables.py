@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import os
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Sequence
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,15 +69,68 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table of a study of ``folder``: read if this application has written it, else built and written."""
-    path = f"{shared_root(spark)}/seatwise-study-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}/{name}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        df = build()
-        write_parquet(df, path)
-        system, target = _file(spark, path)
-        system.deleteOnExit(target)
-    return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, folder: str, settings: object = "") -> str:
+    """A hash of the files of ``folder``, by name, length and time, and of ``settings``: tables changed in place have another."""
+    system, target = _file(spark, folder)
+    files, seen = system.listFiles(target, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr((folder, sorted(seen), settings)).encode()).hexdigest()[:24]
+
+
+def study_home(spark: SparkSession, folder: str, settings: object = "") -> str:
+    """Where this application keeps what it has computed from ``folder`` under ``settings``; it goes with the JVM."""
+    path = f"{shared_root(spark)}/seatwise-study-{spark.sparkContext.applicationId}-{fingerprint(spark, folder, settings)}"
+    system, target = _file(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
+def commit(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file visible as a whole by one rename; False, and nothing changes, if it is there already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    system, made = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = system.create(made)
+    out.write(text.encode())
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(made, target, none)  # fails if the target exists
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        system.delete(made, False)
+        return False
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if it isn't there."""
+    system, target = _file(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], settings: object = "") -> DataFrame:
+    """A table of a study of ``folder``: read if this application has committed it, else built and written.
+
+    The rows are seen once a file that names their folder is; of several builders the first one's
+    rows are everyone's.
+    """
+    home = study_home(spark, folder, settings)
+    if read_small(spark, f"{home}/{name}.done") is None:
+        path = f"{home}/{name}-{uuid.uuid4().hex}"
+        write_parquet(build(), path)
+        commit(spark, f"{home}/{name}.done", path)
+    return spark.read.parquet(read_small(spark, f"{home}/{name}.done"))
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
