@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key, quota
+from ..sources.tables import cut
 
-#: Score ranges into which a group is cut to rank it, and parts of a score at which a range begins, as many rows may have it.
-RANGES, PARTS = 200, 64
+#: Ranges into which a group's distinct scores are cut to sum them.
+RANGES = 200
 
 
 def order_by_score(score: str, key: str = "id", tag: str = "tie") -> list[Column]:
@@ -18,37 +19,29 @@ def order_by_score(score: str, key: str = "id", tag: str = "tie") -> list[Column
     return [F.col(score).desc_nulls_last(), hash_key(tag, key), F.col(key)]
 
 
-def rank_within(df: DataFrame, score: str, by: Sequence[str], out: str = "rk", total: str | None = None) -> DataFrame:
-    """Ranks from 1 within the groups ``by`` (all rows without any), and with ``total`` the group's size.
+def ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "rk", total: str | None = None) -> DataFrame:
+    """Ranks from 1 in ``order`` within the groups ``by`` (all rows without any), and with ``total`` the group's size.
 
-    No task sorts a whole group. Its scores are cut at approximate quantiles; a row's rank is
-    the count of the rows in better ranges plus its rank in its own. The rows whose score is a
-    range's least, which may be many, come last in it and are dealt by the order of their hash.
-    Any cuts give the same ranks. Keys of ``by`` may be null; groups are few, as their cuts and
-    the counts of their ranges are broadcast.
+    Rows move once, dealt by ranges of group and order, so that no task holds a whole group, and
+    are saved with their place. A task's rows of a group then lack only the number of the group's
+    rows in the tasks before, which comes from counts: a row a group and task, which is broadcast.
+    Keys of ``by`` may be null.
     """
+    line = [*(F.col(c) for c in by), *order]
+    placed = df.repartitionByRange(*line).sortWithinPartitions(*line)
+    saved = cut(placed.select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_place")))
+    own = Window.partitionBy(*by)  # tasks of a group
+    sizes = saved.groupBy(*by, "_task").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
+    start = F.col("_first") - (F.sum("_size").over(own.orderBy("_task")) - F.col("_size")) - 1
     names = {c: f"_by_{c}" for c in by}
-    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    before = sizes.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("_task").alias("_of"), start.alias("_start"), *([F.sum("_size").over(own).alias(total)] if total else []))
+    on = [F.col("_task") == F.col("_of"), *(F.col(c).eqNullSafe(F.col(n)) for c, n in names.items())]
+    return saved.join(F.broadcast(before), on).withColumn(out, F.col("_place") - F.col("_start")).drop("_task", "_place", "_of", "_start", *names.values())
 
-    def meet(left: DataFrame, small: DataFrame, *more: Column) -> DataFrame:
-        small = F.broadcast(small.withColumnsRenamed(names))
-        conditions = [*on, *more]
-        return left.join(small, conditions).drop(*names.values()) if conditions else left.crossJoin(small)
 
-    probs = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(score, probs, 10_000).alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", F.sort_array(F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>")))))
-    value = F.col(score).cast("double")
-    above = F.size(F.filter("_cuts", lambda c: c > value))  # cuts better than the score
-    part = F.when(F.array_contains("_cuts", value), F.conv(F.substring(hash_key("tie", "id"), 1, 4), 16, 10).cast("int") * PARTS / 65536 + 1).otherwise(0)
-    place = F.when(value.isNull(), F.lit(1 << 30)).otherwise(above * (PARTS + 2) + F.floor(part))
-    ranged = meet(df, cuts).withColumn("_range", place.cast("int")).drop("_cuts")
-    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    own = Window.partitionBy(*by)  # ranges of a group
-    before = sizes.select(*by, F.col("_range").alias("_r"), (F.sum("_size").over(own.orderBy("_range")) - F.col("_size")).alias("_before"), *([F.sum("_size").over(own).alias(total)] if total else []))
-    ranked = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order_by_score(score))))
-    joined = meet(ranked, before, F.col("_range") == F.col("_r"))
-    return joined.withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_r", "_before", "_own")
+def rank_within(df: DataFrame, score: str, by: Sequence[str], out: str = "rk", total: str | None = None, seeded: bool = True) -> DataFrame:
+    """Ranks by score, best first; ties by seeded hash, or by id if not ``seeded``."""
+    return ranks(df, by, order_by_score(score) if seeded else [F.col(score).desc_nulls_last(), F.col("id")], out, total)
 
 
 def top_within(df: DataFrame, score: str, capacity: float, by: Sequence[str], out: str = "selected") -> DataFrame:
@@ -67,9 +60,9 @@ def top_quota(df: DataFrame, score: str, capacity: float, out: str = "selected")
     return top_within(df, score, capacity, [], out)
 
 
-def top_seats(df: DataFrame, score: str, seats: Column, by: Sequence[str], out: str = "selected") -> DataFrame:
-    """The flag of a given number of seats in each group, cut to 0 and the group's size."""
-    ranked = rank_within(df, score, by, "_rk", "_n")
+def top_seats(df: DataFrame, score: str, seats: Column, by: Sequence[str], out: str = "selected", seeded: bool = True) -> DataFrame:
+    """The flag of a given number of seats in each group, cut to 0 and the group's size; ties as in ``rank_within``."""
+    ranked = rank_within(df, score, by, "_rk", "_n", seeded)
     return ranked.withColumn(out, F.col("_rk") <= F.greatest(F.lit(0), F.least(seats, F.col("_n")))).drop("_rk", "_n")
 
 
@@ -102,7 +95,7 @@ def tie_info(df: DataFrame, score: str, capacity: float, by: Sequence[str] = ())
 def _with_better(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """``counts (by, _s, _c)`` with ``_better``, the rows of greater ``_s``, and ``_n``, those of the group; nulls come last.
 
-    Distinct values are cut into ranges as rows are in ``rank_within``, so no task holds a whole group's.
+    Distinct values are cut into ranges at approximate quantiles, so no task holds a whole group's.
     """
     names = {c: f"_by_{c}" for c in by}
     on = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]

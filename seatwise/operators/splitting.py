@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key
-from .selection import exact_quantiles
+from .selection import exact_quantiles, ranks
 
 
 def quantile_bins(df: DataFrame, col: str, bins: int, out: str) -> DataFrame:
@@ -27,8 +27,8 @@ def _part(df: DataFrame, stratum: str, share: float, tag: str, out: str) -> Data
     short = F.ceil(F.lit(share) * F.col("_n")) - F.sum("_whole").over(line)
     turn = F.row_number().over(Window.orderBy(F.round(F.col("_exact") - F.col("_whole"), 9).desc(), F.col(stratum)))
     sizes = sizes.withColumn("_take", F.col("_whole") + (turn <= short).cast("int")).select(F.col(stratum).alias("_s"), "_take")
-    ranked = df.withColumn("_rk", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(tag, "id"), "id")))
-    return ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn(out, F.col("_rk") <= F.col("_take")).drop("_s", "_take", "_rk")
+    ranked = ranks(df, [stratum], [hash_key(tag, "id"), F.col("id")], "_rk")
+    return ranked.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_s"))).withColumn(out, F.col("_rk") <= F.col("_take")).drop("_s", "_take", "_rk")
 
 
 def stratified_split(df: DataFrame, stratum: Column, out: str = "split") -> DataFrame:
@@ -51,6 +51,5 @@ def extend_split(df: DataFrame, split: DataFrame, stratum: Column) -> DataFrame:
 
 def sample_fraction(df: DataFrame, fraction: float, by: Sequence[str], tag: str = "sample") -> DataFrame:
     """An exact share of each chunk ``by``, rounded half to even, without replacement."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_rk", F.row_number().over(w.orderBy(hash_key(tag, "id"), "id"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = ranks(df, by, [hash_key(tag, "id"), F.col("id")], "_rk", "_n")
     return ranked.where(F.col("_rk") <= F.bround(F.lit(fraction) * F.col("_n"))).drop("_rk", "_n")

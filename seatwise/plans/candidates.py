@@ -58,17 +58,14 @@ def side() -> Column:
 
 
 def split_rows(df: DataFrame) -> DataFrame:
-    """``df`` with ``decile`` and ``split``, saved: rankings within splits read it several times."""
-    return cut(stratified_split(cut(quantile_bins(cut(df), "composite", 10, "decile")), F.concat_ws("_", F.col("grp"), F.col("decile").cast("string"))))
+    """``df``, saved first, as quantiles and bins read it, with ``decile`` and ``split``."""
+    return stratified_split(quantile_bins(cut(df), "composite", 10, "decile"), F.concat_ws("_", F.col("grp"), F.col("decile").cast("string")))
 
 
 def decisions(df: DataFrame, capacity: float = STUDY.capacity) -> DataFrame:
-    """Both deterministic scores against the benchmark over all of ``df``: two rows a candidate.
-
-    Rankings read their rows several times, so each step is saved.
-    """
-    bench = cut(top_quota(cut(df), "composite", capacity, "bench_selected"))
-    return cut(top_within(by_block(bench), "score", capacity, ["block"], "model_selected").withColumn("side", side()))
+    """Both deterministic scores against the benchmark over all of ``df``: two rows a candidate."""
+    bench = top_quota(df, "composite", capacity, "bench_selected")
+    return top_within(by_block(bench), "score", capacity, ["block"], "model_selected").withColumn("side", side())
 
 
 def by_block(df: DataFrame) -> DataFrame:

@@ -312,7 +312,7 @@ def absence_ledger(spark: SparkSession, folder: str) -> DataFrame:
         both = done.select(*shared, F.lit(True).alias("completer")).unionByName(rest.select(*shared, F.lit(False).alias("completer")))
         scored = fit_cells(encoded(both), _specs(), _params(spark, folder)).where("split = 'test'")
         seats = done.where("split = 'test'").agg(F.floor(F.lit(K) * F.count(F.lit(1))).cast("long").alias("seats"))
-        led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("seats"), ["block", "model"], "model_selected")
+        led = selection.top_seats(scored.crossJoin(F.broadcast(seats)), "score", F.col("seats"), ["block", "model"], "model_selected", seeded=False)
         return as_ledger(led.withColumn("bench_selected", F.col("label")), "D6", "end_to_end", K)
 
     return kept(spark, folder, "ledger-D6", build)
@@ -467,8 +467,16 @@ def income_overlaps(spark, folder):
     return both.select("model", "tercile_a", "tercile_b", (~((F.col("hi_a") < F.col("lo_b")) | (F.col("hi_b") < F.col("lo_a")))).alias("overlaps"))
 
 
+#: Rows tied at the boundary beyond which a cell is looked at under the tie-inclusive rule too.
+MANY_TIED = 10
+
+
 def tie_cells(spark, folder):
-    """Ties at the boundary of the main grid's cells, distinct scores and feature vectors: 12 rows, and each cell under the tie-inclusive rule."""
+    """Ties at the boundary of the main grid's cells, distinct scores and feature vectors: 12 rows.
+
+    For each cell with more than MANY_TIED tied rows two more, with the gap and the verdict of its interval
+    under the strict and the tie-inclusive rule.
+    """
     led = main_ledger(spark, folder)
     by = ["block", "model"]
     info = selection.tie_info(led, "score", K, by)
@@ -477,29 +485,15 @@ def tie_cells(spark, folder):
     spread = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_distinct_scores"), largest.alias("x")).select(*by, "n_distinct_scores", F.col("x.m").alias("largest_score_group"), F.col("x.score").alias("_largest"))
     rows = encoded(study_rows(spark, folder))
     vectors = [encoding.assemble(rows, s)[0].where("split = 'test'").select(F.col("features").cast("string").alias("v")).agg(F.countDistinct("v").alias("n_distinct_vectors")).withColumn("block", F.lit(s.name)) for s in _specs(tuple(BLOCKS))]
-    strict = metrics.group_metrics(led, by, F.col("side")).select(*by, "gap_pp", "ratio", "d_pp")
-    wide = selection.tie_inclusive(led.drop("model_selected"), "score", K, by, "model_selected")
-    inclusive = metrics.group_metrics(wide, by, F.col("side")).select(*by, *[F.col(c).alias(f"inclusive_{c}") for c in ("gap_pp", "ratio", "d_pp")])
-    verdicts = {"strict": "d_pp", "inclusive": "inclusive_d_pp"}
-    out = reduce(lambda x, y: x.join(y, by), [info, spread, strict, inclusive]).join(_union(vectors), "block")
-    out = out.withColumns({f"{n}_verdict": verdict(F.col(c), F.col(c), F.col(c)) for n, c in verdicts.items()})
-    return out.withColumn("boundary_in_largest_group", F.col("boundary") == F.col("_largest")).drop("_largest")
-
-
-def benchmark_composition(spark, folder):
-    """Counts and shares of groups, with totals, and the cutoff at three capacities: 39 rows on five groups."""
-    rows, parts = analytic(spark, folder), []
-    for k in (0.05, 0.10, 0.20):
-        cells = selection.top_quota(rows, "composite", k).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))  # a row a group
-        total = cells.agg(F.sum("n").alias("n"), F.sum("n_selected").alias("n_selected")).withColumn("grp", F.lit("Total"))
-        sums = total.select(F.col("n").alias("_n"), F.col("n_selected").alias("_s"))
-        both = cells.unionByName(total).crossJoin(F.broadcast(sums)).withColumn("k", F.lit(k))
-        parts.append(both.select(F.lit("counts").alias("section"), "k", "grp", "n_selected"))
-        shares = [(100 * F.try_divide("n_selected", "_s")).alias("selected_share_pct"), (100 * F.col("n") / F.col("_n")).alias("eligible_pool_share_pct")]
-        parts.append(both.select(F.lit("shares").alias("section"), "k", "grp", *shares))
-        info = selection.tie_info(rows, "composite", k).withColumn("check_sums", F.col("n_above") + F.col("n_drawn") == F.col("k"))
-        parts.append(info.select(F.lit("cutoff").alias("section"), F.lit(k).alias("k"), F.col("k").alias("k_target"), F.col("boundary").alias("cutoff"), "n_above", "n_tied", "n_drawn", "check_sums"))
-    return _union(parts)
+    cells = info.join(spread, by).join(_union(vectors), "block").withColumn("boundary_in_largest_group", F.col("boundary") == F.col("_largest")).drop("_largest")
+    tied = cells.where(F.col("n_tied") > MANY_TIED).select(*by)  # a row a cell
+    some = led.join(F.broadcast(tied), by)
+    wide = selection.tie_inclusive(some.drop("model_selected"), "score", K, by, "model_selected")
+    both = cut(some.withColumn("rule", F.lit("strict")).unionByName(wide.withColumn("rule", F.lit("tie_inclusive"))))
+    keys = [*by, "rule"]
+    impact = both.groupBy(*keys).agg(F.count_if("model_selected").alias("n_selected"))
+    impact = impact.join(inference.bootstrap(both, keys).select(*keys, "gap_pp", F.col("ratio_point").alias("ratio"), F.col("d_point").alias("d_pp"), "verdict"), keys)
+    return _union([cells.withColumn("section", F.lit("ties")), impact.withColumn("section", F.lit("impact"))])
 
 
 # --- subsamples by school
@@ -570,32 +564,11 @@ def bootstrap_multinomial(spark, folder):
     return inference.bootstrap(decisions(analytic(spark, folder)), ["block"])
 
 
-def bootstrap_uniform(spark, folder):
-    """Random scores in each of twenty seeds: the negative control of the whole chain."""
-    rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("block", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("r"), i.cast("string")))))
-    rows = rows.withColumn("score", hash_uniform("control", F.concat_ws(":", F.col("block"), F.col("id").cast("string")))).withColumn("side", side())
-    led = selection.top_within(cut(selection.top_within(rows, "composite", K, ["block"], "bench_selected")), "score", K, ["block"], "model_selected")
-    return metrics.agreement(led, ["block"])
-
-
-def cascade_population(spark, folder):
-    """The restricted population, halted if its counts are not those of its steps one by one."""
-    from ..operators import cascade
-
-    rows, expected = candidates(spark, folder), []
-    now = rows
-    expected.append(now.count())
-    for _, step in cascade.steps():
-        now = now.where(step)
-        expected.append(now.count())
-    return cascade.apply_cascade(cascade.assert_counts(rows, expected)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         logreg_cell, gbt_cell, smoke_test, main_grid, main_bootstrap, capacity, composite_schemes, state_only, primary_increments, group_extension, population, absence, robustness_bootstrap,
-        reweighed_fit, threshold_cells, frontier_cells, anchor_cells, anchor_summary, mitigation_bootstrap, income_strata, income_overlaps, tie_cells, benchmark_composition,
-        school_subsample, leaving_subsample, subsample_export, bootstrap_multinomial, bootstrap_uniform, cascade_population,
+        reweighed_fit, threshold_cells, frontier_cells, anchor_cells, anchor_summary, mitigation_bootstrap, income_strata, income_overlaps, tie_cells,
+        school_subsample, leaving_subsample, subsample_export, bootstrap_multinomial,
     )
 }

@@ -115,7 +115,7 @@ def _(spark, folder):
 @query("topk_local_vs_global", SPLIT, f"SELECT split, count(*) AS n, count(*) FILTER (lo) AS n_local, count(*) FILTER (selected) AS n_global, count(*) FILTER (lo AND selected) AS n_both FROM (SELECT * FROM {top_sql(top_sql('split', 'composite', K, 'split', 'lo'), 'composite', K)}) GROUP BY split")
 def _(spark, folder):
     local = selection.top_within(split_rows(analytic(spark, folder)), "composite", K, ["split"], "lo")
-    both = selection.top_quota(c.cut(local), "composite", K)
+    both = selection.top_quota(local, "composite", K)
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if("lo").alias("n_local"), F.count_if("selected").alias("n_global"), F.count_if(F.col("lo") & F.col("selected")).alias("n_both"))
 
 
@@ -407,8 +407,8 @@ def _local_global(spark: SparkSession, folder: str) -> DataFrame:
     # a ranking reads its rows four times, so each starts from saved rows
     rows = split_rows(analytic(spark, folder))
     for score, role in (("composite", "bench"), ("score_b4", "model")):
-        rows = c.cut(selection.top_within(rows, score, K, ["split"], f"{role}_local"))
-        rows = c.cut(selection.top_quota(rows, score, K, f"{role}_global"))
+        rows = selection.top_within(rows, score, K, ["split"], f"{role}_local")
+        rows = selection.top_quota(rows, score, K, f"{role}_global")
     pairs = F.array(*[F.struct(F.lit(d).alias("definition"), F.col(f"model_{d}").alias("model_selected"), F.col(f"bench_{d}").alias("bench_selected")) for d in ("local", "global")])
     return rows.where("split = 'test'").select("id", "grp", F.inline(pairs))
 
@@ -472,8 +472,8 @@ best AS (SELECT * FROM (
 
 def validated(spark: SparkSession, folder: str) -> DataFrame:
     """Both deterministic scores against the benchmark within each split."""
-    rows = c.cut(c.by_block(labelled(spark, folder).withColumnRenamed("label", "bench_selected")))
-    return c.cut(selection.top_within(rows, "score", K, ["block", "split"], "model_selected").withColumn("side", side()))
+    rows = c.by_block(labelled(spark, folder).withColumnRenamed("label", "bench_selected"))
+    return selection.top_within(rows, "score", K, ["block", "split"], "model_selected").withColumn("side", side())
 
 
 def searched(led: DataFrame, by: list[str], levels: DataFrame) -> DataFrame:
@@ -545,7 +545,7 @@ def anchor_distance(cells: DataFrame, anchor: DataFrame) -> DataFrame:
 def random_cell(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions by uniform scores over the test rows."""
     rows = split_rows(analytic(spark, folder)).where("split = 'test'").withColumn("u", hash_uniform("anchor", F.col("id").cast("string"))).withColumn("block", F.lit("random"))
-    return selection.top_quota(c.cut(selection.top_quota(rows, "composite", K, "bench_selected")), "u", K, "model_selected")
+    return selection.top_quota(selection.top_quota(rows, "composite", K, "bench_selected"), "u", K, "model_selected")
 
 
 @query("random_anchor", _ANCHOR, f"SELECT m.*, o.overlap_at_k FROM ({metric_sql('cells', 'block')}) m, (SELECT count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k FROM cells) o", METRIC14 + " overlap_at_k")
@@ -614,7 +614,7 @@ def tercile_increments(m: DataFrame, by: list[str]) -> DataFrame:
 def _(spark, folder):
     rows = split_rows(analytic(spark, folder))
     bench = selection.top_quota(rows, "composite", K, "bench_selected").where("split = 'test'")
-    led = selection.top_within(c.cut(c.by_block(bench)), "score", K, ["block"], "model_selected").withColumn("side", side())
+    led = selection.top_within(c.by_block(bench), "score", K, ["block"], "model_selected").withColumn("side", side())
     return tercile_increments(metrics.group_metrics(with_tercile(led, terciles(rows)), ["tercile", "block"]), ["tercile"])
 
 
@@ -688,3 +688,76 @@ def _(spark, folder):
 def _(spark, folder):
     led = decisions(analytic(spark, folder))
     return led.groupBy("block").agg(F.min("score").alias("least"), F.percentile("score", F.lit(0.5)).alias("median"), F.max("score").alias("most"))
+
+
+# --- composition of the benchmark, and controls
+
+
+_PARTS = {
+    "counts": "n_selected",
+    "shares": "100 * n_selected / nullif(n_all, 0)::DOUBLE AS selected_share_pct, 100 * n / pool::DOUBLE AS eligible_pool_share_pct",
+}
+_BY_GROUP = """SELECT *, sum(n) FILTER (grp <> 'Total') OVER () AS pool, sum(n_selected) FILTER (grp <> 'Total') OVER () AS n_all
+  FROM (SELECT coalesce(grp, 'Total') AS grp, count(*) AS n, count(*) FILTER (selected) AS n_selected FROM {} GROUP BY GROUPING SETS ((grp), ()))"""
+
+
+_TIES_OF_COMPOSITE = _TIES.replace("(q ", "(composite ").replace("FILTER (q", "FILTER (composite").replace("min(q)", "min(composite)")
+
+
+def _composition_sql() -> str:
+    parts = []
+    for k in (0.05, 0.1, 0.2):
+        chosen = top_sql("ana", "composite", k)
+        parts += [f"SELECT '{name}' AS section, {k}::DOUBLE AS k, grp, {cols} FROM ({_BY_GROUP.format(chosen)})" for name, cols in _PARTS.items()]
+        parts.append(f"SELECT 'cutoff' AS section, {k}::DOUBLE AS k, k AS k_target, boundary AS cutoff, n_above, n_tied, n_drawn, n_above + n_drawn = k AS check_sums FROM ({_TIES_OF_COMPOSITE.format(chosen)})")
+    return " UNION ALL BY NAME ".join(parts)
+
+
+@query("benchmark_composition", ANA, _composition_sql(), "k selected_share_pct eligible_pool_share_pct cutoff")
+def benchmark_composition(spark, folder):
+    """Counts and shares of groups, with totals, and the cutoff at three capacities: 39 rows on five groups."""
+    rows, parts = c.cut(analytic(spark, folder)), []
+    for k in (0.05, 0.10, 0.20):
+        cells = selection.top_quota(rows, "composite", k).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))  # a row a group
+        total = cells.agg(F.sum("n").alias("n"), F.sum("n_selected").alias("n_selected")).withColumn("grp", F.lit("Total"))
+        sums = total.select(F.col("n").alias("_n"), F.col("n_selected").alias("_s"))
+        both = cells.unionByName(total).crossJoin(F.broadcast(sums)).withColumn("k", F.lit(k))
+        parts.append(both.select(F.lit("counts").alias("section"), "k", "grp", "n_selected"))
+        shares = [(100 * F.try_divide("n_selected", "_s")).alias("selected_share_pct"), (100 * F.col("n") / F.col("_n")).alias("eligible_pool_share_pct")]
+        parts.append(both.select(F.lit("shares").alias("section"), "k", "grp", *shares))
+        info = selection.tie_info(rows, "composite", k).withColumn("check_sums", F.col("n_above") + F.col("n_drawn") == F.col("k"))
+        parts.append(info.select(F.lit("cutoff").alias("section"), F.lit(k).alias("k"), F.col("k").alias("k_target"), F.col("boundary").alias("cutoff"), "n_above", "n_tied", "n_drawn", "check_sums"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+_UNIFORM = f"""{SPLIT},
+control AS (
+  SELECT *, CAST(concat('0x', substr(md5(concat('{STUDY.seed}:control:', block, ':', id)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u
+  FROM (SELECT id, composite, concat('r', i) AS block FROM split, (SELECT unnest(range(1, 21)) AS i) WHERE split = 'test')),
+cells AS {top_sql(top_sql('control', 'composite', K, 'block', 'bench_selected'), 'u', K, 'block', 'model_selected')}"""
+
+
+@query("bootstrap_uniform", _UNIFORM, """SELECT block, count(*) FILTER (model_selected) AS n_selected,
+  count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (bench_selected)::DOUBLE AS overlap_at_k,
+  count(*) FILTER (model_selected AND bench_selected) / count(*) FILTER (model_selected OR bench_selected)::DOUBLE AS jaccard FROM cells GROUP BY block""", "overlap_at_k jaccard")
+def bootstrap_uniform(spark, folder):
+    """Random scores in each of twenty seeds: the negative control of the whole chain."""
+    seeds = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("r"), i.cast("string")))
+    rows = split_rows(analytic(spark, folder)).where("split = 'test'").select("id", "composite", F.explode(seeds).alias("block"))
+    rows = rows.withColumn("score", hash_uniform("control", F.concat_ws(":", F.col("block"), F.col("id").cast("string"))))
+    bench = selection.top_within(rows, "composite", K, ["block"], "bench_selected")
+    return metrics.agreement(selection.top_within(bench, "score", K, ["block"], "model_selected"), ["block"])
+
+
+@query("cascade_population", ANA, "SELECT grp, count(*) AS n FROM ana GROUP BY grp")
+def cascade_population(spark, folder):
+    """The restricted population, halted if its counts are not those of its steps one by one."""
+    rows = c.cut(candidates(spark, folder))
+    now, expected = rows, [rows.count()]
+    for _, step in cascade.steps():
+        now = now.where(step)
+        expected.append(now.count())
+    return cascade.apply_cascade(cascade.assert_counts(rows, expected)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
