@@ -41,6 +41,7 @@ _JOIN = re.compile(r"[ \t]*+(?:(?:\+|\.{1,2})[ \t]*+(?:(?:\\|//[^\n]*+|\#[^\n]*+
 _BLOCK = re.compile(r"[|>][+-]?[ \t]*+\r?\n")
 _LINE = re.compile(r"([ \t]++)(-----[^\n]*+|[^\s:|>]++\r?)(?:\n|$)")
 _ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|(.))", re.S)
+_BETWEEN = re.compile(r"[\s\"'`+.()\\rRbBuUfF]*+")
 _SENSITIVE = re.compile("pass|pwd|secret|token|cred|auth|key|salt", re.I | re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -224,8 +225,8 @@ def _quoted(text: str, part: _Part) -> bool:
 
 
 def _joins(text: str, a: int, b: int) -> bool:
-    """Whether only quotes, joining signs and blanks are between two literals."""
-    return b - a < 200 and not re.search(r"[^\s\"'`+.()\\rRbBuUfF]", text[a:b])
+    """Whether only quotes, joining signs and blanks are between two literals, however many."""
+    return _BETWEEN.fullmatch(text, a, b) is not None
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:

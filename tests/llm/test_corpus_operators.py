@@ -464,6 +464,12 @@ def test_base_spans_are_those_of_sql(spark):
     assert ours == want and docs.count() == len(ours)
 
 
+@pytest.mark.parametrize("blanks", [10, 300, 20_000])
+def test_joined_literals_are_one_span_whatever_is_between_them(blanks):
+    text = f'passphrase = ("aB3dE5fG7h"{" " * blanks}"Zx81Yw92Vu")'
+    assert secrets.lexed_literals(text) == [(text.index("aB3"), text.index("Vu") + 2)]
+
+
 def test_lexer_joins_follows_and_reads_blocks():
     def found(text):
         return [text[a:b] for a, b in secrets.lexed_literals(text)]
