@@ -81,20 +81,25 @@ class Bins(NamedTuple):
 
 
 def fit_bins(train: DataFrame, named: Sequence[str], numbers: Sequence[str]) -> Bins:
-    """Levels of ``named`` columns, and for ``numbers`` all values if these are few, else approximate quantiles."""
-    edges: dict[str, list] = {}
-    for c in named:
-        levels = train.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(LEVELS + 1).collect()
-        if len(levels) > LEVELS:
-            raise ValueError(f"{c} has more than {LEVELS} levels")
-        edges[c] = sorted(r.v for r in levels)
-    for c in numbers:
-        value = train.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL")
-        few = [r.v for r in value.distinct().limit(BINS + 1).collect()]
-        if len(few) > BINS:
-            few = value.agg(F.percentile_approx("v", [(i + 1) / BINS for i in range(BINS)], 10_000).alias("q")).first().q
-        edges[c] = sorted(set(few))
-    return Bins((*named, *numbers), edges, frozenset(named))
+    """Levels of ``named`` columns, and for ``numbers`` all values if these are few, else approximate quantiles.
+
+    Distinct values are estimated first, so that only those of columns with few are collected.
+    """
+    columns, most = [*named, *numbers], {c: LEVELS if c in named else BINS for c in (*named, *numbers)}
+    about = train.agg(*[F.approx_count_distinct(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    small = [c for i, c in enumerate(columns) if about[f"_{i}"] <= 2 * most[c]]
+    values = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), (F.col(c) if c in named else F.col(c).cast("double")).cast("string").alias("v")) for c in small]))) if small else None
+    edges: dict[str, list] = {c: [] for c in columns}
+    for r in values.where("v IS NOT NULL").distinct().collect() if small else []:  # some 2 LEVELS a column at most
+        edges[r.c].append(r.v if r.c in named else float(r.v))
+    wide = [c for c in columns if c not in small or len(edges[c]) > most[c]]
+    if many := [c for c in wide if c in named]:
+        raise ValueError(f"{', '.join(many)}: more than {LEVELS} levels")
+    if wide:
+        places = [(i + 1) / BINS for i in range(BINS)]
+        cuts = train.agg(*[F.percentile_approx(F.col(c).cast("double"), places, 10_000).alias(f"_{i}") for i, c in enumerate(wide)]).first()
+        edges |= {c: list(set(cuts[f"_{i}"])) for i, c in enumerate(wide)}
+    return Bins((*named, *numbers), {c: sorted(x) for c, x in edges.items()}, frozenset(named))
 
 
 def codes_of(bins: Bins, batch: pa.RecordBatch) -> np.ndarray:
