@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BLOCKS, STUDY, BlockSpec, Contrast
-from ..functions.columns import any_cell, capacity_label, hash_uniform, verdict
+from ..functions.columns import any_cell, capacity_label, hash_uniform
 from ..operators import composite, encoding, inference, metrics, mitigation, models, selection, splitting
 from ..sources.tables import aligned, append_csv, commit, cut, joined_whole, logger, read_parameters, read_small, stored, study_home
-from .candidates import analytic, candidates, decisions, side, split_rows
+from .candidates import analytic, decisions, side, split_rows
 from .relational import anchor_distance, random_cell, searched, side_sizes, tercile_increments, terciles, with_tercile
 
 Query = Callable[[SparkSession, str], DataFrame]
