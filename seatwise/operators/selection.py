@@ -105,8 +105,8 @@ def _with_better(counts: DataFrame, by: Sequence[str]) -> DataFrame:
         small = F.broadcast(small.withColumnsRenamed(names))
         return left.join(small, conditions).drop(*names.values()) if conditions else left.crossJoin(small)
 
-    probs = [i / RANGES for i in range(1, RANGES)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(F.col("_s").cast("double"), probs, 10_000).alias("_cuts"))
+    probs = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    cuts = counts.groupBy(*by).agg(F.expr(f"percentile_approx(cast(_s AS double), array({probs}), 10000)").alias("_cuts"))
     cuts = cuts.withColumn("_cuts", F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))))
     value = F.col("_s").cast("double")
     place = F.when(value.isNull(), F.lit(1 << 30)).otherwise(F.size(F.filter("_cuts", lambda c: c > value)))
@@ -125,16 +125,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], out: str =
     Values are counted and their counts summed in ranges, so no task holds all distinct values.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _with_better(counts, [])
-    up_to, start = F.col("_n") - F.col("_better"), F.col("_n") - F.col("_better") - F.col("_c")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((start <= position) & (position < up_to), F.col("_s")))
-
+    ranked = _with_better(counts, []).selectExpr("_s", "_n", "_n - _better AS _upto", "_n - _better - _c AS _start")
     aggs = []
     for i, p in enumerate(probs):
-        place = (F.col("_n") - 1) * F.lit(float(p))
-        aggs += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
-    found = ranked.agg(*aggs)
-    edges = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((1 - F.col(f"_f{i}")) * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}")) for i in range(len(probs))]
-    return found.select(F.array(*edges).alias(out))
+        place = f"(_n - 1) * {float(p)!r}D"
+        aggs += [f"max(CASE WHEN _start <= {f}({place}) AND {f}({place}) < _upto THEN _s END) AS _{f}{i}" for f in ("floor", "ceil")]
+        aggs.append(f"max({place} - floor({place})) AS _part{i}")
+    found = ranked.agg(*[F.expr(x) for x in aggs])
+    edges = [f"CASE WHEN _floor{i} = _ceil{i} THEN _floor{i} ELSE (1 - _part{i}) * _floor{i} + _part{i} * _ceil{i} END" for i in range(len(probs))]
+    return found.selectExpr(f"array({', '.join(edges)}) AS {out}")

@@ -58,8 +58,8 @@ def side() -> Column:
 
 
 def split_rows(df: DataFrame) -> DataFrame:
-    """``df``, saved first, as quantiles and bins read it, with ``decile`` and ``split``."""
-    return stratified_split(quantile_bins(cut(df), "composite", 10, "decile"), F.concat_ws("_", F.col("grp"), F.col("decile").cast("string")))
+    """``df``, saved first, as quantiles and draws read it, with ``decile`` and ``split``, saved too."""
+    return cut(stratified_split(quantile_bins(cut(df), "composite", 10, "decile"), F.concat_ws("_", F.col("grp"), F.col("decile").cast("string"))))
 
 
 def decisions(df: DataFrame, capacity: float = STUDY.capacity) -> DataFrame:

@@ -268,7 +268,7 @@ def groups_ledger(spark: SparkSession, folder: str) -> DataFrame:
             parts.append(as_ledger(led.withColumn("side", sides), "D4", name, K, ("_".join(x.a), "_".join(x.b))))
         parts.append(as_ledger(led.withColumn("side", F.when(F.col("sex") == "F", "A").otherwise("B")), "D4", "sex", K, ("F", "M")))
         known = study_rows(spark, folder).select("id", "split")
-        wide = splitting.quantile_bins(analytic(spark, folder, (1, 2, 3, 4)), "composite", 10, "decile")
+        wide = splitting.quantile_bins(cut(analytic(spark, folder, (1, 2, 3, 4))), "composite", 10, "decile")
         rows = labelled(splitting.extend_split(wide, known, F.concat_ws("_", F.col("grp"), F.col("decile").cast("string"))))
         parts.append(decided(fit_cells(encoded(rows), _specs(), _params(spark, folder)), "D4", "undeclared_retained"))
         return _union(parts)
@@ -306,7 +306,7 @@ def absence_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
     def build() -> DataFrame:
         done = study_rows(spark, folder).drop("decile")
-        rest = analytic(spark, folder, (1, 2, 5)).join(done.select("id"), "id", "left_anti")
+        rest = cut(analytic(spark, folder, (1, 2, 5)).join(done.select("id"), "id", "left_anti"))
         rest = splitting.stratified_split(rest, F.col("grp")).withColumn("label", F.lit(False))
         shared = sorted(set(done.columns) & set(rest.columns))
         both = done.select(*shared, F.lit(True).alias("completer")).unionByName(rest.select(*shared, F.lit(False).alias("completer")))

@@ -174,7 +174,7 @@ _SAMPLE = f"samp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY st
 
 @query("sample_fixed_fraction", f"{CAND},\n{_SAMPLE}", "SELECT id, state FROM samp")
 def _(spark, folder):
-    return splitting.sample_fraction(candidates(spark, folder), 0.4, ["state"]).select("id", "state")
+    return splitting.sample_fraction(c.cut(candidates(spark, folder)), 0.4, ["state"]).select("id", "state")
 
 
 _CATS = ("grp", "sex", "status", "band", "letter", "year", "marital")
@@ -197,7 +197,7 @@ _MOMENTS = " UNION ALL ".join(f"SELECT '{v}' AS variable, '{m}' AS category, rou
 
 @query("sample_moments", f"{CAND},\n{_SAMPLE}", _MOMENTS, "full_value sample_value abs_diff")
 def _(spark, folder):
-    rows = candidates(spark, folder)
+    rows = c.cut(candidates(spark, folder))
     return descriptives.compare_moments(rows, splitting.sample_fraction(rows, 0.4, ["state"]), _CONT)
 
 
@@ -205,7 +205,7 @@ for _name in ("sample_vs_full", "full_outer_freq"):
 
     @query(_name, f"{CAND},\n{_SAMPLE}", _COMPARE if _name == "sample_vs_full" else f"SELECT variable, category, full_value > 0 AS in_full, sample_value > 0 AS in_sample FROM ({_COMPARE})", "full_value sample_value abs_diff" if _name == "sample_vs_full" else "")
     def _(spark, folder, name=_name):
-        rows = candidates(spark, folder)
+        rows = c.cut(candidates(spark, folder))
         out = descriptives.compare_marginals(rows, splitting.sample_fraction(rows, 0.4, ["state"]), _CATS)
         return out if name == "sample_vs_full" else out.select("variable", "category", (F.col("full_value") > 0).alias("in_full"), (F.col("sample_value") > 0).alias("in_sample"))
 
@@ -265,7 +265,7 @@ _EXT = f"{SPLIT},\n{ana_sql((1, 2, 3, 4), 'wide')},\nfresh AS (SELECT * FROM wid
 def _(spark, folder):
     known = split_rows(analytic(spark, folder)).select("id", "split")
     wide = analytic(spark, folder, (1, 2, 3, 4)).join(known.withColumnRenamed("split", "_old"), "id", "left")
-    fresh = splitting.quantile_bins(wide.where("_old IS NULL").drop("_old"), "composite", 10, "decile")
+    fresh = splitting.quantile_bins(c.cut(wide.where("_old IS NULL").drop("_old")), "composite", 10, "decile")
     added = splitting.stratified_split(fresh, F.concat_ws("_", F.col("grp"), F.col("decile").cast("string")))
     return known.select("id", "split", F.lit(False).alias("added")).unionByName(added.select("id", "split", F.lit(True).alias("added")))
 

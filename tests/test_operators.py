@@ -3,6 +3,7 @@ import os
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seatwise.functions.columns import capacity_label, hash_uniform, letter_ordinal, verdict
+from seatwise.functions.columns import capacity_label, hash_key, hash_uniform, letter_ordinal, verdict
 from seatwise.operators import encoding, inference, metrics, mitigation, selection, splitting
 from seatwise.sources import tables
 from seatwise.streaming.marginals import running_counts, running_moments
@@ -162,6 +163,29 @@ def test_split_sizes_and_extension_keep_labels(spark):
     assert wide.join(split.select("id", F.col("split").alias("s")), "id").where("s <> split").count() == 0
 
 
+def test_draws_end_at_a_row_and_order_no_whole_group(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2] * (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    wanted = {g: n for g, n in zip(sorted({g for _, g in rows}, key=repr), (0, 1, 5, 10**6, 20), strict=False)}
+    size = Counter(g for _, g in rows)
+    table = spark.createDataFrame([(g, min(n, size[g])) for g, n in wanted.items()], "k string, _take long")
+    last = splitting.last_drawn(df, ["g"], lambda m: m.join(table, F.col("g").eqNullSafe(F.col("k"))), "t")
+    got = {r.id for r in splitting.drawn(df, ["g"], last, "t", "x").where("x").collect()}
+    line = {r.id: r.h for r in df.select("id", hash_key("t", "id").alias("h")).collect()}
+    want = {i for g in wanted for i in sorted((i for i, s in rows if s == g), key=lambda i: (line[i], i))[: wanted[g]]}
+    assert got == want
+    assert splitting.sample_fraction(df.where("false"), 0.4, ["g"]).count() == 0
+    assert splitting.sample_fraction(df, 0.4, []).count() == 120
+    plan = splitting.drawn(df, ["g"], last, "t", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_bins_put_nulls_first_and_take_empty_tables(spark):
+    df = spark.createDataFrame([(None,), (1.0,), (2.0,), (3.0,)], "v double")
+    assert sorted((r.v or 0, r.b) for r in splitting.quantile_bins(df, "v", 2, "b").collect()) == [(0, 0), (1.0, 0), (2.0, 0), (3.0, 1)]
+    assert [r.b for r in splitting.quantile_bins(df.where("v IS NULL"), "v", 2, "b").collect()] == [0]
+
+
 def test_weights_average_to_one(spark):
     df = scored(spark).withColumn("label", F.col("score") > 4)
     assert mitigation.reweighing(df).agg(F.avg("weight")).first()[0] == pytest.approx(1)
