@@ -81,6 +81,29 @@ def test_split_search_is_the_loop_with_signed_gaps(spark):
     assert gaps == sorted(gaps, reverse=True)
 
 
+def test_bounded_search_finds_what_a_loop_does_and_opens_few_parts(spark):
+    rng = random.Random(3)
+    rows, loops = [], []
+    for cell, (na, nb, seats, hits) in enumerate([(90, 140, 60, 0.3), (200, 30, 100, 0.05), (40, 40, 80, 0.5), (300, 300, 250, 0.02), (20, 50, 30, 0.0)]):
+        sides = {"A": na, "B": nb}
+        line = {s: [rng.random() < hits * (1.6 if s == "A" else 1) if s == "A" or hits else i < 5 for i in range(n)] for s, n in sides.items()}
+        rate = {s: [0.0, *[sum(line[s][: i + 1]) / sum(line[s]) if sum(line[s]) else None for i in range(n)]] for s, n in sides.items()}
+        rows += [(cell, s, float(-i), line[s][i], i + 1000 * (s == "B"), seats) for s in sides for i in range(sides[s])]
+        for level, target in enumerate((0.3, 0.11, 0.0, -0.2, 1.5)):
+            options = [n for n in range(max(0, seats - nb), min(seats, na) + 1) if rate["A"][n] is not None and rate["B"][seats - n] is not None]
+            best = min(options, key=lambda n: (round(abs(round(rate["A"][n], 9) - round(rate["B"][seats - n], 9) - target), 9), n), default=None)
+            if best is not None:
+                loops.append((cell, level, best))
+    df = spark.createDataFrame(rows, "cell long, side string, score double, bench_selected boolean, id long, seats long")
+    targets = spark.createDataFrame([(c, i, t) for c in range(5) for i, t in enumerate((0.3, 0.11, 0.0, -0.2, 1.5))], "cell long, level int, target double")
+    for part in (2, 7, 4096):
+        assert sorted((r.cell, r.level, r.n_a) for r in mitigation.search_split(df, ["cell"], F.col("seats"), targets, part).collect()) == loops
+    ranked = spark.range(1, 200_001).selectExpr("'c' AS cell", "if(id % 2 = 0, 'A', 'B') AS side", "id div 2 + id % 2 AS rk").selectExpr("*", "cast(rk % 5 = 0 AS int) AS _hit", "rk div 500 AS _part")
+    caps = spark.createDataFrame([("c", 90_000)], "cell string, seats long")
+    few = mitigation._near_targets(mitigation._rate_ends(ranked, ["cell", "side"]), caps, spark.createDataFrame([("c", 0, 0.25)], "cell string, level int, target double"), ["cell"], 500)
+    assert 0 < few.count() <= 8
+
+
 def test_ratio_is_the_first_side_over_the_second(spark):
     df = spark.createDataFrame([("EUROPE", True)] * 3 + [("EUROPE", False)] + [("AFRICA", True)] + [("AFRICA", False)] * 3, "grp string, selected boolean").withColumn("c", F.lit(1))
     assert metrics.selection_table(df, ["c"]).first().ratio == 3
