@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -170,23 +170,32 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
+def halting(df: DataFrame, ok: Column, message: Column) -> DataFrame:
+    """``df``; the job that computes its rows fails with ``message`` at a row that is not ``ok``, so a write of them leaves nothing."""
+    return df.where(F.when(ok, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def joined_whole(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """The inner join of two tables that must have the same keys, each once; anything else is an error."""
-    sides = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(right.select(key, F.lit(0), F.lit(1)))
-    keys = sides.groupBy(key).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
-    wrong = keys.agg(F.count_if((F.col("l") != 1) | (F.col("r") != 1)).alias("n")).first().n
-    if wrong:
-        raise ValueError(f"{wrong} keys of {key} are not on both sides once")
-    return left.join(right, key)
+    """The inner join of two tables that must have the same keys, each once; anything else fails the job that reads it.
+
+    Rows of both are grouped by key, so the check needs no job and no exchange of its own. A null key is a key.
+    """
+    mine, other = left.columns, [c for c in right.columns if c != key]
+    tagged = [df.select(F.col(key).alias("_key"), *[(F.struct(*cols) if own == name else F.lit(None)).alias(own) for own in ("_l", "_r")]) for name, df, cols in (("_l", left, mine), ("_r", right.withColumn("_", F.lit(True)), ["_", *other]))]
+    met = tagged[0].unionByName(tagged[1]).groupBy("_key").agg(F.count("_l").alias("_nl"), F.count("_r").alias("_nr"), F.first("_l", True).alias("_l"), F.first("_r", True).alias("_r"))
+    key_text = F.coalesce(F.col("_key").cast("string"), F.lit("null"))
+    whole = halting(met, (F.col("_nl") == 1) & (F.col("_nr") == 1), F.concat(F.lit(f"a key of {key} is not on both sides once: "), key_text))
+    return whole.select(*[F.col("_l")[c].alias(c) for c in mine], *[F.col("_r")[c].alias(c) for c in other])
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """``left`` with the columns of ``right``; a key of ``left`` that ``right`` lacks or has twice is an error."""
-    right_keys = right.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    wrong = left.join(right_keys, F.col(key) == F.col("_key"), "left").where("_n IS NULL OR _n > 1").count()
-    if wrong:
-        raise KeyError(f"{wrong} keys of {key} are missing or repeated")
-    return left.join(right, key)
+    """``left`` with the columns of ``right``; a key of ``left`` that ``right`` lacks or has twice fails the job that reads the rows."""
+    other = [c for c in right.columns if c != key]
+    one = right.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(True).alias("_"), *other)).alias("_r"))
+    both = left.join(one, F.col(key) == F.col("_key"), "left")
+    key_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    found = halting(both, F.coalesce(F.col("_n"), F.lit(0)) == 1, F.concat(F.lit(f"a key of {key} is missing or repeated: "), key_text))
+    return found.select(*left.columns, *[F.col("_r")[c].alias(c) for c in other])
 
 
 def logger(path: str | None = None) -> logging.Logger:

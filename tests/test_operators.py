@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -128,10 +129,17 @@ def test_areas_are_those_of_the_definitions(spark):
 def test_joins_that_must_be_whole_halt_when_they_are_not(spark):
     a, b = scored(spark, 10), spark.range(10).withColumn("x", F.lit(1))
     assert tables.joined_whole(a, b).count() == tables.aligned(a, spark.range(12).withColumn("x", F.lit(1))).count() == 10
-    with pytest.raises(ValueError):
-        tables.joined_whole(a, spark.range(9))
-    with pytest.raises(KeyError):
-        tables.aligned(a, spark.range(9).withColumn("x", F.lit(1)))
+    assert tables.joined_whole(a, b).columns == [*a.columns, "x"]
+    assert sorted(tables.joined_whole(a, b).collect()) == sorted(a.join(b, "id").select(*a.columns, "x").collect())
+    less, twice = spark.range(9).withColumn("x", F.lit(1)), b.unionByName(b.where("id = 3"))
+    for wrong in (less, twice, b.unionByName(b.where("id = 3").withColumn("id", F.lit(99).cast("long")))):
+        with pytest.raises(PySparkException, match="not on both sides once"):
+            tables.joined_whole(a, wrong).count()
+    for wrong in (less, twice):
+        with pytest.raises(PySparkException, match="missing or repeated"):
+            tables.aligned(a, wrong).count()
+    plan = tables.joined_whole(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
     with pytest.raises(ValueError):
         metrics.greatest_difference(a, a.limit(9), ["id"])
     assert metrics.greatest_difference(a, a.withColumn("score", F.col("score") + 0.25), ["id"]) == 0.25
