@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import STUDY, Contrast
 from ..functions.columns import any_cell, capacity_label, hash_uniform, letter_ordinal, verdict
 from ..operators import cascade, composite, descriptives, encoding, inference, metrics, mitigation, selection, splitting
-from ..sources.tables import ledger, upsert
+from ..sources.tables import ledger, read_parquet, study_home, upsert
+from ..streaming import chunks
 from . import candidates as c
 from .candidates import CAND, DEC, SIDE, STEPS, analytic, ana_sql, candidates, decisions, rank_sql, side, split_rows, split_sql, top_sql
 
@@ -227,6 +228,17 @@ def _(spark, folder):
     return candidates(spark, folder).groupBy("muni").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "muni").limit(10)
 
 
+_CHUNKS = "SELECT c_mktsegment AS segment, count(c_acctbal) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM rows GROUP BY c_mktsegment"
+
+
+@query("chunked_moments", "rows AS (SELECT * FROM customer)", _CHUNKS, "mean sd")
+def _(spark, folder):
+    """A scan by batches of files, which a study keeps; files are read once as long as the tables stay as they are."""
+    schema = read_parquet(spark, folder, "customer").select("c_mktsegment", "c_acctbal").schema
+    parts = chunks.scanned(spark, f"{folder}/customer.parquet", schema, lambda rows: chunks.partial_moments(rows, "c_acctbal", ["c_mktsegment"]), study_home(spark, folder, "chunks"))
+    return chunks.merged_moments(parts, ["c_mktsegment"]).withColumnRenamed("c_mktsegment", "segment")
+
+
 # --- composites, bins and splits
 
 

@@ -47,6 +47,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file, not a folder."""
+    system, target = _file(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isFile()
+
+
 def cut(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
     """``df`` with its rows saved in the shared folder, so that later plans (of ``session``) start from there; the rows go with the JVM."""
     spark = df.sparkSession
