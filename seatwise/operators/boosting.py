@@ -1,11 +1,14 @@
-"""Gradient-boosted trees of many configurations, grown together in passes over one binned table.
+"""Gradient-boosted trees of many configurations, grown side by side over counted cells of a binned table.
 
-Columns are binned once. A pass is one Spark job for all configurations that still grow: every
-task sums gradients by configuration, node and bin over its rows, the sums meet by configuration,
+Columns are binned once, and Spark counts the rows of each vector of bins: a fit is over these cells,
+whose number is bounded by the levels, not by the rows. Each set of columns has cells of its own;
+where these are few, each configuration is a task that goes through all of its passes. Where they
+are not, a pass is one Spark job for all configurations that still grow: every
+task sums gradients by configuration, node and bin over its cells, the sums meet by configuration,
 and the best split of each node comes back, a few numbers a node. Trees grow best first to a
 number of leaves, several nodes in one pass. Rows held back give the loss that ends a fit, in the
 same pass. Gradients are whole multiples of a small unit, so that sums do not depend on the order
-of rows or the number of tasks.
+of rows, on their counting or the number of tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +36,12 @@ PATIENCE, LEAST_GAIN = 20, 1e-7
 LEAST_WEIGHT = 1e-3
 #: Gradients and losses are multiples of this.
 UNIT = 2.0**-20
-#: Rows of a block, and finished trees a configuration after which the rows' sums are saved.
+#: Cells of a block, and finished trees a configuration after which the cells' sums are saved.
 BLOCK, SAVED = 8192, 6
+#: Cells of a set of columns up to which a configuration is one task (some 30 MB of it).
+CELLS = 1 << 18
+#: Joint bins of columns that are summed together, and rows that are scored together, at most.
+JOINT, SCORED = 1024, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -67,6 +75,8 @@ class Model:
     base: float
     trees: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
+    last: list[int] = field(default_factory=list, repr=False)
+    stats: list[tuple[float, float, float]] = field(default_factory=list, repr=False)
 
 
 class Bins(NamedTuple):
@@ -108,8 +118,7 @@ def codes_of(bins: Bins, batch: pa.RecordBatch) -> np.ndarray:
     for i, c in enumerate(bins.columns):
         column, edges = batch.column(f"_code_{i}"), bins.edges[c]
         if c in bins.named:
-            place = {v: k for k, v in enumerate(edges)}
-            out[:, i] = [place.get(v, len(edges)) for v in column.to_pylist()]
+            out[:, i] = pc.fill_null(pc.index_in(column, pa.array(edges, column.type)), len(edges)).to_numpy(zero_copy_only=False)
         else:
             values = np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
             out[:, i] = np.minimum(np.searchsorted(np.array(edges), values), max(len(edges) - 1, 0))
@@ -130,22 +139,72 @@ def quick_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-_PACKED = "block long, n int, codes binary, y binary, w binary, held binary"
+#: Rows of a cell that are fitted, by label, and that are held back, by label.
+COUNTS = ("n0", "n1", "h0", "h1")
+_PACKED = "block long, n int, codes binary, w binary, n0 binary, n1 binary, h0 binary, h1 binary"
 
 
-def _pack(bins: Bins) -> Callable:
+def _vectors(bins: Bins) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block of rows: their codes, labels, weights and whether they are held back."""
+        """Each row's bins as two bytes a column."""
+        for batch in batches:
+            raw, n = codes_of(bins, batch).astype("<u2").tobytes(), 2 * len(bins.columns)
+            vector = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.arange(0, len(raw) + 1, n, dtype=np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([vector, *(batch.column(c) for c in ("_y", "_w", "_held"))], ["vector", "y", "w", "held"])
+
+    return run
+
+
+def cells_of(rows: DataFrame, bins: Bins, label: str, weight: str | None, held: Column | None) -> DataFrame:
+    """``vector, w`` and the number of rows of each, fitted or held back and by label."""
+    one, back = F.col(weight).cast("double") if weight else F.lit(1.0), F.lit(False) if held is None else held
+    wide = rows.select(*coded(bins), F.col(label).cast("double").alias("_y"), one.alias("_w"), back.cast("int").alias("_held"))
+    found = wide.mapInArrow(_vectors(bins), "vector binary, y double, w double, held int")
+    own = [F.count_if((F.col("held") == back) & ((F.col("y") > 0) if y else ~(F.col("y") > 0))).alias(c) for c, (back, y) in zip(COUNTS, ((0, 0), (0, 1), (1, 0), (1, 1)), strict=True)]
+    return found.groupBy("vector", "w").agg(*own)
+
+
+def _columns_of(vector: pa.Array, width: int) -> np.ndarray:
+    """Vectors as an array of rows and columns."""
+    return np.frombuffer(b"".join(vector.to_pylist()), "<u2").reshape(-1, width)
+
+
+def _pack(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block of cells: their codes, weights and counts."""
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                numbers = [part.column(c).to_numpy(zero_copy_only=False).astype(float).tobytes() for c in ("_y", "_w", "_held")]
-                cols = [[part.column("_block")[0].as_py()], [part.num_rows], [codes_of(bins, part).tobytes()], *[[x] for x in numbers]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "n", "codes", "y", "w", "held"])
+                numbers = [part.column(c).to_numpy(zero_copy_only=False).astype(float).tobytes() for c in ("w", *COUNTS)]
+                cols = [[part.column("block")[0].as_py()], [part.num_rows], [_columns_of(part.column("vector"), width).astype(np.int32).tobytes()], *[[x] for x in numbers]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)], ["block", "n", "codes", "w", *COUNTS])
 
     return run
 
 
+def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set of columns with all of its cells, at most CELLS; rows come in the order of sets."""
+
+    def packed(own: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        numbers = [[whole.column(c).to_numpy(zero_copy_only=False).astype(float).tobytes()] for c in ("w", *COUNTS)]
+        return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([whole.num_rows], pa.int32()), pa.array([b"".join(whole.column("vector").to_pylist())]), *map(pa.array, numbers)], ["set", "n", "codes", "w", *COUNTS])
+
+    own, parts = -1, []
+    for batch in batches:
+        sets = batch.column("set").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(sets)) + 1), len(sets)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                if parts and sets[a] != own:
+                    yield packed(own, parts)
+                    parts = []
+                own = int(sets[a])
+                parts.append(batch.slice(a, b - a))
+    if parts:
+        yield packed(own, parts)
+
+
 class _Forest(NamedTuple):
     """Trees of the configurations of one part as joined arrays; ``roots`` has a row a step and a column a configuration."""
 
@@ -233,21 +292,29 @@ def _settle(shared: Broadcast) -> Callable:
 _SUMS = "run int, node int, sums binary"
 
 
+def _derivatives(sums: np.ndarray, w: np.ndarray, n0: np.ndarray, n1: np.ndarray, h0: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells with these log-odds: gradients, second derivatives and rows, and the loss and number of the rows held back."""
+    rate, n = 1 / (1 + np.exp(-sums)), n0 + n1
+    first = n0 * np.rint(rate * w / UNIT) + n1 * np.rint((rate - 1) * w / UNIT)
+    back = (h0 + h1 > 0).ravel()
+    kept, loss = sums[back], np.zeros((2, *sums.shape[1:]))
+    loss[0] = (h0[back] * np.rint(np.logaddexp(0, kept) / UNIT) + h1[back] * np.rint(np.logaddexp(0, -kept) / UNIT)).sum(axis=0)
+    loss[1] = (h0 + h1).sum()
+    return first, n * np.rint(rate * (1 - rate) * w / UNIT), n, loss
+
+
 def _add(total: np.ndarray, loss: np.ndarray, record: Mapping, codes: np.ndarray, sums: np.ndarray, work: _Work, sizes: Sequence[int]) -> None:
     """Add a block's gradients, second derivatives and rows by slot and bin, and the losses of its rows held back."""
-    y, w, back = (np.frombuffer(record[c]) for c in ("y", "w", "held"))
-    back, sums = back > 0, sums + work.base
-    kept, own = sums[back], y[back, None] > 0
-    loss[0] += np.rint(np.logaddexp(0, np.where(own, -kept, kept)) / UNIT).sum(axis=0)
-    loss[1] += back.sum()
-    rate, codes, y, w = 1 / (1 + np.exp(-sums[~back])), codes[~back], y[~back, None], w[~back, None]
+    w, *counts = (np.frombuffer(record[c])[:, None] for c in ("w", *COUNTS))
+    sums = sums + work.base
+    first, second, n, found = _derivatives(sums, w, *counts)
+    loss += found
     slot = work.slot[_walk(work.grown, codes, 0)]
-    rows, runs = np.nonzero(slot >= 0)
-    slot, rate, y, w = slot[rows, runs], rate[rows, runs], y[rows, 0], w[rows, 0]
-    first, second, at = np.rint((rate - y) * w / UNIT), np.rint(rate * (1 - rate) * w / UNIT), 0
+    rows, runs = np.nonzero((slot >= 0) & (n > 0))
+    slot, first, second, n, at = slot[rows, runs], first[rows, runs], second[rows, runs], n[rows, 0], 0
     for c, size in enumerate(sizes):
         place, end = slot * size + codes[rows, c], at + len(work.slots) * size
-        for k, values in enumerate((first, second, None)):
+        for k, values in enumerate((first, second, n)):
             total[k, at:end] += np.bincount(place, values, end - at)
         at = end
 
@@ -287,33 +354,42 @@ _SPLIT = ["gain", "column", "lo", "hi", "g_left", "h_left", "n_left", "g_right",
 _FOUND = f"run int, node int, {', '.join(f'{c} double' for c in _SPLIT)}"
 
 
-def best_splits(sums: np.ndarray, sizes: Sequence[int], named: Sequence[bool], allowed: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+class Cuts(NamedTuple):
+    """Of the bins of all columns: their column, the codes that a split there sends to the right, whether it is one, and whether it is one level."""
+
+    column: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    valid: np.ndarray
+    level: np.ndarray
+    last: np.ndarray
+    first: int
+
+
+def cuts_of(sizes: Sequence[int], named: Sequence[bool]) -> Cuts:
+    """A split of a number sends the bins above one to the right, that of a name one level; neither unknown levels nor all bins are one."""
+    column, code = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])
+    size, level = np.array(sizes)[column], np.array(named, bool)[column]
+    return Cuts(column, np.where(level, code, code + 1).astype(float), np.where(level, code, size).astype(float), code < size - 1, level, np.cumsum(sizes)[column] - 1, sizes[0])
+
+
+def best_splits(sums: np.ndarray, cuts: Cuts, allowed: np.ndarray | bool, leaf: np.ndarray) -> np.ndarray:
     """For nodes' sums (node, gradient / second derivative / rows, bin of all columns) a row of _SPLIT; a gain of 0 is none.
 
-    A split of a number sends the bins above one to the right, that of a name one level.
+    ``allowed`` has a row a node and a column a column of the table.
     """
-    at, spans = 0, []
-    for size in sizes:
-        spans.append((at, at + size))
-        at += size
-    right, valid = np.zeros_like(sums), np.zeros(sums.shape[2], bool)
-    lo, hi = np.zeros(at), np.zeros(at)
-    column = np.repeat(np.arange(len(sizes)), sizes)
-    for (a, b), name in zip(spans, named, strict=True):
-        if name:
-            right[:, :, a:b], lo[a:b], hi[a:b] = sums[:, :, a:b], np.arange(b - a), np.arange(b - a)
-        else:
-            right[:, :, a:b] = sums[:, :, a:b].sum(axis=2, keepdims=True) - np.cumsum(sums[:, :, a:b], axis=2)
-            lo[a:b], hi[a:b] = np.arange(1, b - a + 1), b - a
-        valid[a : b - 1] = True  # neither unknown levels nor all bins
-    whole = sums[:, :, spans[0][0] : spans[0][1]].sum(axis=2, keepdims=True)
+    up = np.cumsum(sums, axis=2)  # whole numbers, so differences are exact
+    right = np.where(cuts.level, sums, up[:, :, cuts.last] - up)
+    whole = up[:, :, cuts.first - 1 : cuts.first]
     left = whole - right
-    ok = valid & allowed[:, column] & (np.minimum(left[:, 2], right[:, 2]) >= leaf[:, None]) & (np.minimum(left[:, 1], right[:, 1]) * UNIT >= LEAST_WEIGHT)
+    ok = cuts.valid & (np.minimum(left[:, 2], right[:, 2]) >= leaf[:, None]) & (np.minimum(left[:, 1], right[:, 1]) * UNIT >= LEAST_WEIGHT)
+    if not isinstance(allowed, bool):
+        ok &= allowed[:, cuts.column]
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = UNIT * (left[:, 0] ** 2 / left[:, 1] + right[:, 0] ** 2 / right[:, 1] - whole[:, 0] ** 2 / whole[:, 1])
     gain = np.where(ok & (gain > 0), gain, 0.0)
     best, rows = gain.argmax(axis=1), np.arange(len(sums))
-    parts = [gain[rows, best], column[best], lo[best], hi[best], *left[rows, :, best].T, *right[rows, :, best].T]
+    parts = [gain[rows, best], cuts.column[best], cuts.lo[best], cuts.hi[best], *left[rows, :, best].T, *right[rows, :, best].T]
     parts[4:6], parts[7:9] = [x * UNIT for x in parts[4:6]], [x * UNIT for x in parts[7:9]]
     return np.stack(parts, axis=1)
 
@@ -330,7 +406,7 @@ def _choose(sizes: list[int], named: list[bool], allowed: np.ndarray, leaf: np.n
         rows = [[*k, _mean_loss(held[k]), *[0.0] * (len(_SPLIT) - 1)] for k in held if k[1] < 0]
         if keys:
             runs = np.array([k[0] for k in keys])
-            found = best_splits(np.stack([held[k] for k in keys]).reshape(len(keys), 3, -1), sizes, named, allowed[runs], leaf[runs])
+            found = best_splits(np.stack([held[k] for k in keys]).reshape(len(keys), 3, -1), cuts_of(sizes, named), allowed[runs], leaf[runs])
             rows += [[*k, *x] for k, x in zip(keys, found.tolist(), strict=True)]
         if rows:
             cols = list(zip(*rows, strict=True))
@@ -449,6 +525,7 @@ class _Fits:
                     continue
             if not self.growth[r].take(found):
                 model.trees.append(self.growth[r].tree())
+                model.last, model.stats = self.growth[r].chosen(), self.growth[r].stats
                 self.growth[r].start()
                 out.append(r)
                 if len(model.trees) == model.config.trees:
@@ -456,71 +533,193 @@ class _Fits:
         return out
 
 
-def _fit_block(configs: Sequence[Config], of_part: list[list[int]], base: float, stops: bool, sizes: list[int], named: list[bool], allowed: np.ndarray, leaf: np.ndarray) -> Callable:
+class Joint(NamedTuple):
+    """Columns whose bins are taken together, and what one bin of each adds to their joint code."""
+
+    columns: list[int]
+    strides: list[int]
+    sizes: list[int]
+    size: int
+
+
+def joints(sizes: Sequence[int]) -> list[Joint]:
+    """All columns in few sets of at most JOINT joint bins, or of one column."""
+    out: list[list[int]] = []
+    for c in sorted(range(len(sizes)), key=lambda c: -sizes[c]):
+        own = next((g for g in out if np.prod([sizes[x] for x in g]) * sizes[c] <= JOINT), None)
+        if own is None:
+            out.append([c])
+        else:
+            own.append(c)
+    return [Joint(g, [int(np.prod([sizes[x] for x in g[k + 1 :]])) for k in range(len(g))], [sizes[x] for x in g], int(np.prod([sizes[x] for x in g]))) for g in out]
+
+
+class _Table:
+    """The cells of one configuration's columns, in the task that fits it."""
+
+    def __init__(self, record: Mapping, sizes: Sequence[int]) -> None:
+        self.codes = np.ascontiguousarray(np.frombuffer(record["codes"], "<u2").reshape(record["n"], len(sizes)).T)
+        self.w, *self.counts = (np.frombuffer(record[c]) for c in ("w", *COUNTS))
+        self.joints, self.starts = joints(sizes), np.cumsum([0, *sizes]).tolist()
+        self.single = [Joint([c], [1], [n], n) for c, n in enumerate(sizes)]
+        self.places = {id(j): sum(self.codes[c].astype(np.intp) * k for c, k in zip(j.columns, j.strides, strict=True)) for j in (*self.joints, *self.single)}
+        #: Cells of a part from which on fewer sums by joint codes cost less than the adding up of these.
+        self.many = 4 * sum(j.size for j in self.joints) / max(1, len(sizes) - len(self.joints))
+
+    def sums(self, values: Sequence[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+        """The sums of ``values`` over each of ``parts`` (None: all cells) by the bins of all columns, as (part, value, bin)."""
+        out = np.empty((len(parts), len(values), self.starts[-1]))
+        whole = len(parts) == 1 and len(parts[0]) == len(self.w)
+        rows = None if whole else np.concatenate(parts)
+        slot = None if len(parts) == 1 else np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        values = values if whole else [x[rows] for x in values]
+        for j in self.joints if sum(map(len, parts)) > self.many * len(parts) else self.single:
+            place = self.places[id(j)]
+            at = place if whole else place[rows]
+            at = at if slot is None else at + slot * j.size
+            for k, x in enumerate(values):
+                found = np.bincount(at, x, len(parts) * j.size).reshape(len(parts), *j.sizes)
+                for i, c in enumerate(j.columns):
+                    others = tuple(a + 1 for a in range(len(j.columns)) if a != i)
+                    out[:, k, self.starts[c] : self.starts[c + 1]] = found.sum(axis=others) if others else found
+        return out
+
+
+def grow_alone(config: Config, table: _Table, base: float, stops: bool, cuts: Cuts) -> Model:
+    """All passes of one configuration over cells in memory.
+
+    A node keeps its cells, and of two children the one with fewer is summed, the other is the rest of their parent.
+    """
+    fits, sums = _Fits([config], base, stops), np.zeros(len(table.w))
+    everyone, growth, model = np.arange(len(sums)), fits.growth[0], fits.models[0]
+    leaf = float(config.leaf)
+
+    def divide(children: Mapping[int, list[int]], splits: Mapping[int, list[float]]) -> list[int]:
+        """Give the cells of nodes that have been split to their children; these nodes."""
+        new = [k for k in children if children[k][0] not in own]
+        for node in new:
+            x, rows = splits[node], own[node]
+            code = table.codes[int(x[1])][rows]
+            right = (code >= x[2]) & (code <= x[3])
+            own[children[node][0]], own[children[node][1]] = rows[~right], rows[right]
+        return new
+
+    while fits.live:
+        if growth.asked == [0]:  # a new tree
+            first, second, n, loss = _derivatives(sums + base, table.w, *table.counts)
+            if stops and ends([*model.losses, _mean_loss(loss)]):
+                model.losses.append(_mean_loss(loss))
+                break
+            values, own, known = (first, second, n), {0: everyone}, {}
+            found = {0: table.sums(values, [everyone])[0]}
+        else:
+            found, parts, rest = {}, [], []
+            for node in divide(growth.children, growth.split):
+                if any(c in growth.asked for c in growth.children[node]):
+                    less, more = sorted(growth.children[node], key=lambda c: len(own[c]))
+                    parts.append(less)
+                    rest.append((less, more, node))
+            for (less, more, node), x in zip(rest, table.sums(values, [own[c] for c in parts]), strict=True):
+                found[less], found[more] = x, known[node] - x
+        known |= found
+        asked = list(growth.asked)
+        best = best_splits(np.stack([known[c] for c in asked]), cuts, True, np.full(len(asked), leaf)).tolist()
+        splits = dict(zip(asked, best, strict=True))
+        if 0 in splits:
+            splits[-1] = [_mean_loss(loss)]
+        children, made = growth.children, growth.split
+        if fits.advance({0: splits}):
+            divide(children, made)
+            done = set(model.last)
+            for node in [0, *(c for k in done for c in children[k])]:
+                if node not in done:
+                    g, h, _ = model.stats[node]
+                    sums[own[node]] += -config.rate * g / h if h > 0 else 0.0
+    return model
+
+
+def _fit_alone(configs: Sequence[Config], columns: Sequence[Sequence[int]], base: float, stops: bool, sizes: list[int], named: list[bool]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Trees and losses of the configurations of a part whose rows are all in one block: each pass is over this block."""
+        """Trees, as joined arrays, and losses of each configuration."""
         for batch in batches:
             for record in batch.to_pylist():
-                own = of_part[record["part"]]
-                fits = _Fits([configs[r] for r in own], base, stops)
-                codes = np.frombuffer(record["codes"], np.int32).reshape(record["n"], -1)
-                sums = np.zeros((record["n"], len(own)))
-                while fits.live:
-                    work = fits.work(list(range(len(own))), [len(m.trees) for m in fits.models])
-                    total, loss = np.zeros((3, len(work.slots) * sum(sizes))), np.zeros((2, len(work.runs)))
-                    _add(total, loss, record, codes, sums[:, work.runs], work, sizes)
-                    runs = np.array([own[r] for r, _ in work.slots])
-                    found = best_splits(_by_node(total, work, sizes), sizes, named, allowed[runs], leaf[runs])
-                    splits: dict[int, dict[int, list[float]]] = {r: {} for r in work.runs}
-                    for (r, node), x in zip(work.slots, found.tolist(), strict=True):
-                        splits[r][node] = x
-                    for r, new, x in zip(work.runs, work.fresh, loss.T, strict=True):
-                        if new:
-                            splits[r][-1] = [_mean_loss(x)]
-                    if grown := fits.advance(splits):
-                        forest = _join([[fits.models[r].trees[-1]] for r in grown])
-                        sums[:, grown] += forest.value[_walk(forest, codes, 0)]
-                for r, m in zip(own, fits.models, strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pickle.dumps([tuple(t) for t in m.trees])], pa.binary()), pa.array([m.losses], pa.list_(pa.float64()))], ["run", "trees", "losses"])
+                r = record["run"]
+                own = [sizes[c] for c in columns[r]]
+                m = grow_alone(configs[r], _Table(record, own), base, stops, cuts_of(own, [named[c] for c in columns[r]]))
+                place = np.array(columns[r], np.int32)
+                trees = [t._replace(column=place[t.column]) for t in m.trees]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pickle.dumps(_flat(trees))], pa.binary()), pa.array([m.losses], pa.list_(pa.float64()))], ["run", "trees", "losses"])
 
     return run
 
 
+def _flat(trees: Sequence[Tree]) -> tuple:
+    return ([len(t.value) for t in trees], [t.depth for t in trees], *[np.concatenate([t[i] for t in trees]) if trees else np.zeros(0) for i in range(6)])
+
+
+def _trees(flat: tuple) -> list[Tree]:
+    sizes, depths, *fields = flat
+    at = np.cumsum(sizes)[:-1]
+    parts = [np.split(x, at) if sizes else [] for x in fields]
+    return [Tree(*x, d) for *x, d in zip(*parts, depths, strict=True)]
+
+
 def fit_many(train: DataFrame, bins: Bins, configs: Sequence[Config], label: str = "y", weight: str | None = None, held: Column | None = None, groups: int | None = None) -> list[Model]:
     """A model for each configuration, fitted on ``train`` without the rows ``held`` back, which end the fits early.
 
-    Without rows held back all trees are grown. ``groups`` parts of the configurations are dealt to
-    tasks of their own; by default as many as keep all cores busy. Where all rows are in one block,
-    passes need no exchange, and each part goes through all of its own in one task. Models do
-    not depend on any of this.
+    Without rows held back all trees are grown. Rows are counted by their bins first, for each set of
+    columns on its own: configurations of a set with at most CELLS cells are a task each, that goes through
+    all passes. Others share passes over the blocks of all cells; ``groups`` parts of them are dealt to tasks of
+    their own, by default as many as keep all cores busy. Models do not depend on any of this.
     """
     spark = train.sparkSession
-    one, back = F.col(weight).cast("double") if weight else F.lit(1.0), F.lit(False) if held is None else held
-    rows = train.select(*coded(bins), F.col(label).cast("double").alias("_y"), one.alias("_w"), back.cast("int").alias("_held"), F.monotonically_increasing_id().alias("_block"))
-    rows = cut(rows)
-    total = rows.where("_held = 0").agg(F.sum(F.col("_w") * F.col("_y")).alias("ones"), F.sum("_w").alias("all"), F.count(F.lit(1)).alias("n")).first()
+    cells = cut(cells_of(train, bins, label, weight, held))
+    ones, zeros = F.sum(F.col("w") * F.col("n1")), F.sum(F.col("w") * F.col("n0"))
+    total = cells.agg(ones.alias("ones"), (ones + zeros).alias("all"), F.count(F.lit(1)).alias("n")).first()
     share = min(max((total.ones or 0) / (total["all"] or 1), 1e-9), 1 - 1e-9)
     base = float(np.log(share / (1 - share)))
+    models = [Model(c, base) for c in configs]
     if not 1e-9 < share < 1 - 1e-9:  # one class only
-        return [Model(c, base) for c in configs]
-    packed, session = cut(rows.coalesce(-(-total.n // BLOCK)).mapInArrow(_pack(bins), _PACKED)), quick_session(spark)
-    dropped(rows)
+        dropped(cells)
+        return models
+    sizes, named = [bins.size(c) for c in bins.columns], [c in bins.named for c in bins.columns]
+    columns = [tuple(i for i, c in enumerate(bins.columns) if c in x.columns) for x in configs]
+    sets = list(dict.fromkeys(columns))
+    parts = [F.struct(F.lit(i).alias("set"), F.concat(*[F.substring("vector", 2 * c + 1, 2) for c in own]).alias("vector")) for i, own in enumerate(sets)]
+    each = cut(cells.select(F.inline(F.array(*parts)), "w", *COUNTS).groupBy("set", "vector", "w").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    few = {r["set"] for r in each.groupBy("set").count().where(F.col("count") <= CELLS).collect()}  # a row a set of columns
+    alone = [r for r, own in enumerate(columns) if sets.index(own) in few]
+    if alone:
+        runs = F.array(*[F.array(*[F.lit(r) for r in alone if columns[r] == own]).cast("array<int>") for own in sets])
+        packed = each.where(F.col("set").isin(*few)).repartition(len(sets), "set").sortWithinPartitions("set").mapInArrow(_pack_sets, "set int, n int, codes binary, w binary, n0 binary, n1 binary, h0 binary, h1 binary")
+        dealt = cut(packed).withColumn("run", F.explode(F.get(runs, F.col("set"))))
+        place = F.get(F.array(*[F.lit(alone.index(r) if r in alone else 0) for r in range(len(configs))]), F.col("run"))
+        kernel = _fit_alone(configs, columns, base, held is not None, sizes, named)
+        found = dealt.repartitionById(len(alone), place).mapInArrow(kernel, "run int, trees binary, losses array<double>").toArrow()  # a row a configuration
+        for r, trees, losses in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            models[r].trees, models[r].losses = _trees(pickle.loads(trees)), losses
+    dropped(each)
+    if rest := [r for r in range(len(configs)) if r not in alone]:
+        for r, m in zip(rest, _fit_spread(cells, bins, [configs[r] for r in rest], base, total.n, held is not None, groups), strict=True):
+            models[r] = m
+    dropped(cells)
+    return models
+
+
+def _fit_spread(cells: DataFrame, bins: Bins, configs: Sequence[Config], base: float, n: int, stops: bool, groups: int | None) -> list[Model]:
+    """Models of configurations with many cells, by passes over blocks of these."""
+    spark = cells.sparkSession
+    sizes, named = [bins.size(c) for c in bins.columns], [c in bins.named for c in bins.columns]
+    blocks = cells.withColumn("block", F.monotonically_increasing_id()).coalesce(-(-n // BLOCK))
+    packed, session = cut(blocks.mapInArrow(_pack(len(sizes)), _PACKED)), quick_session(spark)
     size, cores = packed.count(), spark.sparkContext.defaultParallelism
     groups = min(len(configs), groups or max(1, -(-cores // size)))
     of_part = [list(range(g, len(configs), groups)) for g in range(groups)]
     wide = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     parts = max(groups, min(size * groups, max(4 * cores, size * groups // 64)))
     wide = wide.repartitionById(parts, F.pmod(F.xxhash64("block") % 1_000_003 * groups + F.col("part"), F.lit(parts)).cast("int"))
-    sizes, named = [bins.size(c) for c in bins.columns], [c in bins.named for c in bins.columns]
     allowed, leaf = np.array([[c in x.columns for c in bins.columns] for x in configs]), np.array([x.leaf for x in configs], float)
-    fits = _Fits(configs, base, held is not None)
-    if size == 1:
-        kernel = _fit_block(configs, of_part, base, held is not None, sizes, named, allowed, leaf)
-        found = wide.mapInArrow(kernel, "run int, trees binary, losses array<double>").toArrow()  # a row a configuration
-        for r, trees, losses in zip(*(c.to_pylist() for c in found.columns), strict=True):
-            fits.models[r].trees, fits.models[r].losses = [Tree(*t) for t in pickle.loads(trees)], losses
-        dropped(packed)
-        return fits.models
+    fits = _Fits(configs, base, stops)
     zeros = F.repeat(F.lit("\0"), (F.col("n") * F.get(F.array(*[F.lit(len(x)) for x in of_part]), F.col("part")) * 8).cast("int")).cast("binary")
     state = cut(wide.withColumn("sums", zeros), session)
     dropped(packed)
@@ -545,6 +744,56 @@ def fit_many(train: DataFrame, bins: Bins, configs: Sequence[Config], label: str
     return fits.models
 
 
+#: Places of the lowest bit of a number of 32 bits, by its product with a constant of de Bruijn.
+_BRUIJN = np.uint32(0x077CB531)
+
+
+def leaf_masks(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """For each node the bits of the leaves left of it that a row loses which goes right there, and the values by place of the lowest bit left.
+
+    Leaves are bits from left to right. A row is in the lowest leaf that no node at which it goes right has
+    taken, whether it comes through that node or not.
+    """
+    masks, order, stack, values = np.zeros(len(tree.value), np.uint32), [], [0], []
+    left, right = tree.left.tolist(), tree.right.tolist()
+    spans: dict[int, int] = {}
+    while stack:
+        node = stack.pop()
+        if node < 0:  # the left side of ~node is done
+            order.append((~node, spans[~node], len(values)))
+        elif left[node] == node:
+            values.append(tree.value[node])
+        else:
+            spans[node] = len(values)
+            stack += [right[node], ~node, left[node]]
+    for node, a, b in order:
+        masks[node] = (1 << b) - (1 << a)
+    table = np.zeros(32)
+    bits = np.uint32(1) << np.arange(len(values), dtype=np.uint32)
+    table[(bits * _BRUIJN) >> np.uint32(27)] = values
+    return masks, table
+
+
+def _tables(tree: Tree, sizes: Sequence[int], sets: Sequence[Joint]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """For the sets of columns that a tree splits, the bits that each joint code keeps; and the values."""
+    masks, values = leaf_masks(tree)
+    own: dict[int, np.ndarray] = {}
+    for node in np.flatnonzero(masks):
+        c = int(tree.column[node])
+        if c not in own:
+            own[c] = np.full(sizes[c], 0xFFFFFFFF, np.uint32)
+        own[c][tree.lo[node] : tree.hi[node] + 1] &= ~masks[node]
+    out = []
+    for i, j in enumerate(sets):
+        if any(c in own for c in j.columns):
+            found = np.full(j.sizes, 0xFFFFFFFF, np.uint32)
+            for k, c in enumerate(j.columns):
+                if c in own:
+                    found &= own[c].reshape([-1 if a == k else 1 for a in range(len(j.columns))])
+            out.append((i, found.ravel()))
+    return out, values
+
+
 def score_many(df: DataFrame, bins: Bins, points: Sequence[tuple[Model, int]], keep: Sequence[str], out: str = "scores") -> DataFrame:
     """``keep`` and an array of the probabilities of each model with its first trees, rounded to nine digits.
 
@@ -557,28 +806,41 @@ def score_many(df: DataFrame, bins: Bins, points: Sequence[tuple[Model, int]], k
     place = [next(i for i, x in enumerate(whole) if x is m) for m, _ in points]
     lengths = [min(n, len(m.trees)) for m, n in points]
     longest = [max((n for p, n in zip(place, lengths, strict=True) if p == i), default=0) for i in range(len(whole))]
-    base = np.array([m.base for m in whole])
-    shared = df.sparkSession.sparkContext.broadcast(tuple(_join([m.trees[:n] for m, n in zip(whole, longest, strict=True)])))
-    at_length: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        at_length.setdefault(n, []).append(i)
-    names = list(keep)
+    shared = df.sparkSession.sparkContext.broadcast([(m.base, _flat(m.trees[:n])) for m, n in zip(whole, longest, strict=True)])
+    names, used, sizes = list(keep), {c for m in whole for c in m.config.columns}, [bins.size(c) for c in bins.columns]
+    wanted = [{n: [j for j, (p, k) in enumerate(zip(place, lengths, strict=True)) if p == i and k == n] for n in set(lengths)} for i in range(len(whole))]
+
+    def score(rows: pa.RecordBatch) -> pa.RecordBatch:
+        codes, sets = codes_of(bins, rows), joints([n if c in used else 1 for c, n in zip(bins.columns, sizes, strict=True)])
+        at = [sum(codes[:, c].astype(np.intp) * k for c, k, n in zip(j.columns, j.strides, j.sizes, strict=True) if n > 1) + np.zeros(rows.num_rows, np.intp) for j in sets]
+        result = np.empty((rows.num_rows, len(points)))
+        for (base, flat), own in zip(shared.value, wanted, strict=True):
+            sums, trees = np.full(rows.num_rows, base), _trees(flat)
+            for k in range(len(trees) + 1):
+                for i in own.get(k, ()):
+                    result[:, i] = sums
+                if k < len(trees):
+                    found, values = _tables(trees[k], sizes, sets)
+                    bits = None
+                    for i, table in found:
+                        bits = table[at[i]] if bits is None else bits & table[at[i]]
+                    sums += values[(np.uint32(1) * _BRUIJN) >> np.uint32(27)] if bits is None else values[((bits & (~bits + np.uint32(1))) * _BRUIJN) >> np.uint32(27)]
+        scores = np.round(1 / (1 + np.exp(-result)), 9)
+        width = np.arange(0, scores.size + 1, len(points), dtype=np.int32)
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.ListArray.from_arrays(pa.array(width), pa.array(scores.ravel()))], [*names, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches are joined, as each of them needs the tables of all trees."""
+        parts, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                codes, forest = codes_of(bins, part), _Forest(*shared.value)
-                sums = np.tile(base, (part.num_rows, 1))
-                result = np.empty((part.num_rows, len(points)))
-                for k in range(len(forest.roots) + 1):
-                    for i in at_length.get(k, ()):
-                        result[:, i] = sums[:, place[i]]
-                    if k < len(forest.roots):
-                        sums += forest.value[_walk(forest, codes, k)]
-                scores = np.round(1 / (1 + np.exp(-result)), 9)
-                width = np.arange(0, scores.size + 1, len(points), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(width), pa.array(scores.ravel()))], [*names, out])
+            for a in range(0, batch.num_rows, SCORED):
+                parts.append(batch.slice(a, SCORED))
+                n += parts[-1].num_rows
+                if n >= SCORED:
+                    yield score(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                    parts, n = [], 0
+        if n:
+            yield score(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
 
     kept = df.select(*names, *coded(bins))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)

@@ -146,14 +146,16 @@ def fit_path(train: DataFrame, features: Features, fits: Sequence[Penalised], la
     spark = train.sparkSession
     one = F.col(weight).cast("double") if weight else F.lit(1.0)
     parts = min(len(fits), spark.sparkContext.defaultParallelism)
-    rows = train.select(*coded(features.bins), F.col(label).cast("double").alias("_y"), one.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    codes = [f"_code_{i}" for i in range(len(features.bins.columns))]
+    rows = train.select(*coded(features.bins), F.col(label).cast("double").alias("_y"), one.alias("_w"))
+    rows = rows.groupBy(*codes, "_y").agg(F.sum("_w").alias("_w")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # equal rows are one of their weight
     total = train.agg(F.sum(one * F.col(label)).alias("ones"), F.sum(one).alias("all")).first()
     weights = float(total["all"] or 0)
     width = len(features.deviation)
     if not weights or not 0 < total.ones < weights:  # one class only
         share = min(max((total.ones or 0) / (weights or 1), 1e-9), 1 - 1e-9)
         return [Linear(np.zeros(width), float(np.log(share / (1 - share))), 0.0) for _ in fits]
-    state = cut(rows.repartition("_part", F.xxhash64(*[c for c in rows.columns if c.startswith("_code_")]) % 64), quick_session(spark))
+    state = cut(rows.repartition("_part", F.xxhash64(*codes) % 64), quick_session(spark))
     own = [np.append(features.of(f.columns), width) for f in fits]
     beta, step, best, norm = [np.zeros(len(o)) for o in own], [np.zeros(len(o)) for o in own], [np.inf] * len(fits), [np.inf] * len(fits)
     done = [b.copy() for b in beta]

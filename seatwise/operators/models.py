@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STUDY, BlockSpec
-from ..functions.columns import hash_uniform
+from ..functions.columns import hash_uniform, quota, ratio
 from ..sources.tables import cut
 from . import boosting, logistic
 from .encoding import block_columns
 from .metrics import agreement
-from .selection import top_within
+from .selection import top_seats, top_within, with_better
 
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 #: The grid for boosting: 4 depths (None: no limit), 3 rates, 3 numbers of trees, 3 sizes of leaves.
@@ -85,6 +87,23 @@ def overlaps(scored: DataFrame, by: Sequence[str], capacity: float) -> DataFrame
     return agreement(top_within(rows, "score", capacity, by, "model_selected"), by).select(*by, "overlap_at_k")
 
 
+def cell_overlaps(scored: DataFrame, rows: DataFrame, capacity: float) -> DataFrame:
+    """``point, overlap_at_k`` as ``overlaps`` has them, from scores of cells: ``scored (point, cell, score, n, ones)``.
+
+    ``rows (cell, id, label)`` are those of the cells. Rows of a cell have one score, so cells are ordered by
+    their counts, and only rows that share the last seat's score are drawn by hash.
+    """
+    scored = cut(scored)
+    counts = scored.groupBy("point", F.col("score").alias("_s")).agg(F.sum("n").alias("_c"), F.sum("ones").alias("_ones"))
+    ranked = cut(with_better(counts, ["point"]).withColumn("_seats", quota(capacity, F.col("_n")) - F.col("_better")))
+    whole = F.sum(F.when(F.col("_seats") >= F.col("_c"), F.col("_ones")).otherwise(0))
+    out = ranked.groupBy("point").agg(whole.alias("_whole"), F.sum("_ones").alias("_all"))
+    last = ranked.where((F.col("_seats") > 0) & (F.col("_seats") < F.col("_c")) & (F.col("_ones") > 0)).select("point", F.col("_s").alias("score"), "_seats")
+    tied = scored.join(F.broadcast(last), ["point", "score"]).select("point", "cell", "score", "_seats")  # a score a point
+    drawn = top_seats(rows.join(tied, "cell"), "score", F.col("_seats"), ["point"], "_drawn").where("_drawn").groupBy("point").agg(F.count_if("label").alias("_more"))
+    return out.join(drawn, "point", "left").select("point", ratio(F.col("_whole") + F.coalesce("_more", F.lit(0)), F.col("_all")).alias("overlap_at_k"))
+
+
 class Tuned(NamedTuple):
     """Parameters of the first grid point of the greatest overlap of each block and model, this overlap, each block's features, and the scores of these cells."""
 
@@ -99,7 +118,7 @@ def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c
 
     All regressions are one path of Newton steps, and all boosted models grow together: grid points
     that differ in their number of trees only are one fit. Only validation rows are scored before
-    the choice, and one ranking serves all points.
+    the choice, each vector of a block's values once.
     """
     train, val = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
     design = prepare(train, specs)
@@ -118,16 +137,25 @@ def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c
         i = grown[s.name, p["depth"], p["rate"], p["leaf"]]
         return i, min(p["trees"], len(models[i].trees))
 
-    keep = ["id", "label"]
-    parts = [_exploded(logistic.score_path(val, design.features, linear, keep), [(f"c{i}",) for i in range(len(linear))], ["point"])]
-    for s in specs:
+    every, members, names, keep = [], [], [], ["cell", "n", "ones"]
+    for k, s in enumerate(specs):
+        own = list(_all_columns(s))
+        counted = val.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("ones"))
+        cells = cut(counted.withColumn("cell", F.monotonically_increasing_id() * len(specs) + k))
+        on = [F.col(f"_v_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in own]
+        left, right = cells.select("cell", *[F.col(c).alias(f"_v_{c}") for c in own]), val.select("id", "label", *[F.col(c).alias(f"_r_{c}") for c in own])
+        members.append(right.join(left, reduce(and_, on)).select("cell", "id", "label"))
+        # what a block does not have is null, and its models do not look at it
+        full = cells.withColumns({c: F.lit(None).cast(t) for c, t in val.select(*design.bins.columns).dtypes if c not in own})
         points = sorted({fit_of(s, p) for p in grid})
-        scored = boosting.score_many(val, design.bins, [(models[i], n) for i, n in points], keep)
-        parts.append(_exploded(scored, [(f"t{i}:{n}",) for i, n in points], ["point"]))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    found = {r.point: r.overlap_at_k or 0.0 for r in overlaps(every, ["point"], capacity).collect()}  # a row a grid point
+        scored = [(logistic.score_path(full, design.features, linear[k * len(c_grid) : (k + 1) * len(c_grid)], keep), [f"c{k * len(c_grid) + j}" for j in range(len(c_grid))])]
+        scored.append((boosting.score_many(full, design.bins, [(models[i], n) for i, n in points], keep), [f"t{i}:{n}" for i, n in points]))
+        for scores, own_names in scored:
+            each = scores.select(*keep, F.posexplode("scores").alias("_at", "score"))
+            every.append(each.select((F.col("_at") + len(names)).alias("point"), "cell", "score", "n", "ones"))
+            names += own_names
+    found = cell_overlaps(reduce(DataFrame.unionByName, every), reduce(DataFrame.unionByName, members), capacity)
+    found = {names[r.point]: r.overlap_at_k or 0.0 for r in found.collect()}  # a row a grid point
     params, overlap, chosen, best = {}, {}, [], []
     for k, s in enumerate(specs):
         at = [found.get(f"c{k * len(c_grid) + j}", 0.0) for j in range(len(c_grid))]

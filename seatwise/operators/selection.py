@@ -80,7 +80,7 @@ def tie_info(df: DataFrame, score: str, capacity: float, by: Sequence[str] = ())
     Only counts by score are ordered. Without a seat the boundary is null and no row counts.
     """
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _with_better(counts, by)
+    ranked = with_better(counts, by)
     n = F.sum("_c")
     known = F.col("_s").isNotNull()
     k = quota(capacity, F.col("n"))
@@ -92,7 +92,7 @@ def tie_info(df: DataFrame, score: str, capacity: float, by: Sequence[str] = ())
     return out.withColumn("n_drawn", drawn).withColumn("n_inclusive", F.col("n_above") + F.col("n_tied")).drop("_at")
 
 
-def _with_better(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_better(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """``counts (by, _s, _c)`` with ``_better``, the rows of greater ``_s``, and ``_n``, those of the group; nulls come last.
 
     Distinct values are cut into ranges at approximate quantiles, so no task holds a whole group's.
@@ -125,7 +125,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], out: str =
     Values are counted and their counts summed in ranges, so no task holds all distinct values.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _with_better(counts, []).selectExpr("_s", "_n", "_n - _better AS _upto", "_n - _better - _c AS _start")
+    ranked = with_better(counts, []).selectExpr("_s", "_n", "_n - _better AS _upto", "_n - _better - _c AS _start")
     aggs = []
     for i, p in enumerate(probs):
         place = f"(_n - 1) * {float(p)!r}D"

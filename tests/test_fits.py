@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seatwise.operators import boosting, logistic
+from seatwise.operators import boosting, logistic, models
 from seatwise.operators.boosting import Config
 
 NAMED, NUMBERS = ["kind", "place"], ["size", "age"]
@@ -169,3 +169,52 @@ def test_a_regression_that_has_not_converged_is_an_error(rows, bins, monkeypatch
 def test_regression_of_one_class(rows, bins):
     fit = logistic.fit_path(rows.withColumn("y", F.lit(0)), logistic.fit_features(rows, bins), [logistic.Penalised(("kind",), 1.0)])[0]
     assert fit.intercept < -10 and not fit.coefficients.any()
+
+
+def test_counted_rows_passes_in_one_task_and_over_blocks_give_the_same_models(spark, rows, bins, monkeypatch):
+    few = [Config(CONFIGS[0].columns, None, 0.3, 5, 5), Config(("kind", "size"), 2, 0.1, 4, 20), Config(("age", "place"), 3, 0.5, 2, 30)]
+    often = rows.unionByName(rows).unionByName(rows)
+    cells = boosting.cells_of(often, bins, "y", "w", F.col("held") == 1).cache()
+    assert cells.count() < often.count() / 3 + 1 and cells.agg(F.sum(F.expr("n0 + n1 + h0 + h1"))).first()[0] == often.count()
+    alone = boosting.fit_many(often, bins, few, weight="w", held=F.col("held") == 1)
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    spread = boosting.fit_many(often, bins, few, weight="w", held=F.col("held") == 1, groups=2)
+    monkeypatch.setattr(boosting, "CELLS", 60)  # some sets of columns have more
+    mixed = boosting.fit_many(often, bins, few, weight="w", held=F.col("held") == 1)
+    points = [[(m, 600) for m in x] for x in (alone, spread, mixed)]
+    assert [m.losses for m in alone] == [m.losses for m in spread] == [m.losses for m in mixed]
+    assert scores(rows, bins, points[0]) == scores(rows, bins, points[1]) == scores(rows, bins, points[2])
+
+
+def test_bits_of_leaves_are_those_that_rows_reach():
+    rng, growth = np.random.default_rng(5), boosting._Growth(Config(("a", "b"), None, 1.0, 1, 1))
+    growth.depth, growth.stats = [0], [(0.0, 1.0, 100.0)]
+    open_nodes = [0]
+    while len(open_nodes) < boosting.LEAVES:
+        node = open_nodes.pop(rng.integers(len(open_nodes)))
+        lo = int(rng.integers(0, 9))
+        growth.split[node] = [1.0, float(rng.integers(0, 2)), lo, int(rng.integers(lo, 10))]
+        growth.children[node] = [len(growth.depth), len(growth.depth) + 1]
+        open_nodes += growth.children[node]
+        growth.depth += [growth.depth[node] + 1] * 2
+        growth.stats += [(-float(rng.integers(1, 1000)), 1.0, 1.0) for _ in range(2)]
+    tree = growth.tree(grown=True)
+    codes = np.array([(a, b) for a in range(10) for b in range(10)], np.int32)
+    forest = boosting._join([[tree]])
+    want = forest.value[boosting._walk(forest, codes, 0)][:, 0]
+    found, values = boosting._tables(tree, [10, 10], boosting.joints([10, 10]))
+    bits = np.bitwise_and.reduce([table[codes @ [10, 1]] for _, table in found])
+    assert (values[((bits & (~bits + np.uint32(1))) * boosting._BRUIJN) >> np.uint32(27)] == want).all() and len(set(want)) > 5
+
+
+def test_overlaps_from_cells_are_those_of_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, int(c), bool(rng.random() < 0.1 + 0.05 * c)) for i, c in enumerate(rng.integers(0, 9, 400))]
+    rows = spark.createDataFrame(data, "id long, cell long, label boolean").cache()
+    score = spark.createDataFrame([(p, c, float(np.round(c * (p + 1) % 5 / 7, 9))) for p in range(4) for c in range(9)] + [(4, c, 0.5) for c in range(9)], "point int, cell long, score double").cache()
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("label").alias("ones"))
+    for k in (0.1, 0.37):
+        want = {r.point: r.overlap_at_k for r in models.overlaps(rows.join(score, "cell"), ["point"], k).collect()}
+        got = {r.point: r.overlap_at_k for r in models.cell_overlaps(score.join(cells, "cell"), rows, k).collect()}
+        assert got == want and len(want) == 5 and len(set(want.values())) > 2
