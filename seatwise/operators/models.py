@@ -146,7 +146,8 @@ def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c
         left, right = cells.select("cell", *[F.col(c).alias(f"_v_{c}") for c in own]), val.select("id", "label", *[F.col(c).alias(f"_r_{c}") for c in own])
         members.append(right.join(left, reduce(and_, on)).select("cell", "id", "label"))
         # what a block does not have is null, and its models do not look at it
-        full = cells.withColumns({c: F.lit(None).cast(t) for c, t in val.select(*design.bins.columns).dtypes if c not in own})
+        spread = min(val.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // boosting.BLOCK))
+        full = cells.repartition(max(spread, 1)).withColumns({c: F.lit(None).cast(t) for c, t in val.select(*design.bins.columns).dtypes if c not in own})
         points = sorted({fit_of(s, p) for p in grid})
         scored = [(logistic.score_path(full, design.features, linear[k * len(c_grid) : (k + 1) * len(c_grid)], keep), [f"c{k * len(c_grid) + j}" for j in range(len(c_grid))])]
         scored.append((boosting.score_many(full, design.bins, [(models[i], n) for i, n in points], keep), [f"t{i}:{n}" for i, n in points]))
