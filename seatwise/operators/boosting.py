@@ -689,6 +689,7 @@ def fit_many(train: DataFrame, bins: Bins, configs: Sequence[Config], label: str
     each = cut(cells.select(F.inline(F.array(*parts)), "w", *COUNTS).groupBy("set", "vector", "w").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     few = {r["set"] for r in each.groupBy("set").count().where(F.col("count") <= CELLS).collect()}  # a row a set of columns
     alone = [r for r, own in enumerate(columns) if sets.index(own) in few]
+    alone.sort(key=lambda r: (configs[r].rate, -(configs[r].depth or LEAVES)))  # the longest fits begin first
     if alone:
         runs = F.array(*[F.array(*[F.lit(r) for r in alone if columns[r] == own]).cast("array<int>") for own in sets])
         packed = each.where(F.col("set").isin(*few)).repartition(len(sets), "set").sortWithinPartitions("set").mapInArrow(_pack_sets, "set int, n int, codes binary, w binary, n0 binary, n1 binary, h0 binary, h1 binary")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import add, and_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import STUDY, BlockSpec
@@ -87,21 +89,78 @@ def overlaps(scored: DataFrame, by: Sequence[str], capacity: float) -> DataFrame
     return agreement(top_within(rows, "score", capacity, by, "model_selected"), by).select(*by, "overlap_at_k")
 
 
-def cell_overlaps(scored: DataFrame, rows: DataFrame, capacity: float) -> DataFrame:
-    """``point, overlap_at_k`` as ``overlaps`` has them, from scores of cells: ``scored (point, cell, score, n, ones)``.
+#: Equal ranges of a score in which the last seat is sought before single scores are ordered.
+PARTS = 256
+
+
+def _singles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all scores of a batch: row, point, score and range."""
+    lists = batch.column("scores")
+    lengths, score = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return row, batch.column("first").to_numpy()[row] + place, score, np.clip((score * PARTS).astype(int), 0, PARTS - 1)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and ones of a task by point and range."""
+    total = np.zeros((2, 0))
+    for batch in batches:
+        row, point, _, part = _singles(batch)
+        size = max(total.shape[1], (int(point.max(initial=-1)) + 1) * PARTS)
+        total = np.pad(total, ((0, 0), (0, size - total.shape[1])))
+        for i, c in enumerate(("n", "ones")):
+            total[i] += np.bincount(point * PARTS + part, batch.column(c).to_numpy()[row], size)
+    at = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at // PARTS, pa.int32()), pa.array(at % PARTS, pa.int32()), *(pa.array(x[at].astype(np.int64)) for x in total)], ["point", "part", "n", "ones"])
+
+
+def _near(ends: Mapping[int, int]) -> Callable:
+    last = np.full(max(ends, default=0) + 2, -1)
+    last[list(ends)] = list(ends.values())
 
-    ``rows (cell, id, label)`` are those of the cells. Rows of a cell have one score, so cells are ordered by
-    their counts, and only rows that share the last seat's score are drawn by hash.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The scores in the range of their point's last seat."""
+        for batch in batches:
+            row, point, score, part = _singles(batch)
+            at = np.flatnonzero(last[np.minimum(point, len(last) - 1)] == part)
+            own = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(point[at], pa.int32()), pa.array(score[at]), *(pa.array(batch.column(c).to_numpy()[own]) for c in ("cell", "n", "ones"))], ["point", "score", "cell", "n", "ones"])
+
+    return run
+
+
+def grid_overlaps(scored: DataFrame, rows: DataFrame, capacity: float) -> DataFrame:
+    """``point, overlap_at_k`` as ``overlaps`` has them, from scores of cells: ``scored (first, cell, n, ones, scores)``.
+
+    ``scores`` are those of the points from ``first`` on, between 0 and 1, and ``rows (cell, id, label)`` those of
+    the cells. Rows of a cell have one score, so cells are ordered by their counts: first by ranges of the
+    score, and only in the range of the last seat by single scores. Only rows that share the last
+    seat's score are drawn by hash.
     """
-    scored = cut(scored)
-    counts = scored.groupBy("point", F.col("score").alias("_s")).agg(F.sum("n").alias("_c"), F.sum("ones").alias("_ones"))
-    ranked = cut(with_better(counts, ["point"]).withColumn("_seats", quota(capacity, F.col("_n")) - F.col("_better")))
-    whole = F.sum(F.when(F.col("_seats") >= F.col("_c"), F.col("_ones")).otherwise(0))
-    out = ranked.groupBy("point").agg(whole.alias("_whole"), F.sum("_ones").alias("_all"))
-    last = ranked.where((F.col("_seats") > 0) & (F.col("_seats") < F.col("_c")) & (F.col("_ones") > 0)).select("point", F.col("_s").alias("score"), "_seats")
-    tied = scored.join(F.broadcast(last), ["point", "score"]).select("point", "cell", "score", "_seats")  # a score a point
+    scored = cut(scored.select(F.col("first").cast("int").alias("first"), F.col("cell").cast("long").alias("cell"), F.col("n").cast("long").alias("n"), F.col("ones").cast("long").alias("ones"), "scores"))
+    own = Window.partitionBy("point")  # ranges of a point
+    ranges = scored.mapInArrow(_ranges, "point int, part int, n long, ones long").groupBy("point", "part").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    ranges = ranges.withColumns({"_upto": F.sum("n").over(own.orderBy(F.desc("part"))), "_seats": quota(capacity, F.sum("n").over(own))})
+    ranges = cut(ranges.withColumn("_last", (F.col("_upto") - F.col("n") < F.col("_seats")) & (F.col("_seats") < F.col("_upto"))))
+    ends = {r.point: r.part for r in ranges.where("_last").select("point", "part").collect()}  # a row a point
+    near = cut(scored.mapInArrow(_near(ends), "point int, score double, cell long, n long, ones long"))
+    counts = near.groupBy("point", F.col("score").alias("_s")).agg(F.sum("n").alias("_c"), F.sum("ones").alias("_ones"))
+    left = ranges.where("_last").select(F.col("point").alias("_of"), (F.col("_seats") - F.col("_upto") + F.col("n")).alias("_left"))
+    ranked = with_better(counts, ["point"]).join(F.broadcast(left), F.col("point") == F.col("_of"))
+    ranked = cut(ranked.select("point", "_s", "_c", "_ones", (F.col("_left") - F.col("_better")).alias("_seats")))
+    whole = ranges.groupBy("point").agg(F.sum(F.when(F.col("_upto") <= F.col("_seats"), F.col("ones")).otherwise(0)).alias("_whole"), F.sum("ones").alias("_all"))
+    within = ranked.groupBy("point").agg(F.sum(F.when(F.col("_c") <= F.col("_seats"), F.col("_ones")).otherwise(0)).alias("_within"))
+    tied = ranked.where("_seats > 0 AND _seats < _c AND _ones > 0").select("point", F.col("_s").alias("score"), "_seats")
+    tied = near.join(F.broadcast(tied), ["point", "score"]).select("point", "cell", "score", "_seats")  # a score a point
     drawn = top_seats(rows.join(tied, "cell"), "score", F.col("_seats"), ["point"], "_drawn").where("_drawn").groupBy("point").agg(F.count_if("label").alias("_more"))
-    return out.join(drawn, "point", "left").select("point", ratio(F.col("_whole") + F.coalesce("_more", F.lit(0)), F.col("_all")).alias("overlap_at_k"))
+    found = [F.col("_whole"), *(F.coalesce(c, F.lit(0)) for c in ("_within", "_more"))]
+    return whole.join(within, "point", "left").join(drawn, "point", "left").select("point", ratio(reduce(add, found), F.col("_all")).alias("overlap_at_k"))
+
+
+def cell_overlaps(scored: DataFrame, rows: DataFrame, capacity: float) -> DataFrame:
+    """``grid_overlaps`` of scores in rows of their own: ``scored (point, cell, score, n, ones)``."""
+    return grid_overlaps(scored.select(F.col("point").alias("first"), "cell", "n", "ones", F.array("score").alias("scores")), rows, capacity)
 
 
 class Tuned(NamedTuple):
@@ -137,7 +196,7 @@ def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c
         i = grown[s.name, p["depth"], p["rate"], p["leaf"]]
         return i, min(p["trees"], len(models[i].trees))
 
-    every, members, names, keep = [], [], [], ["cell", "n", "ones"]
+    every, members, names, keep, cores = [], [], [], ["cell", "n", "ones"], val.sparkSession.sparkContext.defaultParallelism
     for k, s in enumerate(specs):
         own = list(_all_columns(s))
         counted = val.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("ones"))
@@ -146,16 +205,16 @@ def tune(rows: DataFrame, specs: Sequence[BlockSpec], grid: Sequence[Mapping], c
         left, right = cells.select("cell", *[F.col(c).alias(f"_v_{c}") for c in own]), val.select("id", "label", *[F.col(c).alias(f"_r_{c}") for c in own])
         members.append(right.join(left, reduce(and_, on)).select("cell", "id", "label"))
         # what a block does not have is null, and its models do not look at it
-        spread = min(val.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // boosting.BLOCK))
-        full = cells.repartition(max(spread, 1)).withColumns({c: F.lit(None).cast(t) for c, t in val.select(*design.bins.columns).dtypes if c not in own})
+        n = cells.count()
+        spread = max(-(-n // boosting.SCORED), min(-(-cores // len(specs)), -(-n // boosting.BLOCK)), 1)  # each task makes the tables of all trees
+        full = cells.repartition(spread).withColumns({c: F.lit(None).cast(t) for c, t in val.select(*design.bins.columns).dtypes if c not in own})
         points = sorted({fit_of(s, p) for p in grid})
         scored = [(logistic.score_path(full, design.features, linear[k * len(c_grid) : (k + 1) * len(c_grid)], keep), [f"c{k * len(c_grid) + j}" for j in range(len(c_grid))])]
         scored.append((boosting.score_many(full, design.bins, [(models[i], n) for i, n in points], keep), [f"t{i}:{n}" for i, n in points]))
         for scores, own_names in scored:
-            each = scores.select(*keep, F.posexplode("scores").alias("_at", "score"))
-            every.append(each.select((F.col("_at") + len(names)).alias("point"), "cell", "score", "n", "ones"))
+            every.append(scores.withColumn("first", F.lit(len(names))))
             names += own_names
-    found = cell_overlaps(reduce(DataFrame.unionByName, every), reduce(DataFrame.unionByName, members), capacity)
+    found = grid_overlaps(reduce(DataFrame.unionByName, every), reduce(DataFrame.unionByName, members), capacity)
     found = {names[r.point]: r.overlap_at_k or 0.0 for r in found.collect()}  # a row a grid point
     params, overlap, chosen, best = {}, {}, [], []
     for k, s in enumerate(specs):

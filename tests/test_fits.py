@@ -218,3 +218,24 @@ def test_overlaps_from_cells_are_those_of_rows(spark):
         want = {r.point: r.overlap_at_k for r in models.overlaps(rows.join(score, "cell"), ["point"], k).collect()}
         got = {r.point: r.overlap_at_k for r in models.cell_overlaps(score.join(cells, "cell"), rows, k).collect()}
         assert got == want and len(want) == 5 and len(set(want.values())) > 2
+
+
+def test_last_seats_are_sought_by_ranges_and_few_scores_are_ordered(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells, points = 300, 7
+    scores = np.round(rng.random((cells, points)) ** 3, 9)
+    scores[:, 1], scores[:, 2], scores[:, 3] = np.round(scores[:, 1], 1), 0.25 + np.round(scores[:, 2] / 1000, 5), 0.0  # ties, one range, one score
+    scores[rng.random(cells) < 0.2, 4] = 1.0
+    data = [(i, int(c), bool(rng.random() < 0.2)) for i, c in enumerate(rng.integers(0, cells, 2000))]
+    rows = spark.createDataFrame(data, "id long, cell long, label boolean").cache()
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("label").alias("ones"))
+    long = spark.createDataFrame([(c, p, float(scores[c, p])) for c in range(cells) for p in range(points)], "cell long, point int, score double").cache()
+    wide = [spark.createDataFrame([(c, [float(x) for x in scores[c, a:b]]) for c in range(cells)], "cell long, scores array<double>").join(counted, "cell").withColumn("first", F.lit(a)) for a, b in ((0, 3), (3, points))]
+    ordered, with_better = [], models.with_better
+    monkeypatch.setattr(models, "with_better", lambda counts, by: ordered.append(counts.groupBy("point").count().agg(F.sum("count")).first()[0]) or with_better(counts, by))
+    for k in (0.0, 0.0003, 0.1, 0.5, 1.0):
+        want = {r.point: r.overlap_at_k for r in models.overlaps(rows.join(long, "cell"), ["point"], k).collect()}
+        got = {r.point: r.overlap_at_k for r in models.grid_overlaps(wide[0].unionByName(wide[1]), rows, k).collect()}
+        # without a seat the rate of the benchmark's rows is 0
+        assert got == want and len(want) == points
+    assert max(x or 0 for x in ordered) < 0.4 * cells * points  # a point within one range keeps all its scores
