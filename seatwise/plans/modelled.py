@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import BLOCKS, STUDY, BlockSpec, Contrast
 from ..functions.columns import any_cell, capacity_label, hash_uniform
 from ..operators import composite, encoding, inference, metrics, mitigation, models, selection, splitting
-from ..sources.tables import aligned, append_csv, commit, cut, joined_whole, logger, read_parameters, read_small, stored, study_home
+from ..sources.tables import aligned, append_csv, commit, cut, joined_whole, logger, read_parameters, read_small, side_by_side, stored, study_home
 from .candidates import analytic, decisions, side, split_rows
 from .relational import anchor_distance, random_cell, searched, side_sizes, tercile_increments, terciles, with_tercile
 
@@ -183,15 +183,17 @@ def capacity_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The label is made again for each capacity; parameters stay. Local cells rank the test rows, global ones all rows."""
 
     def build() -> DataFrame:
-        base, parts, params = study_rows(spark, folder).drop("label"), [], _params(spark, folder, tuple(BLOCKS))
-        for k in (0.05, 0.20):
+        base, params = study_rows(spark, folder).drop("label"), _params(spark, folder, tuple(BLOCKS))
+
+        def at(k: float) -> DataFrame:
             rows = selection.top_quota(cut(labelled(base, capacity=k)), "composite", k, "bench_global")
             scored = fit_cells(encoded(rows), BLOCKS.values(), params)
             local = decided(scored, "D1", F.concat(capacity_label(k), F.lit("_local")), k)
             ranked = selection.top_within(scored, "score", k, ["block", "model"], "model_selected").where("split = 'test'").withColumn("bench_selected", F.col("bench_global"))
             ranked = ranked.join(F.broadcast(local.select("block", "model", "seats").distinct()), ["block", "model"])
-            parts += [local, as_ledger(ranked, "D1", F.concat(capacity_label(k), F.lit("_global")), k)]
-        return _union(parts)
+            return local.unionByName(as_ledger(ranked, "D1", F.concat(capacity_label(k), F.lit("_global")), k))
+
+        return _union(side_by_side(spark, [partial(at, k) for k in (0.05, 0.20)]))
 
     return kept(spark, folder, "ledger-D1", build)
 
@@ -206,13 +208,14 @@ def capacity(spark, folder):
 
 def composite_ledger(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        base, parts = cut(composite.standardised(study_rows(spark, folder).drop("label"))), []
-        params = _params(spark, folder)
-        for name in [*composite.SCHEMES, "standardised"]:
+        base, params = cut(composite.standardised(study_rows(spark, folder).drop("label"))), _params(spark, folder)
+
+        def under(name: str) -> DataFrame:
             score = F.col("composite_std") if name == "standardised" else composite.weighted_scheme(name)
             rows = labelled(base.withColumn("composite", score))
-            parts.append(decided(fit_cells(encoded(rows), _specs(), params), "D2", name))
-        return _union(parts)
+            return decided(fit_cells(encoded(rows), _specs(), params), "D2", name)
+
+        return _union(side_by_side(spark, [partial(under, n) for n in [*composite.SCHEMES, "standardised"]]))
 
     return kept(spark, folder, "ledger-D2", build)
 
@@ -327,7 +330,8 @@ def absence(spark, folder):
 
 def robustness_bootstrap(spark, folder):
     """Intervals and verdicts of every cell of the robustness tasks: 106 rows."""
-    ledgers = [f(spark, folder) for f in (capacity_ledger, composite_ledger, state_only_ledger, groups_ledger, population_ledger, absence_ledger)]
+    _cells(spark, folder, tuple(BLOCKS))  # all of them need these
+    ledgers = side_by_side(spark, [partial(f, spark, folder) for f in (capacity_ledger, composite_ledger, state_only_ledger, groups_ledger, population_ledger, absence_ledger)])
     return inference.bootstrap(_union(ledgers), KEYS)
 
 
@@ -412,6 +416,8 @@ def frontier_cells(spark, folder):
 
 def anchor_cells(spark: SparkSession, folder: str) -> DataFrame:
     """All mitigated cells with their distance from a random selection of the same rows: 52 rows."""
+    _cells(spark, folder, PAIR)  # both ledgers need these
+    side_by_side(spark, [partial(f, spark, folder) for f in (reweighed_ledger, sweep_ledger)])
     led = random_cell(spark, folder)
     anchor = metrics.agreement(led, ["block"]).join(metrics.group_metrics(led, ["block"]), "block").select("overlap_at_k", "gap_pp")
     e1 = reweighed_fit(spark, folder).withColumn("source", F.lit("reweighing")).withColumn("level", F.lit(0))
@@ -429,9 +435,10 @@ def anchor_summary(spark, folder):
 
 def mitigation_bootstrap(spark, folder):
     """D, its verdict and the cost in fidelity of reweighing, thresholds and the sweep's ends: 16 rows."""
-    base = main_ledger(spark, folder, PAIR).select("id", "block", "model", F.col("model_selected").alias("unmitigated_selected"))
-    e1 = joined_cells(reweighed_ledger(spark, folder), base)
-    e3 = sweep_ledger(spark, folder)
+    _cells(spark, folder, PAIR)  # all ledgers need these
+    base, e1, e3 = side_by_side(spark, [partial(main_ledger, spark, folder, PAIR), *(partial(f, spark, folder) for f in (reweighed_ledger, sweep_ledger))])
+    base = base.select("id", "block", "model", F.col("model_selected").alias("unmitigated_selected"))
+    e1 = joined_cells(e1, base)
     ends = e3.withColumn("variant", F.when(F.col("level") == 0, "level0_unmitigated").when(F.col("level") == 10, "level10_full_eq"))
     e2 = e3.where("level = 10").withColumn("task", F.lit("E2")).withColumn("variant", F.lit("threshold_eq_opp"))
     wanted = {"E1": None, "E2": None, "E3": ("level0_unmitigated", "level10_full_eq")}
@@ -514,7 +521,8 @@ SUBSAMPLES = {"school_kind": ("school IN (2, 3)", ("school",)), "school_register
 
 def subsample_cells(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
     """Cells of subsamples with their intervals, beside the full sample's: 4 rows a subsample."""
-    led = _union([_subsample(spark, folder, n, *SUBSAMPLES[n]) for n in names])
+    _cells(spark, folder, PAIR)  # all subsamples need these
+    led = _union(side_by_side(spark, [partial(_subsample, spark, folder, n, *SUBSAMPLES[n]) for n in names]))
     boot = inference.bootstrap(led, KEYS).select(*KEYS, "d_lo", "d_hi", "verdict")
     sizes = led.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_test"))
     full_led = main_ledger(spark, folder, PAIR)

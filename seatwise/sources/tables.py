@@ -9,9 +9,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +24,8 @@ _HEAD = 1 << 16
 CELL = ["task", "variant", "block", "model", "k", "group_a", "group_b"]
 
 
+T = TypeVar("T")
+
 #: Folders of local applications that name none.
 _LOCAL: dict[str, str] = {}
 
@@ -139,6 +144,12 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(read_small(spark, f"{home}/{name}.done"))
 
 
+def side_by_side(spark: SparkSession, builds: Sequence[Callable[[], T]]) -> list[T]:
+    """What the builders return, in their order. Their jobs run beside each other, as those of one keep few cores busy; an error of one is raised."""
+    with ThreadPoolExecutor(max(len(builds), 1)) as pool:
+        return list(pool.map(lambda build: build(), [inheritable_thread_target(spark)(b) for b in builds]))
+
+
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -1,4 +1,5 @@
 import json
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -174,3 +175,20 @@ def test_subsamples_of_schools(spark):
     assert modelled.leaving_subsample(spark, FOLDER).count() == 4
     lines = modelled.subsample_export(spark, FOLDER).collect()
     assert len(lines) == 12 and all(r.line.startswith(f"| {r.subsample} | {r.block} | {r.model} |") for r in lines)
+
+
+@pytest.mark.parametrize("ledger, variants", [(modelled.composite_ledger, 5), (modelled.capacity_ledger, 2)])
+def test_variants_of_a_task_are_fitted_side_by_side(spark, monkeypatch, ledger, variants):
+    met = threading.Barrier(variants, timeout=120)
+
+    class Met(Exception):
+        pass
+
+    def fit(*_):
+        met.wait()
+        raise Met
+
+    monkeypatch.setattr(modelled, "fit_cells", fit)
+    monkeypatch.setattr(modelled, "_params", lambda *_: {})
+    with pytest.raises(Met):
+        ledger(spark, FOLDER)
