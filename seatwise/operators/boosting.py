@@ -561,20 +561,27 @@ class _Table:
         self.codes = np.ascontiguousarray(np.frombuffer(record["codes"], "<u2").reshape(record["n"], len(sizes)).T)
         self.w, *self.counts = (np.frombuffer(record[c]) for c in ("w", *COUNTS))
         self.joints, self.starts = joints(sizes), np.cumsum([0, *sizes]).tolist()
-        self.single = [Joint([c], [1], [n], n) for c, n in enumerate(sizes)]
-        self.places = {id(j): sum(self.codes[c].astype(np.intp) * k for c, k in zip(j.columns, j.strides, strict=True)) for j in (*self.joints, *self.single)}
+        self.places = [sum(self.codes[c].astype(np.intp) * k for c, k in zip(j.columns, j.strides, strict=True)) for j in self.joints]
+        #: Bins of all columns, a row a cell.
+        self.single = np.ascontiguousarray(self.codes.T.astype(np.intp) + np.array(self.starts[:-1]))
         #: Cells of a part from which on fewer sums by joint codes cost less than the adding up of these.
         self.many = 4 * sum(j.size for j in self.joints) / max(1, len(sizes) - len(self.joints))
 
     def sums(self, values: Sequence[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
         """The sums of ``values`` over each of ``parts`` (None: all cells) by the bins of all columns, as (part, value, bin)."""
-        out = np.empty((len(parts), len(values), self.starts[-1]))
+        size = self.starts[-1]
+        out = np.empty((len(parts), len(values), size))
         whole = len(parts) == 1 and len(parts[0]) == len(self.w)
         rows = None if whole else np.concatenate(parts)
         slot = None if len(parts) == 1 else np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         values = values if whole else [x[rows] for x in values]
-        for j in self.joints if sum(map(len, parts)) > self.many * len(parts) else self.single:
-            place = self.places[id(j)]
+        if sum(map(len, parts)) <= self.many * len(parts):
+            at = self.single if whole else self.single[rows]
+            at = (at if slot is None else at + (slot * size)[:, None]).ravel()
+            for k, x in enumerate(values):
+                out[:, k] = np.bincount(at, np.repeat(x, self.single.shape[1]), len(parts) * size).reshape(len(parts), size)
+            return out
+        for j, place in zip(self.joints, self.places, strict=True):
             at = place if whole else place[rows]
             at = at if slot is None else at + slot * j.size
             for k, x in enumerate(values):
@@ -585,6 +592,22 @@ class _Table:
         return out
 
 
+def joined(second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Second derivatives and rows as one number a cell, and what a row adds to it; None if their sums are not exact so.
+
+    Both are whole numbers, and all second derivatives together are less than one row.
+    """
+    whole = second.sum()
+    unit = 2.0 ** np.ceil(np.log2(whole + 1))
+    return (second + n * unit, unit) if second.min(initial=0) >= 0 and whole < unit and (n.sum() + 1) * unit < 2.0**53 else None
+
+
+def parted(sums: np.ndarray, unit: float) -> np.ndarray:
+    """Sums of gradients and of ``joined`` numbers (second axis) as those of gradients, second derivatives and rows."""
+    n = np.floor(sums[:, 1] * (1 / unit))
+    return np.stack([sums[:, 0], sums[:, 1] - n * unit, n], axis=1)
+
+
 def grow_alone(config: Config, table: _Table, base: float, stops: bool, cuts: Cuts) -> Model:
     """All passes of one configuration over cells in memory.
 
@@ -600,18 +623,23 @@ def grow_alone(config: Config, table: _Table, base: float, stops: bool, cuts: Cu
         for node in new:
             x, rows = splits[node], own[node]
             code = table.codes[int(x[1])][rows]
-            right = (code >= x[2]) & (code <= x[3])
+            right = code - np.uint16(x[2]) <= np.uint16(x[3] - x[2])  # codes below the range wrap around
             own[children[node][0]], own[children[node][1]] = rows[~right], rows[right]
         return new
 
+    def summed(parts: list[np.ndarray]) -> np.ndarray:
+        found = table.sums(values, parts)
+        return parted(found, both[1]) if both else found
+
     while fits.live:
         if growth.asked == [0]:  # a new tree
             first, second, n, loss = _derivatives(sums + base, table.w, *table.counts)
             if stops and ends([*model.losses, _mean_loss(loss)]):
                 model.losses.append(_mean_loss(loss))
                 break
-            values, own, known = (first, second, n), {0: everyone}, {}
-            found = {0: table.sums(values, [everyone])[0]}
+            both, own, known = joined(second, n), {0: everyone}, {}
+            values = (first, both[0]) if both else (first, second, n)
+            found = {0: summed([everyone])[0]}
         else:
             found, parts, rest = {}, [], []
             for node in divide(growth.children, growth.split):
@@ -619,7 +647,7 @@ def grow_alone(config: Config, table: _Table, base: float, stops: bool, cuts: Cu
                     less, more = sorted(growth.children[node], key=lambda c: len(own[c]))
                     parts.append(less)
                     rest.append((less, more, node))
-            for (less, more, node), x in zip(rest, table.sums(values, [own[c] for c in parts]), strict=True):
+            for (less, more, node), x in zip(rest, summed([own[c] for c in parts]), strict=True):
                 found[less], found[more] = x, known[node] - x
         known |= found
         asked = list(growth.asked)

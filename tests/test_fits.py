@@ -239,3 +239,22 @@ def test_last_seats_are_sought_by_ranges_and_few_scores_are_ordered(spark, monke
         # without a seat the rate of the benchmark's rows is 0
         assert got == want and len(want) == points
     assert max(x or 0 for x in ordered) < 0.4 * cells * points  # a point within one range keeps all its scores
+
+
+def test_sums_of_joined_numbers_are_those_of_each():
+    rng = np.random.default_rng(5)
+    sizes, n = [7, 40, 2], 3000
+    codes = np.stack([rng.integers(0, k, n) for k in sizes], axis=1)
+    record = {"n": n, "codes": codes.astype("<u2").tobytes(), "w": np.ones(n).tobytes()} | {c: np.ones(n).tobytes() for c in boosting.COUNTS}
+    table = boosting._Table(record, sizes)
+    first, second, rows = rng.integers(-(2**20), 2**20, n).astype(float), rng.integers(0, 2**18, n).astype(float), rng.integers(0, 90, n).astype(float)
+    both, unit = boosting.joined(second, rows)
+    for parts in ([np.arange(n)], [np.arange(0, n, 2)], [np.arange(5), np.arange(9, 12), np.array([], int)], [np.arange(1500), np.arange(1500, n)]):
+        found = boosting.parted(table.sums((first, both), parts), unit)
+        for many in (0, n):  # by joint codes, and by single ones
+            table.many = many
+            for part, own, same in zip(parts, table.sums((first, second, rows), parts), found, strict=True):
+                brute = [np.concatenate([np.bincount(codes[part, c], x[part], k) for c, k in enumerate(sizes)]) for x in (first, second, rows)]
+                assert np.array_equal(own, brute) and np.array_equal(same, brute)
+    assert boosting.joined(second * 2.0**20, rows) is None  # not exact in a double
+    assert boosting.joined(-second, rows) is None
